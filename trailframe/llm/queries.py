@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailframe.llm import chat_format, quality_rules, token_counts
+from trailframe.llm import byte_bpe, chat_format, quality_rules, token_counts
 
 QUERIES = {
+    "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op3_quality_forest": quality_rules.op3_quality_forest,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_chat_format": chat_format.op6_chat_format,
