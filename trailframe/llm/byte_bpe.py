@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 A piece (a match of the splitting pattern) becomes an array of its bytes, each a one-character Latin-1 string;
-a fold merges the leftmost pair of the lowest rank until no pair has one. Ranks, ids of frequent pieces and the
+a fold merges the leftmost pair of the lowest rank until no pair has one. Ranks (of pairs of ids, too), ids of frequent pieces and the
 binary pieces of ids are literals of bounded size (arrays of small maps by hash, so that a lookup takes constant
 time). Distinct pieces are counted over all texts; the most frequent are folded once, in a table of their own,
 and the others where they stand. Nothing is shuffled but the counts of distinct pieces.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trailframe.llm.common import table
 
 #: Parameters: frequent pieces that are folded once (and bytes of each at most), buckets of the literal maps.
-FREQUENT, PIECE_BYTES, BUCKETS = 100_000, 64, 65_536
+FREQUENT, PIECE_BYTES, BUCKETS = 200_000, 64, 131_072
 _NO_RANK = 2**31 - 1
 
 
@@ -61,31 +61,66 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_merges(piece: Column, ranks: Column) -> Column:
-    """The ids of one piece, given with one character for each byte; `ranks` are buckets."""
-    rank = lambda s: F.coalesce(find(ranks, s), F.lit(_NO_RANK))
+def merge_table(ranks: dict[bytes, int]) -> list[int]:
+    """All pairs of ids whose pieces make a piece together, as a cuckoo hash table: pair << 20 | merged id, in one of two slots."""
+    entries = [(ranks[x] << 20 | ranks[y], i) for piece, i in ranks.items() for k in range(1, len(piece)) if (x := piece[:k]) in ranks and (y := piece[k:]) in ranks]
+    size = 1 << (4 * len(entries) + 1).bit_length()
+    while True:
+        slots = [-1] * size
+        for pair, merged in entries:
+            item, at = pair << 20 | merged, -1
+            for _ in range(500):
+                h = xxhash.xxh64_intdigest((item >> 20).to_bytes(8, "little"), seed=42)
+                first, second = h & (size - 1), h >> 32 & (size - 1)
+                at = second if at == first else first
+                item, slots[at] = slots[at], item
+                if item < 0:
+                    break
+            else:
+                break
+        else:
+            return slots
+        size *= 2
+
+
+def merged_id(slots: Column, pair: Column) -> Column:
+    """The id that a pair merges into, which is its rank too; _NO_RANK if none."""
+    mask = F.array_size(slots) - 1
+    probe = lambda h, body: _let(F.get(slots, h.bitwiseAND(mask.cast("long")).cast("int")), body)
+    value = lambda e: e.bitwiseAND(F.lit(2**20 - 1).cast("long")).cast("int")
+    hit = lambda e, p: F.shiftright(e, 20) == p
+    return _let(pair, lambda p: _let(F.xxhash64(p), lambda h: probe(h, lambda e: F.when(hit(e, p), value(e)).otherwise(
+        probe(F.shiftrightunsigned(h, 32), lambda e2: F.when(hit(e2, p), value(e2)).otherwise(_NO_RANK))))))
+
+
+def fold_merges(piece: Column, whole: Column, slots: Column, byte_ids: Column) -> Column:
+    """The ids of one piece, given with one character for each byte; `whole` is its id if it is a piece of the vocabulary."""
+    pair = lambda a, b: F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long"))
+    none = F.array().cast("array<int>")
     size = F.char_length(piece)
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(piece, i, F.lit(1))).alias("parts"),
-        F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(piece, i, F.lit(2)))).alias("ranks"))
-
-    def merged(acc: Column, k: Column) -> Column:
-        """`acc` with its parts k and k + 1 (from 1) in one, and the ranks beside them anew."""
-        parts, rk = acc["parts"], acc["ranks"]
-        n = F.size(rk)
-        return _let(F.concat(F.get(parts, k - 1), F.get(parts, k)), lambda one: F.struct(
-            F.concat(F.slice(parts, F.lit(1), k - 1), F.array(one), F.slice(parts, k + 2, n)).alias("parts"),
+
+    def merged(acc: Column, low: Column, k: Column) -> Column:
+        """`acc` with its parts k and k + 1 (from 1) as the one part `low`, and the ranks beside it anew."""
+        parts, ranks = acc["parts"], acc["ranks"]
+        n = F.size(ranks)
+        return F.struct(
+            F.concat(F.slice(parts, F.lit(1), k - 1), F.array(low), F.slice(parts, k + 2, n)).alias("parts"),
             F.concat(
-                F.slice(rk, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                F.when(k > 1, F.array(rank(F.concat(F.get(parts, k - 2), one)))).otherwise(F.array().cast("array<int>")),
-                F.when(k < n, F.array(rank(F.concat(one, F.get(parts, k + 1))))).otherwise(F.array().cast("array<int>")),
-                F.slice(rk, k + 2, n)).alias("ranks")))
+                F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))),
+                F.when(k > 1, F.array(merged_id(slots, pair(F.get(parts, k - 2), low)))).otherwise(none),
+                F.when(k < n, F.array(merged_id(slots, pair(low, F.get(parts, k + 1))))).otherwise(none),
+                F.slice(ranks, k + 2, n)).alias("ranks"))
+
+    def step(acc: Column, _: Column) -> Column:
+        return _let(F.coalesce(F.array_min(acc["ranks"]), F.lit(_NO_RANK)), lambda low: F.when(low == _NO_RANK, acc).otherwise(
+            _let(F.array_position(acc["ranks"], low).cast("int"), lambda k: merged(acc, low, k))))
 
-    step = lambda acc, _: _let(F.coalesce(F.array_min(acc["ranks"]), F.lit(_NO_RANK)), lambda low: F.when(low == _NO_RANK, acc).otherwise(
-        _let(F.array_position(acc["ranks"], low).cast("int"), lambda k: merged(acc, k))))
-    done = F.aggregate(F.sequence(F.lit(1), size - 1), start, step, lambda acc: acc["parts"])
-    whole = find(ranks, piece)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(done, lambda p: find(ranks, p)))
+    ids = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(byte_ids, F.ascii(F.substring(piece, i, F.lit(1)))))
+    folded = _let(ids, lambda parts: F.aggregate(
+        F.sequence(F.lit(1), size - 1),
+        F.struct(parts.alias("parts"), F.transform(F.sequence(F.lit(0), size - 2), lambda i: merged_id(slots, pair(F.get(parts, i), F.get(parts, i + 1)))).alias("ranks")),
+        step, lambda acc: acc["parts"]))
+    return F.when(whole.isNotNull(), F.array(whole)).when(size == 1, ids).otherwise(folded)
 
 
 class ByteBpe:
@@ -96,6 +131,8 @@ class ByteBpe:
         ranks = read_ranks(path)
         pieces = {i: b.decode("latin-1") for b, i in ranks.items()}
         self.ranks = bucketed(spark, [(s, i) for i, s in pieces.items()], pa.int32())
+        self.slots = literal(spark, merge_table(ranks), pa.list_(pa.int64()))
+        self.byte_ids = literal(spark, [ranks[bytes([b])] for b in range(256)], pa.list_(pa.int32()))
         self.pieces = literal(spark, [pieces.get(i, "") for i in range(max(pieces) + 1)], pa.list_(pa.string()))
         self.known = bucketed(spark, [], pa.list_(pa.int32()))
 
@@ -105,16 +142,25 @@ class ByteBpe:
     def fit(self, docs: DataFrame, n: int = FREQUENT) -> ByteBpe:
         counts = docs.select(F.explode(self.split(F.col("text"))).alias("piece")).groupBy("piece").count()
         top = counts.where((F.col("count") > 1) & (F.octet_length("piece") <= PIECE_BYTES)).orderBy(F.desc("count"), "piece").limit(n).select("piece")
-        folded = top.repartition("piece").select("piece", self.ranks.alias("_ranks")).select("piece", _let(F.col("_ranks"), lambda ranks: fold_merges(latin(F.col("piece")), ranks)).alias("ids")).collect()
+        folded = top.repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).collect()
         self.known = bucketed(self.spark, [(r.piece, r.ids) for r in folded], pa.list_(pa.int32()))
         return self
 
+    def _tables(self) -> list[Column]:
+        return [getattr(self, c).alias(f"_{c}") for c in ("known", "ranks", "slots", "byte_ids")]
+
+    def _with_tables(self, body) -> Column:
+        return _let(F.struct("_known", "_ranks", "_slots", "_byte_ids"), body)
+
+    @staticmethod
+    def _fold(piece: Column, m: Column) -> Column:
+        return _let(latin(piece), lambda x: fold_merges(x, find(m["_ranks"], x), m["_slots"], m["_byte_ids"]))
+
     def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """`docs` with the ids of column `text` in place of it, as column `ids`."""
         rest = [c for c in docs.columns if c != text]
-        coded = _let(F.struct("_known", "_ranks"), lambda m: F.flatten(
-            F.transform(self.split(F.col(text)), lambda p: F.coalesce(find(m["_known"], p), fold_merges(latin(p), m["_ranks"])))))
-        return docs.select(*rest, text, self.known.alias("_known"), self.ranks.alias("_ranks")).select(*rest, coded.alias(ids))
+        coded = self._with_tables(lambda m: F.flatten(F.transform(self.split(F.col(text)), lambda p: F.coalesce(find(m["_known"], p), self._fold(p, m)))))
+        return docs.select(*rest, text, *self._tables()).select(*rest, coded.alias(ids))
 
     def decode(self, docs: DataFrame, ids: str, out: str) -> DataFrame:
         """Adds the bytes of the ids' pieces, one after another, as column `out`."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from trailframe.llm import byte_bpe, chat_format, quality_rules, token_counts
+from trailframe.llm import byte_bpe, chat_format, html_extract, language_id, quality_rules, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_quality_forest": quality_rules.op3_quality_forest,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_language_id": language_id.op5_language_id,
     "op6_chat_format": chat_format.op6_chat_format,
 }
 
