@@ -8,9 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailframe.operators.components import checkpointed
+
 #: Parameter: rows up to which a table is taken to be small enough for a broadcast.
 BROADCAST_ROWS = 200_000
 
+#: A table computed once and kept in the shared folder, so that lost executors lose nothing of it.
+stored = checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

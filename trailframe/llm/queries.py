@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailframe.llm import byte_bpe, chat_format, html_extract, language_id, quality_rules, token_counts
+from trailframe.llm import byte_bpe, chat_format, decontamination, html_extract, language_id, ngram_join, phrase_dedup, quality_rules, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -11,6 +11,14 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_language_id": language_id.op5_language_id,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_phrase_dedup": phrase_dedup.op7_phrase_dedup,
+    "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLE_SQL = {"op6_chat_format": chat_format.OP6_SQL}
+ORACLE_SQL = {
+    "op6_chat_format": chat_format.OP6_SQL,
+    "op7_phrase_dedup": phrase_dedup.OP7_SQL,
+    "op8_ngram_jaccard": ngram_join.OP8_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
+}
