@@ -32,9 +32,9 @@ def words_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that is never null: two columns that tell rows of different id or text apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
+    """`docs` and a key (_k, _h) that is never null: two columns that tell rows of different id or text apart."""
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    return rows.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63))), "_h": F.xxhash64("text")})
 
 
 def phrases(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -46,8 +46,8 @@ def phrases(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index (term, k, h, pos) of the given terms over keyed documents; positions count from 0."""
-    return docs.select("k", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(small(terms), "term", "left_semi")
+    """The index (term, _k, _h, pos) of the given terms over keyed documents; positions count from 0."""
+    return docs.select("_k", "_h", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(small(terms), "term", "left_semi")
 
 
 def with_rarest(found: DataFrame, counts: DataFrame) -> DataFrame:
@@ -59,24 +59,25 @@ def with_rarest(found: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def alignments(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Starts (k, h, phrase, len, items, start) at which the two rarest terms stand as in the phrase."""
-    first = index.join(small(ranked), F.col("term") == F.col("t1")).select("k", "h", (F.col("pos") - F.col("o1")).alias("start"), "phrase", "len", "items", "t2", (F.col("pos") - F.col("o1") + F.col("o2")).alias("at2")).where("start >= 0")
-    second = index.select(F.col("k").alias("k2"), F.col("h").alias("h2"), F.col("term").alias("t2x"), F.col("pos").alias("pos2"))
-    both = first.where("t2 IS NOT NULL").join(second, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")) & (F.col("t2") == F.col("t2x")) & (F.col("at2") == F.col("pos2")), "left_semi")
-    columns = ["k", "h", "phrase", "len", "items", "start"]
+    """Starts (_k, _h, phrase, len, items, start) at which the two rarest terms stand as in the phrase."""
+    first = index.join(small(ranked), F.col("term") == F.col("t1")).select("_k", "_h", (F.col("pos") - F.col("o1")).alias("start"), "phrase", "len", "items", "t2", (F.col("pos") - F.col("o1") + F.col("o2")).alias("at2")).where("start >= 0")
+    second = index.select(F.col("_k").alias("k2"), F.col("_h").alias("h2"), F.col("term").alias("t2x"), F.col("pos").alias("pos2"))
+    both = first.where("t2 IS NOT NULL").join(second, (F.col("_k") == F.col("k2")) & (F.col("_h") == F.col("h2")) & (F.col("t2") == F.col("t2x")) & (F.col("at2") == F.col("pos2")), "left_semi")
+    columns = ["_k", "_h", "phrase", "len", "items", "start"]
     return both.select(*columns).unionByName(first.where("t2 IS NULL").select(*columns))
 
 
 def exact_matches(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Keyed documents with the array `matches` (start, len, items) of the phrases that they hold exactly."""
-    listed = found.groupBy("k", "h").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("found"))
-    rows = docs.join(listed, ["k", "h"], "left").withColumn("w", words_of(F.col("text")))
-    true = F.filter("found", lambda c: F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " ") == c["phrase"])
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(F.coalesce(true, F.array().cast("array<struct<start:int,len:int,phrase:string,items:array<string>>>")), lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items"))).alias("matches"))
+    listed = found.groupBy("_k", "_h").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("found"))
+    rows = docs.join(listed, ["_k", "_h"], "left").withColumn("_w", words_of(F.col("text")))
+    true = F.filter("found", lambda c: F.array_join(F.slice(F.col("_w"), c["start"] + 1, c["len"]), " ") == c["phrase"])
+    matches = F.transform(F.coalesce(true, F.array().cast("array<struct<start:int,len:int,phrase:string,items:array<string>>>")), lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items")))
+    return rows.select(*(c for c in docs.columns if c not in ("_k", "_h")), F.size("_w").cast("long").alias("n_words"), matches.alias("matches"))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words and exact matches of every row of `docs`."""
+    """`docs` with n_words and the exact matches of every row."""
     rows = keyed(docs)
     found = stored(phrases(benchmark, size))
     vocabulary = stored(found.select(F.explode("terms").alias("term")).distinct())
@@ -92,20 +93,33 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, span: int) -> DataFrame
 
     Positions are joined by stretches of `span` words, so that no list is paired with all of another."""
     index = postings(rows := keyed(docs), pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()).withColumn("cell", F.floor(F.col("pos") / span))
-    left = index.join(small(pairs), F.col("term") == F.col("a")).select("k", "h", "a", "b", F.col("pos").alias("pos_a"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    near = left.join(index.withColumnRenamed("term", "b"), ["k", "h", "b", "cell"]).where((F.abs(F.col("pos") - F.col("pos_a")) <= span) & (F.col("pos") != F.col("pos_a")))
-    return near.join(rows.select("k", "h", "doc_id"), ["k", "h"]).select("doc_id", "a", "b", "pos_a", F.col("pos").alias("pos_b"))
+    left = index.join(small(pairs), F.col("term") == F.col("a")).select("_k", "_h", "a", "b", F.col("pos").alias("pos_a"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    near = left.join(index.withColumnRenamed("term", "b"), ["_k", "_h", "b", "cell"]).where((F.abs(F.col("pos") - F.col("pos_a")) <= span) & (F.col("pos") != F.col("pos_a")))
+    return near.join(rows.select("_k", "_h", "doc_id"), ["_k", "_h"]).select("doc_id", "a", "b", "pos_a", F.col("pos").alias("pos_b"))
+
+
+def hit_words(matches: Column) -> Column:
+    """Words inside any of the matches."""
+    end = lambda m: m["start"] + m["len"]
+    ordered = F.array_sort(F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len"))))
+    step = lambda acc, m: F.struct(F.greatest(acc["end"], end(m)).alias("end"), (acc["hit"] + F.greatest(F.lit(0), end(m) - F.greatest(acc["end"], m["start"]))).alias("hit"))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")), step, lambda acc: acc["hit"].cast("long"))
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (HIT_SHARE * n_hit >= n_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of `docs`."""
-    end = lambda m: m["start"] + m["len"]
-    hit = F.aggregate(
-        F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len")))), F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
-        lambda acc, m: F.struct(F.greatest(acc["end"], end(m)).alias("end"), (acc["hit"] + F.greatest(F.lit(0), end(m) - F.greatest(acc["end"], m["start"]))).alias("hit")), lambda acc: acc["hit"].cast("long"))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"]))))
-    out = search(docs, benchmark).select("doc_id", "n_words", hit.alias("n_hit"), items.alias("found"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = search(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", hit_words(F.col("matches")).alias("n_hit"), items.alias("found"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not contaminated."""
+    return search(docs, benchmark).where(~is_contaminated(hit_words(F.col("matches")), F.col("n_words"))).select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

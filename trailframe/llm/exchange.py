@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm.common import binary_list, map_texts
@@ -43,7 +43,7 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
             out = (out * _MIX) ^ h[i : len(h) - size + 1 + i]
             out ^= out >> np.uint64(29)
         if size > 8:  # a polynomial in an odd number, over sums of all words before
-            powers = np.cumprod(np.full(len(h) + 1, _MIX, np.uint64)) 
+            powers = np.cumprod(np.full(len(h) + 1, _MIX, np.uint64))
             inverse = np.cumprod(np.full(len(h) + 1, pow(int(_MIX), -1, 2**64), np.uint64))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)], dtype=np.uint64)])
             out = (sums[size:] - sums[:-size]) * inverse[: len(out)]
@@ -63,16 +63,21 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Rows (block, doc_id, body: the text's bytes compressed, null if it is), and the number of blocks."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Rows (block, doc_id, body: the text's bytes compressed, null if it is; columns to carry), and the number of blocks."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     n = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        return lambda batch: {"block": batch.column("block"), "doc_id": batch.column("doc_id"), "body": [None if t is None else squeeze(t) for t in binary_list(batch.column("text"))]}
+        return lambda batch: {"body": [None if t is None else squeeze(t) for t in binary_list(batch.column("text"))]} | {c: batch.column(c) for c in ("block", "doc_id", *carry)}
 
-    return map_texts(rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), make, "block int, doc_id long, body binary"), n
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return map_texts(rows.select(block_of(F.col("doc_id"), n).alias("block"), "doc_id", "text", *carry), make, f"block int, doc_id long, body binary{kinds}"), n
+
+
+def block_of(doc_id: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 
 
 def bodies(column: pa.ChunkedArray) -> list[bytes | None]:
@@ -81,7 +86,7 @@ def bodies(column: pa.ChunkedArray) -> list[bytes | None]:
 
 
 def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None]], list[np.ndarray]], use: Callable, schema: str) -> DataFrame:
-    """For every block, `use(doc_ids, texts, keys, counts)` as a pa.Table of `schema`.
+    """For every block, `use(rows, texts, keys, counts)` as a pa.Table of `schema`; `rows` is the block's table.
 
     `keys_of(texts)` gives an array of keys for each text; `counts` are arrays alike, how often each key occurs in
     all blocks, up to 255."""
@@ -113,7 +118,7 @@ def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None
         counts = np.frombuffer(b"".join(replies[i] for i in order), np.uint8)
         _, where = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_inverse=True)
         cuts = np.cumsum([len(k) for k in each])[:-1]
-        return use(docs.column("doc_id").to_pylist(), texts, each, np.split(counts[where], cuts) if each else [])
+        return use(docs, texts, each, np.split(counts[where], cuts) if each else [])
 
     sent = blocks.groupBy("block").applyInArrow(send, "shard int, block int, keys binary, counts binary")
     answers = sent.groupBy("shard").applyInArrow(add, "shard int, block int, counts binary")

@@ -60,7 +60,7 @@ def shingled(docs: DataFrame) -> DataFrame:
         cache: dict[bytes, int] = {}
         return [shingle_set(t, cache) for t in texts]
 
-    def use(doc_ids, texts, keys, counts) -> pa.Table:
+    def use(rows, texts, keys, counts) -> pa.Table:
         digests, prefixes, tokens = [], [], []
         for k, c in zip(keys, counts):
             digests.append(xxhash.xxh3_128_digest(k.tobytes()) if len(k) else None)
@@ -72,7 +72,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 tokens.append(sorted_keys)
             else:
                 prefixes.append(None), tokens.append(None)
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_shingles": pa.array([len(k) for k in keys], pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array([len(k) for k in keys], pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
     return counted(blocks, n, keys_of, use, "doc_id long, n_shingles long, digest binary, prefix array<long>, tokens array<long>")
 
@@ -211,6 +211,15 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, of the smallest doc_id of each component.
+
+    A document is what shares a doc_id: its repeated rows stay together. Rows without an id stay if no row with an id is linked to them."""
+    found = similarity_classes(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 

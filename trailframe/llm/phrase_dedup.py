@@ -52,24 +52,36 @@ def locate(texts: list[list[int]], recurring: set[tuple[int, ...]]) -> list[np.n
     return masks
 
 
-def mark_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, text, n_words, n_removed, kept_text) of all documents."""
-    blocks, n = in_blocks(docs)
+def mark_repeats(docs: DataFrame, size: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept_text) of all documents, with the columns to carry."""
+    blocks, n = in_blocks(docs, carry=carry)
 
     def keys_of(texts: list[bytes | None]) -> list[np.ndarray]:
         cache: dict[bytes, int] = {}
         return [window_hashes(word_hashes(words_of(t), cache), size) for t in texts]
 
-    def use(doc_ids, texts, keys, counts) -> pa.Table:
+    def use(rows, texts, keys, counts) -> pa.Table:
         numbers: dict[bytes, int] = {}
         words = [words_of(t) for t in texts]
         coded = [[numbers.setdefault(w, len(numbers)) for w in ws] for ws in words]
         found = {tuple(c[a:b]) for c, k in zip(coded, counts) for a, b in passages(k >= 2, size)}
         masks = locate(coded, found)
         kept = [b" ".join(ws if not m.any() else [w for w, gone in zip(ws, m) if not gone]).decode() for ws, m in zip(words, masks)]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string())} | {c: rows.column(c) for c in carry})
 
-    return counted(blocks, n, keys_of, use, "doc_id long, n_words long, n_removed long, kept_text string")
+    kinds = "".join(f", `{c}` {blocks.schema[c].dataType.simpleString()}" for c in carry)
+    return counted(blocks, n, keys_of, use, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}")
+
+
+def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """`docs` with the covered words gone; texts that lose nothing stay as they are, n_chars (if there) is counted anew."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = mark_repeats(docs.withColumn("_text", F.col("text")), size, (*rest, "_text"))
+    text = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(F.col("kept_text"))
+    out = rows.withColumn("text", text)
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
