@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailframe.llm import byte_bpe, chat_format, decontamination, html_extract, language_id, ngram_join, phrase_dedup, quality_rules, token_counts
+from trailframe.llm import byte_bpe, chat_format, decontamination, html_extract, kneser_ney, language_id, ngram_join, phrase_dedup, quality_rules, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_phrase_dedup": phrase_dedup.op7_phrase_dedup,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
+    "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
