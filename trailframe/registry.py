@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from trailframe.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "RSP1_shortest_paths"
