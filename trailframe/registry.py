@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from trailframe.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
+from trailframe.plans import queries, rules_queries
+
+QUERIES = queries.QUERIES | rules_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | rules_queries.ORACLE_SQL
 
 FLAGSHIP = "RSP1_shortest_paths"
