@@ -13,6 +13,7 @@ Edge cases: texts that are null or have no letter get `und` with score 0; a null
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from trailframe.llm.common import binary_list, map_texts, table
 
 #: Parameters: languages at most (the most frequent), sampled documents of each and distinct words in all at most,
-#: bytes of a segment, units of each direction, steps and segments of a step of the training, words in a worker's cache.
-LANGUAGES, DOCS_EACH, WORDS, SEGMENT, UNITS, STEPS, BATCH, CACHED = 64, 250, 100_000, 32, 16, 500, 512, 200_000
+#: bytes of a segment, units of each direction, steps and segments of a step of the training, words in a worker's cache,
+#: bytes of texts whose new words are judged together.
+LANGUAGES, DOCS_EACH, WORDS, SEGMENT, UNITS, STEPS, BATCH, CACHED, GROUP_BYTES = 64, 250, 100_000, 32, 16, 500, 512, 200_000, 2_000_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -154,44 +156,47 @@ def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:
 
         def learn(words: list[bytes]) -> None:
             nonlocal sums
-            if len(known) > CACHED:
+            if len(known) + len(words) > CACHED:
                 known.clear()
                 sums = sums[:0]
             base = len(sums)
             sums = np.concatenate([sums, np.zeros((len(words), sums.shape[1]), np.float32)])
             by_length: dict[int, tuple[list, list]] = {}
-            for i, word in enumerate(words):
-                known[word] = base + i
+            for i, word in enumerate(words, base):
+                known[word] = i
                 for s in segments(word):
                     group = by_length.setdefault(len(s), ([], []))
-                    group[0].append(s), group[1].append(base + i)
+                    group[0].append(s), group[1].append(i)
             for t, (segs, at) in by_length.items():
                 for i in range(0, len(segs), 4096):
                     x = np.frombuffer(b"".join(segs[i : i + 4096]), np.uint8).reshape(-1, t)
                     np.add.at(sums, at[i : i + 4096], net.probabilities(x).sum(axis=0))
 
-        def each(batch: pa.RecordBatch) -> dict:
-            lang, score = [], []
-            for text in binary_list(batch.column("text")):
-                if net is None or not text or not _LETTER.search(text.decode()):
-                    lang.append("und"), score.append(0.0)
+        def judge(texts: list[bytes]) -> Iterator[tuple[str, float]]:
+            """Of some texts at once, so that the network runs over many new words of one length together."""
+            words = [t.split() if net and _LETTER.search(t.decode()) else [] for t in texts]
+            distinct = set().union(*words)
+            missing = distinct.difference(known)
+            if missing:
+                learn(list(missing if len(known) + len(missing) <= CACHED else distinct))
+            for each in words:
+                if not each:
+                    yield "und", 0.0
                     continue
-                words = text.split()
-                missing = [w for w in set(words) if w not in known]
-                if missing and len(known) + len(missing) > CACHED and known:
-                    known.clear()
-                    sums_reset()
-                    missing = list(set(words))
-                if missing:
-                    learn(missing)
-                p = sums[[known[w] for w in words]].sum(axis=0, dtype=np.float64)
+                p = sums[[known[w] for w in each]].sum(axis=0, dtype=np.float64)
                 p /= p.sum()
-                lang.append(net.languages[int(p.argmax())]), score.append(float(p.max()))
-            return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score}
+                yield net.languages[int(p.argmax())], float(p.max())
 
-        def sums_reset() -> None:
-            nonlocal sums
-            sums = sums[:0]
+        def each(batch: pa.RecordBatch) -> dict:
+            out, group, size = [], [], 0
+            for text in binary_list(batch.column("text")):
+                group.append(text or b"")
+                size += len(group[-1])
+                if size >= GROUP_BYTES:
+                    out += judge(group)
+                    group, size = [], 0
+            out += judge(group)
+            return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [x for x, _ in out], "score": [x for _, x in out]}
 
         return each
 
