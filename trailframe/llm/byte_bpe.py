@@ -24,7 +24,9 @@ from trailframe.llm.common import table
 
 #: Parameters: frequent pieces that are folded once (and bytes of each at most), buckets of the literal maps.
 FREQUENT, PIECE_BYTES, BUCKETS = 200_000, 64, 131_072
-_NO_RANK = 2**31 - 1
+#: Ids and ranks have 20 bits, the last of which means none; a free slot is larger than any entry.
+_NO_RANK = _PART = 2**20 - 1
+_FREE = 2**62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,19 +64,19 @@ def _let(value: Column, body) -> Column:
 
 
 def merge_table(ranks: dict[bytes, int]) -> list[int]:
-    """All pairs of ids whose pieces make a piece together, as a cuckoo hash table: pair << 20 | merged id, in one of two slots."""
-    entries = [(ranks[x] << 20 | ranks[y], i) for piece, i in ranks.items() for k in range(1, len(piece)) if (x := piece[:k]) in ranks and (y := piece[k:]) in ranks]
+    """All pairs of ids whose pieces make a piece together, as a cuckoo hash table: left << 40 | right << 20 | merged id, in one of two slots."""
+    entries = [ranks[x] << 40 | ranks[y] << 20 | i for piece, i in ranks.items() for k in range(1, len(piece)) if (x := piece[:k]) in ranks and (y := piece[k:]) in ranks]
     size = 1 << (4 * len(entries) + 1).bit_length()
     while True:
-        slots = [-1] * size
-        for pair, merged in entries:
-            item, at = pair << 20 | merged, -1
+        slots = [_FREE] * size
+        for item in entries:
+            at = -1
             for _ in range(500):
-                h = xxhash.xxh64_intdigest((item >> 20).to_bytes(8, "little"), seed=42)
+                h = xxhash.xxh64_intdigest((item & ~_PART).to_bytes(8, "little"), seed=42)
                 first, second = h & (size - 1), h >> 32 & (size - 1)
                 at = second if at == first else first
                 item, slots[at] = slots[at], item
-                if item < 0:
+                if item == _FREE:
                     break
             else:
                 break
@@ -83,44 +85,47 @@ def merge_table(ranks: dict[bytes, int]) -> list[int]:
         size *= 2
 
 
-def merged_id(slots: Column, pair: Column) -> Column:
-    """The id that a pair merges into, which is its rank too; _NO_RANK if none."""
-    mask = F.array_size(slots) - 1
-    probe = lambda h, body: _let(F.get(slots, h.bitwiseAND(mask.cast("long")).cast("int")), body)
-    value = lambda e: e.bitwiseAND(F.lit(2**20 - 1).cast("long")).cast("int")
-    hit = lambda e, p: F.shiftright(e, 20) == p
-    return _let(pair, lambda p: _let(F.xxhash64(p), lambda h: probe(h, lambda e: F.when(hit(e, p), value(e)).otherwise(
-        probe(F.shiftrightunsigned(h, 32), lambda e2: F.when(hit(e2, p), value(e2)).otherwise(_NO_RANK))))))
-
-
-def fold_merges(piece: Column, whole: Column, slots: Column, byte_ids: Column) -> Column:
-    """The ids of one piece, given with one character for each byte; `whole` is its id if it is a piece of the vocabulary."""
-    pair = lambda a, b: F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long"))
-    none = F.array().cast("array<int>")
-    size = F.char_length(piece)
-
-    def merged(acc: Column, low: Column, k: Column) -> Column:
-        """`acc` with its parts k and k + 1 (from 1) as the one part `low`, and the ranks beside it anew."""
-        parts, ranks = acc["parts"], acc["ranks"]
-        n = F.size(ranks)
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), k - 1), F.array(low), F.slice(parts, k + 2, n)).alias("parts"),
-            F.concat(
-                F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                F.when(k > 1, F.array(merged_id(slots, pair(F.get(parts, k - 2), low)))).otherwise(none),
-                F.when(k < n, F.array(merged_id(slots, pair(low, F.get(parts, k + 1))))).otherwise(none),
-                F.slice(ranks, k + 2, n)).alias("ranks"))
+def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
+    """For a byte and the one after it (256: none), at byte * 257 + next: rank of the pair << 43 | id of the byte."""
+    one = [bytes([b]) for b in range(256)]
+    return [(ranks.get(x + y, _NO_RANK) if y else _NO_RANK) << 43 | ranks[x] for x in one for y in [*one, b""]]
+
+
+def merged_id(slots: Column, mask: int, left: Column, right: Column) -> Column:
+    """The id that a pair merges into, which is its rank too; _NO_RANK if none. The exclusive or leaves the id alone where an entry is the pair's."""
+    slot = lambda h: F.get(slots, h.bitwiseAND(F.lit(mask).cast("long")).cast("int"))
+    return _let(F.shiftleft(left, 40).bitwiseOR(F.shiftleft(right, 20)), lambda p: F.least(
+        slot(F.xxhash64(p)).bitwiseXOR(p), slot(F.shiftrightunsigned(F.xxhash64(p), 32)).bitwiseXOR(p), F.lit(_NO_RANK).cast("long")))
+
+
+def fold_merges(piece: Column, slots: Column, mask: int, pairs: Column) -> Column:
+    """The ids of one piece, given with one character for each byte.
+
+    The fold's state is one array: for each part, rank of the pair that it begins << 43 | its first byte's place
+    << 20 | id. Its minimum is the leftmost pair of the lowest rank. An end mark on either side pairs with nothing."""
+    long = lambda x: F.lit(x).cast("long")
+    end = F.array(long(_NO_RANK << 43 | _PART))
+    part = lambda e: e.bitwiseAND(long(_PART))
+
+    def merged(acc: Column, e: Column, k: Column) -> Column:
+        """`acc` with its elements k and k + 1 (from 1) as one part, and the ranks beside it anew."""
+        before, after, low = F.get(acc, k - 2), F.get(acc, k + 1), F.shiftright(e, 43)
+        rank = lambda a, b: F.shiftleft(merged_id(slots, mask, a, b), 43)
+        return F.concat(
+            F.slice(acc, F.lit(1), k - 2),
+            F.array(
+                rank(part(before), low).bitwiseOR(before.bitwiseAND(long((1 << 43) - 1))),
+                rank(low, part(after)).bitwiseOR(e.bitwiseAND(long((1 << 43) - 1 - _PART))).bitwiseOR(low)),
+            F.slice(acc, k + 2, F.lit(2**30)))
 
     def step(acc: Column, _: Column) -> Column:
-        return _let(F.coalesce(F.array_min(acc["ranks"]), F.lit(_NO_RANK)), lambda low: F.when(low == _NO_RANK, acc).otherwise(
-            _let(F.array_position(acc["ranks"], low).cast("int"), lambda k: merged(acc, low, k))))
+        return _let(F.array_min(acc), lambda e: F.when(e >= long(_NO_RANK << 43), acc).otherwise(
+            _let(F.array_position(acc, e).cast("int"), lambda k: merged(acc, e, k))))
 
-    ids = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(byte_ids, F.ascii(F.substring(piece, i, F.lit(1)))))
-    folded = _let(ids, lambda parts: F.aggregate(
-        F.sequence(F.lit(1), size - 1),
-        F.struct(parts.alias("parts"), F.transform(F.sequence(F.lit(0), size - 2), lambda i: merged_id(slots, pair(F.get(parts, i), F.get(parts, i + 1)))).alias("ranks")),
-        step, lambda acc: acc["parts"]))
-    return F.when(whole.isNotNull(), F.array(whole)).when(size == 1, ids).otherwise(folded)
+    start = _let(F.transform(F.split(piece, ""), F.ascii), lambda codes: F.concat(end, F.transform(codes, lambda c, i: F.get(
+        pairs, c * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256))).bitwiseOR(F.shiftleft(i.cast("long"), 20))), end))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.char_length(piece) - 1, F.lit(1))), start, step, lambda acc: F.transform(
+        F.slice(acc, F.lit(2), F.size(acc) - 2), lambda e: part(e).cast("int")))
 
 
 class ByteBpe:
@@ -131,8 +136,11 @@ class ByteBpe:
         ranks = read_ranks(path)
         pieces = {i: b.decode("latin-1") for b, i in ranks.items()}
         self.ranks = bucketed(spark, [(s, i) for i, s in pieces.items()], pa.int32())
-        self.slots = literal(spark, merge_table(ranks), pa.list_(pa.int64()))
-        self.byte_ids = literal(spark, [ranks[bytes([b])] for b in range(256)], pa.list_(pa.int32()))
+        if max(pieces) >= _PART:
+            raise ValueError(f"ids up to {_PART - 1} only")
+        slots = merge_table(ranks)
+        self.slots, self.mask = literal(spark, slots, pa.list_(pa.int64())), len(slots) - 1
+        self.pairs = literal(spark, byte_pairs(ranks), pa.list_(pa.int64()))
         self.pieces = literal(spark, [pieces.get(i, "") for i in range(max(pieces) + 1)], pa.list_(pa.string()))
         self.known = bucketed(spark, [], pa.list_(pa.int32()))
 
@@ -147,14 +155,15 @@ class ByteBpe:
         return self
 
     def _tables(self) -> list[Column]:
-        return [getattr(self, c).alias(f"_{c}") for c in ("known", "ranks", "slots", "byte_ids")]
+        return [getattr(self, c).alias(f"_{c}") for c in ("known", "ranks", "slots", "pairs")]
 
     def _with_tables(self, body) -> Column:
-        return _let(F.struct("_known", "_ranks", "_slots", "_byte_ids"), body)
+        return _let(F.struct("_known", "_ranks", "_slots", "_pairs"), body)
 
-    @staticmethod
-    def _fold(piece: Column, m: Column) -> Column:
-        return _let(latin(piece), lambda x: fold_merges(x, find(m["_ranks"], x), m["_slots"], m["_byte_ids"]))
+    def _fold(self, piece: Column, m: Column) -> Column:
+        """The id of a piece of the vocabulary, or else the merges."""
+        whole = lambda x: _let(find(m["_ranks"], x), lambda i: F.when(i.isNotNull(), F.array(i)))
+        return _let(latin(piece), lambda x: F.coalesce(whole(x), fold_merges(x, m["_slots"], self.mask, m["_pairs"])))
 
     def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """`docs` with the ids of column `text` in place of it, as column `ids`."""
