@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,20 +35,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def literal(spark: SparkSession, value: list, kind: pa.DataType) -> Column:
-    """A large constant, once in a plan: a scalar subquery over a row of its own.
+def literal(spark: SparkSession, values: pa.Array) -> Column:
+    """A large constant array, once in a plan: a scalar subquery over a row of its own.
 
     The analyzer takes none inside a higher-order function, so it is selected as a column below, which the
     optimizer merges into the one place that uses it; no row ever holds it."""
-    return spark.createDataFrame(pa.table({"x": pa.array([value], kind)})).scalar()
+    return spark.createDataFrame(pa.table({"x": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)})).scalar()
 
 
-def bucketed(spark: SparkSession, entries: list[tuple[str, object]], kind: pa.DataType) -> Column:
+def bucketed(spark: SparkSession, keys: pa.Array, values: pa.Array) -> Column:
     """A map from strings, as a literal that finds a key in constant time: an array of maps, by the key's hash."""
-    buckets: list[list] = [[] for _ in range(BUCKETS)]
-    for k, v in entries:
-        buckets[xxhash.xxh64_intdigest(k.encode(), seed=42) % BUCKETS].append((k, v))
-    return literal(spark, buckets, pa.list_(pa.map_(pa.string(), kind)))
+    at = np.fromiter((xxhash.xxh64_intdigest(k.as_buffer(), seed=42) % BUCKETS for k in keys.cast(pa.binary())), np.int64, len(keys))
+    order = np.argsort(at, kind="stable")
+    offsets = np.searchsorted(at[order], np.arange(BUCKETS + 1))
+    return literal(spark, pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), keys.take(pa.array(order)), values.take(pa.array(order))))
 
 
 def find(buckets: Column, key: Column) -> Column:
@@ -135,14 +136,14 @@ class ByteBpe:
         self.spark, self.pattern = spark, f"(?U){pattern}"  # white space and classes as in Unicode
         ranks = read_ranks(path)
         pieces = {i: b.decode("latin-1") for b, i in ranks.items()}
-        self.ranks = bucketed(spark, [(s, i) for i, s in pieces.items()], pa.int32())
+        self.ranks = bucketed(spark, pa.array(list(pieces.values()), pa.string()), pa.array(list(pieces), pa.int32()))
         if max(pieces) >= _PART:
             raise ValueError(f"ids up to {_PART - 1} only")
         slots = merge_table(ranks)
-        self.slots, self.mask = literal(spark, slots, pa.list_(pa.int64())), len(slots) - 1
-        self.pairs = literal(spark, byte_pairs(ranks), pa.list_(pa.int64()))
-        self.pieces = literal(spark, [pieces.get(i, "") for i in range(max(pieces) + 1)], pa.list_(pa.string()))
-        self.known = bucketed(spark, [], pa.list_(pa.int32()))
+        self.slots, self.mask = literal(spark, pa.array(slots, pa.int64())), len(slots) - 1
+        self.pairs = literal(spark, pa.array(byte_pairs(ranks), pa.int64()))
+        self.pieces = literal(spark, pa.array([pieces.get(i, "") for i in range(max(pieces) + 1)], pa.string()))
+        self.known = bucketed(spark, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
 
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -150,8 +151,8 @@ class ByteBpe:
     def fit(self, docs: DataFrame, n: int = FREQUENT) -> ByteBpe:
         counts = docs.select(F.explode(self.split(F.col("text"))).alias("piece")).groupBy("piece").count()
         top = counts.where((F.col("count") > 1) & (F.octet_length("piece") <= PIECE_BYTES)).orderBy(F.desc("count"), "piece").limit(n).select("piece")
-        folded = top.repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).collect()
-        self.known = bucketed(self.spark, [(r.piece, r.ids) for r in folded], pa.list_(pa.int32()))
+        folded = top.repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
+        self.known = bucketed(self.spark, folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks())
         return self
 
     def _tables(self) -> list[Column]:
