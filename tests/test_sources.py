@@ -75,3 +75,11 @@ def test_stage_states(spark):
     rows = spark.createDataFrame([(k, *e) for k, es in events.items() for e in es], "stage long, seq long, kind string, start_point string, end_point string, route string")
     got = {x.stage: (x.status, x.start_point, x.end_point, x.route) for x in stages.stage_states(rows).collect()}
     assert got == {k: folded(es) for k, es in events.items() if any(e[1] in stages.KINDS for e in es)}
+
+
+def test_components_of_long_chains(spark):
+    from trailframe.operators.components import connected_components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(1000, 900), (None, 5), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(151)} | {900: 900, 1000: 900}

@@ -16,11 +16,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _roots(hook: DataFrame) -> DataFrame:
+    """`hook` (node, up) with every `up` at the end of its chain: each pass doubles the steps, so long chains take few."""
+    while True:
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumped = checkpointed(hook.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        hook = jumped.select("node", "up")
+        if jumped.where("moved").isEmpty():
+            return hook
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of `edges`; a component is named by its smallest node.
 
-    Each round hooks every node to its smallest neighbour and contracts the edges, so their number falls
-    quickly; the hooks are then followed back. Both are joins and partial aggregates: no component is gathered.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends and contracts the
+    edges, so that chains in order of the names vanish in one round; the hooks are then followed back. Both are joins and partial aggregates: no component is gathered.
     Null ends and self loops link nothing."""
     left = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     left = checkpointed(left)
@@ -29,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if left.isEmpty():
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+        hook = _roots(checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))))
         hooks.append(hook)
         ups = lambda end, to: hook.select(F.col("node").alias(end), F.col("up").alias(to))  # noqa: B023, E731
         moved = left.join(ups("a", "ua"), "a").join(ups("b", "ub"), "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
