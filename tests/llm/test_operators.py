@@ -87,6 +87,26 @@ def test_extraction():
     assert all(html_extract.verdict(tree, tuple(r)) == k for r, k in zip(x, y))
 
 
+def test_extraction_reads_a_block_s_own_words_and_links():
+    tree = html_extract.grow(*html_extract.labelled_table())
+
+    def used(t):
+        return set() if isinstance(t, int) else {html_extract.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    assert {"words", "links", "links_after", "furniture", "main"} <= used(tree)
+    long, links = " ".join(["word"] * 300), "<ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a></ul>"
+    text = lambda page: html_extract.main_text(page, tree)
+    assert text(f"<article><h1>Two words</h1><p>{long}</p></article><footer><a>Privacy</a> <a>Terms</a></footer>") == f"Two words\n{long}"
+    assert text(f"<div><h2>Places</h2><p>{long}</p>{links}</div>") == f"Places\n{long}"
+    assert text(f"<article><h2>Places</h2><p>{long}</p>{links}</article>") == f"Places\n{long}"
+    assert text(f"<div><a href=/>Home</a> <a href=/n>News</a></div><p>{long}</p>") == long
+    words, others, flags = (1, 8, 40, 300), (0, 1, 9, 60, 300), (0, 1)
+    for around in itertools.product(others, (0, 100), others, (0, 100)):
+        assert all(html_extract.verdict(tree, (w, 0, *around, 0, m, 0)) for w in (40, 300) for m in flags)
+        assert not any(html_extract.verdict(tree, (w, 100, *around, 0, 0, 0)) for w in words)
+        assert not any(html_extract.verdict(tree, (w, k, *around, 1, m, 0)) for w in words for k in (0, 100) for m in flags)
+
+
 def test_network_gradients_are_those_of_the_loss():
     net = language_id.BiGru(["a", "b"], units=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

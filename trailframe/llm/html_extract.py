@@ -94,6 +94,65 @@ LABELLED = """
 2 50 4 100 3 100 0 0 0 0
 5 0 4 0 3 100 0 0 0 0
 6 30 5 20 4 60 0 0 0 0
+300 0 2 0 1 100 0 1 0 1
+300 0 2 0 1 100 0 0 0 1
+150 0 0 0 6 100 0 0 0 1
+90 0 5 0 12 90 0 0 0 1
+60 0 3 0 3 100 0 0 0 1
+60 0 3 100 3 100 0 0 0 1
+60 3 3 0 2 100 0 1 0 1
+40 5 8 0 2 100 0 0 0 1
+35 0 6 0 5 100 0 1 0 1
+30 0 12 0 20 80 0 0 0 1
+25 0 4 0 4 100 0 0 0 1
+25 10 1 100 2 100 0 1 0 1
+25 0 1 100 4 100 0 0 0 1
+200 12 1 100 1 100 0 0 0 1
+45 20 6 80 9 80 0 0 0 1
+30 30 9 0 4 100 0 0 0 1
+100 35 60 0 3 100 0 0 0 1
+18 0 5 100 3 100 0 1 0 1
+12 0 3 0 6 100 0 1 0 1
+5 0 3 0 3 100 0 1 0 1
+4 0 3 100 5 100 0 1 0 1
+3 0 40 0 8 100 0 1 1 1
+2 0 0 0 2 100 0 1 1 1
+6 30 5 20 4 60 0 1 0 1
+12 0 70 0 6 100 0 0 0 1
+4 0 3 100 60 0 0 0 1 1
+4 0 60 0 3 100 0 0 0 1
+40 90 30 0 60 0 0 1 0 1
+3 100 50 0 70 0 0 1 0 1
+8 70 40 0 30 0 0 1 0 1
+2 100 0 0 60 0 0 0 0 0
+1 100 0 0 300 0 0 0 0 0
+6 100 2 0 80 0 0 0 0 0
+4 90 8 0 120 0 0 0 0 0
+3 100 80 0 40 0 0 0 0 0
+3 100 80 0 4 100 0 0 0 0
+9 80 4 0 60 0 0 0 0 0
+12 100 60 0 0 0 0 0 0 0
+30 95 5 0 90 0 0 0 0 0
+60 90 40 0 40 0 0 0 0 0
+40 80 200 0 1 100 0 0 0 0
+25 70 60 0 60 0 0 0 0 0
+15 60 100 0 100 0 0 0 0 0
+5 60 12 0 12 0 0 0 0 0
+5 100 30 0 30 0 0 0 1 0
+3 100 4 100 60 0 0 0 0 0
+3 100 4 100 5 100 0 1 0 0
+2 100 3 100 3 100 0 1 0 0
+6 100 6 100 5 100 0 1 0 0
+20 90 12 100 15 80 0 1 0 0
+2 0 2 100 2 100 0 0 0 0
+7 0 3 100 4 100 0 0 0 0
+8 20 6 100 3 100 0 0 0 0
+3 0 1 100 1 100 0 0 0 0
+2 0 0 0 3 100 0 0 0 0
+1 100 60 0 3 100 1 1 0 0
+4 100 80 0 40 0 1 1 0 0
+20 90 60 0 30 0 1 1 0 0
+5 100 40 0 0 0 1 1 0 0
 """
 
 
