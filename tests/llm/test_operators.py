@@ -107,6 +107,18 @@ def test_extraction_reads_a_block_s_own_words_and_links():
         assert not any(html_extract.verdict(tree, (w, k, *around, 1, m, 0)) for w in words for k in (0, 100) for m in flags)
 
 
+def test_extraction_is_not_gated_by_an_article():
+    tree = html_extract.grow(*html_extract.labelled_table())
+    text = lambda page: html_extract.main_text(page, tree)
+    first, second = " ".join(["first"] * 60), " ".join(["second"] * 40)
+    body = f"<div class=content><h1>Title of it</h1><p>{first}</p><p>{second}</p></div>"
+    want = f"Title of it\n{first}\n{second}"
+    assert text(f"{body}<aside><article><p>A teaser.</p></article></aside>") == want
+    assert text(f"{body}<div class=comments><article><p>I like this.</p></article></div>") == want
+    assert text(f"<article><p>{first}</p></article><div><p>{second}</p></div>") == f"{first}\n{second}"
+    assert [b[3:5] for b in html_extract.blocks("<aside><article><p>A teaser.</p></article></aside><main><p>Text.</p></main>")] == [(1, 0), (0, 1)]
+
+
 def test_network_gradients_are_those_of_the_loss():
     net = language_id.BiGru(["a", "b"], units=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -1,8 +1,8 @@
 """Main text of HTML pages from flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks. A block's features are its word count and link density, those of the
-blocks before and after it, and what its tags say: inside the page's main element, inside furniture (menus,
-headers, footers, forms, adverts, comments and the like), a heading. A decision tree, grown on the small
+blocks before and after it, and what its tags say: inside a main element that is not in furniture, inside furniture
+(menus, headers, footers, forms, adverts, comments and the like), a heading. A decision tree, grown on the small
 labelled table below, keeps or drops it.
 
 Edge cases: null and empty pages have an empty text; pages without tags are one block; unclosed and stray tags
@@ -270,7 +270,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 stack.pop()
             _, furniture, main = stack[-1] if stack else ("", False, False)
             if name in MAIN_TAGS:
-                main = True
+                main = main or not furniture  # a teaser or a comment may be an article, too
             elif name not in ("html", "body", "head"):
                 furniture = furniture or _named_furniture(m[3]) or name in FURNITURE_TAGS and not (name == "header" and main)
             if not m[3].endswith("/") or name not in VOID:
@@ -281,12 +281,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
 
 def main_text(page: str | None, tree: tuple | int) -> str:
     found = blocks(page) if page else []
-    some_main = any(b[4] for b in found)
     kept = []
     for i, (text, words, links, furniture, main, heading) in enumerate(found):
         before = found[i - 1][1:3] if i else (0, 0)
         after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0)
-        if (main or not some_main) and verdict(tree, (words, links, *before, *after, furniture, main, heading)):
+        if verdict(tree, (words, links, *before, *after, furniture, main, heading)):
             kept.append(text)
     return "\n".join(kept)
 
