@@ -137,6 +137,20 @@ def test_network_gradients_are_those_of_the_loss():
         assert math.isclose((up - down) / (2 * d), g[name][at], rel_tol=0.05, abs_tol=1e-4), name
 
 
+def test_every_language_keeps_training_words(spark, monkeypatch):
+    rows = [(i, f"l{i % 70:02}", f"word{i % 70} word{i % 70} other{i}") for i in range(420)]
+    words, languages = language_id.training_words(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert languages == sorted({lang for _, lang, _ in rows})
+    monkeypatch.setattr(language_id, "WORDS", 300)
+    sentence = lambda i: "".join(chr(0x4E00 + (97 * i + 31 * k) % 900) for k in range(80))
+    rows = [(i, f"l{i % 13:02}", " ".join(f"{i % 13}x{k}" for k in range(100))) for i in range(260)] + [(i, "zh", sentence(i)) for i in range(1000, 1010)]
+    words, languages = language_id.training_words(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert languages == sorted({lang for _, lang, _ in rows})
+    kept = {lang: sum(w[0] == lang for w in words) for lang in languages}
+    assert min(kept.values()) >= 8 and len(words) <= 400 and kept["zh"] > 8
+    assert max(len(w.decode()) for _, w, _ in words) <= language_id.SEGMENT
+
+
 def test_language_held_out(spark):
     lang = dict(zip(*(pq.read_table(f"{SF}/documents.parquet")[c].to_pylist() for c in ("doc_id", "lang"))))
     out = QUERIES["op5_language_id"](spark, SF).collect()

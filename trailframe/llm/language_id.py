@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import binary_list, map_texts, table
+from trailframe.llm.common import binary_list, map_texts, stored, table
 
-#: Parameters: languages at most (the most frequent), sampled documents of each and distinct words in all at most,
-#: bytes of a segment, units of each direction, steps and segments of a step of the training, words in a worker's cache,
+#: Parameters: sampled documents of each language and distinct words in all, about, bytes of a segment, units of each direction, steps and segments of a step of the training, words in a worker's cache,
 #: bytes of texts whose new words are judged together.
-LANGUAGES, DOCS_EACH, WORDS, SEGMENT, UNITS, STEPS, BATCH, CACHED, GROUP_BYTES = 64, 250, 100_000, 32, 16, 500, 512, 200_000, 2_000_000
+DOCS_EACH, WORDS, SEGMENT, UNITS, STEPS, BATCH, CACHED, GROUP_BYTES = 250, 100_000, 32, 16, 500, 512, 200_000, 2_000_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -105,10 +104,13 @@ def segments(word: bytes) -> list[bytes]:
 def train(words: list[tuple[str, bytes, int]], languages: list[str], steps: int = STEPS, batch: int = BATCH, seed: int = 5) -> BiGru:
     """From (language, word, count); batches hold segments of one length, drawn by their bytes and counts."""
     rng, net = np.random.default_rng(seed), BiGru(languages)
-    each = [sum(n for l, _, n in words if l == lang) or 1 for lang in languages]
+    index = {lang: k for k, lang in enumerate(languages)}
+    each = [0] * len(languages)
+    for lang, _, n in words:
+        each[index[lang]] += n
     by_length: dict[int, tuple[list, list, list]] = {}
     for lang, word, n in words:
-        k = languages.index(lang)
+        k = index[lang]
         for s in segments(word):
             group = by_length.setdefault(len(s), ([], [], []))
             group[0].append(s), group[1].append(k), group[2].append(n / each[k])  # all languages weigh the same
@@ -132,15 +134,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_words(docs: DataFrame) -> tuple[list[tuple[str, bytes, int]], list[str]]:
-    """Words of a sample, by hash of doc_id, of about DOCS_EACH documents of each language."""
+    """Words of a sample, by hash of doc_id, of about DOCS_EACH documents of each language; the most frequent ones of
+    each, about WORDS in all. A language takes an equal share of what those with fewer words leave,
+    and 20 words at least, so that none falls out."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), DOCS_EACH / F.count("*")).alias("share"))
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < F.col("share") * 2**20)
+    # Text without spaces is cut into pieces, which the segments are cut from
+    pieces = F.regexp_extract_all("text", F.lit(rf"[^\x20\x09-\x0D]{{1,{SEGMENT}}}"), F.lit(0))
+    words = stored(sample.select("lang", F.explode(pieces).alias("word")).groupBy("lang", "word").count())
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in words.groupBy("lang", "count").agg(F.count("*").alias("words")).collect():
+        sizes.setdefault(r["lang"], []).append((r["count"], r["words"]))
+    cuts, left = [], WORDS
+    for k, (lang, each) in enumerate(sorted(sizes.items(), key=lambda x: (sum(n for _, n in x[1]), x[0]))):
+        room = quota = min(sum(n for _, n in each), max(20, left // (len(sizes) - k)))
+        left -= quota
+        for count, n in sorted(each, reverse=True):  # all words of the higher counts, a share of those of the last
+            if n >= room:
+                cuts.append((lang, count, room / n))
+                break
+            room -= n
+    if not cuts:
         return [], []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, DOCS_EACH / r["count"]))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < share[F.col("lang")] * 2**20)
-    words = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    rows = words.orderBy(F.desc("count"), F.xxhash64("word", "lang")).limit(WORDS).collect()
+    kept = words.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, least long, part double")), "lang")
+    at = F.pmod(F.xxhash64("word", "lang"), F.lit(2**20))
+    rows = kept.where((F.col("count") > F.col("least")) | (F.col("count") == F.col("least")) & (at < F.col("part") * 2**20)).select("lang", "word", "count").collect()
     rows.sort(key=lambda r: (r["lang"], r["word"]))
     return [(r["lang"], r["word"].encode(), r["count"]) for r in rows], sorted({r["lang"] for r in rows})
 
