@@ -255,6 +255,25 @@ def test_kneser_ney_is_the_formula(spark):
         assert math.isclose(got[doc_id], math.exp(-sum(logs) / len(logs)), rel_tol=1e-4)
 
 
+def test_fences_are_quantiles_of_each_language(spark):
+    draw = random.Random(4)
+    text = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    rows, judged = [], []
+    for k, (lang, letters) in enumerate((("aa", "abcde "), ("bb", "abcdefghijklmnopqrstuvwxyz "), (None, "xyz "), ("few", "pq "))):
+        for i in range(3 if lang == "few" else 40):
+            rows.append((1000 * k + i, text(letters, 30 + 20 * i), lang)), judged.append((1000 * k + i, 1, 0))
+        for i in range(500, 506):
+            rows.append((1000 * k + i, text("#$%&/()=?!0123456789", 200), lang)), judged.append((1000 * k + i, 0, 0))
+    out = kneser_ney.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels(spark, judged)).collect()
+    assert len(out) == len(rows)
+    for lang in ("aa", "bb", None, "few"):
+        trusted = [r for r in out if r.trusted and (lang == "few" or r.lang == lang)]
+        fence = {r.fence for r in out if r.lang == lang}
+        assert len(fence) == 1 and fence <= {r.perplexity for r in trusted}
+        assert sum(r.kept for r in trusted) >= 0.9 * len(trusted) - 1
+    assert not any(r.kept for r in out if r.doc_id % 1000 >= 500)
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     import corpus_pipeline
 

@@ -4,11 +4,12 @@ The model counts the byte n-grams of all trusted documents (labelled quality 1 a
 orders are continuation counts; three discounts for each order come from the counts of counts. Documents are
 dealt into blocks; each block sends its distinct n-grams, which are joined with the sharded counts, and reads the
 probabilities back to give every document the perplexity of its whole text. A document goes if its perplexity is
-beyond the upper fence of trusted documents of its language: the third quartile and FENCE interquartile ranges.
+beyond the fence of its language, a quantile of the perplexities of its trusted documents. The level of the quantile
+is one for all languages; of LEVELS, that which best parts labelled bad documents from trusted ones.
 
 Edge cases: null and empty texts have no perplexity and are not kept; a null lang is a language of its own; a
-language with fewer than `LEAST` trusted documents takes the fence of all languages; without trusted text the
-model is uniform and all texts stay; a null doc_id stays null and is not trusted; repeated rows are scored each;
+language with fewer than `LEAST` trusted documents takes the fence of all languages; without labelled bad text the
+level is LEVEL; without trusted text the model is uniform and all texts stay; a null doc_id stays null and is not trusted; repeated rows are scored each;
 labels are taken together by doc_id (any row that is bad or toxic unmakes trust); other columns are ignored.
 """
 
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import stored, table
+from trailframe.llm.common import small, stored, table
 from trailframe.llm.exchange import block_of, bodies, in_blocks
 
-#: Parameters: bytes of an n-gram (at most 7), bytes of text in a block, interquartile ranges of the fence, trusted documents that a language needs.
-ORDER, BLOCK_BYTES, FENCE, LEAST = 4, 16_000_000, 5.0, 30
+#: Parameters: bytes of an n-gram (at most 7), bytes of text in a block, trusted documents that a language needs.
+ORDER, BLOCK_BYTES, LEAST = 4, 16_000_000, 30
+#: Levels of the fence's quantile to choose from, and the one that is taken without bad documents.
+LEVELS, LEVEL = (0.9, 0.95, 0.98, 0.99, 0.995, 0.999), 0.99
 
 
 def grams(text: bytes, order: int = ORDER) -> np.ndarray:
@@ -94,6 +97,17 @@ def resolve(wanted: DataFrame, orders: list[tuple[DataFrame, DataFrame]]) -> Dat
     return rows.select("gram", F.log("p").alias("logp"))
 
 
+def calibrate(fenced: DataFrame, labels: DataFrame) -> int:
+    """The place in LEVELS that best parts documents labelled bad from trusted ones; ties go to the higher level."""
+    bad = labels.where("doc_id IS NOT NULL AND quality = 0").select(F.col("doc_id").cast("long").alias("_bad")).distinct()
+    judged = fenced.where("perplexity IS NOT NULL").join(small(bad), F.col("doc_id") == F.col("_bad"), "left").where("trusted OR _bad IS NOT NULL")
+    beyond = [F.count_if(F.col(c) & (F.col("perplexity") > F.col("fences")[i])).alias(f"{c}{i}") for c in ("trusted", "bad") for i in range(len(LEVELS))]
+    n = judged.withColumn("bad", F.col("_bad").isNotNull()).agg(F.count_if("trusted").alias("trusted"), F.count_if("bad").alias("bad"), *beyond).first()
+    if not n["bad"] or not n["trusted"]:
+        return LEVELS.index(LEVEL)
+    return max(range(len(LEVELS)), key=lambda i: (n[f"bad{i}"] / n["bad"] - n[f"trusted{i}"] / n["trusted"], i))
+
+
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, trusted, n_bytes, perplexity, fence and kept of every row."""
     blocks, n = in_blocks(docs, BLOCK_BYTES, carry=("lang",))
@@ -118,13 +132,12 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
 
     scored = stored(blocks.groupBy("block").cogroup(answers.unionByName(trust).groupBy("block")).applyInArrow(run, "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double"))
     good = scored.where("trusted AND perplexity IS NOT NULL")
-    fence = lambda: (F.percentile_approx("perplexity", 0.75) * (1 + FENCE) - F.percentile_approx("perplexity", 0.25) * FENCE).alias("fence")
-    by_lang = {r["lang"]: r["fence"] for r in good.groupBy("lang").agg(fence(), F.count("*").alias("k")).where(F.col("k") >= LEAST).orderBy(F.desc("k"), "lang").limit(256).collect()}
-    over_all = good.agg(fence()).first()["fence"]
-    own = F.when(F.lit(False), F.lit(None).cast("double"))
-    for lang, value in by_lang.items():
-        own = own.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value))
-    return scored.withColumn("fence", own.otherwise(F.lit(over_all).cast("double"))).withColumn("kept", F.col("perplexity").isNotNull() & (F.col("fence").isNull() | (F.col("perplexity") <= F.col("fence"))))
+    quantiles = F.percentile_approx("perplexity", list(LEVELS)).alias("fences")
+    own = stored(good.groupBy(F.col("lang").alias("_lang")).agg(quantiles, F.count("*").alias("k")).where(F.col("k") >= LEAST).select("_lang", "fences"))
+    over_all = F.lit(good.agg(quantiles).first()["fences"]).cast("array<double>")
+    fenced = scored.join(small(own), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("fences", F.coalesce("fences", over_all)).drop("_lang")
+    fence = F.col("fences")[calibrate(fenced, labels)]
+    return fenced.withColumn("fence", fence).drop("fences").withColumn("kept", F.col("perplexity").isNotNull() & (F.col("fence").isNull() | (F.col("perplexity") <= F.col("fence"))))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
