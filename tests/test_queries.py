@@ -51,3 +51,24 @@ def test_paths_reach_all_nodes(spark):
                     heapq.heappush(heap, (c + d, u))
     got = {(r.query, r.node): r.cost for r in QUERIES["RSP1_shortest_paths"](spark, SF).collect()}
     assert got == want
+
+
+def test_whole_network_queries_see_all_edges(spark):
+    from trailframe.sources.network import edges
+
+    all_edges = edges(spark, SF).select("edge_id", "seq", "a", "b").collect()
+    up = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for r in all_edges:
+        if r.a != r.b:
+            x, y = sorted((top(r.a), top(r.b)))
+            up[y] = x
+    assert {(r.node, r.component) for r in QUERIES["RCC_components_whole"](spark, SF).collect()} == {(v, top(v)) for v in up}
+    assert QUERIES["J14_compact_whole"](spark, SF).count() == len(all_edges)
+    base = {r.base_key for r in QUERIES["J01_near_duplicates_whole"](spark, SF).select("base_key").collect()}
+    assert {k % 10 for k in base} - {0} and base <= {r.seq for r in all_edges}

@@ -67,8 +67,11 @@ def a04_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a08_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dead ends within 2 per cent of the box's sides, over the sparse network."""
-    e = edges(spark, sf_dir).where("seq % 11 = 0")  # the sparse network of the component queries
-    at = graph.degrees(e).join(nodes(spark, sf_dir), "node_id")
+    return boundary(edges(spark, sf_dir).where("seq % 11 = 0"), nodes(spark, sf_dir))  # the sparse network of the component queries
+
+
+def boundary(e: DataFrame, n: DataFrame) -> DataFrame:
+    at = graph.degrees(e).join(n, "node_id")
     box = at.agg(F.struct(*(f(c).alias(f"{n}_{c}") for c in ("lon_e5", "lat_e5") for n, f in (("lo", F.min), ("hi", F.max)))).alias("box"))  # one row
     near = lambda c: (F.col(c) - F.col(f"box.lo_{c}")) * 50 <= F.col(f"box.hi_{c}") - F.col(f"box.lo_{c}")
     far = lambda c: (F.col(f"box.hi_{c}") - F.col(c)) * 50 <= F.col(f"box.hi_{c}") - F.col(f"box.lo_{c}")

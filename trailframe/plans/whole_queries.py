@@ -1,0 +1,36 @@
+"""The queries of the sparse network and of the tenths of the lines, over all edges; without SQL, which has the subsets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailframe.operators import conflation, extracts, graph
+from trailframe.operators.components import checkpointed, connected_components
+from trailframe.plans.queries import _lines
+from trailframe.plans.rules_queries import boundary
+from trailframe.sources.network import edges, nodes
+
+
+def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every line is of the backbone (even keys) or of the shifted supplement (odd keys)."""
+    lines = _lines(spark, sf_dir)
+    shift = 15 * (F.col("key") % 4)
+    return lines.where("key % 2 = 0"), lines.where("key % 2 <> 0").withColumns({"y1": F.col("y1") + shift, "y2": F.col("y2") + shift})
+
+
+def rrel_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return extracts.relabelled(checkpointed(connected_components(e)), e)
+
+
+QUERIES = {
+    "RCC_components_whole": lambda spark, sf_dir: connected_components(edges(spark, sf_dir)),
+    "A06_component_ranks_whole": lambda spark, sf_dir: graph.component_stats(edges(spark, sf_dir)),
+    "RLCC_largest_whole": lambda spark, sf_dir: graph.largest_component(edges(spark, sf_dir)).select("edge_id", "a", "b", "m"),
+    "RREL_numbers_whole": rrel_numbers,
+    "A08_boundary_whole": lambda spark, sf_dir: boundary(edges(spark, sf_dir), nodes(spark, sf_dir)),
+    "J14_compact_whole": lambda spark, sf_dir: extracts.compacted(edges(spark, sf_dir)).select("edge_id", "a", "b"),
+    "J01_near_duplicates_whole": lambda spark, sf_dir: conflation.duplicate_pairs(*sources(spark, sf_dir)).select("base_key", "sup_key", F.round("meters", 3).alias("meters")),
+    "J02_conflate_whole": lambda spark, sf_dir: conflation.conflate(*sources(spark, sf_dir)),
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailframe.plans import extract_queries, queries, rules_queries, source_queries
+from trailframe.plans import extract_queries, queries, rules_queries, source_queries, whole_queries
 
-QUERIES = queries.QUERIES | rules_queries.QUERIES | source_queries.QUERIES | extract_queries.QUERIES
+QUERIES = queries.QUERIES | rules_queries.QUERIES | source_queries.QUERIES | extract_queries.QUERIES | whole_queries.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL | rules_queries.ORACLE_SQL | source_queries.ORACLE_SQL | extract_queries.ORACLE_SQL
 
 FLAGSHIP = "RSP1_shortest_paths"
