@@ -1,14 +1,20 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A piece (a match of the splitting pattern) becomes an array of its bytes, each a one-character Latin-1 string;
-a fold merges the leftmost pair of the lowest rank until no pair has one. Ranks (of pairs of ids, too), ids of frequent pieces and the
-binary pieces of ids are literals of bounded size (arrays of small maps by hash, so that a lookup takes constant
-time). Distinct pieces are counted over all texts; the most frequent are folded once, in a table of their own,
-and the others where they stand. Nothing is shuffled but the counts of distinct pieces.
+A piece (a match of the splitting pattern) becomes an array of its bytes; a fold merges the leftmost pair of the
+lowest rank until no pair has one. Ranks of pairs of ids, ids of known pieces and the binary pieces of ids are
+literals of bounded size (hash tables in arrays, so that a lookup takes constant time). Distinct pieces outside the
+vocabulary are counted over all texts; the frequent ones are folded once, in a table of their own, and the others
+where they stand. Nothing is shuffled but the counts of distinct pieces. Decoding concatenates the ids' binary pieces.
+
+Only one pair of ids can make a given piece: inside a longer text the bytes of a piece that will be one merge as
+they do alone, so the last merge is always that of the piece by itself. Likewise a row of ids is what the merges give
+as soon as each two neighbours are, so a long piece is folded in overlapping chunks, each of which starts where an id
+of the chunk before starts, and joined at an id that both have.
 
 Edge cases: null and empty texts have no ids, and the digests of empty strings; a null doc_id stays null;
 repeated rows are encoded each; an empty table gives no rows; other columns are ignored; a piece may be as long
-as its text.
+as its text, in time that grows with its length (chunks that share no id, which was never seen, would take its
+square, and raise beyond 8 MB).
 """
 
 from __future__ import annotations
@@ -21,13 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import table
+from trailframe.llm.common import stored, table
 
-#: Parameters: frequent pieces that are folded once (and bytes of each at most), buckets of the literal maps.
-FREQUENT, PIECE_BYTES, BUCKETS = 200_000, 64, 131_072
-#: Ids and ranks have 20 bits, the last of which means none; a free slot is larger than any entry.
+#: Parameters: frequent pieces that are folded once at most (and bytes of each), buckets of the map of pieces, bytes
+#: that two chunks of a long piece share at least.
+FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 400_000, 64, 262_144, 64
+#: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
-_FREE = 2**62
+_PLACES, _FREE = 2**23, 2**62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,9 +71,24 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def merge_table(ranks: dict[bytes, int]) -> list[int]:
-    """All pairs of ids whose pieces make a piece together, as a cuckoo hash table: left << 40 | right << 20 | merged id, in one of two slots."""
-    entries = [ranks[x] << 40 | ranks[y] << 20 | i for piece, i in ranks.items() for k in range(1, len(piece)) if (x := piece[:k]) in ranks and (y := piece[k:]) in ranks]
+def last_merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
+    """(left, right, merged): the ids of the pair that the merges of each piece end with, alone or in a longer text."""
+    out = []
+    for piece, i in ranks.items():
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        while len(parts) > 2:
+            rank, k = min((ranks.get(x + y, _NO_RANK), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+            if rank == _NO_RANK:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(parts) == 2:
+            out.append((ranks[parts[0]], ranks[parts[1]], i))
+    return out
+
+
+def merge_table(merges: list[tuple[int, int, int]]) -> list[int]:
+    """A cuckoo hash table of the merges: left << 40 | right << 20 | merged id, in one of two slots."""
+    entries = [left << 40 | right << 20 | i for left, right, i in merges]
     size = 1 << (4 * len(entries) + 1).bit_length()
     while True:
         slots = [_FREE] * size
@@ -86,10 +108,10 @@ def merge_table(ranks: dict[bytes, int]) -> list[int]:
         size *= 2
 
 
-def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
+def byte_pairs(ranks: dict[bytes, int], merges: list[tuple[int, int, int]]) -> list[int]:
     """For a byte and the one after it (256: none), at byte * 257 + next: rank of the pair << 43 | id of the byte."""
-    one = [bytes([b]) for b in range(256)]
-    return [(ranks.get(x + y, _NO_RANK) if y else _NO_RANK) << 43 | ranks[x] for x in one for y in [*one, b""]]
+    one, merged = [ranks[bytes([b])] for b in range(256)], {(x, y): i for x, y, i in merges}
+    return [merged.get((x, y), _NO_RANK) << 43 | x for x in one for y in [*one, -1]]
 
 
 def merged_id(slots: Column, mask: int, left: Column, right: Column) -> Column:
@@ -100,7 +122,7 @@ def merged_id(slots: Column, mask: int, left: Column, right: Column) -> Column:
 
 
 def fold_merges(piece: Column, slots: Column, mask: int, pairs: Column) -> Column:
-    """The ids of one piece, given with one character for each byte.
+    """The parts of one piece, given with one character for each byte: place of the first byte << 20 | id.
 
     The fold's state is one array: for each part, rank of the pair that it begins << 43 | its first byte's place
     << 20 | id. Its minimum is the leftmost pair of the lowest rank. An end mark on either side pairs with nothing."""
@@ -126,7 +148,33 @@ def fold_merges(piece: Column, slots: Column, mask: int, pairs: Column) -> Colum
     start = _let(F.transform(F.split(piece, ""), F.ascii), lambda codes: F.concat(end, F.transform(codes, lambda c, i: F.get(
         pairs, c * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256))).bitwiseOR(F.shiftleft(i.cast("long"), 20))), end))
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.char_length(piece) - 1, F.lit(1))), start, step, lambda acc: F.transform(
-        F.slice(acc, F.lit(2), F.size(acc) - 2), lambda e: part(e).cast("int")))
+        F.slice(acc, F.lit(2), F.size(acc) - 2), lambda e: e.bitwiseAND(long((1 << 43) - 1))))
+
+
+def fold_chunks(piece: Column, fold, overlap: int) -> Column:
+    """As fold_merges, of a long piece (binary): `fold` in chunks of four times `overlap`, which no id may be longer
+    than. Null if two chunks share no id.
+
+    State: the next chunk's start, the parts of the last chunk from there on, the parts before."""
+    size, n = 4 * overlap, F.octet_length(piece)
+    place = lambda e: F.shiftright(e, 20).cast("int")
+    longs = lambda x: x.cast("array<bigint>")
+    state = lambda at, tail, done: F.struct(at.alias("at"), longs(tail).alias("tail"), done.cast("array<array<bigint>>").alias("done"))
+
+    def joined(acc: Column, found: Column) -> Column:
+        """From the first id that the tail has too, or from the start of the piece, on; the last chunk gives all it has."""
+        shared = F.when(acc["at"] == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect(acc["tail"], found)))
+        last = acc["at"] + size >= n
+        stop = F.when(last, n).otherwise(place(F.array_max(F.filter(found, lambda e: place(e) <= acc["at"] + size - overlap))))
+        return _let(F.struct(shared.alias("shared"), stop.alias("stop")), lambda c: F.when(c["shared"].isNull(), state(n, F.array(), F.lit(None))).otherwise(state(
+            c["stop"], F.filter(found, lambda e: place(e) >= c["stop"]),
+            F.concat(acc["done"], F.array(F.filter(acc["tail"], lambda e: e < c["shared"]), F.filter(found, lambda e: (e >= c["shared"]) & (place(e) < c["stop"])))))))
+
+    def step(acc: Column, _: Column) -> Column:
+        chunk = F.decode(F.substring(piece, acc["at"] + 1, F.lit(size)), "ISO-8859-1")
+        return F.when(acc["at"] >= n, acc).otherwise(_let(F.transform(fold(chunk), lambda e: e + F.shiftleft(acc["at"].cast("long"), 20)), lambda found: joined(acc, found)))
+
+    return F.aggregate(F.sequence(F.lit(0), (n / overlap).cast("int")), state(F.lit(0), F.array(), F.array()), step, lambda acc: F.flatten(acc["done"]))
 
 
 class ByteBpe:
@@ -134,37 +182,58 @@ class ByteBpe:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         self.spark, self.pattern = spark, f"(?U){pattern}"  # white space and classes as in Unicode
-        ranks = read_ranks(path)
-        pieces = {i: b.decode("latin-1") for b, i in ranks.items()}
-        self.ranks = bucketed(spark, pa.array(list(pieces.values()), pa.string()), pa.array(list(pieces), pa.int32()))
-        if max(pieces) >= _PART:
+        self.ids = read_ranks(path)
+        if max(self.ids.values()) >= _PART:
             raise ValueError(f"ids up to {_PART - 1} only")
-        slots = merge_table(ranks)
+        merges = last_merges(self.ids)
+        slots = merge_table(merges)
         self.slots, self.mask = literal(spark, pa.array(slots, pa.int64())), len(slots) - 1
-        self.pairs = literal(spark, pa.array(byte_pairs(ranks), pa.int64()))
-        self.pieces = literal(spark, pa.array([pieces.get(i, "") for i in range(max(pieces) + 1)], pa.string()))
-        self.known = bucketed(spark, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
+        self.overlap = max(OVERLAP, max(map(len, self.ids)))
+        self.pairs = literal(spark, pa.array(byte_pairs(self.ids, merges), pa.int64()))
+        pieces = {i: b for b, i in self.ids.items()}
+        self.pieces = literal(spark, pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary()))
+        whole = {b: i for b, i in self.ids.items() if b.decode("utf-8", "ignore").encode() == b}  # what a piece can be
+        self.words = pa.array(list(whole), pa.binary()).cast(pa.string()), pa.array([[i] for i in whole.values()], pa.list_(pa.int32()))
+        self.known = bucketed(spark, *self.words)
 
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def fit(self, docs: DataFrame, n: int = FREQUENT) -> ByteBpe:
+    def frequent(self, docs: DataFrame, n: int = FREQUENT) -> DataFrame:
+        """The pieces outside the vocabulary that occur most often, at most n: all of those above a power of two that leaves so many."""
+        words = F.broadcast(self.spark.createDataFrame(pa.table({"piece": self.words[0]})))
         counts = docs.select(F.explode(self.split(F.col("text"))).alias("piece")).groupBy("piece").count()
-        top = counts.where((F.col("count") > 1) & (F.octet_length("piece") <= PIECE_BYTES)).orderBy(F.desc("count"), "piece").limit(n).select("piece")
-        folded = top.repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
-        self.known = bucketed(self.spark, folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks())
+        counts = counts.where((F.col("count") > 1) & (F.octet_length("piece") <= PIECE_BYTES)).join(words, "piece", "left_anti").withColumn("power", F.floor(F.log2("count")))
+        counts = stored(counts)
+        least, left = 64, n
+        for power, k in sorted(counts.groupBy("power").agg(F.count("*").alias("k")).collect(), reverse=True):  # a row for each power of two
+            if k > left:
+                break
+            least, left = power, left - k
+        # Of the next power, the share by hash that still has room.
+        share = next((left / r["k"] for r in counts.where(F.col("power") == least - 1).groupBy().agg(F.count("*").alias("k")).collect() if r["k"]), 0.0)
+        at = F.pmod(F.xxhash64("piece"), F.lit(2**20))
+        return counts.where((F.col("power") >= least) | ((F.col("power") == least - 1) & (at < 0.98 * share * 2**20))).select("piece")
+
+    def fit(self, docs: DataFrame, n: int = FREQUENT) -> ByteBpe:
+        folded = self.frequent(docs, n).repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
+        words, ids = self.words
+        self.known = bucketed(self.spark, pa.concat_arrays([words, folded.column("piece").combine_chunks()]), pa.concat_arrays([ids, folded.column("ids").combine_chunks()]))
         return self
 
     def _tables(self) -> list[Column]:
-        return [getattr(self, c).alias(f"_{c}") for c in ("known", "ranks", "slots", "pairs")]
+        return [getattr(self, c).alias(f"_{c}") for c in ("known", "slots", "pairs")]
 
     def _with_tables(self, body) -> Column:
-        return _let(F.struct("_known", "_ranks", "_slots", "_pairs"), body)
+        return _let(F.struct("_known", "_slots", "_pairs"), body)
 
     def _fold(self, piece: Column, m: Column) -> Column:
-        """The id of a piece of the vocabulary, or else the merges."""
-        whole = lambda x: _let(find(m["_ranks"], x), lambda i: F.when(i.isNotNull(), F.array(i)))
-        return _let(latin(piece), lambda x: F.coalesce(whole(x), fold_merges(x, m["_slots"], self.mask, m["_pairs"])))
+        fold = lambda x: fold_merges(x, m["_slots"], self.mask, m["_pairs"])
+        small = F.octet_length(piece) < _PLACES
+        raw = F.encode(piece, "UTF-8")
+        parts = F.when(F.octet_length(piece) <= 4 * self.overlap, fold(latin(piece))).otherwise(
+            F.coalesce(fold_chunks(raw, fold, self.overlap), F.when(small, fold(latin(piece))).otherwise(F.raise_error(F.lit("a piece of over 8 MB whose chunks share no id")))))
+        return F.transform(parts, lambda e: e.bitwiseAND(F.lit(_PART).cast("long")).cast("int"))
 
     def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """`docs` with the ids of column `text` in place of it, as column `ids`."""
@@ -173,9 +242,13 @@ class ByteBpe:
         return docs.select(*rest, text, *self._tables()).select(*rest, coded.alias(ids))
 
     def decode(self, docs: DataFrame, ids: str, out: str) -> DataFrame:
-        """Adds the bytes of the ids' pieces, one after another, as column `out`."""
-        joined = _let(F.col("_pieces"), lambda pieces: F.array_join(F.transform(F.col(ids), lambda i: F.get(pieces, i)), ""))
-        return docs.select("*", self.pieces.alias("_pieces")).select(*docs.columns, F.encode(joined, "ISO-8859-1").alias(out))
+        """Adds the binary pieces of the ids, one after another, as column `out`: runs of ids first, then the runs."""
+        empty, n = F.lit(b""), F.size(ids)
+        run = F.ceil(F.sqrt(n)).cast("int")  # as many runs as ids in each
+        runs = lambda pieces: F.transform(F.sequence(F.lit(0), F.ceil(n / run).cast("int") - 1), lambda k: F.aggregate(
+            F.slice(F.col(ids), k * run + 1, run), empty, lambda acc, i: F.concat(acc, F.get(pieces, i))))
+        joined = _let(F.col("_pieces"), lambda pieces: F.aggregate(runs(pieces), empty, lambda acc, x: F.concat(acc, x)))
+        return docs.select("*", self.pieces.alias("_pieces")).select(*docs.columns, F.when(n > 0, joined).otherwise(empty).alias(out))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
