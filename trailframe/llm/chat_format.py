@@ -120,12 +120,17 @@ def under_mask(formatted: Column, spans: Column) -> Column:
 
 
 def conversation_events(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """A log as a server would have streamed the rows: each opens a message and is followed by its deltas."""
+    """A log as a server would have written it: an assistant's message is streamed, regenerated after its first delta and
+    streamed anew; any other is sent as a draft and then edited."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(order).cast("long"))
-    pieces = F.transform(F.sequence(F.lit(0), (F.char_length("text") / delta_chars).cast("int")), lambda i: F.substring(F.col("text"), i * delta_chars + 1, F.lit(delta_chars)))
-    return rows.select("conv_id", F.col("n").alias("turn"), "role", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("k", "text")).select(
-        "conv_id", (F.col("turn") * F.lit(2**24) + F.col("k")).alias("seq"), F.when(F.col("k") == 0, "message").otherwise("delta").alias("kind"), "turn", "role", "text")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = F.concat(F.lit("draft: "), F.substring("text", 1, delta_chars))
+    pieces = F.transform(F.sequence(F.lit(0), (F.char_length("text") / delta_chars).cast("int")), lambda i: event("delta", F.substring(F.col("text"), i * delta_chars + 1, F.lit(delta_chars))))
+    streamed = F.concat(F.array(event("message", F.lit("")), event("delta", draft), event("regenerate", F.lit(""))), pieces)
+    events = F.when(F.col("role") == "assistant", streamed).otherwise(F.array(event("message", draft), event("edit", F.col("text"))))
+    return rows.select("conv_id", F.col("n").alias("turn"), "role", F.posexplode(events).alias("k", "event")).select(
+        "conv_id", (F.col("turn") * F.lit(2**24) + F.col("k")).alias("seq"), "event.kind", "turn", "role", "event.text")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

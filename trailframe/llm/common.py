@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailframe.operators.components import checkpointed
 
-#: Parameter: rows up to which a table is taken to be small enough for a broadcast.
-BROADCAST_ROWS = 200_000
+#: Parameters: rows and bytes (as JSON) up to which a table is taken to be small enough for a broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 #: A table computed once and kept in the shared folder, so that lost executors lose nothing of it.
 stored = checkpointed
@@ -22,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows; beyond that Spark shuffles it like any table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """`df` with a broadcast hint if it has at most `rows` rows of BROADCAST_BYTES in all; beyond that Spark shuffles it like any table."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def binary_list(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -37,12 +39,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, make, schema: str | StructType) -> DataFrame:
     """mapInArrow over batches; `make(batch)` gives a dict of columns. State that `make` keeps lives as long as a task."""
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()

@@ -17,6 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailframe.llm.common import binary_list, map_texts
 
@@ -63,21 +64,19 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """Rows (block, doc_id, body: the text's bytes compressed, null if it is; columns to carry), and the number of blocks."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: Column | None = None) -> tuple[DataFrame, int]:
+    """Rows (block, doc_id, body: the text's bytes compressed, null if it is, row: a column to carry), and the number of blocks.
+
+    Rows of different ids or texts are dealt apart, so neither null ids nor an id of many rows make a block large."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None).cast("boolean") if carry is None else carry).alias("row"))
     n = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        return lambda batch: {"body": [None if t is None else squeeze(t) for t in binary_list(batch.column("text"))]} | {c: batch.column(c) for c in ("block", "doc_id", *carry)}
-
-    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return map_texts(rows.select(block_of(F.col("doc_id"), n).alias("block"), "doc_id", "text", *carry), make, f"block int, doc_id long, body binary{kinds}"), n
-
+        return lambda batch: {"body": [None if t is None else squeeze(t) for t in binary_list(batch.column("text"))]} | {c: batch.column(c) for c in ("block", "doc_id", "row")}
 
-def block_of(doc_id: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
+    schema = StructType.fromDDL("block int, doc_id long, body binary").add("row", rows.schema["row"].dataType)
+    return map_texts(rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text", "row"), make, schema), n
 
 
 def bodies(column: pa.ChunkedArray) -> list[bytes | None]:
@@ -85,7 +84,7 @@ def bodies(column: pa.ChunkedArray) -> list[bytes | None]:
     return [None if x is None else expand(x) for x in column.to_pylist()]
 
 
-def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None]], list[np.ndarray]], use: Callable, schema: str) -> DataFrame:
+def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None]], list[np.ndarray]], use: Callable, schema: str | StructType) -> DataFrame:
     """For every block, `use(rows, texts, keys, counts)` as a pa.Table of `schema`; `rows` is the block's table.
 
     `keys_of(texts)` gives an array of keys for each text; `counts` are arrays alike, how often each key occurs in

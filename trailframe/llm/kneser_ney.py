@@ -4,11 +4,11 @@ The model counts the byte n-grams of all trusted documents (labelled quality 1 a
 orders are continuation counts; three discounts for each order come from the counts of counts. Documents are
 dealt into blocks; each block sends its distinct n-grams, which are joined with the sharded counts, and reads the
 probabilities back to give every document the perplexity of its whole text. A document goes if its perplexity is
-beyond the fence of its language, a quantile of the perplexities of its trusted documents. The level of the quantile
+beyond the fence of its language, a quantile of the perplexities of trusted documents held out from the counts. The level of the quantile
 is one for all languages; of LEVELS, that which best parts labelled bad documents from trusted ones.
 
 Edge cases: null and empty texts have no perplexity and are not kept; a null lang is a language of its own; a
-language with fewer than `LEAST` trusted documents takes the fence of all languages; without labelled bad text the
+language with fewer than `LEAST` held-out documents takes the fence of all languages; without labelled bad text the
 level is LEVEL; without trusted text the model is uniform and all texts stay; a null doc_id stays null and is not trusted; repeated rows are scored each;
 labels are taken together by doc_id (any row that is bad or toxic unmakes trust); other columns are ignored.
 """
@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.llm.common import small, stored, table
-from trailframe.llm.exchange import block_of, bodies, in_blocks
+from trailframe.llm.exchange import bodies, in_blocks
 
-#: Parameters: bytes of an n-gram (at most 7), bytes of text in a block, trusted documents that a language needs.
-ORDER, BLOCK_BYTES, LEAST = 4, 16_000_000, 30
+#: Parameters: bytes of an n-gram (at most 7), bytes of text in a block, of how many trusted documents one is held
+#: out, held-out documents that a language needs for a fence of its own.
+ORDER, BLOCK_BYTES, HELD, LEAST = 4, 16_000_000, 4, 30
 #: Levels of the fence's quantile to choose from, and the one that is taken without bad documents.
 LEVELS, LEVEL = (0.9, 0.95, 0.98, 0.99, 0.995, 0.999), 0.99
 
@@ -38,22 +39,20 @@ def grams(text: bytes, order: int = ORDER) -> np.ndarray:
     return code
 
 
-def block_grams(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(block, gram, n): the distinct n-grams of each block, with their counts in its trusted documents."""
+def block_grams(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram, n): the distinct n-grams of each block, with their counts in its documents to learn from."""
 
-    def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
-        good = set(ids.column("trusted_id").to_pylist()) if len(ids) else set()
+    def run(docs: pa.Table) -> pa.Table:
         each, weights = [], []
-        for doc_id, text in zip(docs.column("doc_id").to_pylist() if len(docs) else [], bodies(docs.column("body")) if len(docs) else []):
+        for learn, text in zip((r["learn"] for r in docs.column("row").to_pylist()), bodies(docs.column("body"))):
             if text:
                 g, c = np.unique(grams(text, order), return_counts=True)
-                each.append(g), weights.append(c if doc_id is not None and doc_id in good else np.zeros(len(g), np.int64))
+                each.append(g), weights.append(c if learn else np.zeros(len(g), np.int64))
         keys, where = np.unique(np.concatenate(each) if each else np.zeros(0, np.int64), return_inverse=True)
         n = np.bincount(where, weights=np.concatenate(weights), minlength=len(keys)).astype(np.int64) if each else np.zeros(0, np.int64)
-        block = docs.column("block")[0].as_py() if len(docs) else 0
-        return pa.table({"block": pa.array(np.full(len(keys), block), pa.int32()), "gram": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+        return pa.table({"block": pa.array(np.full(len(keys), docs.column("block")[0].as_py()), pa.int32()), "gram": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return blocks.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram long, n long")
+    return blocks.groupBy("block").applyInArrow(run, "block int, gram long, n long")
 
 
 def _last(gram: Column, k: int) -> Column:
@@ -108,29 +107,37 @@ def calibrate(fenced: DataFrame, labels: DataFrame) -> int:
     return max(range(len(LEVELS)), key=lambda i: (n[f"bad{i}"] / n["bad"] - n[f"trusted{i}"] / n["trusted"], i))
 
 
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and a struct (lang, learn, trusted): one of HELD trusted documents, by hash, isn't learned from and sets the fences."""
+    ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("trusted_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good").select("trusted_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # Rows without an id get a key of their own, so that a join by shuffle doesn't send them all to one task.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.xxhash64("text")).alias("id"))
+    joined = rows.withColumn("key", key).join(small(ids.select(F.struct(F.lit(False).alias("none"), F.col("trusted_id").alias("id")).alias("trusted_key"))), F.col("key") == F.col("trusted_key"), "left")
+    good, held = F.col("trusted_key").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    return joined.select("doc_id", "text", F.struct("lang", (good & ~held).alias("learn"), (good & held).alias("trusted")).alias("marks"))
+
+
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, trusted, n_bytes, perplexity, fence and kept of every row."""
-    blocks, n = in_blocks(docs, BLOCK_BYTES, carry=("lang",))
-    ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("trusted_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good").select("trusted_id", block_of(F.col("trusted_id"), n).alias("block"))
-    found = stored(block_grams(blocks, ids, order))
+    """doc_id, lang, trusted (to set the fence), n_bytes, perplexity, fence and kept of every row."""
+    blocks, _ = in_blocks(marked(docs, labels), BLOCK_BYTES, F.col("marks"))
+    found = stored(block_grams(blocks, order))
     counts = stored(found.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
     known = resolve(found.select("gram").distinct(), model(counts, order))
     answers = found.select("block", "gram").join(known, "gram").select("block", "gram", F.col("logp").cast("float").alias("logp"))
-    trust = ids.select("block", F.col("trusted_id").alias("gram"), F.lit(None).cast("float").alias("logp"))  # marks of trust come with the answers
 
     def run(rows: pa.Table, got: pa.Table) -> pa.Table:
-        marks = got.column("logp").is_null() if len(got) else None
-        good = set(got.filter(marks).column("gram").to_pylist()) if len(got) else set()
-        got = got.filter(got.column("logp").is_valid()) if len(got) else got
         keys = got.column("gram").to_numpy() if len(got) else np.zeros(0, np.int64)
         at = np.argsort(keys)
         keys, logp = keys[at], (got.column("logp").to_numpy()[at] if len(got) else np.zeros(0))
         texts = bodies(rows.column("body")) if len(rows) else []
+        marks = rows.column("row").to_pylist() if len(rows) else []
         perplexity = [float(np.exp(-logp[np.searchsorted(keys, grams(t, order))].mean(dtype=np.float64))) if t else None for t in texts]
-        doc_ids = rows.column("doc_id").to_pylist() if len(rows) else []
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "lang": pa.array(rows.column("lang").to_pylist() if len(rows) else [], pa.string()), "trusted": pa.array([d is not None and d in good for d in doc_ids], pa.bool_()), "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "perplexity": pa.array(perplexity, pa.float64())})
+        return pa.table({
+            "doc_id": pa.array(rows.column("doc_id").to_pylist() if len(rows) else [], pa.int64()), "lang": pa.array([m["lang"] for m in marks], pa.string()), "trusted": pa.array([m["trusted"] for m in marks], pa.bool_()),
+            "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "perplexity": pa.array(perplexity, pa.float64())})
 
-    scored = stored(blocks.groupBy("block").cogroup(answers.unionByName(trust).groupBy("block")).applyInArrow(run, "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double"))
+    scored = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double"))
     good = scored.where("trusted AND perplexity IS NOT NULL")
     quantiles = F.percentile_approx("perplexity", list(LEVELS)).alias("fences")
     own = stored(good.groupBy(F.col("lang").alias("_lang")).agg(quantiles, F.count("*").alias("k")).where(F.col("k") >= LEAST).select("_lang", "fences"))

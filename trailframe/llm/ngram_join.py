@@ -200,24 +200,33 @@ def class_links(classes: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id of the equal sets) and component_id of every row."""
+    """doc_id, n_shingles, class_id (smallest id of the equal sets) and component_id of every row.
+
+    Classes are numbered by themselves, since a doc_id may have several texts; those texts' classes are linked."""
     rows = stored(shingled(docs))
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    reps = rows.where("tokens IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
-    links = class_links(stored(reps.where("class_id IS NOT NULL").select("class_id", "prefix", "tokens")))
-    comps = connected_components(links).withColumnRenamed("node", "class_id")
-    named = classes.join(comps, "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    one = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    classes = stored(one.withColumn("class", F.monotonically_increasing_id()))
+    links = class_links(stored(classes.where("tokens IS NOT NULL").select(F.col("class").alias("class_id"), "prefix", "tokens")))
+    several = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select(F.col("doc_id").alias("many"))
+    texts = rows.join(several, F.col("doc_id") == F.col("many"), "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")
+    firsts = texts.groupBy("doc_id").agg(F.min("class").alias("b"))
+    comps = connected_components(links.unionByName(texts.join(firsts, "doc_id").select(F.col("class").alias("a"), "b").where("a <> b")))
+    named = classes.select("digest", "least", "class").join(comps, F.col("class") == F.col("node"), "left").select("digest", "least", F.coalesce("component", "class").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = named.join(smallest, "component").select("digest", F.col("least").alias("class_id"), "component_id")
+    out = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, of the smallest doc_id of each component.
+    """The rows of `docs`, with all their columns whatever their names, of the smallest doc_id of each component.
 
     A document is what shares a doc_id: its repeated rows stay together. Rows without an id stay if no row with an id is linked to them."""
     found = similarity_classes(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = packed.join(stay, F.col("row").getField("doc_id").cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

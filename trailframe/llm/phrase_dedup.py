@@ -8,7 +8,7 @@ occur in its block, however many the corpus has.
 
 Edge cases: null and empty texts have no words; a null doc_id is kept; repeated rows repeat each other's windows;
 texts shorter than a window keep all words; windows may overlap, and may repeat inside one text; an empty table
-gives no rows; other columns are ignored. Windows are told apart by 64-bit hashes.
+gives no rows; other columns, whatever their names, are ignored or kept as they are. Windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailframe.llm.common import table, words_of
 from trailframe.llm.exchange import counted, in_blocks, window_hashes, word_hashes
@@ -52,8 +53,10 @@ def locate(texts: list[list[int]], recurring: set[tuple[int, ...]]) -> list[np.n
     return masks
 
 
-def mark_repeats(docs: DataFrame, size: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_text) of all documents, with the columns to carry."""
+def mark_repeats(docs: DataFrame, size: int = WINDOW, carry: Column | None = None, whole: bool = False) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept_text, row) of all documents, `row` being the column to carry.
+
+    `kept_text` has the kept words, joined by one space; if `whole`, the text as it is where nothing goes."""
     blocks, n = in_blocks(docs, carry=carry)
 
     def keys_of(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -66,22 +69,28 @@ def mark_repeats(docs: DataFrame, size: int = WINDOW, carry: tuple[str, ...] = (
         coded = [[numbers.setdefault(w, len(numbers)) for w in ws] for ws in words]
         found = {tuple(c[a:b]) for c, k in zip(coded, counts) for a, b in passages(k >= 2, size)}
         masks = locate(coded, found)
-        kept = [b" ".join(ws if not m.any() else [w for w, gone in zip(ws, m) if not gone]).decode() for ws, m in zip(words, masks)]
-        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string())} | {c: rows.column(c) for c in carry})
+        kept = []
+        for t, ws, m in zip(texts, words, masks):
+            if m.any():
+                kept.append(b" ".join([w for w, gone in zip(ws, m) if not gone]).decode())
+            elif whole:
+                kept.append(None if t is None else t.decode())
+            else:
+                kept.append(b" ".join(ws).decode())
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string()), "row": rows.column("row")})
 
-    kinds = "".join(f", `{c}` {blocks.schema[c].dataType.simpleString()}" for c in carry)
-    return counted(blocks, n, keys_of, use, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string").add("row", blocks.schema["row"].dataType)
+    return counted(blocks, n, keys_of, use, schema)
 
 
 def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """`docs` with the covered words gone; texts that lose nothing stay as they are, n_chars (if there) is counted anew."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = mark_repeats(docs.withColumn("_text", F.col("text")), size, (*rest, "_text"))
-    text = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(F.col("kept_text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """`docs` with the covered words gone; texts that lose nothing stay as they are, n_chars (if there) is counted anew.
+
+    The other columns travel in a struct, so their names clash with nothing."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = mark_repeats(docs, size, F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else None, whole=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
