@@ -1,10 +1,12 @@
 """Operators of the training-data pipeline against SQL, libraries and brute force; edge cases of each."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -282,3 +284,120 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     kept = {r.doc_id for r in out}
     assert len(kept) == len(out) and kept <= set(docs["doc_id"]) and len(kept) > 0.5 * len(docs["doc_id"])
     assert all(hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in out)
+
+
+def made_page(rng):
+    """A page and its article, of random templates that are none of the labelled rows."""
+    words = lambda n: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{words(rng.randint(1, 3))}</a></li>" for i in range(n)) + "</ul>"
+    article = [f"<h1>{words(6)}</h1>"] + [f"<p>{words(rng.randint(30, 90))}</p>" for _ in range(rng.randint(2, 6))]
+    if rng.random() < 0.5:
+        article.insert(2, f"<h2>{words(3)}</h2>")
+    text = [p[p.index(">") + 1 : p.rindex("<")] for p in article]
+    noise = ["<div class='advert'>" + words(rng.randint(4, 25)) + "</div>", f"<aside>{words(9)}{links(3)}</aside>", f"<form><p>{words(5)}</p><button>{words(1)}</button></form>", "<script>if (a < b) { x() }</script>", "<!-- note -->"]
+    for piece in rng.sample(noise, rng.randint(0, 3)):
+        article.insert(rng.randint(1, len(article)), piece)
+    head = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div id='post-body'>{}</div>", "<main><article>{}</article></main>"]).format("".join(article))
+    outer = rng.choice(["{}", "<div class='layout has-sidebar'>{}</div>", "<div class='page sidebar-right'>{}</div>", "<form id='all' action='/'>{}</form>"])
+    before = [f"<header><a href='/'>{words(2)}</a></header>", f"<nav>{links(rng.randint(3, 9))}</nav>", f"<div class='cookie-banner'><p>{words(14)}</p></div>", f"<div class='breadcrumbs'><a href='/'>{words(1)}</a> {words(1)}</div>"]
+    after = [f"<section id='comments'>{''.join(f'<article><p>{words(rng.randint(5, 60))}</p></article>' for _ in range(rng.randint(1, 9)))}</section>", f"<aside class='sidebar'>{words(5)}{links(4)}</aside>", f"<div class='related'><h3>{words(2)}</h3>{links(4)}</div>", f"<div class='newsletter'><p>{words(12)}</p></div>"]
+    pick = lambda xs: "".join(x for x in xs if rng.random() < 0.7)
+    return f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>{pick(before)}{outer.format(head + pick(after[1:]))}{pick(after[:1])}<footer><p>{words(12)}</p>{links(2)}</footer></body></html>", "\n".join(text)
+
+
+def test_extraction_of_held_out_pages():
+    rng, tree = random.Random(12), html_extract.grow(*html_extract.labelled_table())
+    right = both = got_n = want_n = 0
+    for _ in range(400):
+        page, want = made_page(rng)
+        got = html_extract.main_text(page, tree)
+        a, b = collections.Counter(got.split()), collections.Counter(want.split())
+        right, both, got_n, want_n = right + (got == want), both + (a & b).total(), got_n + a.total(), want_n + b.total()
+    assert both >= 0.99 * got_n and both >= 0.99 * want_n and right >= 0.9 * 400, (right, both / got_n, both / want_n)
+
+
+def test_extraction_of_wrappers_and_heads():
+    tree = html_extract.grow(*html_extract.labelled_table())
+    long = " ".join(["word"] * 120)
+    text = lambda page: html_extract.main_text(page, tree)
+    assert text(f"<nav><a href=/>Home</a></nav><div class='layout has-sidebar'><main><h1>Title</h1><p>{long}</p></main><aside><p>See this.</p></aside></div>") == f"Title\n{long}"
+    assert text(f"<div class='page sidebar-left'><h1>Title</h1><p>{long}</p><div class=sidebar><a>x</a></div></div><div class=comments><p>{long} {long} {long}</p></div>") == f"Title\n{long}"
+    assert text(f"<article><h1>Title</h1><p>{long}</p><p class='more'>And this is more of it.</p></article>") == f"Title\n{long}\nAnd this is more of it."
+    assert text(f"<article><div class='post-header'><h1>Title of it</h1></div><p>{long}</p></article>") == f"Title of it\n{long}"
+    assert text(f"<header><h1>Site</h1></header><div class=content><h2>Title of it</h2><p>{long}</p></div><article class=teaser><p>A teaser.</p></article>").startswith(f"Title of it\n{long}")
+
+
+def test_bpe_of_long_pieces(spark):
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["x" * 9001, "ab" * 2500, draw("abcdefghijklmnopqrst", 6000), draw([chr(k) for k in range(0x4E00, 0x5000)], 2500), " " * 3000 + "a", "-" * 2500, draw("aab", 3000), "é" * 1500, "the" * 700, "\n" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    assert out == {i: (own.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}
+    none = byte_bpe.encode_decode(docs.limit(0), RANKS, public_tokenizers.PATTERN)
+    assert none.collect() == [] and html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_whole_table_is_as_the_libraries_have_it(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own, words = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(WORDS)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = {i: (len(x := own.encode_ordinary(t or "")), digest(",".join(map(str, x)).encode()), digest((t or "").encode())) for i, t in zip(docs["doc_id"], docs["text"])}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op1_byte_bpe"](spark, SF).collect()} == want
+    counts = {i: len(words.encode(t or "", add_special_tokens=False).ids) for i, t in zip(docs["doc_id"], docs["text"])}
+    assert {r.doc_id: r.n_tokens for r in QUERIES["op4_token_counts"](spark, SF).collect()} == counts
+
+
+CLASHING = ("block", "body", "row", "k", "h", "w", "n_words", "n_removed", "n_near", "kept_text", "matches", "found", "stays", "digest", "class", "key", "_k", "_stays", "_text", "a.b")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    plain = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "no id"), (4, "same text here"), (4, "same text here"), (5, "other words of one id"), (5, "and its second text"), *((6, "a b c d e f " * 20) for _ in range(300))], "doc_id long, text string")
+    docs = plain.selectExpr("doc_id", "text", "1L AS n_chars", *(f"'{c}' AS `{c}`" for c in CLASHING))
+    marks, items = labels(spark), benchmark(spark, [(1, "a b c d e f a b c d e f a b"), (2, None)])
+    for stage in (lambda d: quality_rules.keep_good(d, marks), ngram_join.one_of_each, phrase_dedup.without_repeats, lambda d: decontamination.clean(d, items)):
+        for frame in (docs, docs.limit(0)):
+            out = stage(frame)
+            assert out.columns == docs.columns
+            assert all(r[c] == c for r in out.collect() for c in CLASHING)
+    assert phrase_dedup.without_repeats(docs).count() == docs.count()
+    assert decontamination.clean(docs, items).count() == docs.count() - 300
+    assert ngram_join.one_of_each(docs).count() == docs.count()
+    hit = decontamination.decontaminate(plain, items).where("doc_id = 6").collect()
+    assert len(hit) == 300 and {(r.n_words, r.n_hit, r.n_items) for r in hit} == {(120, 120, 1)}
+
+
+def test_an_id_of_two_texts_links_both(spark):
+    rng = random.Random(5)
+    w, v = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "wv")
+    near = lambda x: " ".join([*x[:-1], "end"])
+    rows = [(1, " ".join(w)), (1, " ".join(v)), (2, near(w)), (3, near(v)), (4, "apart from all others here")]
+    out = {(r.doc_id, r.component_id) for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    rows = [(5, " ".join(w)), (5, " ".join(v)), (2, near(w)), (9, near(v))]
+    out = {(r.doc_id, r.component_id) for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(5, 2), (2, 2), (9, 2)}
+
+
+def test_base_statistics_are_brute_force(spark):
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    want = {}
+    for i, t in zip(docs["doc_id"], docs["text"]):
+        words = [x for x in re.split("[\x20\x09-\x0D]+", t or "") if x]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        many = collections.Counter(windows)
+        covered = {k + j for k, x in enumerate(windows) if many[x] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+        want[i] = (len(words), sum(map(len, words)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words))
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in QUERIES["op3_quality_forest"](spark, SF).collect()}
+    assert got == want

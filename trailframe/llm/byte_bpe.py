@@ -35,6 +35,8 @@ FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 400_000, 64, 262_144, 64
 #: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
 _PLACES, _FREE = 2**23, 2**62
+#: The longest piece whose places fit the bits of a long.
+SHORT = 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,7 +70,12 @@ def latin(text: Column) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+    """`body` with a value computed once: the fold of no elements, which copies nothing (a transform copies its results)."""
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
 def last_merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
@@ -86,26 +93,42 @@ def last_merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def merge_table(merges: list[tuple[int, int, int]]) -> list[int]:
-    """A cuckoo hash table of the merges: left << 40 | right << 20 | merged id, in one of two slots."""
-    entries = [left << 40 | right << 20 | i for left, right, i in merges]
-    size = 1 << (4 * len(entries) + 1).bit_length()
-    while True:
-        slots = [_FREE] * size
-        for item in entries:
-            at = -1
-            for _ in range(500):
-                h = xxhash.xxh64_intdigest((item & ~_PART).to_bytes(8, "little"), seed=42)
-                first, second = h & (size - 1), h >> 32 & (size - 1)
-                at = second if at == first else first
-                item, slots[at] = slots[at], item
-                if item == _FREE:
-                    break
-            else:
+class MergeTable:
+    """The merges as a perfect hash table: left << 40 | right << 20 | merged id in slots, and the shifts of its buckets.
+
+    A key's bucket are the bits of its hash from 40 on, its place other bits of the hash and the bucket's shift together."""
+
+    def __init__(self, spark: SparkSession, merges: list[tuple[int, int, int]]):
+        keys = np.array([left << 20 | right for left, right, _ in merges], np.int64)
+        hashes = np.array([xxhash.xxh64_intdigest(int(k).to_bytes(8, "little"), seed=42) for k in keys], np.uint64)
+        self.size, self.buckets = 1 << (2 * len(keys) + 1).bit_length(), 1 << max(1, len(keys) // 3).bit_length()
+        at_bucket = (hashes >> np.uint64(40)).astype(np.int64) & (self.buckets - 1)
+        for self.low in range(24):  # bits that tell the keys of each bucket apart
+            at = (hashes >> np.uint64(self.low)).astype(np.int64) & (self.size - 1)
+            if len(np.unique(at_bucket * self.size + at)) == len(keys):
                 break
         else:
-            return slots
-        size *= 2
+            raise ValueError("no bits of the hashes tell the merges apart")
+        slots, shifts, free = np.full(self.size, _FREE, np.int64), np.zeros(self.buckets, np.int32), np.ones(self.size, bool)
+        order, ends = np.argsort(at_bucket, kind="stable"), np.searchsorted(np.sort(at_bucket), np.arange(self.buckets + 1))
+        for b in np.argsort(-np.diff(ends), kind="stable"):
+            members = order[ends[b] : ends[b + 1]]
+            for shift in range(self.size):
+                places = (at[members] + shift) & (self.size - 1)
+                if free[places].all():
+                    break
+            else:
+                raise ValueError("no place for the merges of a bucket")
+            free[places], shifts[b] = False, shift
+            slots[places] = keys[members] << 20 | np.array([merges[m][2] for m in members], np.int64)
+        self.slots, self.shifts = literal(spark, pa.array(slots, pa.int64())), literal(spark, pa.array(shifts, pa.int32()))
+
+    def merged(self, m: Column, left: Column, right: Column) -> Column:
+        """The id that a pair merges into, which is its rank too; _NO_RANK if none. The exclusive or leaves the id alone where an entry is the pair's."""
+        pair = F.shiftleft(left, 20).bitwiseOR(right)
+        mask = lambda x, n: x.bitwiseAND(_long(n - 1)).cast("int")
+        place = lambda h: mask(F.shiftrightunsigned(h, self.low) + F.get(m["_shifts"], mask(F.shiftrightunsigned(h, 40), self.buckets)), self.size)
+        return _let(F.xxhash64(pair), lambda h: F.least(F.get(m["_slots"], place(h)).bitwiseXOR(F.shiftleft(pair, 20)), _long(_NO_RANK)))
 
 
 def byte_pairs(ranks: dict[bytes, int], merges: list[tuple[int, int, int]]) -> list[int]:
@@ -114,41 +137,57 @@ def byte_pairs(ranks: dict[bytes, int], merges: list[tuple[int, int, int]]) -> l
     return [merged.get((x, y), _NO_RANK) << 43 | x for x in one for y in [*one, -1]]
 
 
-def merged_id(slots: Column, mask: int, left: Column, right: Column) -> Column:
-    """The id that a pair merges into, which is its rank too; _NO_RANK if none. The exclusive or leaves the id alone where an entry is the pair's."""
-    slot = lambda h: F.get(slots, h.bitwiseAND(F.lit(mask).cast("long")).cast("int"))
-    return _let(F.shiftleft(left, 40).bitwiseOR(F.shiftleft(right, 20)), lambda p: F.least(
-        slot(F.xxhash64(p)).bitwiseXOR(p), slot(F.shiftrightunsigned(F.xxhash64(p), 32)).bitwiseXOR(p), F.lit(_NO_RANK).cast("long")))
+def _parts(piece: Column, m: Column) -> Column:
+    """A fold's first state, one array: for each part, rank of the pair that it begins << 43 | its first byte's place << 20
+    | id. Its minimum is the leftmost pair of the lowest rank. An end mark on either side pairs with nothing."""
+    end = F.array(_long(_NO_RANK << 43 | _PART))
+    return _let(F.transform(F.split(piece, ""), F.ascii), lambda codes: F.concat(end, F.transform(codes, lambda c, i: F.get(
+        m["_pairs"], c * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256))).bitwiseOR(F.shiftleft(i.cast("long"), 20))), end))
+
+
+def _joined(parts: Column, e: Column, k: Column, m: Column, table: MergeTable) -> Column:
+    """`parts` with part e at k (from 1) and the next as one, and the ranks beside it anew."""
+    part = lambda x: x.bitwiseAND(_long(_PART))
+    rank = lambda a, b: F.shiftleft(table.merged(m, a, b), 43)
+    one = lambda q: F.array(
+        rank(part(q["before"]), q["id"]).bitwiseOR(q["before"].bitwiseAND(_long((1 << 43) - 1))),
+        rank(q["id"], q["after"]).bitwiseOR(e.bitwiseAND(_long((1 << 43) - 1 - _PART))).bitwiseOR(q["id"]))
+    near = F.struct(F.get(parts, k - 2).alias("before"), part(F.get(parts, k + 1)).alias("after"), F.shiftright(e, 43).alias("id"))
+    return F.flatten(F.array(F.slice(parts, F.lit(1), k - 2), _let(near, one), F.slice(parts, k + 2, F.lit(2**30))))
+
+
+def _places(parts: Column) -> Column:
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda e: e.bitwiseAND(_long((1 << 43) - 1)))
+
+
+def _steps(piece: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.char_length(piece) - 1, F.lit(1)))
+
+
+def fold_merges(piece: Column, m: Column, table: MergeTable) -> Column:
+    """The parts of one piece, given with one character for each byte: place of the first byte << 20 | id."""
+    def step(acc: Column, _: Column) -> Column:
+        return _let(F.array_min(acc), lambda e: F.when(e >= _long(_NO_RANK << 43), acc).otherwise(
+            _let(F.array_position(acc, e).cast("int"), lambda k: _joined(acc, e, k, m, table))))
 
+    return F.aggregate(_steps(piece), _parts(piece, m), step, _places)
 
-def fold_merges(piece: Column, slots: Column, mask: int, pairs: Column) -> Column:
-    """The parts of one piece, given with one character for each byte: place of the first byte << 20 | id.
 
-    The fold's state is one array: for each part, rank of the pair that it begins << 43 | its first byte's place
-    << 20 | id. Its minimum is the leftmost pair of the lowest rank. An end mark on either side pairs with nothing."""
-    long = lambda x: F.lit(x).cast("long")
-    end = F.array(long(_NO_RANK << 43 | _PART))
-    part = lambda e: e.bitwiseAND(long(_PART))
+def fold_short(piece: Column, m: Column, table: MergeTable) -> Column:
+    """As fold_merges, of at most SHORT bytes: one bit for each place where a part begins tells where in the array a part is."""
+    place = lambda e: F.shiftright(e, 20).bitwiseAND(_long(_PLACES - 1)).cast("int")
+    bit = lambda n: F.call_function("shiftleft", _long(1), n)
 
-    def merged(acc: Column, e: Column, k: Column) -> Column:
-        """`acc` with its elements k and k + 1 (from 1) as one part, and the ranks beside it anew."""
-        before, after, low = F.get(acc, k - 2), F.get(acc, k + 1), F.shiftright(e, 43)
-        rank = lambda a, b: F.shiftleft(merged_id(slots, mask, a, b), 43)
-        return F.concat(
-            F.slice(acc, F.lit(1), k - 2),
-            F.array(
-                rank(part(before), low).bitwiseOR(before.bitwiseAND(long((1 << 43) - 1))),
-                rank(low, part(after)).bitwiseOR(e.bitwiseAND(long((1 << 43) - 1 - _PART))).bitwiseOR(low)),
-            F.slice(acc, k + 2, F.lit(2**30)))
+    def merged(acc: Column, e: Column) -> Column:
+        parts, starts = acc["parts"], acc["starts"]
+        return _let(F.bit_count(starts.bitwiseAND(bit(place(e)) - 1)) + 2, lambda k: F.struct(
+            _joined(parts, e, k, m, table).alias("parts"), starts.bitwiseXOR(bit(place(F.get(parts, k)))).alias("starts")))
 
     def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc), lambda e: F.when(e >= long(_NO_RANK << 43), acc).otherwise(
-            _let(F.array_position(acc, e).cast("int"), lambda k: merged(acc, e, k))))
+        return _let(F.array_min(acc["parts"]), lambda e: F.when(e >= _long(_NO_RANK << 43), acc).otherwise(merged(acc, e)))
 
-    start = _let(F.transform(F.split(piece, ""), F.ascii), lambda codes: F.concat(end, F.transform(codes, lambda c, i: F.get(
-        pairs, c * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256))).bitwiseOR(F.shiftleft(i.cast("long"), 20))), end))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.char_length(piece) - 1, F.lit(1))), start, step, lambda acc: F.transform(
-        F.slice(acc, F.lit(2), F.size(acc) - 2), lambda e: e.bitwiseAND(long((1 << 43) - 1))))
+    start = F.struct(_parts(piece, m).alias("parts"), (bit(F.char_length(piece)) - 1).alias("starts"))
+    return F.aggregate(_steps(piece), start, step, lambda acc: _places(acc["parts"]))
 
 
 def fold_chunks(piece: Column, fold, overlap: int) -> Column:
@@ -186,8 +225,7 @@ class ByteBpe:
         if max(self.ids.values()) >= _PART:
             raise ValueError(f"ids up to {_PART - 1} only")
         merges = last_merges(self.ids)
-        slots = merge_table(merges)
-        self.slots, self.mask = literal(spark, pa.array(slots, pa.int64())), len(slots) - 1
+        self.merges = MergeTable(spark, merges)
         self.overlap = max(OVERLAP, max(map(len, self.ids)))
         self.pairs = literal(spark, pa.array(byte_pairs(self.ids, merges), pa.int64()))
         pieces = {i: b for b, i in self.ids.items()}
@@ -222,16 +260,16 @@ class ByteBpe:
         return self
 
     def _tables(self) -> list[Column]:
-        return [getattr(self, c).alias(f"_{c}") for c in ("known", "slots", "pairs")]
+        return [t.alias(c) for t, c in ((self.known, "_known"), (self.merges.slots, "_slots"), (self.merges.shifts, "_shifts"), (self.pairs, "_pairs"))]
 
     def _with_tables(self, body) -> Column:
-        return _let(F.struct("_known", "_slots", "_pairs"), body)
+        return _let(F.struct("_known", "_slots", "_shifts", "_pairs"), body)
 
     def _fold(self, piece: Column, m: Column) -> Column:
-        fold = lambda x: fold_merges(x, m["_slots"], self.mask, m["_pairs"])
+        fold = lambda x: fold_merges(x, m, self.merges)
         small = F.octet_length(piece) < _PLACES
         raw = F.encode(piece, "UTF-8")
-        parts = F.when(F.octet_length(piece) <= 4 * self.overlap, fold(latin(piece))).otherwise(
+        parts = F.when(F.octet_length(piece) <= SHORT, fold_short(latin(piece), m, self.merges)).when(F.octet_length(piece) <= 4 * self.overlap, fold(latin(piece))).otherwise(
             F.coalesce(fold_chunks(raw, fold, self.overlap), F.when(small, fold(latin(piece))).otherwise(F.raise_error(F.lit("a piece of over 8 MB whose chunks share no id")))))
         return F.transform(parts, lambda e: e.bitwiseAND(F.lit(_PART).cast("long")).cast("int"))
 

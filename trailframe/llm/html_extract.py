@@ -2,8 +2,9 @@
 
 A page becomes a flat list of text blocks. A block's features are its word count and link density, those of the
 blocks before and after it, and what its tags say: inside a main element that is not in furniture, inside furniture
-(menus, headers, footers, forms, adverts, comments and the like), a heading. A decision tree, grown on the small
-labelled table below, keeps or drops it.
+(menus, headers, footers, forms, adverts, comments and the like), a heading. An element that is named like furniture
+but holds most of the page's words and its main heading is a wrapper and says nothing. A decision tree, grown on the
+small labelled table below, keeps or drops the block.
 
 Edge cases: null and empty pages have an empty text; pages without tags are one block; unclosed and stray tags
 close as browsers do, comments and raw text elements run to the end if unclosed; a null id or url stays null;
@@ -36,8 +37,15 @@ MAIN_TAGS = {"article", "main"}
 FURNITURE_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu
     header masthead topbar footer bottombar sidebar aside rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
     subscription signup login search share sharing social follow comment comments commentlist disqus reply replies respond discussion related recommended
-    recommendations more trending popular breadcrumb breadcrumbs crumbs pagination pager paging toolbar widget widgets copyright legal disclaimer complementary
+    recommendations trending popular breadcrumb breadcrumbs crumbs pagination pager paging toolbar widget widgets copyright legal disclaimer complementary
     contentinfo form tags taglist skip""".split())
+#: Of those, the words that count on a paragraph or heading itself, too, and those of reader comments, which are never wrappers.
+TEXT_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr
+    notice notices newsletter breadcrumb breadcrumbs copyright disclaimer comment comments reply replies""".split())
+COMMENT_WORDS = set("comment comments commentlist disqus reply replies respond discussion".split())
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption"}
+#: A class with one of these before `header` names the head of a text; one that starts with one of those tells of others.
+TEXT_HEADS, MODIFIERS = {"post", "entry", "article", "story", "content", "section", "chapter", "page"}, {"has", "no", "with", "without", "is", "js"}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "main", "heading")
 #: The labelled table: the features of a block, then whether it belongs to the article.
@@ -185,36 +193,62 @@ def verdict(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-def _named_furniture(attributes: str) -> bool:
+def _name_words(attributes: str) -> set[str]:
+    """The words of class, id and role; `hidden` for an element that isn't shown."""
     if not attributes or not re.search(r"(?i)class|id|role|hidden|style", attributes):
-        return False
+        return set()
+    found: set[str] = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden" or name == "style" and re.search(r"(?i)display\s*:\s*none", value) or name == "aria-hidden" and "true" in value:
-            return True
-        if name in ("class", "id", "role") and FURNITURE_WORDS & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
-    return False
+            found.add("hidden")
+        elif name in ("class", "id", "role"):
+            for each in re.sub(r"([a-z])([A-Z])", r"\1 \2", value.strip("\"'")).replace("_", "-").lower().split():
+                words = re.findall(r"[a-z]+", each)
+                if words and words[0] not in MODIFIERS:
+                    found.update(w for w in words if w != "header" or not TEXT_HEADS & set(words))
+    return found
+
+
+class _Element:
+    """An open element: `named` says that its class, id or role is furniture, `tagged` that its tag is; what it holds is added up."""
+
+    def __init__(self, tag: str, attributes: str, in_main: bool):
+        words = _name_words(attributes)
+        self.tag, self.main = tag, tag in MAIN_TAGS
+        self.hidden, self.comment = "hidden" in words, bool(COMMENT_WORDS & words)
+        whole = tag in ("html", "body", "head")
+        self.named = not whole and not self.main and bool(words & (TEXT_WORDS if tag in TEXT_TAGS else FURNITURE_WORDS))
+        self.named = self.named or self.main and self.comment
+        self.tagged = tag in FURNITURE_TAGS and not (tag == "header" and in_main)
+        self.words, self.top = 0, False
+
+    def is_furniture(self, words: int, has_top: bool) -> bool:
+        if self.hidden or not (self.named or self.tagged):
+            return self.hidden
+        wrapper = not self.comment and (self.top and 2 * self.words >= words or not has_top and 5 * self.words >= 4 * words)
+        return not wrapper
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, link density in percent, in furniture, in main, is heading) of the text blocks in page order."""
     out: list = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, main
+    stack: list[_Element] = []
     parts: list[str] = []
     linked: list[str] = []
     in_link, at, n = 0, 0, len(page)
-    heading = False
+    heading = ""
 
     def flush() -> None:
-        nonlocal heading
         if parts:
             text = " ".join(html_entities.unescape("".join(parts)).split())
             if text:
                 words = text.count(" ") + 1
                 links = len(html_entities.unescape("".join(linked)).split()) if linked else 0
-                top = stack[-1] if stack else ("", False, False)
-                out.append((text, words, round(100 * min(links, words) / words), int(top[1]), int(top[2]), int(heading)))
+                out.append((text, words, round(100 * min(links, words) / words), tuple(stack), int(heading != "")))
+                for e in stack:
+                    e.words += words
+                    e.top = e.top or heading == "h1" or any(x.tag == "main" for x in stack)
             parts.clear()
             linked.clear()
 
@@ -249,34 +283,39 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         elif name in VOID or name in RAW:
             if name == "hr":
                 flush()
-        elif name in INLINE and not _named_furniture(m[3]):
-            if closing and any(s[0] == name for s in stack):  # one that was pushed as furniture
+        elif name in INLINE and not (m[3] and _name_words(m[3]) & (TEXT_WORDS | {"hidden"})):
+            if closing and any(s.tag == name for s in stack):  # one that was pushed as furniture
                 flush()
-                while stack.pop()[0] != name:
+                while stack.pop().tag != name:
                     pass
         elif closing:
             flush()
             in_link = 0
-            heading = False if re.fullmatch(r"h[1-6]", name) else heading
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            heading = "" if re.fullmatch(r"h[1-6]", name) else heading
+            if any(s.tag == name for s in stack):
+                while stack.pop().tag != name:
                     pass
         else:
             flush()
-            heading = bool(re.fullmatch(r"h[1-6]", name))
+            heading = name if re.fullmatch(r"h[1-6]", name) else ""
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] not in IMPLIED.get(name, ()) and not (stack[k][0] == "p" and name not in INLINE):
+                if stack[k].tag not in IMPLIED.get(name, ()) and not (stack[k].tag == "p" and name not in INLINE):
                     break
                 stack.pop()
-            _, furniture, main = stack[-1] if stack else ("", False, False)
-            if name in MAIN_TAGS:
-                main = main or not furniture  # a teaser or a comment may be an article, too
-            elif name not in ("html", "body", "head"):
-                furniture = furniture or _named_furniture(m[3]) or name in FURNITURE_TAGS and not (name == "header" and main)
-            if not m[3].endswith("/") or name not in VOID:
-                stack.append((name, furniture, main))
+            stack.append(_Element(name, m[3], any(s.main for s in stack)))
     flush()
-    return out
+    words, has_top = sum(b[1] for b in out if not any(e.comment for e in b[3])), any(e.top for b in out for e in b[3][:1])
+    verdicts: dict[int, bool] = {}
+    found = []
+    for text, size, links, around, is_heading in out:
+        furniture = main = False
+        for e in around:
+            main = main or e.main and not furniture  # a teaser or a comment may be an article, too
+            if id(e) not in verdicts:
+                verdicts[id(e)] = e.is_furniture(words, has_top)
+            furniture = furniture or verdicts[id(e)]
+        found.append((text, size, links, int(furniture), int(main), is_heading))
+    return found
 
 
 def main_text(page: str | None, tree: tuple | int) -> str:
