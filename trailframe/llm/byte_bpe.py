@@ -2,9 +2,8 @@
 
 A piece (a match of the splitting pattern) becomes an array of its bytes; a fold merges the leftmost pair of the
 lowest rank until no pair has one. Ranks of pairs of ids, ids of known pieces and the binary pieces of ids are
-literals of bounded size (hash tables in arrays, so that a lookup takes constant time). Distinct pieces outside the
-vocabulary are counted over all texts; the frequent ones are folded once, in a table of their own, and the others
-where they stand. Nothing is shuffled but the counts of distinct pieces. Decoding concatenates the ids' binary pieces.
+literals of bounded size (hash tables in arrays, so that a lookup takes constant time). Distinct pieces are counted
+over all texts; the frequent ones are folded once, in a table of their own, and the others where they stand. Nothing is shuffled but the counts of distinct pieces. Decoding concatenates the ids' binary pieces.
 
 Only one pair of ids can make a given piece: inside a longer text the bytes of a piece that will be one merge as
 they do alone, so the last merge is always that of the piece by itself. Likewise a row of ids is what the merges give
@@ -31,7 +30,7 @@ from trailframe.llm.common import stored, table
 
 #: Parameters: frequent pieces that are folded once at most (and bytes of each), buckets of the map of pieces, bytes
 #: that two chunks of a long piece share at least.
-FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 400_000, 64, 262_144, 64
+FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 600_000, 64, 262_144, 64
 #: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
 _PLACES, _FREE = 2**23, 2**62
@@ -230,18 +229,15 @@ class ByteBpe:
         self.pairs = literal(spark, pa.array(byte_pairs(self.ids, merges), pa.int64()))
         pieces = {i: b for b, i in self.ids.items()}
         self.pieces = literal(spark, pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary()))
-        whole = {b: i for b, i in self.ids.items() if b.decode("utf-8", "ignore").encode() == b}  # what a piece can be
-        self.words = pa.array(list(whole), pa.binary()).cast(pa.string()), pa.array([[i] for i in whole.values()], pa.list_(pa.int32()))
-        self.known = bucketed(spark, *self.words)
+        self.known = bucketed(spark, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
 
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def frequent(self, docs: DataFrame, n: int = FREQUENT) -> DataFrame:
-        """The pieces outside the vocabulary that occur most often, at most n: all of those above a power of two that leaves so many."""
-        words = F.broadcast(self.spark.createDataFrame(pa.table({"piece": self.words[0]})))
+        """The pieces that occur most often, at most n: all of those above a power of two that leaves so many, and a share of the next."""
         counts = docs.select(F.explode(self.split(F.col("text"))).alias("piece")).groupBy("piece").count()
-        counts = counts.where((F.col("count") > 1) & (F.octet_length("piece") <= PIECE_BYTES)).join(words, "piece", "left_anti").withColumn("power", F.floor(F.log2("count")))
+        counts = counts.where((F.col("count") > 1) & (F.octet_length("piece") <= PIECE_BYTES)).withColumn("power", F.floor(F.log2("count")))
         counts = stored(counts)
         least, left = 64, n
         for power, k in sorted(counts.groupBy("power").agg(F.count("*").alias("k")).collect(), reverse=True):  # a row for each power of two
@@ -255,8 +251,7 @@ class ByteBpe:
 
     def fit(self, docs: DataFrame, n: int = FREQUENT) -> ByteBpe:
         folded = self.frequent(docs, n).repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
-        words, ids = self.words
-        self.known = bucketed(self.spark, pa.concat_arrays([words, folded.column("piece").combine_chunks()]), pa.concat_arrays([ids, folded.column("ids").combine_chunks()]))
+        self.known = bucketed(self.spark, folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks())
         return self
 
     def _tables(self) -> list[Column]:
@@ -280,13 +275,9 @@ class ByteBpe:
         return docs.select(*rest, text, *self._tables()).select(*rest, coded.alias(ids))
 
     def decode(self, docs: DataFrame, ids: str, out: str) -> DataFrame:
-        """Adds the binary pieces of the ids, one after another, as column `out`: runs of ids first, then the runs."""
-        empty, n = F.lit(b""), F.size(ids)
-        run = F.ceil(F.sqrt(n)).cast("int")  # as many runs as ids in each
-        runs = lambda pieces: F.transform(F.sequence(F.lit(0), F.ceil(n / run).cast("int") - 1), lambda k: F.aggregate(
-            F.slice(F.col(ids), k * run + 1, run), empty, lambda acc, i: F.concat(acc, F.get(pieces, i))))
-        joined = _let(F.col("_pieces"), lambda pieces: F.aggregate(runs(pieces), empty, lambda acc, x: F.concat(acc, x)))
-        return docs.select("*", self.pieces.alias("_pieces")).select(*docs.columns, F.when(n > 0, joined).otherwise(empty).alias(out))
+        """Adds the binary pieces of the ids, one after another, as column `out`. A cast to a string and back leaves the bytes as they are."""
+        joined = _let(F.col("_pieces"), lambda pieces: F.array_join(F.transform(F.col(ids), lambda i: F.get(pieces, i).cast("string")), ""))
+        return docs.select("*", self.pieces.alias("_pieces")).select(*docs.columns, joined.cast("binary").alias(out))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
