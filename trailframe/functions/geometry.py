@@ -37,9 +37,10 @@ def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.sin(dl) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl))), F.lit(360.0))
 
 
-def turn(a: Column, b: Column) -> Column:
-    """Signed change from bearing a to b, in [-180, 180)."""
-    return F.pmod(b - a + 180, F.lit(360.0)) - 180
+def angle_between(a: Column, b: Column) -> Column:
+    """Signed change from bearing a to b, in [-180, 180]."""
+    d = b - a
+    return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
 
 
 def project_on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Buckets of access classes for the policy; boxes of regions (west, south, east, north); neighbours of regions; main classes; km/h by surface code.
 ACCESS_BUCKET = {
-    "verified": "verified", "motorized_permissive": "permissive", "permissive": "permissive", "motorized_unknown": "unknown",
-    "unknown": "unknown", "restricted": "restricted", "excluded": "excluded",
+    "motorized_verified": "motorized_permissive", "motorized_permissive": "motorized_permissive", "motorized_restricted": "motorized_restricted",
+    "restricted": "motorized_restricted", "motorized_excluded": "motorized_excluded", "excluded": "motorized_excluded",
 }
 REGION_BOXES = {
     "ns": (-66.6, 43.3, -59.5, 47.2), "pe": (-64.6, 45.8, -61.9, 47.2), "nb": (-69.3, 44.5, -63.8, 48.2), "nl": (-67.9, 46.5, -52.5, 60.5),
@@ -18,9 +18,12 @@ REGION_BOXES = {
     "ab": (-120.1, 48.9, -109.9, 60.1), "bc": (-139.1, 48.2, -114.0, 60.1), "yt": (-141.1, 59.8, -123.8, 69.7), "nt": (-136.5, 60.0, -102.0, 78.8), "nu": (-120.9, 51.6, -60.9, 83.2),
 }
 REGION_NEIGHBOURS = {
-    "bc": "ab yt nt", "ab": "bc sk nt", "sk": "ab mb nt", "mb": "sk on nu", "on": "mb qc", "qc": "on nb nl", "nb": "qc ns pe", "ns": "nb", "pe": "nb", "nl": "qc",
-    "yt": "bc nt", "nt": "yt bc ab sk nu", "nu": "nt mb",
+    "bc": ("ab", "yt", "nt"), "ab": ("bc", "sk", "nt"), "sk": ("ab", "mb", "nt"), "mb": ("sk", "on", "nu"), "on": ("mb", "qc"), "qc": ("on", "nb", "nl"),
+    "nb": ("qc", "ns", "pe"), "ns": ("nb",), "pe": ("nb",), "nl": ("qc",), "yt": ("bc", "nt"), "nt": ("yt", "bc", "ab", "sk", "nu"), "nu": ("nt", "mb"),
 }
+#: Meridians and parallels that part regions whose boxes overlap; banks of a border river by longitude (from, least latitude of the north bank).
+WEST_EAST = (("on", "mb", -95.15, "mb", "on"), ("mb", "sk", -101.36, "sk", "mb"), ("sk", "ab", -110.0, "ab", "sk"))
+NORTH_BANK = ((-75.55, 45.475), (-75.75, 45.44), (-75.95, 45.4), (-76.5, 45.38))
 SPINE_CLASSES = ("freeway", "arterial", "collector")
 SPEEDS_KMH = (70, 45, 35, 25, 30)
 
@@ -28,7 +31,7 @@ SPEEDS_KMH = (70, 45, 35, 25, 30)
 def access_for_policy(access: Column) -> Column:
     """The policy's bucket of an access class; what isn't listed is unknown."""
     named = F.create_map(*(F.lit(x) for kv in ACCESS_BUCKET.items() for x in kv))
-    return F.coalesce(F.element_at(named, access), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(named, access), F.lit("motorized_unknown"))
 
 
 def normalized_policy(permissive: Column, unknown: Column, profile: Column) -> Column:
@@ -62,6 +65,29 @@ def smallest_region(lon: Column, lat: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(inside(*kv[1]), kv[0]), rest, F.when(inside(*box), name))
 
 
+def primary_region(lon: Column, lat: Column) -> Column:
+    """The region of a point: that of the smallest box, unless a rule parts the regions whose boxes it lies in. Null outside."""
+    inside = {name: lon.between(w, e) & lat.between(s, n) for name, (w, s, e, n) in REGION_BOXES.items()}
+    both = lambda *names: reduce(lambda a, b: a & b, (inside[n] for n in names))
+    bank = reduce(lambda acc, b: acc.when(lon >= b[0], lat >= b[1]), NORTH_BANK, F.when((lon < -76.5) | (lon > -74.5), False)).otherwise(False)
+    rule = F.when(both("ab", "bc"), F.when(F.when(lat >= 54, lon < -120).otherwise(lon < -116.4), "bc").otherwise("ab"))
+    for a, b, meridian, west, east in WEST_EAST:
+        rule = rule.when(both(a, b), F.when(lon < meridian, west).otherwise(east))
+    rule = rule.when(both("on", "qc"), F.when((lon >= -74.5) | ((lat >= 45.9) & (lon >= -76.0)) | bank, "qc").otherwise("on"))
+    bridge = F.when(lat < 46.0, "nb").when(lon >= -63.75, "pe").otherwise("nb")
+    isthmus = F.when(lon >= -64.27, "ns").otherwise("nb")
+    rule = rule.when(both("ns", "nb", "pe"), F.when(lat < 46.0, isthmus).when(lon >= -63.75, "pe").otherwise("nb"))
+    rule = rule.when(both("ns", "pe"), "pe").when(both("ns", "nb"), isthmus).when(both("nb", "pe"), bridge)
+    valley = F.when((lon <= -68.45) | ((lat >= 47.7) & (lon <= -68.2)), "qc").when((lon <= -67.2) & (lat >= 47.0), "nb")
+    return F.coalesce(rule.when(both("nb", "qc"), valley), smallest_region(lon, lat))
+
+
+def region_family(region: Column) -> Column:
+    """Regions of one province: those named after it."""
+    low = F.lower(region)
+    return F.when((low == "qc") | low.startswith("qc-"), "qc").otherwise(low)
+
+
 def heading(degrees: Column) -> Column:
     """A compass direction in [0, 360); null for what isn't a number."""
     value = degrees.cast("double")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.functions.geometry import bearing_rough, cell, folded_difference, haversine
+from trailframe.operators.components import checkpointed
+from trailframe.operators.regional import settle
 
 #: Cell of the grid (1e-5 degrees), distance in metres and folded bearing difference up to which lines are one.
 CELL_E5, NEAR_M, NEAR_DEG = 200, 28.0, 28.0
@@ -31,3 +33,29 @@ def conflate(backbone: DataFrame, supplement: DataFrame) -> DataFrame:
     """(key, role): the backbone, and the lines of the supplement that repeat none of it."""
     pairs = duplicate_pairs(backbone, supplement).select(F.col("sup_key").alias("key")).distinct()
     return backbone.select("key", F.lit("backbone").alias("role")).unionByName(supplement.join(pairs, "key", "left_anti").select("key", F.lit("supplement").alias("role")))
+
+
+def resolved(backbone: DataFrame, supplement: DataFrame) -> DataFrame:
+    """(key, role, surface, enriched_by, duplicate_of) of all lines (key, x1, y1, x2, y2, surface), in the order of their keys.
+
+    A line of the supplement repeats the first line of the backbone near it, or else the first accepted one of the
+    supplement before it; otherwise it is accepted. An unknown surface takes that of the first line that repeats it and has
+    a paved, gravel or resource one. Each round decides the lines whose earlier neighbours are decided."""
+    first = duplicate_pairs(backbone, supplement).groupBy(F.col("sup_key").alias("key")).agg(F.min("base_key").alias("duplicate_of"))
+    known = checkpointed(first.select("key", "duplicate_of", F.lit("backbone").alias("of")))
+    rest = checkpointed(supplement.join(known, "key", "left_anti").select("key", "x1", "y1", "x2", "y2"))
+    pairs = duplicate_pairs(rest, rest).where("base_key < sup_key").select(F.col("sup_key").alias("place"), F.col("base_key").alias("other"), F.lit(0.0).alias("meters"))
+    own = settle(rest.select(F.col("key").alias("place")), pairs)  # of equal distances the earliest
+    found = known.unionByName(own.where("owner <> place").select(F.col("place").alias("key"), F.col("owner").alias("duplicate_of"), F.lit("supplement").alias("of")))
+    better = supplement.where(F.col("surface").isin("paved", "gravel", "resource")).join(found, "key").groupBy("duplicate_of", "of").agg(F.min(F.struct("key", "surface")).alias("best"))
+    lines = backbone.select("key", F.lit("backbone").alias("role"), "surface").unionByName(supplement.select("key", F.lit("supplement").alias("role"), "surface"))
+    joined = lines.join(better.select(F.col("duplicate_of").alias("key"), F.col("of").alias("role"), "best"), ["key", "role"], "left").join(found.select("key", F.lit("supplement").alias("role"), "duplicate_of"), ["key", "role"], "left")
+    fits = (F.coalesce("surface", F.lit("unknown")) == "unknown") & F.col("best").isNotNull()
+    role = F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise(F.col("role"))
+    return joined.select("key", role.alias("role"), F.when(fits, F.col("best.surface")).otherwise(F.col("surface")).alias("surface"), F.when(fits, F.col("best.key")).alias("enriched_by"), "duplicate_of")
+
+
+def statistics(resolved_lines: DataFrame) -> DataFrame:
+    """One row: lines of the backbone kept, of the supplement added and skipped, and surfaces that were found."""
+    role = F.col("role")
+    return resolved_lines.agg(F.count_if(role == "backbone").alias("kept"), F.count_if(role == "supplement").alias("added"), F.count_if(role == "duplicate").alias("skipped"), F.count("enriched_by").alias("enriched"))

@@ -127,7 +127,7 @@ def tcad_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p15_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of interest from `part`: a tag each for fuel, shops and lodging by size, counted by kind."""
     size = F.col("p_size")
-    tags = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(size % 5 == 0, "fuel").alias("amenity"), F.when(size % 3 == 0, "wine").alias("shop"), F.when(size % 7 == 0, "motel").when(size % 7 == 1, "camp_site").alias("tourism"))
+    tags = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(size % 5 == 0, "fuel").alias("amenity"), F.when(size % 3 == 0, "alcohol").when(size % 3 == 1, "wine").alias("shop"), F.when(size % 7 == 0, "motel").when(size % 7 == 1, "camp_site").alias("tourism"))
     return tags.select(classify.category(F.col("amenity"), F.col("shop"), F.col("tourism")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "J02_conflate": _LINES_SQL + " SELECT key, 'backbone' AS role FROM base UNION ALL SELECT key, 'supplement' FROM sup WHERE key NOT IN (SELECT sup_key FROM pairs)",
     "K04_grid_chunks": _LINES_SQL + " SELECT CAST(floor(x1 / 40000) AS BIGINT) AS cx, CAST(floor(y1 / 40000) AS BIGINT) AS cy, count(*) AS edges, min(least(x1, x2)) AS x_min, max(greatest(x1, x2)) AS x_max, min(least(y1, y2)) AS y_min, max(greatest(y1, y2)) AS y_max FROM l GROUP BY 1, 2",
     "P15_categories": "SELECT CASE WHEN p_size % 5 = 0 THEN 'fuel' WHEN p_size % 3 = 0 THEN 'liquor' WHEN p_size % 7 = 0 THEN 'lodging' WHEN p_size % 7 = 1 THEN 'campground' END AS kind, count(*) AS n FROM part GROUP BY 1",
-    "P21_edge_ids": _NET + " SELECT edge_id, 'net-' || substr(sha1(concat_ws('|', CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(seq AS VARCHAR))), 1, 12) AS stable_id, ['paved', 'gravel', 'access', 'track', 'unknown'][s + 1] AS surface, ['verified', 'permissive', 'unknown', 'restricted', 'excluded'][ac + 1] AS access, ac IN (0, 1) AS allowed FROM e",
+    "P21_edge_ids": _NET + " SELECT edge_id, 'net-' || substr(sha1(concat_ws('|', CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(seq AS VARCHAR))), 1, 12) AS stable_id, ['paved', 'gravel', 'access', 'track', 'unknown'][s + 1] AS surface, ['motorized_verified', 'motorized_permissive', 'motorized_unknown', 'motorized_restricted', 'motorized_excluded'][ac + 1] AS access, ac IN (0, 1) AS allowed FROM e",
     "RCC_components": _NET + _CC + " SELECT node, component FROM cc",
     "RCOST_edge_costs": _NET + f" SELECT edge_id, CAST({_COST_SQL} AS BIGINT) AS cost FROM e",
     "RLCC_largest": _NET + _CC + ", g AS (SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT edge_id, a, b, m FROM x WHERE a IN (SELECT node FROM cc WHERE component = (SELECT component FROM g))",

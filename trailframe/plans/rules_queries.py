@@ -12,7 +12,7 @@ from trailframe.sources.network import EDGES_SQL, NODES_SQL, edges, nodes
 from trailframe.streaming.presence import presence_rows
 
 _NET = f"WITH RECURSIVE n AS ({NODES_SQL}), e AS ({EDGES_SQL})"
-_ACCESS = "['verified', 'permissive', 'unknown', 'restricted', 'excluded'][ac + 1]"
+_BUCKET = "['motorized_permissive', 'motorized_permissive', 'motorized_unknown', 'motorized_restricted', 'motorized_excluded'][ac + 1]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,9 @@ def p19_access_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p22_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges open under each of the four policies, in one pass."""
-    access = classify.code_name(F.col("ac"), classify.ACCESSES)
-    return edges(spark, sf_dir).agg(*(F.count_if(classify.access_allowed(access, p, u)).alias(f"permissive_{int(p)}_unknown_{int(u)}") for p in (False, True) for u in (False, True)))
+    """Edges open under each of the four policies, in one pass; every seventh is of the open street map."""
+    access, source = classify.code_name(F.col("ac"), classify.ACCESSES), F.when(F.col("seq") % 7 == 0, "OpenStreetMap roads").otherwise("Topographic")
+    return edges(spark, sf_dir).agg(*(F.count_if(classify.access_allowed(access, p, u, source)).alias(f"permissive_{int(p)}_unknown_{int(u)}") for p in (False, True) for u in (False, True)))
 
 
 def p23_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def p29_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p31_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     lon, lat = F.lit(-141.0) + (key * 37 % 900) / 10.0, F.lit(41.0) + (key * 53 % 420) / 10.0
-    return _table(spark, sf_dir, "customer").select(key, rules.smallest_region(lon, lat).alias("region"))
+    return _table(spark, sf_dir, "customer").select(key, rules.smallest_region(lon, lat).alias("smallest"), rules.primary_region(lon, lat).alias("region"))
 
 
 def p33_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def rell_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rbfs_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops between all regions: all searches run in the same rounds."""
-    pairs = spark.createDataFrame([(a, b) for a, bs in rules.REGION_NEIGHBOURS.items() for b in bs.split()], "a string, b string")
+    pairs = spark.createDataFrame([(a, b) for a, bs in rules.REGION_NEIGHBOURS.items() for b in bs], "a string, b string")
     starts = pairs.select(F.col("a").alias("query"), F.col("a").alias("node")).distinct()
     return graph.shortest_paths(pairs, starts, F.lit(1)).select("query", "node", F.col("cost").alias("hops"))
 
@@ -208,7 +208,29 @@ def _segment_sql(a: tuple, b: tuple) -> str:
 
 
 _PRESENCE = "r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'breakdown' WHEN 'signup' THEN 'stuck' ELSE 'available' END AS status, CASE WHEN event_id % 7 <> 0 THEN -6600000 + CAST(floor(value) AS BIGINT) % 1000 END AS lng_e5 FROM events)"
-_NEIGHBOURS = ", ".join(f"('{a}', '{b}')" for a, bs in rules.REGION_NEIGHBOURS.items() for b in bs.split())
+
+
+def _regions_sql() -> str:
+    """Boxes as a table of hits for each point; rules over the set of hits, written out."""
+    boxes = ", ".join(f"('{n}', {w}::DOUBLE, {s}::DOUBLE, {e}::DOUBLE, {u}::DOUBLE, {k})" for k, (n, (w, s, e, u)) in enumerate(rules.regions_by_area()))
+    has = lambda *names: " AND ".join(f"list_contains(ids, '{n}')" for n in names)
+    return f"""WITH p AS (SELECT c_custkey, -141.0::DOUBLE + (c_custkey * 37 % 900) / 10.0::DOUBLE AS lon, 41.0::DOUBLE + (c_custkey * 53 % 420) / 10.0::DOUBLE AS lat FROM customer),
+b(name, w, s, e, n, k) AS (VALUES {boxes}), h AS (SELECT c_custkey, lon, lat, coalesce(list(name ORDER BY k) FILTER (name IS NOT NULL), []) AS ids FROM p LEFT JOIN b ON lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY ALL)
+SELECT c_custkey, ids[1] AS smallest, coalesce(CASE
+  WHEN {has('ab', 'bc')} THEN CASE WHEN lat >= 54 AND lon < -120 OR lat < 54 AND lon < -116.4 THEN 'bc' ELSE 'ab' END
+  WHEN {has('on', 'mb')} THEN CASE WHEN lon < -95.15 THEN 'mb' ELSE 'on' END
+  WHEN {has('mb', 'sk')} THEN CASE WHEN lon < -101.36 THEN 'sk' ELSE 'mb' END
+  WHEN {has('sk', 'ab')} THEN CASE WHEN lon < -110 THEN 'ab' ELSE 'sk' END
+  WHEN {has('on', 'qc')} THEN CASE WHEN lon >= -74.5 OR lat >= 45.9 AND lon >= -76 OR lon BETWEEN -76.5 AND -74.5 AND lat >= CASE WHEN lon >= -75.55 THEN 45.475 WHEN lon >= -75.75 THEN 45.44 WHEN lon >= -75.95 THEN 45.4 ELSE 45.38 END THEN 'qc' ELSE 'on' END
+  WHEN {has('ns', 'nb', 'pe')} THEN CASE WHEN lat < 46 AND lon >= -64.27 THEN 'ns' WHEN lat >= 46 AND lon >= -63.75 THEN 'pe' ELSE 'nb' END
+  WHEN {has('ns', 'pe')} THEN 'pe'
+  WHEN {has('ns', 'nb')} THEN CASE WHEN lon >= -64.27 THEN 'ns' ELSE 'nb' END
+  WHEN {has('nb', 'pe')} THEN CASE WHEN lat >= 46 AND lon >= -63.75 THEN 'pe' ELSE 'nb' END
+  WHEN {has('nb', 'qc')} AND (lon <= -68.45 OR lat >= 47.7 AND lon <= -68.2) THEN 'qc'
+  WHEN {has('nb', 'qc')} AND lon <= -67.2 AND lat >= 47 THEN 'nb' END, ids[1]) AS region FROM h"""
+
+
+_NEIGHBOURS = ", ".join(f"('{a}', '{b}')" for a, bs in rules.REGION_NEIGHBOURS.items() for b in bs)
 ORACLE_SQL = {
     "A04_degrees": _NET + " SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY v",
     "A08_boundary": _NET + ", x AS (SELECT * FROM e WHERE seq % 11 = 0), d AS (SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM x UNION ALL SELECT b FROM x) GROUP BY v), t AS (SELECT * FROM d JOIN n USING (node_id)), k AS (SELECT min(lon_e5) AS w, max(lon_e5) AS o, min(lat_e5) AS s, max(lat_e5) AS u FROM t) SELECT node_id FROM t, k WHERE degree = 1 AND ((lon_e5 - w) * 50 <= o - w OR (o - lon_e5) * 50 <= o - w OR (lat_e5 - s) * 50 <= u - s OR (u - lat_e5) * 50 <= u - s)",
@@ -219,12 +241,12 @@ ORACLE_SQL = {
     "J16_avoid": _NET + " SELECT edge_id, m FROM e WHERE seq NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "J17_live_members": "WITH s AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1) SELECT user_id % 10 AS group_id, count(*) AS members, count(*) FILTER (last_seen > (SELECT max(ts) FROM events) - INTERVAL 2 HOURS) AS live FROM s GROUP BY 1",
     "J19_visible": "WITH u AS (SELECT DISTINCT user_id FROM events) SELECT a.user_id, count(*) AS visible FROM u a JOIN u b ON a.user_id % 10 = b.user_id % 10 OR a.user_id % 7 = b.user_id % 7 GROUP BY 1",
-    "P19_access_buckets": _NET + f" SELECT {_ACCESS} AS bucket, CASE WHEN rt = 'resource' THEN 'access' ELSE ['paved', 'gravel', 'access', 'track', 'unknown'][s + 1] END AS surface, count(*) AS edges, CAST(sum(m) AS BIGINT) AS meters FROM e GROUP BY 1, 2",
-    "P22_policies": _NET + " SELECT count(*) FILTER (ac = 0) AS permissive_0_unknown_0, count(*) FILTER (ac IN (0, 2)) AS permissive_0_unknown_1, count(*) FILTER (ac IN (0, 1)) AS permissive_1_unknown_0, count(*) FILTER (ac IN (0, 1, 2)) AS permissive_1_unknown_1 FROM e",
+    "P19_access_buckets": _NET + f" SELECT {_BUCKET} AS bucket, CASE WHEN rt = 'resource' THEN 'access' ELSE ['paved', 'gravel', 'access', 'track', 'unknown'][s + 1] END AS surface, count(*) AS edges, CAST(sum(m) AS BIGINT) AS meters FROM e GROUP BY 1, 2",
+    "P22_policies": _NET + " SELECT count(*) FILTER (seq % 7 <> 0 AND ac = 0) AS permissive_0_unknown_0, count(*) FILTER (seq % 7 <> 0 AND ac IN (0, 2)) AS permissive_0_unknown_1, count(*) FILTER (seq % 7 = 0 OR ac IN (0, 1)) AS permissive_1_unknown_0, count(*) FILTER (seq % 7 = 0 OR ac IN (0, 1, 2)) AS permissive_1_unknown_1 FROM e",
     "P23_policy": "SELECT c_custkey, c_custkey % 3 <> 2 AS permissive, (c_custkey + 1) % 3 = 1 AND c_custkey % 4 <> 0 AS unknown FROM customer",
     "P25_spine": _NET + " SELECT edge_id, m FROM e WHERE rt IN ('freeway', 'arterial', 'collector') OR a % 30 = 0 AND (s <= 2 OR m >= 200) OR s <= 1 AND m >= 800",
     "P29_bits": _NET + " SELECT edge_id, CAST(s + 16 * ac + CASE WHEN seq % 2 = 0 THEN 256 ELSE 0 END AS INT) AS bits, CAST(s AS INT) AS surface, CAST(ac AS INT) AS access, seq % 2 = 0 AS seasonal FROM e",
-    "P31_regions": "WITH p AS (SELECT c_custkey, -141.0::DOUBLE + (c_custkey * 37 % 900) / 10.0::DOUBLE AS lon, 41.0::DOUBLE + (c_custkey * 53 % 420) / 10.0::DOUBLE AS lat FROM customer) SELECT c_custkey, CASE " + " ".join(f"WHEN lon BETWEEN {w}::DOUBLE AND {o}::DOUBLE AND lat BETWEEN {s}::DOUBLE AND {u}::DOUBLE THEN '{name}'" for name, (w, s, o, u) in rules.regions_by_area()) + " END AS region FROM p",
+    "P31_regions": _regions_sql(),
     "P33_headings": "SELECT event_id, CAST(((CAST(floor(value) AS BIGINT) * 7 - 900) % 360 + 360) % 360 AS BIGINT) AS heading FROM events",
     "P40_escape": """SELECT p_partkey, '&lt;name a=&quot;1&quot;&gt;' || replace(replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || ' &amp; &apos;co&apos;&lt;/name&gt;' AS escaped FROM part""",
     "Q05_join_codes": "WITH g AS (SELECT substr(sha1(s_name), 1, 6) AS code, s_suppkey AS group_id FROM supplier WHERE s_suppkey % 5 <> 0), q AS (SELECT c_custkey AS user_id, substr(sha1('Supplier#' || lpad(CAST(c_custkey % 120 AS VARCHAR), 9, '0')), 1, 6) AS code FROM customer WHERE c_custkey % 3 <> 0) SELECT user_id, group_id FROM q JOIN g USING (code)",
