@@ -18,8 +18,8 @@ from trailframe.operators.trips import percent
 # and by which roads of the wished surface seem nearer; widenings of the ellipse (none: no bound), what a path may cost in it.
 CELL, MATCH_M, WIDE_M, SOFT_M, PAVED_M = 0.01, 250.0, 750.0, 22.0, 30.0
 WIDENINGS, SANE = (1.0, 1.25, 1.6, None), 2.5
-#: Parameters: steps that are taken before labels are compared with those known, rounds at most.
-STEPS, ROUNDS = 4, 5_000
+#: Parameters: steps that are taken before labels are compared with those known, rounds at most, cells by which requests meet roads (degrees).
+STEPS, ROUNDS, AREA = 3, 5_000, 0.05
 _ROAD = ["edge_id", "a", "b", "m", "s", "ac", "rt", "src", "component"]
 
 
@@ -93,6 +93,34 @@ def _legs(requests: DataFrame, nodes: DataFrame, role: str) -> DataFrame:
     return rows.select("query", "node", "meters", _cost(F.col("meters"), f"{role}.", at, to, True).alias("cost"))
 
 
+def priced(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: float | None) -> DataFrame:
+    """(query, from, to, edge_id, price): the steps that snapped requests may take inside their ellipse, both ways of each road.
+
+    Requests meet roads by the cells around their ellipse (all cells of the network, if there is no bound)."""
+    ends = lambda e, k: nodes.select(F.col("node").alias(e), F.col("lon").alias(f"x{k}"), F.col("lat").alias(f"y{k}"))
+    fields = ["edge_id", "m", "s", "ac", "rt", "src"]
+    ways = F.explode(F.array(F.struct(F.col("a").alias("from"), F.col("b").alias("to")), F.struct(F.col("b").alias("from"), F.col("a").alias("to")))).alias("w")
+    arcs = roads.where("a <> b").select(*fields, ways).select(*fields, "w.*").join(ends("from", 1), "from").join(ends("to", 2), "to")
+    at = lambda c: F.floor(c / AREA).cast("long")
+    arcs = arcs.withColumns({"cx": at(F.col("x1")), "cy": at(F.col("y1"))})
+    direct, (sx, sy), (ex, ey) = haversine(*_point("start"), *_point("end")), _point("start"), _point("end")
+    factor = profiles.by_name(F.col("profile"), profiles.ELLIPSE, 1.5) * (widening or 1.0)
+    given = requests.select("query", "profile", "permissive", "unknown", "start", "end", (factor * direct * (1 + 1e-7)).alias("most"))
+    if widening is None:
+        given = given.join(arcs.select("cx", "cy").distinct())  # the cells of the network, for the requests that no ellipse served
+    else:
+        half = F.col("most") / 2 / 111_000
+        wide = half / F.cos(F.radians(F.least(F.lit(85.0), F.abs((sy + ey) / 2) + half)))
+        span = lambda mid, pad: F.explode(F.sequence(at(mid - pad), at(mid + pad)))
+        given = given.select("*", span((sx + ex) / 2, wide).alias("cx"), half.alias("half")).select("*", span((sy + ey) / 2, F.col("half")).alias("cy"))
+    rows = given.join(arcs, ["cx", "cy"]).where(classify.access_allowed(classify.code_name(F.col("ac"), classify.ACCESSES), F.col("permissive"), F.col("unknown"), F.col("src")))
+    if widening is not None:
+        inside = lambda k: haversine(sx, sy, F.col(f"x{k}"), F.col(f"y{k}")) + haversine(F.col(f"x{k}"), F.col(f"y{k}"), ex, ey) <= F.col("most")
+        rows = rows.where(inside(2))
+    price = _cost(F.col("m"), "", (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), False)
+    return rows.select("query", "from", "to", "edge_id", price.alias("price")).groupBy("query", "from", "to").agg(F.min(F.struct("price", "edge_id")).alias("p")).select("query", "from", "to", "p.*")
+
+
 def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: float | None) -> tuple[DataFrame, DataFrame]:
     """Labels (query, node, cost, prev, edge_id) and goals (query, cost, node or null where the way stays on one road, meters) of snapped requests.
 
@@ -100,39 +128,29 @@ def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
     legs_in, legs_out = checkpointed(_legs(requests, nodes, "start")), checkpointed(_legs(requests, nodes, "end"))
     same = requests.where(F.col("start.edge_id") == F.col("end.edge_id"))
     meters = F.abs(F.col("start.along") - F.col("end.along"))
-    one_road = same.select("query", _cost(meters, "start.", _point("start"), _point("end"), False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters"))
-    fields = [*_ROAD[:8]]
-    ends = lambda e, k: nodes.select(F.col("node").alias(e), F.col("lon").alias(f"x{k}"), F.col("lat").alias(f"y{k}"))
-    both_ways = roads.where("a <> b").select(*fields, F.explode(F.array(F.struct(F.col("a").alias("from"), F.col("b").alias("to")), F.struct(F.col("b").alias("from"), F.col("a").alias("to")))).alias("w")).select(*fields, "w.*")
-    arcs = checkpointed(both_ways.join(ends("from", 1), "from").join(ends("to", 2), "to"))
-    given = checkpointed(requests.select("query", "profile", "permissive", "unknown", "start", "end"))
-    direct = haversine(*_point("start"), *_point("end"))
-
-    def step(frontier: DataFrame, bound: DataFrame) -> DataFrame:
-        rows = frontier.join(arcs, F.col("node") == F.col("from")).join(F.broadcast(given), "query").join(F.broadcast(bound), "query", "left")  # requests of one batch
-        rows = rows.where(classify.access_allowed(classify.code_name(F.col("ac"), classify.ACCESSES), F.col("permissive"), F.col("unknown"), F.col("src")))
-        if widening is not None:
-            factor = profiles.by_name(F.col("profile"), profiles.ELLIPSE, 1.5) * widening
-            rows = rows.where(haversine(*_point("start"), F.col("x2"), F.col("y2")) + haversine(F.col("x2"), F.col("y2"), *_point("end")) <= factor * direct * (1 + 1e-7))
-        cost = F.col("cost") + _cost(F.col("m"), "", (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), False)
-        found = rows.select("query", F.col("to").alias("node"), F.struct(cost.alias("cost"), F.col("from").alias("prev"), "edge_id").alias("label"), "best").where(F.col("best").isNull() | (F.col("label.cost") < F.col("best")))
-        return found.groupBy("query", "node").agg(F.min("label").alias("label")).select("query", "node", "label.*")
+    one_road = checkpointed(same.select("query", _cost(meters, "start.", _point("start"), _point("end"), False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters")))
+    steps = checkpointed(priced(requests, roads, nodes, widening))
 
     def goals(labels: DataFrame) -> DataFrame:
         through = labels.join(legs_out.withColumnRenamed("cost", "leg"), ["query", "node"]).select("query", (F.col("cost") + F.col("leg")).alias("cost"), "node", "meters")
         return through.unionByName(one_road).groupBy("query").agg(F.min(F.struct("cost", "node", "meters")).alias("g")).select("query", "g.*")
 
+    def step(frontier: DataFrame) -> DataFrame:
+        rows = frontier.select("query", F.col("node").alias("from"), "cost").join(steps, ["query", "from"])
+        found = rows.select("query", F.col("to").alias("node"), F.struct((F.col("cost") + F.col("price")).alias("cost"), F.col("from").alias("prev"), "edge_id").alias("label"))
+        return found.groupBy("query", "node").agg(F.min("label").alias("label")).select("query", "node", "label.*")
+
     best = checkpointed(legs_in.groupBy("query", "node").agg(F.min("cost").alias("cost")).select("query", "node", "cost", F.lit(None).cast("long").alias("prev"), F.lit(None).cast("string").alias("edge_id")))
     frontier = best
     for _ in range(ROUNDS):
-        bound = checkpointed(goals(best).select("query", F.col("cost").alias("best")))
         reached, last = None, frontier
         for _ in range(STEPS):
-            last = step(last.select("query", "node", "cost"), bound)
+            last = step(last)
             reached = last if reached is None else reached.unionByName(last)
         new = reached.groupBy("query", "node").agg(F.min(F.struct("cost", "prev", "edge_id")).alias("label")).select("query", "node", "label.*")
-        known = best.select("query", "node", F.col("cost").alias("known"))
-        frontier = checkpointed(new.join(known, ["query", "node"], "left").where("known IS NULL OR cost < known").drop("known"))
+        known, bound = best.select("query", "node", F.col("cost").alias("known")), goals(best).select("query", F.col("cost").alias("bound"))
+        better = new.join(known, ["query", "node"], "left").join(bound, "query", "left").where("(known IS NULL OR cost < known) AND (bound IS NULL OR cost < bound)")
+        frontier = checkpointed(better.select("query", "node", "cost", "prev", "edge_id"))
         if frontier.isEmpty():
             return best, goals(best)
         best = checkpointed(best.join(frontier.select("query", "node"), ["query", "node"], "left_anti").unionByName(frontier))
