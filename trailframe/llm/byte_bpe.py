@@ -30,7 +30,7 @@ from trailframe.llm.common import stored, table
 
 #: Parameters: frequent pieces that are folded once at most (and bytes of each), buckets of the map of pieces, bytes
 #: that two chunks of a long piece share at least.
-FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 600_000, 64, 262_144, 64
+FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 200_000, 64, 131_072, 64
 #: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
 _PLACES, _FREE = 2**23, 2**62
