@@ -262,20 +262,32 @@ def test_fences_are_quantiles_of_each_language(spark):
     text = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
     rows, judged = [], []
     for k, (lang, letters) in enumerate((("aa", "abcde "), ("bb", "abcdefghijklmnopqrstuvwxyz "), (None, "xyz "), ("few", "pq "))):
-        for i in range(3 if lang == "few" else 40):
-            rows.append((1000 * k + i, text(letters, 30 + 20 * i), lang)), judged.append((1000 * k + i, 1, 0))
+        for i in range(12 if lang == "few" else 200):
+            rows.append((1000 * k + i, text(letters, 60 + 4 * i), lang)), judged.append((1000 * k + i, 1, 0))
         for i in range(500, 506):
             rows.append((1000 * k + i, text("#$%&/()=?!0123456789", 200), lang)), judged.append((1000 * k + i, 0, 0))
     out = kneser_ney.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels(spark, judged)).collect()
     assert len(out) == len(rows)
     for lang in ("aa", "bb", None, "few"):
-        trusted = [r for r in out if r.trusted and (lang == "few" or r.lang == lang)]
+        trusted = [r for r in out if r.trusted and (lang == "few" or r.lang == lang)]  # held out from the counts
+        assert len(trusted) >= kneser_ney.LEAST and len(trusted) < 0.5 * 612
         fence = {r.fence for r in out if r.lang == lang}
         assert len(fence) == 1 and fence <= {r.perplexity for r in trusted}
         assert sum(r.kept for r in trusted) >= 0.9 * len(trusted) - 1
     assert not any(r.kept for r in out if r.doc_id % 1000 >= 500)
 
 
+def test_quality_model_on_held_out_labels(spark):
+    """Of documents labelled bad few stay, of trusted ones that the model hasn't counted few are lost."""
+    sf = "/root/testdata/sf0.01"
+    out = QUERIES["op9_kneser_ney"](spark, sf).collect()
+    quality = pq.read_table(f"{sf}/labels.parquet").to_pydict()
+    bad = {i for i, q in zip(quality["doc_id"], quality["quality"]) if q == 0}
+    kept = {r.doc_id for r in out if r.kept}
+    trusted = {r.doc_id for r in out if r.trusted}
+    assert bad and trusted and len(bad & kept) <= 0.2 * len(bad) and len(trusted & kept) >= 0.85 * len(trusted)
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     import corpus_pipeline
 

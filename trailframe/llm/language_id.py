@@ -2,7 +2,8 @@
 
 Two gated recurrent units read the bytes of a segment, one from each end; at every position their states give
 probabilities of the languages, and a document's probabilities are the mean over all its positions. Segments
-are words (cut after `SEGMENT` bytes), so that equal words need the network once in a worker. The network is
+are words with the white space before them (long ones in overlapping pieces of `SEGMENT` bytes), so that equal words need the
+network once in a worker and every position is read. The network is
 trained here, by backpropagation through time in numpy, on words of a bounded sample of labelled documents.
 
 Edge cases: texts that are null or have no letter get `und` with score 0; a null doc_id counts as the text
@@ -25,6 +26,8 @@ from trailframe.llm.common import binary_list, map_texts, stored, table
 #: Parameters: sampled documents of each language and distinct words in all, about, bytes of a segment, units of each direction, steps and segments of a step of the training, words in a worker's cache,
 #: bytes of texts whose new words are judged together.
 DOCS_EACH, WORDS, SEGMENT, UNITS, STEPS, BATCH, CACHED, GROUP_BYTES = 250, 100_000, 32, 16, 500, 512, 200_000, 2_000_000
+#: Parameter: bytes that two segments of a long word share.
+SHARED = 8
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -98,7 +101,9 @@ class BiGru:
 
 
 def segments(word: bytes) -> list[bytes]:
-    return [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
+    """A word behind the white space before it, in pieces of SEGMENT bytes of which each begins SHARED bytes before the last one's end."""
+    spaced = b" " + word
+    return [spaced[i : i + SEGMENT] for i in range(0, max(len(spaced) - SHARED, 1), SEGMENT - SHARED)]
 
 
 def train(words: list[tuple[str, bytes, int]], languages: list[str], steps: int = STEPS, batch: int = BATCH, seed: int = 5) -> BiGru:
