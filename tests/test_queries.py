@@ -68,7 +68,33 @@ def test_whole_network_queries_see_all_edges(spark):
         if r.a != r.b:
             x, y = sorted((top(r.a), top(r.b)))
             up[y] = x
-    assert {(r.node, r.component) for r in QUERIES["RCC_components_whole"](spark, SF).collect()} == {(v, top(v)) for v in up}
-    assert QUERIES["J14_compact_whole"](spark, SF).count() == len(all_edges)
-    base = {r.base_key for r in QUERIES["J01_near_duplicates_whole"](spark, SF).select("base_key").collect()}
+    assert {(r.node, r.component) for r in QUERIES["RCC_components"](spark, SF).collect()} == {(v, top(v)) for v in up}
+    assert QUERIES["J14_compact"](spark, SF).count() == len(all_edges)
+    base = {r.base_key for r in QUERIES["J01_near_duplicates"](spark, SF).select("base_key").collect()}
     assert {k % 10 for k in base} - {0} and base <= {r.seq for r in all_edges}
+
+
+def test_components_of_many_parts(spark):
+    """A sparse network, long chains against the order of the names, and a hub, against a union-find."""
+    import random
+
+    from trailframe.operators.components import connected_components
+    from trailframe.operators.graph import component_stats
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(150)] + [(3000 - i, 2999 - i) for i in range(150)] + [(5000, 5001 + i) for i in range(300)] + [(7, 7)]
+    up = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, m long")
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(v, top(v)) for v in up}
+    stats = {r.component: r.nodes for r in component_stats(edges).collect()}
+    assert stats == {c: sum(top(v) == c for v in up) for c in {top(v) for v in up}}

@@ -83,3 +83,96 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(1000, 900), (None, 5), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(151)} | {900: 900, 1000: 900}
+
+
+@pytest.mark.parametrize("style,counts", [("esri", True), ("socrata", True), ("wfs", False), ("esri", False)])
+def test_paged_services(spark, style, counts):
+    """A service of 23 features in pages of 5, which fails at first; with and without a count."""
+    import http.server
+    import json as js
+    import threading
+    import urllib.parse
+
+    from trailframe.sources import paged
+
+    names = {"esri": ("resultOffset", "resultRecordCount"), "socrata": ("$offset", "$limit"), "wfs": ("startIndex", "count")}[style]
+    failed = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            if "returnCountOnly" in q or "$select" in q or "resultType" in q:
+                body = ([{"count": "23"}] if style == "socrata" else {"count": 23}) if counts else {"error": 1}
+            elif not failed:
+                failed.append(1)
+                self.send_error(503)
+                return
+            else:
+                at, n = int(q[names[0]]), int(q[names[1]])
+                line = [[0, 0], [1, 1]]
+                one = {"esri": lambda i: {"attributes": {"id": i}, "geometry": {"paths": [line]}}, "socrata": lambda i: {"id": str(i), "the_geom": {"type": "LineString", "coordinates": line}},
+                       "wfs": lambda i: {"type": "Feature", "properties": {"id": i, "none": None}, "geometry": {"type": "LineString", "coordinates": line}}}[style]
+                rows = [one(i) for i in range(at, min(at + n, 23))]
+                body = rows if style == "socrata" else {"features": rows}
+            data = js.dumps(body).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(paged.PagedFeatures)
+        rows = spark.read.format("paged_features").options(url=f"http://127.0.0.1:{server.server_port}/x", style=style, size="5").load().collect()
+    finally:
+        server.shutdown()
+    assert sorted(int(r.properties["id"]) for r in rows) == list(range(23)) == sorted(r.position for r in rows)
+    assert {js.loads(r.geometry)["type"] for r in rows} == {"MultiLineString" if style == "esri" else "LineString"} and failed
+
+
+def _sequence(path, rows):
+    path.write_text("\n".join("\x1e" + json.dumps({"type": "Feature", "properties": p, "geometry": {"type": t, "coordinates": c}}) for p, t, c in rows) + "\n\x1enot json\n")
+    return str(path)
+
+
+def test_graph_of_an_inventory_with_a_supplement(spark, tmp_path):
+    from trailframe.operators import jobs
+
+    line = lambda x, y: [[-63.0 + x / 100, 44.0 + y / 100], [-63.0 + (x + 1) / 100, 44.0 + y / 100]]
+    roads = _sequence(tmp_path / "nrn.seq", [
+        ({"NID": "1", "ROADCLASS": "Arterial", "PAVSTATUS": "Paved"}, "LineString", line(0, 0)), ({"NID": "2", "ROADCLASS": "Local / Street", "PAVSTATUS": "Unknown"}, "LineString", line(1, 0)),
+        ({"NID": "3", "ROADCLASS": "Ferry Connection"}, "LineString", line(2, 0)), ({"NID": "4", "ROADCLASS": "Collector", "PAVSTATUS": "Unpaved"}, "MultiLineString", [line(0, 5), line(1, 5)])])
+    ways = _sequence(tmp_path / "osm.seq", [({"@id": "w1", "highway": "residential", "surface": "gravel"}, "LineString", line(1, 0.005)), ({"@id": "w2", "highway": "track"}, "LineString", line(0, 9)), ({"@id": "w3", "highway": "footway"}, "LineString", line(0, 8))])
+    backbone, supplement = jobs.inventory_features(spark, roads), jobs.tagged_features(spark, ways)
+    assert backbone.count() == 5 and backbone.where("reason IS NOT NULL").count() == 1 and supplement.where("reason IS NULL").count() == 2
+    assert abs(backbone.where("reason IS NULL").first().meters - 800) < 10
+    both = jobs.with_supplement(backbone, supplement)
+    assert sorted((r.role, r.surface) for r in both.collect()) == [("backbone", "gravel"), ("backbone", "gravel"), ("backbone", "gravel"), ("backbone", "paved"), ("supplement", "resource")]
+    nodes, edges = jobs.regional_graph(both)
+    jobs.write_graph(nodes, edges, str(tmp_path / "graph"), "ns")
+    meta = spark.read.json(str(tmp_path / "graph" / "meta")).first()
+    assert (meta.edges, meta.nodes, meta.components) == (5, 8, 3)
+    report = jobs.topology_report(edges).first()
+    assert report.components == 3 and report.largest_km == [1.6, 1.6, 0.8]
+    end = [("n", nodes, edges.withColumn("rt", F.lit("arterial")))]
+    assert jobs.national_spine(end)[1].count() == 5
+
+
+def test_packs_of_points_and_overlays(spark, tmp_path):
+    from trailframe.operators import jobs
+
+    square = [[[-63.0, 44.0], [-63.0, 44.2], [-62.8, 44.2], [-62.8, 44.0]]]
+    path = _sequence(tmp_path / "poi.seq", [({"@id": "n1", "amenity": "fuel", "name": " Stop "}, "Point", [-63.1, 44.1]), ({"@id": "w2", "tourism": "camp_site"}, "Polygon", square), ({"@id": "n3", "shop": "wine"}, "Point", [-63.1, 44.1])])
+    counts = {r.category: (r.n, r.chunks) for r in jobs.poi_pack(spark, path, str(tmp_path / "pack")).collect()}
+    assert counts == {"fuel": (1, 1), "campground": (1, 1), "skipped": (1, 0)}
+    out = {r.id: (r.lon, r.lat, r.name, r.chunk_id) for r in spark.read.json(str(tmp_path / "pack" / "chunks")).collect()}
+    assert out == {"n1": (-63.1, 44.1, "Stop", "-127_88"), "w2": (-62.9, 44.1, None, "-126_88")}
+    line = [[-63.0, 44.0], [-63.1, 44.0]]
+    ways = _sequence(tmp_path / "ways.seq", [({"@id": "1", "highway": "track", "tracktype": "grade4"}, "LineString", line), ({"@id": "2", "highway": "path", "motorcycle": "no"}, "LineString", line), ({"@id": "3", "highway": "track", "tracktype": "grade1"}, "LineString", line)])
+    rows, counts = jobs.trail_overlay(spark, ways)
+    assert sorted((r.id, r.kind, r.status) for r in rows.collect()) == [("1", "atv", "unknown"), ("2", "single", "restricted")] and counts.count() == 4
+    roads = _sequence(tmp_path / "roads.seq", [({"ROADCLASS": "Local", "PAVSTATUS": "Unpaved"}, "LineString", line), ({"ROADCLASS": "Arterial", "PAVSTATUS": "Paved"}, "LineString", line)])
+    assert jobs.gravel_overlay(spark, roads)[0].count() == 1

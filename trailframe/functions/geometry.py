@@ -17,6 +17,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     """Great-circle distance in the radius's unit, in the atan2 form."""
     s1, s2 = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     h = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
+    h = F.when(h > 1, 1.0).otherwise(h)  # null stays null
     return 2 * radius * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +43,28 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(labels.join(F.broadcast(first), "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cost: Column, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, cost: Column, max_rounds: int = 10_000, steps: int = 3, merge: int = 16) -> DataFrame:
     """(query, node, cost) of the cheapest paths from sources (query, node), over edges in both directions.
 
-    Frontier relaxation: each round moves only labels that improved, and keeps the smallest for each query and
-    node; all queries run in the same rounds. Costs are integers and not negative."""
-    steps = checkpointed(arcs(edges.withColumn("w", cost.cast("long")), "w").groupBy("src", "dst").agg(F.min("w").alias("w")))
-    best = checkpointed(sources.select("query", "node", F.lit(0).cast("long").alias("cost")).distinct())
-    frontier = best
-    for _ in range(max_rounds):
-        reached = frontier.join(steps, F.col("node") == F.col("src")).groupBy("query", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        state = checkpointed(best.join(reached, ["query", "node"], "full").select("query", "node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("moved")))
-        best, frontier = state.select("query", "node", "cost"), state.where("moved").select("query", "node", "cost")
+    Frontier relaxation: each round takes `steps` steps from the labels that improved in the last one and keeps what is
+    better than the labels known for the same nodes. Labels are appended, round by round, and only those of nodes that
+    are reached anew are looked up; every `merge` rounds they are merged. All queries run in the same rounds. Costs
+    are integers and not negative."""
+    arc = checkpointed(arcs(edges.withColumn("w", cost.cast("long")), "w").groupBy("src", "dst").agg(F.min("w").alias("w")))
+    least = lambda rows: rows.groupBy("query", "node").agg(F.min("cost").alias("cost"))
+    frontier = checkpointed(sources.select("query", "node", F.lit(0).cast("long").alias("cost")).distinct())
+    known = [frontier]
+    for k in range(max_rounds):
+        reached, last = None, frontier
+        for _ in range(steps):
+            last = least(last.join(arc, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")))
+            reached = last if reached is None else reached.unionByName(last)
+        new = checkpointed(least(reached))
+        old = reduce(DataFrame.unionByName, known).join(new.select("query", "node"), ["query", "node"], "left_semi")
+        frontier = checkpointed(new.join(least(old).withColumnRenamed("cost", "old"), ["query", "node"], "left").where("old IS NULL OR cost < old").drop("old"))
         if frontier.isEmpty():
-            return best
+            return least(reduce(DataFrame.unionByName, known))
+        known.append(frontier)
+        if k % merge == merge - 1:
+            known = [checkpointed(least(reduce(DataFrame.unionByName, known)))]
     raise RuntimeError(f"paths did not settle in {max_rounds} rounds")

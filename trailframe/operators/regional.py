@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import classify
 from trailframe.functions import network_rules as rules
 from trailframe.functions.geometry import cell, haversine
+from trailframe.functions.profiles import in_town
 from trailframe.operators.components import checkpointed, connected_components
 from trailframe.operators.extracts import numbered
 
@@ -136,3 +137,25 @@ def merged(regions: list[tuple[str, DataFrame, DataFrame]], meters: float = MATC
     both = links.join(as_id("a"), "a").join(as_id("b"), "b")
     labels = connected_components(both, "id_a", "id_b").withColumnRenamed("node", "id_a")
     return nodes, both.join(labels, "id_a").select("edge_id", "region", "a", "b", "m", "component")
+
+
+# Metres that a stitch may span, its cells (1e-5 degrees), metres below which two nodes are at one place.
+STITCH_M, STITCH_CELL, SAME_M = 100.0, 50, 0.5
+
+
+def stitches(nodes: DataFrame, roads: DataFrame, giant: int = 0) -> DataFrame:
+    """(a, b, meters): joins from nodes of small components to the nearest through node of the largest one, at most 100 metres long.
+
+    Roads (a, b, ac, component) that may be ridden where unknown access is allowed count for degrees; small components'
+    nodes are those of roads of unknown access; through nodes have two roads or more and lie in no town centre. Ties
+    go to the smaller node; each pair is joined once. Nodes are (node, x, y)."""
+    access = classify.code_name(F.col("ac"), classify.ACCESSES)
+    open_roads = roads.where(classify.access_allowed(access, True, True))
+    ends = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("node"))
+    through = ends(open_roads).groupBy("node").count().where("count >= 2").select("node")
+    main = ends(roads.where(F.col("component") == giant)).distinct().join(through, "node", "left_semi")
+    targets = nodes.join(main, "node", "left_semi").where(~in_town(F.col("x") / 1e5, F.col("y") / 1e5)).select(F.col("node").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    small = ends(open_roads.where((F.col("component") != giant) & (access == "motorized_unknown"))).distinct()
+    near = near_pairs(nodes.join(small, "node", "left_semi").select(F.col("node").alias("a"), "x", "y"), targets, STITCH_M, STITCH_CELL, 3).where((F.col("meters") > SAME_M) & (F.col("a") != F.col("b")))
+    best = near.groupBy("a").agg(F.min(F.struct("meters", "b")).alias("best")).select("a", "best.b", "best.meters")
+    return best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.greatest(F.lit(1.0), F.min("meters")).alias("meters"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import capillary_rules as rules
 from trailframe.operators import extracts
 from trailframe.operators.components import checkpointed, connected_components
-from trailframe.plans.queries import _CC, _NET, sparse
+from trailframe.plans.queries import _CC, _NET
 from trailframe.plans.source_queries import INVENTORY, _dealt, _dealt_sql, _parts
 from trailframe.sources.network import edges, nodes
 
@@ -85,11 +85,11 @@ def rext_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracts.compacted(sparse(spark, sf_dir)).select("edge_id", "a", "b")
+    return extracts.compacted(edges(spark, sf_dir)).select("edge_id", "a", "b")
 
 
 def rrel_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sparse(spark, sf_dir)
+    e = edges(spark, sf_dir)
     return extracts.relabelled(checkpointed(connected_components(e)), e)
 
 
@@ -123,7 +123,7 @@ def _near_sql(x: str, y: str) -> str:
 
 ORACLE_SQL = {
     "G14_thinned": "SELECT p_partkey, CASE WHEN p_size < 6 THEN array_to_string(range(0, p_size + 1), ',') ELSE array_to_string([CAST(floor(i * p_size / 5.0 + 0.5) AS INT) for i in range(0, 6)], ',') END AS kept FROM part",
-    "J14_compact": _NET + ", x AS (SELECT * FROM e WHERE seq % 11 = 0), d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT a AS v FROM x UNION SELECT b FROM x)) SELECT edge_id, p.i AS a, q.i AS b FROM x JOIN d p ON p.v = x.a JOIN d q ON q.v = x.b",
+    "J14_compact": _NET + ", x AS (SELECT * FROM e), d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT a AS v FROM x UNION SELECT b FROM x)) SELECT edge_id, p.i AS a, q.i AS b FROM x JOIN d p ON p.v = x.a JOIN d q ON q.v = x.b",
     "P07_attributes": _t({"d": FREE}) + " SELECT p_partkey, CASE WHEN d IN ('Closed in winter', 'No-motor zone', 'Private trail') THEN 'restricted_or_closed' WHEN d IN ('cut line 7', 'seismic') THEN 'cutline_not_routable' END AS reason, CASE WHEN d = 'ASPHALT' THEN 'paved' WHEN d IN ('Gravel road', 'earth') THEN 'gravel' WHEN d LIKE '%trail' THEN 'track' ELSE 'resource' END AS surface FROM t",
     "P08_resource": _t(RESOURCE) + " SELECT p_partkey, CASE WHEN YEAR_DECOMMISSIONED = '1999' OR CLOSED_STATE = 'CLOSED' OR PRIVATE_ROAD_IND IN ('Y', 'true') THEN 'restricted_or_closed' WHEN NATIONAL_ROAD_CLASS IN ('Local', 'Arterial', 'Street', 'Local road') THEN 'orn_or_conventional_skip' END AS reason, 'gravel' AS surface FROM t",
     "P09_multi_use": _t(MULTI) + ", u AS (SELECT *, CASE WHEN CaractRte <> '' THEN CaractRte ELSE Che_Multi END AS c FROM t), v AS (SELECT *, CASE WHEN c IN ('Pavé', 'béton', 'non pavé') THEN 'paved' WHEN c = 'Gravier' THEN 'gravel' WHEN c IN ('Sentier', 'piste') THEN 'track' ELSE 'resource' END AS surface FROM u) SELECT p_partkey, CASE WHEN Gestion IN ('Fermé', 'ferme') OR Notes = 'accès interdit' THEN 'restricted_or_closed' END AS reason, surface, CASE surface WHEN 'paved' THEN 'local' WHEN 'track' THEN 'track' ELSE 'resource' END AS road_class FROM v",

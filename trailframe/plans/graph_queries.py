@@ -112,7 +112,18 @@ def j07_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.matched(points, routing.segments(r), F.lit(0), routing.MATCH_M).select("query", "match.edge_id", F.round("match.distance", 2).alias("distance"), F.round("match.along", 2).alias("along"))
 
 
+def j13_stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network and, for every fifth edge, a small road of its own some metres off."""
+    n, e = nodes(spark, sf_dir).select(F.col("node_id").alias("node"), F.col("lon_e5").alias("x"), F.col("lat_e5").alias("y")), edges(spark, sf_dir)
+    seq = F.col("seq")
+    small = e.where("seq % 5 = 0").select("seq", "ac", "a", "b")
+    off = lambda c, k: small.select(seq, F.col(c).alias("node")).join(n, "node").select((1_000_000 + seq * 2 + k).alias("node"), (F.col("x") + seq % 37 * 5).alias("x"), (F.col("y") + seq % 41 * 5).alias("y"))
+    roads_ = e.select("a", "b", "ac", F.lit(0).alias("component")).unionByName(small.select((1_000_000 + seq * 2).alias("a"), (1_000_001 + seq * 2).alias("b"), "ac", (seq + 1).alias("component")))
+    return regional.stitches(n.unionByName(off("a", 0)).unionByName(off("b", 1)), roads_).select("a", "b", F.round("meters", 2).alias("meters"))
+
+
 QUERIES = {
+    "J13_stitches": j13_stitches,
     "P20_canonical": p20_canonical, "J03_nodes": j03_nodes, "RBLD_edges": rbld_edges, "RBLD_nodes": rbld_nodes, "RMRG_regions": rmrg_regions, "J02_resolved": j02_resolved, "A09_statistics": a09_statistics,
     "J07_matches": j07_matches, "RATT_routes": ratt_routes, "A10_stats": a10_stats,
 }
@@ -125,6 +136,10 @@ m AS (SELECT r.*, s.*, greatest(0, least(1, ((lon - px) * (qx - px) + (lat - py)
 d AS (SELECT *, {_hav('lon', 'lat', '(px + (qx - px) * t)', '(py + (qy - py) * t)')} AS distance, {_hav('px', 'py', 'qx', 'qy')} AS long, {_hav('xa', 'ya', 'px', 'py')} AS before FROM m)
 SELECT query, edge_id, round(distance, 2) AS distance, round(CASE k WHEN 0 THEN 0 ELSE before END + long * t, 2) AS along FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance <= 250 DESC, distance - CASE WHEN profile = 'cleanest' AND s = 0 THEN 30 WHEN profile <> 'cleanest' AND s <> 0 THEN 22 ELSE 0 END, seq, k) AS o FROM d) WHERE o = 1 AND distance <= 250"""
 ORACLE_SQL = {
+    "J13_stitches": _NET + f""", i AS (SELECT * FROM e WHERE seq % 5 = 0), k AS (SELECT 1000000 + seq * 2 AS node, a AS spot, seq, ac FROM i UNION ALL SELECT 1000001 + seq * 2, b, seq, ac FROM i), s AS (SELECT node, lon_e5 + seq % 37 * 5 AS x, lat_e5 + seq % 41 * 5 AS y FROM k JOIN n ON node_id = spot WHERE ac = 2),
+t AS (SELECT node_id, lon_e5 AS x, lat_e5 AS y FROM n WHERE node_id IN (SELECT v FROM (SELECT a AS v FROM e WHERE ac < 3 UNION ALL SELECT b FROM e WHERE ac < 3) GROUP BY v HAVING count(*) >= 2)),
+d AS (SELECT node_id AS a, node AS b, {_hav('(s.x / 1e5)', '(s.y / 1e5)', '(t.x / 1e5)', '(t.y / 1e5)')} AS meters FROM s JOIN t ON abs(s.x - t.x) < 150 AND abs(s.y - t.y) < 150)
+SELECT a, b, round(greatest(1, meters), 2) AS meters FROM d WHERE meters <= 100 AND meters > 0.5 QUALIFY row_number() OVER (PARTITION BY b ORDER BY meters, a) = 1""",
     "P20_canonical": _NET + f""", c AS (SELECT *, coalesce({_dealt_sql('seq', SURFACES)}, 'unknown') AS surface, coalesce({_dealt_sql('seq', ACCESSES)}, 'motorized_unknown') AS access, coalesce({_dealt_sql('seq', STRUCTURES)}, 'none') AS structure, {_dealt_sql('seq', ROLES)} AS role, coalesce({_dealt_sql('seq', SOURCES)}, '') AS source FROM e)
 SELECT edge_id, CASE WHEN seq % 3 = 0 THEN 'l-' || edge_id ELSE edge_id END AS lineage, surface, CASE surface WHEN 'resource' THEN 'access' WHEN 'double_track' THEN 'track' WHEN 'ice' THEN 'unknown' ELSE surface END AS cost_surface, access,
   CASE access WHEN 'motorized_verified' THEN 'motorized_permissive' WHEN 'restricted' THEN 'motorized_restricted' WHEN 'excluded' THEN 'motorized_excluded' WHEN 'closed' THEN 'motorized_unknown' ELSE access END AS policy_access, structure,

@@ -24,20 +24,16 @@ def a05_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.topology_metrics(edges(spark, sf_dir))
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).where("seq % 11 = 0")  # the sparse network of the component queries
-
-
 def rcc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(sparse(spark, sf_dir))
+    return connected_components(edges(spark, sf_dir))
 
 
 def a06_component_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.component_stats(sparse(spark, sf_dir))
+    return graph.component_stats(edges(spark, sf_dir))
 
 
 def rlcc_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.largest_component(sparse(spark, sf_dir)).select("edge_id", "a", "b", "m")
+    return graph.largest_component(edges(spark, sf_dir)).select("edge_id", "a", "b", "m")
 
 
 #: Per cent by code of the surface and by road class.
@@ -75,9 +71,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every line is of the backbone (even keys) or of the shifted supplement (odd keys)."""
     lines = _lines(spark, sf_dir)
     shift = 15 * (F.col("key") % 4)
-    return lines.where("key % 10 = 0"), lines.where("key % 10 = 1").withColumns({"y1": F.col("y1") + shift, "y2": F.col("y2") + shift})
+    return lines.where("key % 2 = 0"), lines.where("key % 2 <> 0").withColumns({"y1": F.col("y1") + shift, "y2": F.col("y2") + shift})
 
 
 def j01_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +86,7 @@ def j02_conflate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES_SQL = _NET + """, l AS (SELECT e.seq AS key, p.lon_e5 AS x1, p.lat_e5 AS y1, q.lon_e5 AS x2, q.lat_e5 AS y2 FROM e JOIN n p ON p.node_id = e.a JOIN n q ON q.node_id = e.b),
-base AS (SELECT * FROM l WHERE key % 10 = 0), sup AS (SELECT key, x1, y1 + 15 * (key % 4) AS y1, x2, y2 + 15 * (key % 4) AS y2 FROM l WHERE key % 10 = 1),
+base AS (SELECT * FROM l WHERE key % 2 = 0), sup AS (SELECT key, x1, y1 + 15 * (key % 4) AS y1, x2, y2 + 15 * (key % 4) AS y2 FROM l WHERE key % 2 <> 0),
 pairs AS (SELECT base_key, sup_key, meters FROM (SELECT b.key AS base_key, s.key AS sup_key,
   2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS meters, abs(((degrees(atan2((b.y2 - b.y1) / 1e5, (b.x2 - b.x1) / 1e5)) + 180) % 180) - ((degrees(atan2((s.y2 - s.y1) / 1e5, (s.x2 - s.x1) / 1e5)) + 180) % 180)) AS d
   FROM base b JOIN sup s ON abs(b.x2 - s.x2) <= 400 AND abs(b.y2 - s.y2) <= 400,
@@ -146,7 +143,8 @@ QUERIES = {
     "TCAD_rates": tcad_rates, "TPRES_last_known": tpres_last_known, "W11_gaps": w11_gaps,
 }
 
-_CC = ", x AS (SELECT * FROM e WHERE seq % 11 = 0), y AS (SELECT a, b FROM x UNION SELECT b, a FROM x), r(node, c) AS (SELECT a, a FROM y UNION SELECT y.b, r.c FROM r JOIN y ON y.a = r.node), cc AS (SELECT node, min(c) AS component FROM r GROUP BY node)"
+_CC = """, x AS (SELECT * FROM e), y AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), cc(node, component) USING KEY (node) AS (SELECT a, a FROM y GROUP BY a UNION (
+  SELECT y.b, min(cc.component) FROM cc JOIN y ON y.a = cc.node JOIN recurring.cc AS known ON known.node = y.b WHERE cc.component < known.component GROUP BY y.b))"""
 ORACLE_SQL = {
     "A01_histograms": _NET + " SELECT s, ac, rt, count(*) AS edges, CAST(sum(m) AS BIGINT) AS meters FROM e GROUP BY GROUPING SETS ((s), (ac), (rt))",
     "A05_topology": _NET + ", d AS (SELECT v, count(*) AS degree FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) GROUP BY v) SELECT count(*) AS nodes, count(*) FILTER (degree >= 3) AS junctions, count(*) FILTER (degree = 2) AS pass_through, count(*) FILTER (degree = 1) AS dead_ends, CAST(sum(degree) AS BIGINT) AS arcs FROM d",

@@ -66,8 +66,8 @@ def a04_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a08_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dead ends within 2 per cent of the box's sides, over the sparse network."""
-    return boundary(edges(spark, sf_dir).where("seq % 11 = 0"), nodes(spark, sf_dir))  # the sparse network of the component queries
+    """Dead ends within 2 per cent of the box's sides."""
+    return boundary(edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
 def boundary(e: DataFrame, n: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ SELECT c_custkey, ids[1] AS smallest, coalesce(CASE
 _NEIGHBOURS = ", ".join(f"('{a}', '{b}')" for a, bs in rules.REGION_NEIGHBOURS.items() for b in bs)
 ORACLE_SQL = {
     "A04_degrees": _NET + " SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY v",
-    "A08_boundary": _NET + ", x AS (SELECT * FROM e WHERE seq % 11 = 0), d AS (SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM x UNION ALL SELECT b FROM x) GROUP BY v), t AS (SELECT * FROM d JOIN n USING (node_id)), k AS (SELECT min(lon_e5) AS w, max(lon_e5) AS o, min(lat_e5) AS s, max(lat_e5) AS u FROM t) SELECT node_id FROM t, k WHERE degree = 1 AND ((lon_e5 - w) * 50 <= o - w OR (o - lon_e5) * 50 <= o - w OR (lat_e5 - s) * 50 <= u - s OR (u - lat_e5) * 50 <= u - s)",
+    "A08_boundary": _NET + ", x AS (SELECT * FROM e), d AS (SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM x UNION ALL SELECT b FROM x) GROUP BY v), t AS (SELECT * FROM d JOIN n USING (node_id)), k AS (SELECT min(lon_e5) AS w, max(lon_e5) AS o, min(lat_e5) AS s, max(lat_e5) AS u FROM t) SELECT node_id FROM t, k WHERE degree = 1 AND ((lon_e5 - w) * 50 <= o - w OR (o - lon_e5) * 50 <= o - w OR (lat_e5 - s) * 50 <= u - s OR (u - lat_e5) * 50 <= u - s)",
     "A12_moving_time": _NET + " SELECT rt, CAST(floor((sum(m * [45, 70, 90, 126, 105][s + 1]) * 72 + 31500) / 63000.0) AS BIGINT) AS seconds FROM e GROUP BY rt",
     "J07_nearest": f"WITH n AS ({NODES_SQL}), p AS (SELECT s_suppkey AS point_id, -6600000 + s_suppkey * 137 % 30000 AS x, 4400000 + s_suppkey * 211 % 50000 AS y FROM supplier), c AS (SELECT point_id, node_id, (x - lon_e5) * (x - lon_e5) + (y - lat_e5) * (y - lat_e5) AS d2 FROM p, n) SELECT point_id, node_id, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, node_id) AS k FROM c WHERE d2 <= 810000) WHERE k = 1",
     "J10_corridor": _NET + ", k AS (SELECT node_id FROM n WHERE " + " OR ".join(f"({_segment_sql(a, b)})" for a, b in zip(CORRIDOR, CORRIDOR[1:])) + ") " + _TOUCHING,

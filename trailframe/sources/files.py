@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.geometry import haversine, round_half_up
+from trailframe.operators.lines import without_repeats
 
 #: Fixed value: the mean radius that track lengths are measured with.
 TRACK_RADIUS_M = 6_371_008.8
@@ -34,7 +35,7 @@ def normal_line(points: Column) -> Column:
     """Points [lon, lat] rounded to 5 places, without those that aren't numbers and those that repeat the one before."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rounded = F.transform(F.filter(points, lambda p: fine(F.get(p, 0)) & fine(F.get(p, 1))), lambda p: F.array(round_half_up(p[0], 5), round_half_up(p[1], 5)))
-    return F.aggregate(rounded, F.array().cast("array<array<double>>"), lambda acc, p: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) == p), acc).otherwise(F.concat(acc, F.array(p))))
+    return without_repeats(rounded)
 
 
 def line_parts(features: DataFrame) -> DataFrame:
