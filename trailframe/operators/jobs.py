@@ -75,7 +75,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, region: str) ->
 
 def topology_report(edges: DataFrame) -> DataFrame:
     """One row: edges, components, metres and the kilometres of the fifteen largest components."""
-    stats = component_stats(edges)
+    stats = component_stats(edges.select("a", "b", "m"))
     top = F.array_sort(F.collect_list(F.when(F.col("by_meters").isNotNull(), F.struct("by_meters", F.round(F.col("meters") / 1000, 1).alias("km")))))
     return stats.agg(F.sum("edges").alias("edges"), F.count("*").alias("components"), F.sum("meters").alias("meters"), F.transform(top, lambda t: t["km"]).alias("largest_km"))
 
