@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,34 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="trailframe-")
 
 
+@cache
+def _frames(spark: SparkSession, application: str) -> str:
+    """The folder of an application's stored frames, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/frames-{application}-{uuid.uuid4()}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(conf)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: rows written as Parquet in the shared folder and read again.
+
+    What is read knows nothing of the plan that made it. A frame of `df.checkpoint` keeps its plan's orderings and
+    partitionings, which joins multiply, so that the driver's time would grow with every round of a loop."""
+    path = f"{_frames(df.sparkSession, df.sparkSession.sparkContext.applicationId)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _roots(hook: DataFrame) -> DataFrame:
