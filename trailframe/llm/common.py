@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trailframe.operators.components import checkpointed
+from trailframe.operators.components import shared_folder
 
 #: Parameters: rows and bytes (as JSON) up to which a table is taken to be small enough for a broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
-#: A table computed once and kept in the shared folder, so that lost executors lose nothing of it.
-stored = checkpointed
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table computed once and kept in the shared folder, so that lost executors lose nothing of it."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
