@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailframe.llm import byte_bpe, chat_format, decontamination, html_extract, kneser_ney, language_id, ngram_join, phrase_dedup, quality_rules, token_counts
+from trailframe.llm import byte_bpe, chat_format, decontamination, html_extract, kneser_ney, language_id, nearest_vectors, ngram_join, periodic_runs, phrase_dedup, quality_rules, spelling_variants, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_kneser_ney": kneser_ney.op9_kneser_ney,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_nearest_vectors": nearest_vectors.op13_nearest_vectors,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op7_phrase_dedup": phrase_dedup.OP7_SQL,
     "op8_ngram_jaccard": ngram_join.OP8_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
+    "op12_spelling_variants": spelling_variants.OP12_SQL,
 }
