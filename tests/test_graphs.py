@@ -67,7 +67,7 @@ def test_routes_cost_what_a_heap_search_finds(spark):
         pieces.setdefault(r.query, []).append(r)
     matches = {r.query: r for r in asked.collect()}
     assert set(matches) == set(pieces) | failed and failed == {q for q, r in matches.items() if r.start is None or r.end is None}
-    every = routing.checkpointed(routing.priced(asked.where("start IS NOT NULL AND end IS NOT NULL"), roads, nodes, None)).collect()
+    every = routing.checkpointed(routing.priced(asked.where("start IS NOT NULL AND end IS NOT NULL"), roads, nodes, 1.6)).collect()
     legs = {role: routing._legs(asked.where("start IS NOT NULL AND end IS NOT NULL"), nodes, role).collect() for role in ("start", "end")}
     around = {}
     for r in every:

@@ -143,19 +143,27 @@ def merged(regions: list[tuple[str, DataFrame, DataFrame]], meters: float = MATC
 STITCH_M, STITCH_CELL, SAME_M = 100.0, 50, 0.5
 
 
-def stitches(nodes: DataFrame, roads: DataFrame, giant: int = 0) -> DataFrame:
-    """(a, b, meters): joins from nodes of small components to the nearest through node of the largest one, at most 100 metres long.
+def stitch_pairs(nodes: DataFrame, roads: DataFrame, giant: Column) -> DataFrame:
+    """(a, b, meters, town): the joins there may be from nodes of small components to through nodes of the largest one, at most 100
+    metres long, and whether they end in a town centre.
 
     Roads (a, b, ac, component) that may be ridden where unknown access is allowed count for degrees; small components'
-    nodes are those of roads of unknown access; through nodes have two roads or more and lie in no town centre. Ties
-    go to the smaller node; each pair is joined once. Nodes are (node, x, y)."""
+    nodes are those of roads of unknown access; through nodes have two roads or more, so that no join is between dead
+    ends. Nodes are (node, x, y)."""
     access = classify.code_name(F.col("ac"), classify.ACCESSES)
-    open_roads = roads.where(classify.access_allowed(access, True, True))
+    open_roads = roads.withColumn("_giant", giant).where(classify.access_allowed(access, True, True))
     ends = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("node"))
     through = ends(open_roads).groupBy("node").count().where("count >= 2").select("node")
-    main = ends(roads.where(F.col("component") == giant)).distinct().join(through, "node", "left_semi")
-    targets = nodes.join(main, "node", "left_semi").where(~in_town(F.col("x") / 1e5, F.col("y") / 1e5)).select(F.col("node").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    small = ends(open_roads.where((F.col("component") != giant) & (access == "motorized_unknown"))).distinct()
-    near = near_pairs(nodes.join(small, "node", "left_semi").select(F.col("node").alias("a"), "x", "y"), targets, STITCH_M, STITCH_CELL, 3).where((F.col("meters") > SAME_M) & (F.col("a") != F.col("b")))
+    main = ends(roads.withColumn("_giant", giant).where("component = _giant")).distinct().join(through, "node", "left_semi")
+    targets = nodes.join(main, "node", "left_semi").select(F.col("node").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), in_town(F.col("x") / 1e5, F.col("y") / 1e5).alias("town"))
+    small = ends(open_roads.where((F.col("component") != F.col("_giant")) & (access == "motorized_unknown"))).distinct()
+    near = near_pairs(nodes.join(small, "node", "left_semi").select(F.col("node").alias("a"), "x", "y"), targets, STITCH_M, STITCH_CELL, 3)
+    return near.where((F.col("meters") > SAME_M) & (F.col("a") != F.col("b"))).select("a", "b", "meters", "town")
+
+
+def stitches(nodes: DataFrame, roads: DataFrame, giant: int = 0) -> DataFrame:
+    """(a, b, meters): the join of each node of a small component to the nearest through node outside town centres, ties to the
+    smaller node; each pair is joined once."""
+    near = stitch_pairs(nodes, roads, F.lit(giant)).where("NOT town")
     best = near.groupBy("a").agg(F.min(F.struct("meters", "b")).alias("best")).select("a", "best.b", "best.meters")
     return best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.greatest(F.lit(1.0), F.min("meters")).alias("meters"))

@@ -109,7 +109,7 @@ def j07_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The road that each request's start takes within 250 metres."""
     r, _ = roads(spark, sf_dir)
     points = requests(spark, sf_dir).select("query", F.lit("start").alias("role"), F.col("start_lon").alias("lon"), F.col("start_lat").alias("lat"), "profile", "permissive", "unknown")
-    return routing.matched(points, routing.segments(r), F.lit(0), routing.MATCH_M).select("query", "match.edge_id", F.round("match.distance", 2).alias("distance"), F.round("match.along", 2).alias("along"))
+    return routing.matched(points, r, F.lit(0), routing.MATCH_M).select("query", "match.edge_id", F.round("match.distance", 2).alias("distance"), F.round("match.along", 2).alias("along"))
 
 
 def j13_stitches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ _ROADS = _NET + f""", l AS (SELECT e.*, p.lon_e5 / 1e5 AS xa, p.lat_e5 / 1e5 AS
 s AS (SELECT *, 0 AS k, xa AS px, ya AS py, CASE WHEN seq % 3 = 0 THEN (xa + xb) / 2 + 0.001::DOUBLE ELSE xb END AS qx, CASE WHEN seq % 3 = 0 THEN (ya + yb) / 2 ELSE yb END AS qy FROM l
   UNION ALL SELECT *, 1, (xa + xb) / 2 + 0.001::DOUBLE, (ya + yb) / 2, xb, yb FROM l WHERE seq % 3 = 0),
 r AS (SELECT CAST(n_nationkey AS BIGINT) AS query, ['balanced', 'dirt', 'cleanest', 'direct'][n_nationkey % 4 + 1] AS profile, n_nationkey % 3 > 0 AND n_nationkey % 4 <> 2 AS unknown, -65.998::DOUBLE + n_nationkey % 5 * 0.03::DOUBLE AS lon, 44.003::DOUBLE + n_nationkey % 2 * 0.01::DOUBLE + CASE WHEN n_nationkey % 11 = 10 THEN -0.5 ELSE 0 END AS lat FROM nation),
-m AS (SELECT r.*, s.*, greatest(0, least(1, ((lon - px) * (qx - px) + (lat - py) * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)))) AS t FROM r JOIN s ON (ac <= 1 OR seq % 7 = 0 OR ac = 2 AND unknown) AND abs(lon - px) < 0.04 AND abs(lat - py) < 0.04),
+m AS (SELECT r.*, s.*, greatest(0, least(1, ((lon - px) * (qx - px) + (lat - py) * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)))) AS t FROM r JOIN s ON (ac <= 1 OR seq % 7 = 0 OR ac = 2 AND unknown) AND lon BETWEEN least(px, qx) - 0.01 AND greatest(px, qx) + 0.01 AND lat BETWEEN least(py, qy) - 0.01 AND greatest(py, qy) + 0.01),
 d AS (SELECT *, {_hav('lon', 'lat', '(px + (qx - px) * t)', '(py + (qy - py) * t)')} AS distance, {_hav('px', 'py', 'qx', 'qy')} AS long, {_hav('xa', 'ya', 'px', 'py')} AS before FROM m)
 SELECT query, edge_id, round(distance, 2) AS distance, round(CASE k WHEN 0 THEN 0 ELSE before END + long * t, 2) AS along FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance <= 250 DESC, distance - CASE WHEN profile = 'cleanest' AND s = 0 THEN 30 WHEN profile <> 'cleanest' AND s <> 0 THEN 22 ELSE 0 END, seq, k) AS o FROM d) WHERE o = 1 AND distance <= 250"""
 ORACLE_SQL = {

@@ -210,11 +210,14 @@ def _segment_sql(a: tuple, b: tuple) -> str:
 _PRESENCE = "r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'breakdown' WHEN 'signup' THEN 'stuck' ELSE 'available' END AS status, CASE WHEN event_id % 7 <> 0 THEN -6600000 + CAST(floor(value) AS BIGINT) % 1000 END AS lng_e5 FROM events)"
 
 
-def _regions_sql() -> str:
-    """Boxes as a table of hits for each point; rules over the set of hits, written out."""
+_CUSTOMER_PLACES = "SELECT c_custkey, -141.0::DOUBLE + (c_custkey * 37 % 900) / 10.0::DOUBLE AS lon, 41.0::DOUBLE + (c_custkey * 53 % 420) / 10.0::DOUBLE AS lat FROM customer"
+
+
+def _regions_sql(points: str = _CUSTOMER_PLACES) -> str:
+    """Regions of points (c_custkey, lon, lat): boxes as a table of hits for each point; rules over the set of hits, written out."""
     boxes = ", ".join(f"('{n}', {w}::DOUBLE, {s}::DOUBLE, {e}::DOUBLE, {u}::DOUBLE, {k})" for k, (n, (w, s, e, u)) in enumerate(rules.regions_by_area()))
     has = lambda *names: " AND ".join(f"list_contains(ids, '{n}')" for n in names)
-    return f"""WITH p AS (SELECT c_custkey, -141.0::DOUBLE + (c_custkey * 37 % 900) / 10.0::DOUBLE AS lon, 41.0::DOUBLE + (c_custkey * 53 % 420) / 10.0::DOUBLE AS lat FROM customer),
+    return f"""WITH p AS ({points}),
 b(name, w, s, e, n, k) AS (VALUES {boxes}), h AS (SELECT c_custkey, lon, lat, coalesce(list(name ORDER BY k) FILTER (name IS NOT NULL), []) AS ids FROM p LEFT JOIN b ON lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY ALL)
 SELECT c_custkey, ids[1] AS smallest, coalesce(CASE
   WHEN {has('ab', 'bc')} THEN CASE WHEN lat >= 54 AND lon < -120 OR lat < 54 AND lon < -116.4 THEN 'bc' ELSE 'ab' END
