@@ -7,7 +7,8 @@ lies on the wrong side of the planes passed, until the leaves that it took hold
 found on the sample, as the share of rows with which its own queries find what brute force over the sample does.
 
 Leaves meet their queries in tasks, where the candidates are ranked by the inner product of the original vectors; the
-best of all leaves are merged for each query. A leaf of many rows or queries is dealt into slices, and each slice of
+best of all leaves are merged for each query. The first tree's leaves come first: the k-th best score there is a bound below
+which the other trees' leaves return nothing. A leaf of many rows or queries is dealt into slices, and each slice of
 rows meets each slice of queries, so that no task holds a large leaf. Equal queries are searched once.
 
 The forest goes to the tasks; SAMPLE, SAMPLE_BYTES and LEAST bound it. With more rows than LEAF times the most leaves,
@@ -39,13 +40,14 @@ RECALL, PROBES, SLICE, ASKED, K = 0.96, 256, 8_192, 32_768, 20
 
 
 class Forest:
-    """Arrays of nodes: normal and offset of the plane, children (leaf k of all leaves is ~k); a root for each tree."""
+    """Arrays of nodes: normal and offset of the plane, children (leaf k of all leaves is ~k); root and first leaf of each tree."""
 
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, least: int = LEAST, seed: int = 7):
         rng = np.random.default_rng(seed)
         share = rows / max(len(sample), 1)
-        self.normals, self.offsets, self.children, self.roots, self.leaves = [], [], [], [], 0
+        self.normals, self.offsets, self.children, self.roots, self.leaves, self.first = [], [], [], [], 0, []
         for _ in range(trees):
+            self.first.append(self.leaves)
             self.roots.append(self._node(sample, np.arange(len(sample)), share, leaf, least, rng))
         self.normals = np.array(self.normals).reshape(len(self.offsets), sample.shape[1])
         self.offsets = np.array(self.offsets)
@@ -136,8 +138,8 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k best ids and their scores. Rows of an id, and more than k rows of a vector, are not told apart.
+def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the k best ids that score at least its bound in `least`, and their scores. Of a vector's rows the k first ids count.
 
     Products of blocks only choose candidates; scores are sums in one order, so that equal vectors score alike everywhere."""
     order = np.argsort(ids, kind="stable")
@@ -155,8 +157,8 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -
     out = []
     for at in range(0, len(queries), block := max(1, 4_000_000 // max(len(ids), 1))):
         products = queries[at : at + block] @ vectors.T
-        least = np.partition(products, len(ids) - most, axis=1)[:, len(ids) - most]
-        for query, row, low in zip(queries[at : at + block], products, least):
+        lows = np.maximum(least[at : at + block], np.partition(products, len(ids) - most, axis=1)[:, len(ids) - most])
+        for query, row, low in zip(queries[at : at + block], products, lows):
             some = np.flatnonzero(row >= low - 1e-9 * (1 + abs(low)))
             scores = (vectors[some] * query).sum(axis=1)
             rank = np.lexsort((ids[some], -scores))
@@ -190,11 +192,12 @@ def fitted(rows: DataFrame, kind: str, k: int, trees: int, leaf: int) -> tuple[F
         return None
     most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
     share = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(2**20)) < int(min(1.0, 0.95 * most / n) * 2**20) + 1
-    sample = matrix(rows.where(share).limit(most).select("vector").toArrow().column("vector"), kind)
-    if not len(sample):
-        sample = matrix(rows.limit(1).select("vector").toArrow().column("vector"), kind)
+    taken = rows.where(share).limit(most).select("vector").toArrow()
+    taken = taken if len(taken) else rows.limit(1).select("vector").toArrow()
+    sample = matrix(taken.column("vector"), kind)
     forest = Forest(lifted(sample, longest), n, trees, leaf)
-    return forest, longest, enough_rows(forest, sample, longest, n, k) if forest.leaves > trees else float(n * trees)
+    enough = enough_rows(forest, sample, longest, n, k) if forest.leaves > trees else float(n * trees)
+    return forest, longest, enough
 
 
 def neighbours(rows: DataFrame, asks: Column, k: int = K, trees: int = TREES, leaf: int = LEAF, slice_rows: int = SLICE, slice_asked: int = ASKED) -> DataFrame:
@@ -233,52 +236,73 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, trees: int = TREES, le
     down, across = -(-counts // slice_rows), -(-asked // slice_asked)
     cells = np.concatenate([[0], np.cumsum(down * across)])
 
-    def rows_in_cells():
-        turn = 0
-
-        def each(batch):
-            nonlocal turn
-            vectors = matrix(batch.column("vector"), kind)
-            where = sent.value.place(lifted(vectors, longest)) if len(vectors) else np.zeros((0, trees), np.int32)
-            line = turn + np.arange(len(where))
-            turn += len(where)
-            # Every slice of queries of the leaf, for the row's slice.
-            leaf_of, row = where.ravel(), np.repeat(np.arange(len(where)), where.shape[1])
-            times = across[leaf_of]
-            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            leaf_of, row = np.repeat(leaf_of, times), np.repeat(row, times)
-            cell = cells[leaf_of] + line[row] % np.maximum(down[leaf_of], 1) * across[leaf_of] + part
-            return {"cell": cell, "vec_id": batch.column("vec_id").take(pa.array(row)), "vector": _bytes(vectors, kind).take(pa.array(row))}
-
-        return each
-
-    def asked_in_cells():
-        def each(batch):
-            out_cell, out_row = [], []
-            for row, (i, leaves) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("leaves").to_pylist())):
-                for x in leaves:
-                    own = cells[x] + np.arange(down[x]) * across[x] + i % max(across[x], 1)
-                    out_cell.append(own)
-                    out_row.append(np.full(len(own), row))
-            row = pa.array(np.concatenate(out_row) if out_row else [], pa.int64())
-            return {"cell": np.concatenate(out_cell) if out_cell else [], "asked": batch.column("asked").take(row), "vector": batch.column("vector").take(row)}
-
-        return each
+    def rows_in_cells(first: int, end: int):
+        """Rows of the leaves from `first` to `end`, once for each slice of the leaf's queries."""
+        def make():
+            turn = 0
+
+            def each(batch):
+                nonlocal turn
+                vectors = matrix(batch.column("vector"), kind)
+                where = sent.value.place(lifted(vectors, longest)) if len(vectors) else np.zeros((0, trees), np.int32)
+                line = turn + np.arange(len(where))
+                turn += len(where)
+                row, tree = np.nonzero((where >= first) & (where < end))
+                leaf_of = where[row, tree]
+                times = across[leaf_of]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                leaf_of, row = np.repeat(leaf_of, times), np.repeat(row, times)
+                cell = cells[leaf_of] + line[row] % np.maximum(down[leaf_of], 1) * across[leaf_of] + part
+                return {"cell": cell, "vec_id": batch.column("vec_id").take(pa.array(row)), "vector": _bytes(vectors, kind).take(pa.array(row))}
+
+            return each
+
+        return make
+
+    def asked_in_cells(first: int, end: int):
+        """Queries of those leaves, once for each slice of the leaf's rows."""
+        def make():
+            def each(batch):
+                out_cell, out_row = [], []
+                for row, (i, leaves) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("leaves").to_pylist())):
+                    for x in leaves:
+                        if first <= x < end:
+                            own = cells[x] + np.arange(down[x]) * across[x] + i % max(across[x], 1)
+                            out_cell.append(own)
+                            out_row.append(np.full(len(own), row))
+                row = pa.array(np.concatenate(out_row) if out_row else [], pa.int64())
+                return {"cell": np.concatenate(out_cell) if out_cell else []} | {c: batch.column(c).take(row) for c in ("asked", "vector", "least")}
+
+            return each
+
+        return make
 
     def meet(given: pa.Table, wanted: pa.Table) -> pa.Table:
         best = []
         if len(given) and len(wanted):
-            best = best_of(given.column("vec_id").to_numpy(), matrix(given.column("vector"), kind), matrix(wanted.column("vector"), kind), k + 1)
+            best = best_of(given.column("vec_id").to_numpy(), matrix(given.column("vector"), kind), matrix(wanted.column("vector"), kind), wanted.column("least").to_numpy(), k + 1)
         ids = wanted.column("asked").to_numpy()
         return pa.table({
             "asked": pa.array(np.repeat(ids[: len(best)], [len(x) for x, _ in best]) if best else [], pa.int64()),
             "vec_id": pa.array(np.concatenate([x for x, _ in best]) if best else [], pa.int64()), "score": pa.array(np.concatenate([y for _, y in best]) if best else [], pa.float64())})
 
-    left = map_texts(rows, rows_in_cells, "cell long, vec_id long, vector binary").groupBy("cell")
-    right = map_texts(visited, asked_in_cells, "cell long, asked long, vector binary").groupBy("cell")
-    met = left.cogroup(right).applyInArrow(meet, "asked long, vec_id long, score double").groupBy("asked", "vec_id").agg(F.max("score").alias("score"))
+    def met(asking_rows: DataFrame, first: int, end: int) -> DataFrame:
+        left = map_texts(rows, rows_in_cells(first, end), "cell long, vec_id long, vector binary").groupBy("cell")
+        right = map_texts(asking_rows, asked_in_cells(first, end), "cell long, asked long, vector binary, least double").groupBy("cell")
+        return left.cogroup(right).applyInArrow(meet, "asked long, vec_id long, score double")
+
     in_order = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "vec_id"))
-    best = met.withColumn("place", in_order("asked")).where(F.col("place") <= k + 1).drop("place")
+
+    def best_rows(found_rows: DataFrame) -> DataFrame:
+        one = found_rows.groupBy("asked", "vec_id").agg(F.max("score").alias("score"))
+        return one.withColumn("place", in_order("asked")).where(F.col("place") <= k + 1).drop("place")
+
+    second = forest.first[1] if trees > 1 else forest.leaves
+    best = stored(best_rows(met(visited.withColumn("least", F.lit(float("-inf"))), 0, second)))
+    if trees > 1:
+        low = best.groupBy("asked").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k + 1).select("asked", "least")
+        rest = met(visited.join(low, "asked", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), second, forest.leaves)
+        best = best_rows(best.unionByName(rest))
     same = queries.join(distinct, "vector").select(F.col("vec_id").alias("query_id"), "asked")
     ranked = same.join(best, "asked").where("vec_id <> query_id").withColumn("rank", in_order("query_id")).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
