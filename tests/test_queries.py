@@ -98,3 +98,17 @@ def test_components_of_many_parts(spark):
     assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(v, top(v)) for v in up}
     stats = {r.component: r.nodes for r in component_stats(edges).collect()}
     assert stats == {c: sum(top(v) == c for v in up) for c in {top(v) for v in up}}
+
+
+def test_kilometres_round_the_exact_value(spark):
+    """All metres up to 40 kilometres: the nearest decimal to the double, the larger of two as near."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from pyspark.sql import functions as F
+
+    from trailframe.functions.labels import km_label
+
+    got = {r.m: r.label for r in spark.range(40_000).select(F.col("id").alias("m"), km_label(F.col("id").cast("double")).alias("label")).collect()}
+    want = lambda m: f"{m} m" if m < 1000 else f"{Decimal(m / 1000).quantize(Decimal('0.1' if m >= 10_000 else '0.01'), ROUND_HALF_UP)} km"
+    assert got == {m: want(m) for m in range(40_000)}
+    assert got[8815] == "8.81 km" and got[9625] == "9.63 km"

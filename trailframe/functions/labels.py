@@ -54,10 +54,20 @@ def rider_label(name: Column, status: Column) -> Column:
     return F.concat(F.coalesce(cleaned(name), F.lit("Rider")), F.lit(" - "), status_label(status))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A number from 1 to 10 ** 12 with one or two decimals, as text: the nearest to the double's exact value, the larger of two as near.
+
+    The fraction of such a double is a whole number of 2 ** -52, so that integers tell exactly on which side of a half it lies."""
+    tens = 10**places
+    steps = ((x - F.floor(x)) * 2.0**52).cast("long")
+    units = F.floor(x) * tens + F.shiftright(steps * tens + F.lit(2**51), 52)
+    return F.concat(F.floor(units / tens).cast("string"), F.lit("."), F.lpad((units % tens).cast("string"), places, "0"))
+
+
 def km_label(meters: Column) -> Column:
     """Metres below one kilometre, else kilometres with two places, from ten on with one."""
     km = F.coalesce(meters, F.lit(0.0)) / 1000
-    return F.when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit(" m"))).when(km >= 10, F.format_string("%.1f km", km)).otherwise(F.format_string("%.2f km", km))
+    return F.when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit(" m"))).when(km >= 10, F.concat(fixed(km, 1), F.lit(" km"))).otherwise(F.concat(fixed(km, 2), F.lit(" km")))
 
 
 def time_label(seconds: Column) -> Column:

@@ -26,7 +26,7 @@ WIDENINGS, SANE = (1.0, 1.25, 1.6, None), 2.5
 STITCH_PAD, STITCH_SHARE, STITCH = 0.04, 0.35, "soft-stitch-"
 METERS_PER_DEGREE = 111_320.0
 #: Parameters: steps that are taken before labels are compared with those known, rounds after which known labels are merged, cells by which requests meet roads (degrees).
-STEPS, MERGE, AREA = 4, 16, 0.05
+STEPS, MERGE, AREA = 6, 16, 0.05
 _ROAD = ["edge_id", "a", "b", "m", "s", "ac", "rt", "src", "component"]
 
 
@@ -249,10 +249,10 @@ def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
     arrive. `joins` are the stitches that requests may take too. Labels that cost no less than a goal already reached go no
     further. Labels are appended, round by round, and only those of nodes reached anew are looked up; every MERGE rounds
     they are merged."""
-    legs_in, legs_out = checkpointed(_legs(requests, nodes, "start")), checkpointed(_legs(requests, nodes, "end"))
+    legs_in, legs_out = _legs(requests, nodes, "start"), checkpointed(_legs(requests, nodes, "end"))
     same = requests.where(F.col("start.edge_id") == F.col("end.edge_id"))
     meters = F.abs(F.col("start.along") - F.col("end.along"))
-    one_road = checkpointed(same.select("query", _cost(meters, "start.", _point("start"), _point("end"), False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters")))
+    one_road = same.select("query", _cost(meters, "start.", _point("start"), _point("end"), False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters"))
     if widening is None:
         asked = checkpointed(requests.select(*_ASKED))
         arcs = checkpointed(_arcs(roads, nodes))
@@ -323,15 +323,21 @@ def routes(requests: DataFrame, roads: DataFrame, nodes: DataFrame, avoid: DataF
     """The pieces (query, place, edge_id, meters, surface, access, leg, cost) of the cheapest route of each request, in order.
 
     A request without a road at one of its ends, or without a path, has one row with `error`. Requests whose ellipse holds
-    no path, or only one that costs too much, are tried again in wider ones."""
+    no path, or only one that costs too much, are tried again in wider ones. Ends in two components that no stitch leaves have no path."""
     asked = checkpointed(snapped(requests, roads, avoid, limit, hubs))
     giant = giant_component(roads)
     if avoid is not None:
         roads = roads.join(avoid.select("edge_id"), "edge_id", "left_anti")
     missing = asked.where("start IS NULL OR end IS NULL").select("query", F.lit("match_failed").alias("error"))
-    left, pieces = checkpointed(asked.where("start IS NOT NULL AND end IS NOT NULL")), None
-    joins = checkpointed(stitched(left, roads, nodes, giant))
+    both = asked.where("start IS NOT NULL AND end IS NOT NULL")
+    joins = checkpointed(stitched(both, roads, nodes, giant))
+    apart = "start.component >= 0 AND end.component >= 0 AND start.component <> end.component"
+    cut = checkpointed(both.where(apart).select("query").join(joins.select("query"), "query", "left_anti"))
+    left = checkpointed(both.join(cut, "query", "left_anti"))
+    missing, pieces = missing.unionByName(cut.select("query", F.lit("no_route").alias("error"))), None
     for widening in WIDENINGS:
+        if left.isEmpty():
+            break
         labels, goals = search(left, roads, nodes, widening, joins)
         goals = goals.join(left.select("query", "profile", "start", "end"), "query")
         if widening is not None:
@@ -339,6 +345,8 @@ def routes(requests: DataFrame, roads: DataFrame, nodes: DataFrame, avoid: DataF
             most = profiles.by_name(F.col("profile"), {p: profiles.ELLIPSE[p] * profiles.greatest_weight(p) for p in profiles.ELLIPSE}, 1.5 * profiles.greatest_weight("balanced"))
             goals = goals.where(F.col("cost") <= most * widening * km * SANE)
         goals = checkpointed(goals)
+        if goals.isEmpty():
+            continue
         path = checkpointed(backtracked(labels, goals))
         inner = path.where("edge_id IS NOT NULL").join(roads.select("edge_id", "m", "s", "ac"), "edge_id").select("query", (-F.col("back")).alias("place"), "edge_id", F.col("m").cast("double").alias("meters"), "s", "ac", F.lit(False).alias("leg"))
         at = lambda e, k: nodes.select(F.col("node").alias(e), F.col("lon").alias(f"x{k}"), F.col("lat").alias(f"y{k}"))
@@ -351,9 +359,9 @@ def routes(requests: DataFrame, roads: DataFrame, nodes: DataFrame, avoid: DataF
         found = checkpointed(firsts.unionByName(inner).unionByName(across).unionByName(lasts).join(goals.select("query", "cost"), "query"))
         pieces = found if pieces is None else pieces.unionByName(found)
         left = checkpointed(left.join(goals.select("query"), "query", "left_anti"))
-        if left.isEmpty():
-            break
     failed = missing.unionByName(left.select("query", F.lit("no_route").alias("error")))
+    if pieces is None:
+        return failed.select("query", *(F.lit(None).cast(kind).alias(c) for c, kind in (("place", "int"), ("edge_id", "string"), ("meters", "double"), ("surface", "string"), ("access", "string"), ("leg", "boolean"), ("cost", "double"))), "error")
     names = pieces.select("query", "place", "edge_id", "meters", classify.code_name(F.col("s"), classify.SURFACES).alias("surface"), classify.code_name(F.col("ac"), classify.ACCESSES).alias("access"), "leg", "cost", F.lit(None).cast("string").alias("error"))
     return names.unionByName(failed, allowMissingColumns=True)
 

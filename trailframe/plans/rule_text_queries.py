@@ -203,6 +203,8 @@ QUERIES = {
     "P36_labels": p36_labels, "P37_same_points": p37_same_points, "P38_words": p38_words, "P16_fields": p16_fields, "G15_points": g15_points, "G06_projections": g06_projections, "K06_poi_chunks": k06_poi_chunks, "A17_poi_counts": a17_poi_counts,
 }
 
+#: Kilometres with so many decimals: of the double's exact value, as a whole number of 2 ** -52, the nearest, the larger of two.
+_FIXED = "((m // 1000 * {n} + ((CAST((m / 1000.0::DOUBLE - floor(m / 1000.0::DOUBLE)) * 4503599627370496 AS BIGINT) * {n} + 2251799813685248) >> 52)) // {n}) || '.' || lpad(CAST((m // 1000 * {n} + ((CAST((m / 1000.0::DOUBLE - floor(m / 1000.0::DOUBLE)) * 4503599627370496 AS BIGINT) * {n} + 2251799813685248) >> 52)) % {n} AS VARCHAR), {p}, '0') || ' km'"
 _LINES = _NET + f", l AS (SELECT e.*, x.lon_e5 / 1e5 + {MOVED[0]}::DOUBLE AS xa, x.lat_e5 / 1e5 + {MOVED[1]}::DOUBLE AS ya, y.lon_e5 / 1e5 + {MOVED[0]}::DOUBLE AS xb, y.lat_e5 / 1e5 + {MOVED[1]}::DOUBLE AS yb FROM e JOIN n x ON x.node_id = a JOIN n y ON y.node_id = b)"
 _STATUS_NAME = f"lower(coalesce(nullif({_dealt_sql('event_id', STATES)}, ''), 'available'))"
 ORACLE_SQL = {
@@ -213,7 +215,7 @@ ORACLE_SQL = {
     "P32_families": f"WITH p AS (SELECT p_partkey, lower({_dealt_sql('p_partkey', NAMES)}) AS r FROM part) SELECT p_partkey, CASE WHEN r = 'qc' OR starts_with(r, 'qc-') THEN 'qc' ELSE r END AS family FROM p",
     "P34_numbers": f"WITH p AS (SELECT p_partkey, TRY_CAST(trim({_dealt_sql('p_partkey', NUMBERS)}) AS DOUBLE) AS x FROM part) SELECT p_partkey, CASE WHEN isfinite(x) THEN x END AS number FROM p",
     "P35_status": f"WITH p AS (SELECT event_id, {_STATUS_NAME} AS s, coalesce(nullif(trim({_dealt_sql('event_id', RIDERS)}), ''), 'Rider') AS name FROM events) SELECT event_id, name || ' - ' || CASE s WHEN 'breakdown' THEN 'Breakdown' WHEN 'stuck' THEN 'Stuck' WHEN 'injured' THEN 'Injured' ELSE 'Available' END AS label, s IN ('breakdown', 'stuck', 'injured') AS distress, CAST(CASE WHEN s IN ('breakdown', 'stuck', 'injured') THEN 5000 ELSE 15000 END AS INT) AS every_ms FROM p",
-    "P36_labels": "WITH p AS (SELECT c_custkey, c_custkey * 7919 % 40000 AS m, c_custkey * 613 % 20000 - 100 AS s, CAST(floor((c_custkey * 613 % 20000 - 100) / 60.0 + 0.5) AS BIGINT) AS t FROM customer) SELECT c_custkey, CASE WHEN m < 1000 THEN m || ' m' WHEN m >= 10000 THEN printf('%.1f km', m / 1000.0::DOUBLE) ELSE printf('%.2f km', m / 1000.0::DOUBLE) END AS distance, CASE WHEN s <= 0 THEN '—' WHEN t < 60 THEN t || ' min' ELSE (t // 60) || ' h' || CASE WHEN t % 60 > 0 THEN ' ' || (t % 60) || ' min' ELSE '' END END AS time FROM p",
+    "P36_labels": f"WITH p AS (SELECT c_custkey, c_custkey * 7919 % 40000 AS m, c_custkey * 613 % 20000 - 100 AS s, CAST(floor((c_custkey * 613 % 20000 - 100) / 60.0 + 0.5) AS BIGINT) AS t FROM customer) SELECT c_custkey, CASE WHEN m < 1000 THEN m || ' m' WHEN m >= 10000 THEN {_FIXED.format(n=10, p=1)} ELSE {_FIXED.format(n=100, p=2)} END AS distance, CASE WHEN s <= 0 THEN '—' WHEN t < 60 THEN t || ' min' ELSE (t // 60) || ' h' || CASE WHEN t % 60 > 0 THEN ' ' || (t % 60) || ' min' ELSE '' END END AS time FROM p",
     "P37_same_points": _LINES + " SELECT edge_id, NOT (seq % 2 <> 0 AND seq % 3 = 0) AS same, false AS missing FROM l",
     "P38_words": "WITH p AS (SELECT p_partkey, CAST(p_partkey % 6 + 1 AS INT) AS n, CASE WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS s, ['left', 'right', 'straight'][p_partkey % 3 + 1] AS j FROM part), w AS (SELECT *, upper(s[1]) || s[2:] AS big, upper(j[1]) || j[2:] AS turn FROM p) SELECT p_partkey, big || ' ' || n || CASE n WHEN 1 THEN ' hairpin' ELSE '' END AS text, s || ' ' || n || CASE n WHEN 1 THEN ' hairpin' ELSE '' END AS spoken, n || '-' || s || CASE n WHEN 1 THEN '-hairpin' ELSE '' END AS key, CASE WHEN j = 'straight' THEN 'Straight' ELSE turn || ' turn' END AS turn, CASE WHEN j <> 'straight' THEN turn || ' turn here' END AS here, CASE WHEN j = 'straight' THEN 'straight' ELSE 'jct-' || j END AS turn_key FROM w",
     "P16_fields": f"WITH p AS (SELECT *, nullif(trim(concat_ws(' ', CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 90 AS VARCHAR) END, nullif({_dealt_sql('p_partkey', STREET)}, ''))), '') AS l, {_dealt_sql('p_partkey', STAMPS)} AS t FROM part) SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN nullif(trim(p_name), '') END AS name, nullif(concat_ws(', ', l, nullif(trim({_dealt_sql('p_partkey', CITY)}), ''), CASE WHEN p_partkey % 7 = 0 THEN 'NS' END, CASE WHEN p_partkey % 11 = 0 THEN 'B0S 1A0' END), '') AS address, CASE WHEN t = '1700000000' THEN '2023-11-14T22:13:20.000Z' ELSE nullif(trim(t), '') END AS updated FROM p",
