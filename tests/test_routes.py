@@ -213,3 +213,62 @@ def test_way_points_edge_cases(spark, mode):
     assert [len(out[q]) for q in (1, 2, 3, 4, 7)] == [1, 0, 2, 2, 3]
     assert len(out[5]) > 15 and out[5][0].lon == -63.5 and out[5][-1].lon == -123.2 and [p.lon for p in out[5]] == sorted((p.lon for p in out[5]), reverse=True)
     assert len(out[6]) == (2 if mode != "clip" else 7)  # two samples and three places of the table
+
+
+def test_stage_edits_as_one_after_another(spark):
+    """The log of all events, replayed by a loop."""
+    from tests.test_queries import SF
+    from trailframe.plans import edit_queries
+
+    log = {}
+    for r in edit_queries.edit_log(spark, SF).collect():
+        log.setdefault(r.trip, []).append(r)
+    point = lambda p: p and (p.lng, p.lat)
+    new = lambda i, profile, start, end: {"id": i, "profile": profile, "start": start, "end": end, "route": None}
+    want, kinds = {}, set()
+    for trip, events in log.items():
+        stages = [new("first", "balanced", None, None)]
+
+        def begin(k, start):
+            stages[k] = stages[k] | {"start": start, "route": None}  # noqa: B023
+
+        def add(i, profile, start, end):
+            stages.append(new(i, profile or "balanced", start or stages[-1]["end"], end))  # noqa: B023
+
+        for e in sorted(events, key=lambda e: e.seq):
+            k = next((k for k, s in enumerate(stages) if s["id"] == e.stage), None)
+            before = list(stages)
+            if e.kind == "add":
+                add(e.stage, e.profile, point(e.start), point(e.end))
+            elif e.kind == "move":
+                if e["from"] in range(len(stages)) and e.to in range(len(stages)) and e["from"] != e.to:
+                    stages.insert(e.to, stages.pop(e["from"]))
+            elif k is None:
+                continue
+            elif e.kind == "remove" and len(stages) > 1:
+                stages.pop(k)
+            elif e.kind == "remove-waypoint" and len(stages) > 1 and stages[k]["start"] and stages[k]["end"]:
+                if k + 1 < len(stages):
+                    begin(k + 1, stages[k]["start"])
+                stages.pop(k)
+                for i in range(max(1, k), len(stages)):
+                    end = stages[i - 1]["end"]
+                    if end and stages[i]["start"] != end:
+                        begin(i, end)
+                if stages[-1]["start"] and stages[-1]["end"]:
+                    add(f"draft-{e.seq}", stages[-1]["profile"], None, None)
+            elif e.kind == "set-start":
+                begin(k, point(e.start))
+            elif e.kind == "set-end":
+                stages[k] = stages[k] | {"end": point(e.end), "route": None}
+            elif e.kind == "route-success":
+                stages[k] = stages[k] | {"route": e.route or stages[k]["route"]}
+            elif e.kind == "invalidate":
+                stages[k] = stages[k] | {"route": None}
+            if stages != before:
+                kinds.add(e.kind)
+        for place, s in enumerate(stages):
+            status = "draft" if not (s["start"] and s["end"]) else "complete" if s["route"] else "ready"
+            want[trip, place] = (s["id"], s["profile"], *(s["start"] or (None, None)), *(s["end"] or (None, None)), s["route"], status)
+    got = {(r.trip, r.place): tuple(r)[2:] for r in edit_queries.x03_edits(spark, SF).collect()}
+    assert got == want and kinds == set(edit_queries.KINDS)

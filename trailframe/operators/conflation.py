@@ -19,6 +19,14 @@ def _line(rows: DataFrame, tag: str) -> DataFrame:
     return rows.select(F.col("key").alias(f"{tag}_key"), F.col("x2").alias(f"{tag}_x"), F.col("y2").alias(f"{tag}_y"), bearing_rough(d("x1"), d("y1"), d("x2"), d("y2")).alias(f"{tag}_dir"))
 
 
+def by_middles(rows: DataFrame) -> DataFrame:
+    """Lines (key, points: (lon, lat) in degrees) as two-vertex lines that end in the middle vertex and have the direction from end to end."""
+    e5 = lambda p, c: F.floor(p[c] * 1e5 + 0.5).cast("long")
+    first, middle, last = F.get("points", F.lit(0)), F.get("points", F.floor(F.size("points") / 2).cast("int")), F.try_element_at("points", F.lit(-1))
+    at = {"x1": e5(middle, "lon") - (e5(last, "lon") - e5(first, "lon")), "y1": e5(middle, "lat") - (e5(last, "lat") - e5(first, "lat")), "x2": e5(middle, "lon"), "y2": e5(middle, "lat")}
+    return rows.where(F.size("points") >= 2).select("*", *(v.alias(k) for k, v in at.items())).drop("points")
+
+
 def duplicate_pairs(backbone: DataFrame, supplement: DataFrame) -> DataFrame:
     """(base_key, sup_key, meters) of lines whose middle vertices and directions agree; an equi-join on 3 x 3 cells."""
     base = _line(backbone, "base").withColumns({"cx": cell(F.col("base_x"), CELL_E5), "cy": cell(F.col("base_y"), CELL_E5)})

@@ -49,10 +49,37 @@ def hub_extract(edges: DataFrame, hubs: list[tuple[float, float]], meters: float
     return edges.where(is_through() | ((F.col("s") != TRACK) & reduce(lambda a, b: a | b, near, F.lit(False))))
 
 
+# Metres from a hub within which fabric keeps small roads; names of modes that take the open street map only, and it
+# with the provinces' roads; modes that take all of the national inventory but tracks.
+FABRIC_HUB_M, MAP_ONLY, MAP_AND_PROVINCIAL, DENSE = 40_000.0, ("osm", "osm-only"), ("osm-provincial", "osm+provincial", "osm+nstdb", "osm-nstdb"), ("corridor", "dense", "maritime")
+
+
+def fabric(edges: DataFrame, mode: str = "hub", hubs: list[tuple[float, float]] = (), meters: float = FABRIC_HUB_M, no_service: bool = False, service_near_hubs: bool = False) -> DataFrame:
+    """The road fabric of a long-haul graph, by source and mode; roads of the open street map whose access is unknown become permissive.
+
+    Map modes take its roads, with the provinces' or without them; others take it and the national inventory: through roads
+    everywhere, others near hubs, the inventory's resource roads nowhere. Dense modes take all of the inventory but tracks.
+    Hubs (lon, lat) are part of the request and so constants; edges come from `with_ends`."""
+    source, road = F.coalesce(F.col("src"), F.lit("")), F.coalesce(F.col("rt"), F.lit(""))
+    mapped, national = source.rlike("(?i)openstreetmap"), source.rlike("(?i)national road network")
+    near = [haversine(F.col(f"x{e}") / 1e5, F.col(f"y{e}") / 1e5, F.lit(h[0]), F.lit(h[1])) <= meters for h in hubs for e in ("a", "b")]
+    at_hub = reduce(lambda a, b: a | b, near, F.lit(False))
+    service = F.lit(no_service) & (road == "service")
+    if mode in MAP_ONLY:
+        kept = mapped & ~service & ~(F.lit(service_near_hubs) & (road == "service") & ~at_hub)
+    elif mode in MAP_AND_PROVINCIAL:
+        kept = ~national & ~(mapped & service)
+    else:
+        inventory = (F.col("s") != TRACK) & (F.lit(mode in DENSE) | road.isin(*THROUGH) | ((road != "resource") & at_hub))
+        kept = F.when(mapped, road.isin(*THROUGH) | at_hub).when(national, inventory).otherwise(False)
+    return edges.where(kept).withColumn("ac", F.when(mapped & (F.col("ac") == 2), 1).otherwise(F.col("ac")))
+
+
 def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
     """`rows` with numbers from 0 in the order of the unique `key`; no task sees all rows.
 
-    Rows are sorted by ranges and numbered inside each; the counts of the ranges before, one row each, give the offset."""
+    Rows are sorted by ranges and numbered inside each; the counts of the ranges before give the offset. Those are a row for
+    each partition, so that the window over them, without a partition, is small."""
     ordered = checkpointed(rows.orderBy(key).withColumn("_range", F.spark_partition_id()))
     counts = ordered.groupBy("_range").count()
     offsets = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))

@@ -55,9 +55,7 @@ def with_supplement(backbone: DataFrame, supplement: DataFrame) -> DataFrame:
 
     Lines are told apart by middle vertex and direction, the backbone's order and then that of `seq` deciding."""
     both = backbone.where("reason IS NULL").withColumn("main", F.lit(True)).unionByName(supplement.where("reason IS NULL").withColumn("main", F.lit(False)))
-    middle = lambda c: F.floor(F.get("points", F.floor(F.size("points") / 2).cast("int"))[c] * 1e5 + 0.5).cast("long")
-    rows = both.withColumns({"mx": middle("lon"), "my": middle("lat")})
-    line = lambda main: rows.where(F.col("main") == main).select(F.col("seq").alias("key"), (F.col("mx") - (F.col("x2") - F.col("x1"))).alias("x1"), (F.col("my") - (F.col("y2") - F.col("y1"))).alias("y1"), F.col("mx").alias("x2"), F.col("my").alias("y2"), "surface")
+    line = lambda main: conflation.by_middles(both.where(F.col("main") == main).select(F.col("seq").alias("key"), "points", "surface"))
     found = conflation.resolved(line(True), line(False)).where("role <> 'duplicate'").select(F.col("key").alias("seq"), F.col("role").alias("new_role"), F.col("surface").alias("new_surface"))
     return both.join(found, "seq").withColumns({"role": F.col("new_role"), "surface": F.col("new_surface")}).drop("new_role", "new_surface", "main")
 

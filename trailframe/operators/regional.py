@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,23 +59,23 @@ def near_pairs(left: DataFrame, right: DataFrame, meters: float, size: int, reac
     return asked.join(given, ["cx", "cy"]).drop("cx", "cy").withColumn("meters", _meters(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))).where(F.col("meters") <= meters)
 
 
-def settle(places: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def settle(places: DataFrame, pairs: DataFrame) -> DataFrame:
     """Which of some ordered places stay: (place, owner, meters), the owner being the place itself or the nearest earlier
     one that stays (ties to the earlier).
 
-    `pairs` (place, other, meters) has the earlier places that are near enough. Each round decides the places all of
-    whose earlier neighbours are decided, so that the result is that of going through them in order."""
-    done = checkpointed(places.join(pairs.select("place").distinct(), "place", "left_anti").select("place", F.col("place").alias("owner"), F.lit(0.0).alias("meters")))
-    left = checkpointed(pairs)
-    for _ in range(rounds):
-        if left.isEmpty():
-            return done
-        known = left.join(done.select(F.col("place").alias("other"), (F.col("owner") == F.col("place")).alias("stays")), "other", "left")
-        ready = known.groupBy("place").agg(F.count_if(F.col("stays").isNull()).alias("open"), F.min(F.when(F.col("stays"), F.struct("meters", "other"))).alias("best")).where("open = 0")
-        now = ready.select("place", F.coalesce("best.other", "place").alias("owner"), F.coalesce("best.meters", F.lit(0.0)).alias("meters"))
-        done = checkpointed(done.unionByName(now))
-        left = checkpointed(left.join(done.select("place"), "place", "left_anti"))
-    raise RuntimeError(f"places did not settle in {rounds} rounds")
+    `pairs` (place, other, meters) has the earlier places that are near enough. Each round tells the pairs of the places
+    decided in the last one, and decides the places all of whose pairs are told, so that the result is that of going
+    through them in order; the first place left is decided in any round. Places without pairs are decided at once."""
+    now = checkpointed(places.join(pairs.select("place").distinct(), "place", "left_anti").select("place", F.col("place").alias("owner"), F.lit(0.0).alias("meters")))
+    done, left = [now], checkpointed(pairs.select("place", "other", F.col("meters").cast("double").alias("meters"), F.lit(None).cast("boolean").alias("stays")))
+    while True:
+        told = now.select(F.col("place").alias("other"), (F.col("owner") == F.col("place")).alias("told"))
+        left = checkpointed(left.join(now.select("place"), "place", "left_anti").join(told, "other", "left").select("place", "other", "meters", F.coalesce("stays", "told").alias("stays")))
+        ready = left.groupBy("place").agg(F.count_if(F.col("stays").isNull()).alias("open"), F.min(F.when(F.col("stays"), F.struct("meters", "other"))).alias("best")).where("open = 0")
+        now = checkpointed(ready.select("place", F.coalesce("best.other", "place").alias("owner"), F.coalesce("best.meters", F.lit(0.0)).alias("meters")))
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        done.append(now)
 
 
 def snapped_ends(ends: DataFrame, meters: float = SNAP_M) -> DataFrame:

@@ -63,3 +63,30 @@ def corridor(requests: DataFrame) -> DataFrame:
     paths = region_paths(pairs.select("start", "goal").distinct())
     between = pairs.join(paths, ["start", "goal"]).select("query", F.explode("path").alias("region"))
     return own.unionByName(between).groupBy("query").agg(F.array_sort(F.collect_set("region")).alias("regions"))
+
+
+def planned(requests: DataFrame, packs: DataFrame) -> DataFrame:
+    """(query, mode, regions, missing, error): which graphs a request loads, and how.
+
+    Requests are (query, region, places: points (lon, lat), prefer_longhaul, no_chain, no_longhaul, server, legacy); flags that are null
+    count as unset. `packs` (region, longhaul) are those at hand, "canada" being the long-haul pack of the whole country.
+    A region that is named goes before the places; `missing` are the regions on the way whose pack isn't there."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    longhaul = flag("prefer_longhaul") | flag("server")
+    places = requests.select("query", F.explode("places").alias("p")).select("query", rules.primary_region(F.col("p.lon"), F.col("p.lat")).alias("region")).where("region IS NOT NULL").distinct()
+    own = checkpointed(places.groupBy("query").agg(F.array_sort(F.collect_set("region")).alias("hit"), F.count_distinct(rules.region_family(F.col("region"))).alias("families")))  # a few places each
+    ways = corridor(own.select("query", F.explode("hit").alias("region"))).withColumnRenamed("regions", "way")
+    at_hand = packs.groupBy("longhaul").agg(F.collect_set("region").alias("there"))  # two rows of region names
+    there = lambda kind: F.coalesce(at_hand.where(F.col("longhaul") == kind).select("there").scalar(), F.array().cast("array<string>"))
+    rows = requests.join(own, "query", "left").join(ways, "query", "left").withColumns({"_long": there(True), "_full": there(False)})
+    rows = rows.withColumn("_there", F.when(longhaul, F.col("_long")).otherwise(F.col("_full")))
+    gone, n, named = F.array_except("way", "_there"), F.size("way"), F.col("region").isNotNull()
+    across = ~flag("server") & (n >= 4) & F.array_contains("_long", "canada") & ~flag("no_longhaul") & F.array_contains("way", "ns") & F.array_contains("way", "bc")
+    chain = ~flag("no_chain") & (F.col("families") != 1) & (n >= 2) & (flag("server") | (n >= 4))
+    kind = F.when(longhaul, "longhaul").otherwise("regional")
+    mode = (F.when(named, F.when(longhaul, "explicit-longhaul").otherwise("explicit")).when(F.col("hit").isNull(), None)
+            .when(flag("legacy") & (F.array_join("hit", ",") == "ns"), "legacy-production").when(across, "canada-longhaul-local").when(chain, "canada-chain")
+            .otherwise(F.concat(F.when(n > 1, "multi-").otherwise(""), kind, F.when(F.size(gone) > 0, "-remote").otherwise("-local"))))
+    regions = F.when(named, F.array(F.lower("region"))).when(mode == "legacy-production", F.col("hit")).otherwise(F.col("way"))
+    missing = F.when(mode.startswith("multi-"), gone)
+    return rows.select("query", mode.alias("mode"), regions.alias("regions"), missing.alias("missing"), F.when(~named & F.col("hit").isNull(), "region_unknown").alias("error"))
