@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailframe.functions.classify import edge_id
+
 # Patterns (case is ignored) and what they stand for.
 INVENTORY_EXCLUDED = (("Abandoned", "abandoned"), ("Ferry", "ferry_as_roadseg"))
 INVENTORY_STRUCTURES = (("Bridge", "bridge"), ("Tunnel", "tunnel"), ("Barrier|Blocked", "blocked_passage"))
@@ -113,3 +115,32 @@ def tagged_way(props) -> Column:
         F.coalesce(tagged, untagged).alias("surface"),
         F.when((tagged == "resource") & (road_class == "local"), "resource").otherwise(road_class).alias("road_class"),
         F.when(tag("bridge") == "yes", "bridge").when(tag("tunnel") == "yes", "tunnel").otherwise("none").alias("structure"))
+
+
+# Road classes of packed surfaces; prefixes of ids that stay, of those that are renamed, and of new ones.
+PACKED_CLASSES = {"resource": "resource", "track": "track", "paved": "local", "gravel": "local"}
+PACKED_ID, OLD_ID, NEW_ID = "ns-", "ns-gov-", "ns-nstdb-"
+
+
+def packed_feature(props, first: Column, last: Column) -> Column:
+    """Struct (reason, edge_id, record, surface, road_class, access, structure, confidence, seasonal) of a feature of a government pack.
+
+    Classes that are there already hold; without a surface or an access the description decides. `props(name)` gives an
+    attribute, `first` and `last` are the line's ends as texts, null without a line. Ids of the province stay; others are made of record and ends."""
+    get = lambda name: F.nullif(props(name), F.lit(""))
+    text = F.coalesce(get("sourceDescription"), get("feat_desc"), F.lit(""))
+    by_text = described_road(text)
+    there = F.coalesce(get("surfaceClass"), get("trackClass"))
+    surface, access = F.when(there == "access", "resource").otherwise(there), get("accessClass")
+    packed = surface.isNotNull() & access.isNotNull()
+    of = lambda own, name: F.when(packed, own).otherwise(by_text[name])
+    (kind, road), *rest = PACKED_CLASSES.items()
+    road_class = reduce(lambda acc, kv: acc.when(surface == kv[0], kv[1]), rest, F.when(surface == kind, road)).otherwise("unknown")
+    record, given = F.coalesce(get("sourceRecordId"), get("edgeId"), F.lit("unknown")), get("edgeId")
+    own_id = F.when(given.startswith(PACKED_ID), F.regexp_replace(given, f"^{OLD_ID}", NEW_ID)).otherwise(edge_id(NEW_ID, record, F.lit("0"), first, last))
+    out_access = of(access, "access")
+    reason = F.when(first.isNull(), "no_usable_geometry").otherwise(F.coalesce(F.when(~packed, by_text["reason"]), F.when(out_access == "motorized_excluded", "motorized_excluded")))
+    return F.struct(
+        reason.alias("reason"), own_id.alias("edge_id"), record.alias("record"), of(surface, "surface").alias("surface"), of(road_class, "road_class").alias("road_class"), out_access.alias("access"),
+        of(F.coalesce(get("structureType"), F.lit("none")), "structure").alias("structure"), of(F.coalesce(get("confidence"), F.lit("medium")), "confidence").alias("confidence"),
+        of(F.coalesce(props("seasonal") == "true", F.lit(False)), "seasonal").alias("seasonal"))

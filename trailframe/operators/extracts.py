@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.geometry import haversine
-from trailframe.operators.components import checkpointed
+from trailframe.operators.components import checkpointed, connected_components
 
 # Classes of through roads; share of the box that counts as its border; metres from a hub that are kept.
 THROUGH, BORDER, HUB_M, TRACK = ("freeway", "arterial", "ramp", "collector"), 0.04, 45_000.0, 3
@@ -87,6 +87,27 @@ def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
     return ordered.withColumn(name, inside).join(offsets, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
 
 
+def dealt_to_boxes(edges: DataFrame, boxes: Column) -> DataFrame:
+    """`edges` (with the ends xa, ya, xb, yb) once for each box (name, west, south, east, north; in 1e-5 degrees) that an end lies in, as column
+    `pack`: one pass over the edges, however many boxes overlap."""
+    inside = lambda b, e: F.col(f"x{e}").between(b["west"], b["east"]) & F.col(f"y{e}").between(b["south"], b["north"])
+    hit = F.transform(F.filter("_boxes", lambda b: inside(b, "a") | inside(b, "b")), lambda b: b["name"])
+    return edges.select("*", boxes.alias("_boxes")).select("*", F.explode(hit).alias("pack")).drop("_boxes")
+
+
+def pack_components(edges: DataFrame) -> DataFrame:
+    """(pack, node, component) of the edges (pack, a, b) of many packs, found together; components are named by their smallest node.
+
+    Nodes of different packs are told apart by numbers of their own."""
+    used = edges.select("pack", F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = checkpointed(numbered(used.select("pack", "node", F.struct("pack", "node").alias("_key")), "_key", "id").select("pack", "node", "id"))
+    end = lambda e: ids.select("pack", F.col("node").alias(e), F.col("id").alias(f"id_{e}"))
+    links = edges.join(end("a"), ["pack", "a"]).join(end("b"), ["pack", "b"])
+    found = checkpointed(connected_components(links, "id_a", "id_b"))
+    names = ids.select(F.col("id").alias("component"), F.col("node").alias("name"))
+    return ids.join(found.withColumnRenamed("node", "id"), "id").join(names, "component").select("pack", "node", F.col("name").alias("component"))
+
+
 def compacted(edges: DataFrame) -> DataFrame:
     """`edges` with ends numbered from 0 in the order of the node ids that are left."""
     left = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()

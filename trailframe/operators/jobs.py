@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.functions import capillary_rules, labels, source_rules
-from trailframe.functions.classify import edge_id
+from trailframe.functions.classify import ACCESSES, SURFACES, code_name, edge_id
 from trailframe.functions.geometry import line_length
 from trailframe.functions.network_rules import is_spine
 from trailframe.operators import conflation, packs, regional, reports
@@ -71,6 +71,37 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, region: str) ->
     meta.coalesce(1).write.mode("errorifexists").json(f"{folder}/meta")
 
 
+#: Sources that a pack's backbone has, besides roads without a source.
+BACKBONE = r"(?i)national road network|^nrn\b|openstreetmap"
+
+
+def packed_edges(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of a graph with what their features say: a pack from which the features can be had again."""
+    said = features.select("edge_id", "seq", "role", "source", "road_class", "points")
+    return edges.join(said, "edge_id").select("edge_id", "seq", "a", "b", "m", "s", "ac", "component", "role", F.col("source").alias("src"), F.col("road_class").alias("rt"), "points")
+
+
+def rehydrated(spark: SparkSession, folder: str, backbone: bool = False) -> DataFrame:
+    """The features of a pack's edges; of its backbone alone (the inventory, the open street map and roads without a source) if asked.
+
+    Classes are read back from their codes, costs' "access" as resource roads; edges without a line are left out. Only the columns that
+    features need are read."""
+    rows = spark.read.parquet(f"{folder}/edges").where(F.size("points") >= 2)
+    if backbone:
+        rows = rows.where((F.coalesce("src", F.lit("")) == "") | F.col("src").rlike(BACKBONE))
+    surface = code_name(F.col("s"), SURFACES)
+    e5 = lambda k, c: F.floor(F.element_at("points", k)[c] * 1e5 + 0.5).cast("long")
+    return rows.select("edge_id", "seq", "role", F.col("src").alias("source"), F.lit(None).cast("string").alias("reason"), F.when(surface == "access", "resource").otherwise(surface).alias("surface"), code_name(F.col("ac"), ACCESSES, "motorized_unknown").alias("access"),
+                       F.coalesce("rt", F.lit("unknown")).alias("road_class"), F.col("m").cast("double").alias("meters"), "points", e5(1, "lon").alias("x1"), e5(1, "lat").alias("y1"), e5(-1, "lon").alias("x2"), e5(-1, "lat").alias("y2"))
+
+
+def resnapped(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and packed edges of a pack, built again from its own lines under the rules that hold now; once more changes nothing."""
+    features = rehydrated(spark, folder)
+    nodes, edges = regional_graph(features)
+    return nodes, packed_edges(features, edges)
+
+
 def topology_report(edges: DataFrame) -> DataFrame:
     """One row: edges, components, metres and the kilometres of the fifteen largest components."""
     stats = component_stats(edges.select("a", "b", "m"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailframe.functions.source_rules import packed_feature
 from trailframe.operators import conflation, extracts, requests, trip_edits
+from trailframe.operators.components import checkpointed
 from trailframe.plans.chain_queries import _WAYS, _long_ways
 from trailframe.plans.queries import _lines
 from trailframe.plans.rule_text_queries import _dealt, _dealt_sql, _hav
@@ -85,7 +87,30 @@ def j01_bent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflation.duplicate_pairs(*_bent(spark, sf_dir)).select("base_key", "sup_key", F.round("meters", 3).alias("meters"))
 
 
-QUERIES = {"X03_edits": x03_edits, "X11_modes": x11_modes, "REXT_fabric": rext_fabric, "J01_bent": j01_bent}
+def c09_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four overlapping quarters of the network with the open street map's roads of each, and the components that these make there."""
+    rows = extracts.fabric(_fabric_edges(spark, sf_dir), "osm")
+    box = nodes(spark, sf_dir).agg(F.struct(*(f(c).alias(n) for n, f, c in (("w", F.min, "lon_e5"), ("e", F.max, "lon_e5"), ("s", F.min, "lat_e5"), ("n", F.max, "lat_e5")))).alias("box")).scalar()
+    part = lambda low, high, k: box[low] + F.floor((box[high] - box[low]) * k / 10).cast("long")
+    quarter = lambda name, x, y: F.struct(F.lit(name).alias("name"), part("w", "e", x).alias("west"), part("s", "n", y).alias("south"), part("w", "e", x + 6).alias("east"), part("s", "n", y + 6).alias("north"))
+    dealt = checkpointed(extracts.dealt_to_boxes(rows, F.array(quarter("sw", 0, 0), quarter("se", 4, 0), quarter("nw", 0, 4), quarter("ne", 4, 4))).select("pack", "edge_id", "a", "b", F.col("ac").cast("int").alias("ac")))
+    labels = extracts.pack_components(dealt).withColumnRenamed("node", "a")
+    return dealt.join(labels, ["pack", "a"]).select("pack", "edge_id", "ac", "component")
+
+
+PACKED = {"surfaceClass": ["paved", "access", None, "track", "gravel", ""], "accessClass": ["motorized_permissive", None, "motorized_excluded", "motorized_unknown", "motorized_permissive"], "feat_desc": ["ROAD Paved", "Resource Access ROAD Dry Weather", None, "TRACK Indefinite", "Unpaved ROAD", "ROAD Abandoned Paved", ""],
+          "edgeId": ["ns-gov-1", None, "x-7", "ns-3"], "sourceRecordId": [None, "r5", "r9"], "structureType": [None, "bridge"], "confidence": ["high", None, "low"], "seasonal": ["true", "false", None]}
+
+
+def p04_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a government pack as edges; every eleventh has no line."""
+    k = F.col("p_partkey")
+    props = lambda name: _dealt(k, PACKED[name]) if name in PACKED else F.lit(None).cast("string")
+    end = lambda n: F.when(k % 11 != 0, F.concat((k % 90).cast("string"), F.lit(f",{n}")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k, packed_feature(props, end(1), end(2)).alias("f")).select(k, "f.reason", *(F.when(F.col("f.reason").isNull(), F.col(f"f.{c}")).alias(c) for c in ("edge_id", "record", "surface", "road_class", "access", "structure", "confidence", "seasonal")))
+
+
+QUERIES = {"C09_quarters": c09_quarters, "P04_packed": p04_packed, "X03_edits": x03_edits, "X11_modes": x11_modes, "REXT_fabric": rext_fabric, "J01_bent": j01_bent}
 
 _NEAR_HUB = "(" + " OR ".join(f"{_hav(f'(x{e} / 1e5)', f'(y{e} / 1e5)', f'({x})::DOUBLE', f'({y})::DOUBLE')} <= 3000" for x, y in HUBS for e in "ab") + ")"
 _THROUGH = "rt IN ('freeway', 'arterial', 'ramp', 'collector')"
@@ -97,7 +122,27 @@ _KEPT = {
 _MID = "WITH l AS (SELECT seq AS key, p.lon_e5 / 1e5 AS xa, p.lat_e5 / 1e5 AS ya, q.lon_e5 / 1e5 AS xb, q.lat_e5 / 1e5 AS yb, CASE WHEN seq % 2 = 0 THEN 0 ELSE seq % 4 * 0.00012::DOUBLE END AS up FROM e JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b)"
 _MODE_FLAGS = "query % 3 = 0 OR query % 6 = 5"
 _LISTED = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "]"
+_D = lambda c: _dealt_sql("p_partkey", PACKED[c])
+#: What the descriptions of the query mean: reason, surface, road class, access, confidence, season.
+_MEANING = {"ROAD Paved": (None, "paved", "local", "motorized_permissive", "high", False), "Resource Access ROAD Dry Weather": (None, "resource", "resource", "motorized_permissive", "medium", True), "TRACK Indefinite": (None, "track", "track", "motorized_unknown", "low", False),
+            "Unpaved ROAD": (None, "gravel", "local", "motorized_permissive", "high", False), "ROAD Abandoned Paved": (None, "paved", "local", "motorized_restricted", "low", False), "": ("missing_feat_desc", None, "unknown", "motorized_unknown", "medium", False)}
+_SQL = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+_MEANT = ", ".join("(" + ", ".join(map(_SQL, (d, *m))) + ")" for d, m in _MEANING.items())
+_Y = "y AS (SELECT pack, a, b FROM d WHERE a <> b UNION SELECT pack, b, a FROM d WHERE a <> b)"
 ORACLE_SQL = {
+    "P04_packed": f"""WITH t(d, reason, surface, road_class, access, confidence, seasonal) AS (VALUES {_MEANT}),
+p AS (SELECT p_partkey, p_partkey % 11 <> 0 AS line, nullif({_D('surfaceClass')}, '') AS s, {_D('accessClass')} AS ac, coalesce({_D('feat_desc')}, '') AS d, {_D('edgeId')} AS e, {_D('sourceRecordId')} AS r, {_D('structureType')} AS st, {_D('confidence')} AS cf, {_D('seasonal')} AS se, (p_partkey % 90) || ',' AS x FROM part),
+q AS (SELECT p.*, t.*, s IS NOT NULL AND ac IS NOT NULL AS packed, CASE WHEN s = 'access' THEN 'resource' ELSE s END AS s2, coalesce(r, e, 'unknown') AS rec FROM p JOIN t ON p.d = t.d),
+o AS (SELECT *, CASE WHEN NOT line THEN 'no_usable_geometry' WHEN NOT packed AND reason IS NOT NULL THEN reason WHEN packed AND ac = 'motorized_excluded' THEN 'motorized_excluded' END AS why FROM q)
+SELECT p_partkey, why AS reason, CASE WHEN why IS NULL THEN CASE WHEN e LIKE 'ns-%' THEN replace(e, 'ns-gov-', 'ns-nstdb-') ELSE 'ns-nstdb-' || substr(sha1(rec || '|0|' || x || '1|' || x || '2'), 1, 12) END END AS edge_id, CASE WHEN why IS NULL THEN rec END AS record, CASE WHEN why IS NULL THEN CASE WHEN packed THEN s2 ELSE surface END END AS surface,
+  CASE WHEN why IS NULL THEN CASE WHEN NOT packed THEN road_class WHEN s2 IN ('paved', 'gravel') THEN 'local' ELSE s2 END END AS road_class, CASE WHEN why IS NULL THEN CASE WHEN packed THEN ac ELSE access END END AS access, CASE WHEN why IS NULL THEN CASE WHEN packed THEN coalesce(st, 'none') ELSE 'none' END END AS structure,
+  CASE WHEN why IS NULL THEN CASE WHEN packed THEN coalesce(cf, 'medium') ELSE confidence END END AS confidence, CASE WHEN why IS NULL THEN CASE WHEN packed THEN coalesce(se = 'true', false) ELSE seasonal END END AS seasonal FROM o""",
+    "C09_quarters": _NET.replace("WITH n", "WITH RECURSIVE n", 1) + f""", k AS (SELECT min(lon_e5) AS w, max(lon_e5) - min(lon_e5) AS dx, min(lat_e5) AS s, max(lat_e5) - min(lat_e5) AS dy FROM n), q(pack, x, y) AS (VALUES ('sw', 0, 0), ('se', 4, 0), ('nw', 0, 4), ('ne', 4, 4)),
+box AS (SELECT pack, w + dx * x // 10 AS x1, w + dx * (x + 6) // 10 AS x2, s + dy * y // 10 AS y1, s + dy * (y + 6) // 10 AS y2 FROM q, k),
+d AS (SELECT pack, edge_id, a, b, CAST(CASE WHEN ac = 2 THEN 1 ELSE ac END AS INT) AS ac FROM e JOIN n f ON f.node_id = a JOIN n t ON t.node_id = b, box WHERE seq % 3 = 0 AND (f.lon_e5 BETWEEN x1 AND x2 AND f.lat_e5 BETWEEN y1 AND y2 OR t.lon_e5 BETWEEN x1 AND x2 AND t.lat_e5 BETWEEN y1 AND y2)),
+{_Y}, cc(pack, node, component) USING KEY (pack, node) AS (SELECT pack, a, a FROM y GROUP BY pack, a UNION (
+  SELECT y.pack, y.b, min(cc.component) FROM cc JOIN y ON y.pack = cc.pack AND y.a = cc.node JOIN recurring.cc AS known ON known.pack = y.pack AND known.node = y.b WHERE cc.component < known.component GROUP BY y.pack, y.b))
+SELECT d.pack, edge_id, ac, component FROM d JOIN cc ON cc.pack = d.pack AND cc.node = d.a""",
     "REXT_fabric": _NET + f", w AS (SELECT edge_id, seq, s, ac, seq % 3 AS k, CASE WHEN seq % 8 = 5 THEN 'service' ELSE rt END AS rt, p.lon_e5 AS xa, p.lat_e5 AS ya, q.lon_e5 AS xb, q.lat_e5 AS yb FROM e JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b), h AS (SELECT *, {_NEAR_HUB} AS hub FROM w) " + " UNION ALL ".join(f"SELECT '{m}' AS mode, edge_id, CAST(CASE WHEN k = 0 AND ac = 2 THEN 1 ELSE ac END AS INT) AS ac FROM h WHERE {test}" for m, test in _KEPT.items()),
     "J01_bent": _NET + f""", l AS ({_MID} SELECT * FROM l), g AS (SELECT key, CASE WHEN key % 5 = 0 OR key % 3 = 0 THEN xa + (xb - xa) * 0.5 + 0.002::DOUBLE ELSE xb END AS mx, CASE WHEN key % 5 = 0 OR key % 3 = 0 THEN ya + (yb - ya) * 0.5 ELSE yb END + up AS my, xa, ya, xb, yb, up FROM l),
 r AS (SELECT key, floor(mx * 1e5 + 0.5) AS x, floor(my * 1e5 + 0.5) AS y, (degrees(atan2((floor((yb + up) * 1e5 + 0.5) - floor((ya + up) * 1e5 + 0.5)) / 1e5, (floor(xb * 1e5 + 0.5) - floor(xa * 1e5 + 0.5)) / 1e5)) + 180) % 180 AS dir FROM g),
