@@ -51,6 +51,15 @@ def test_bpe_is_tiktoken(spark):
     assert sorted((r.doc_id or 0, list(r.ids), bytes(r.decoded)) for r in out) == sorted((i or 0, own.encode_ordinary(t or ""), (t or "").encode()) for i, t in ODD)
 
 
+def test_bpe_decodes_by_itself(spark):
+    bpe = byte_bpe.ByteBpe(spark, RANKS, public_tokenizers.PATTERN)  # nothing is known: every piece is folded where it stands
+    docs = odd(spark).selectExpr("text AS t", "doc_id AS row", "k AS ids0")
+    coded = bpe.encode(docs, "t", "a.b")
+    out = bpe.decode(coded, "`a.b`", "row2").collect()
+    assert coded.columns == ["row", "ids0", "a.b"] and sorted(bytes(r.row2).decode() for r in out) == sorted(t or "" for _, t in ODD)
+    assert sorted((r.row or 0, len(r["a.b"])) for r in out) == sorted((r.doc_id or 0, len(r.ids)) for r in byte_bpe.encode_decode(odd(spark), RANKS, public_tokenizers.PATTERN).collect())
+
+
 def test_token_counts_are_the_library_s(spark):
     from tokenizers import Tokenizer
 
@@ -89,6 +98,22 @@ def test_extraction():
     assert all(html_extract.verdict(tree, tuple(r)) == k for r, k in zip(x, y))
 
 
+def test_extraction_inside_an_article():
+    """Link lists and sections of an article stay, whatever parts of a text are named; menus, comments and calls to sign up go."""
+    tree = html_extract.grow(*html_extract.labelled_table())
+    text = lambda page: html_extract.main_text(page, tree)
+    long, other = " ".join(["word"] * 60), " ".join(["other"] * 25)
+    links = "<ul><li><a href=/a>One source</a></li><li><a href=/b>Second source here</a></li></ul>"
+    assert text(f"<body><article><p>{long}</p>{links}<p>{other}</p></article></body>") == f"{long}\nOne source\nSecond source here\n{other}"
+    assert text(f"<article><p>{long}</p><p>See <a href=/x>all of these long notes of ours here</a></p><p>Yes.</p></article>") == f"{long}\nSee all of these long notes of ours here\nYes."
+    for name in ("related-work", "legal", "discussion", "popular search"):
+        assert text(f'<article><h1>Title</h1><p>{long}</p><section class="{name}"><p>{other}</p></section></article>').endswith(other) == (name != "discussion")
+    assert text(f'<article><p>{long}</p><div class="related"><a href=/a>More of this</a> <a href=/b>And that</a></div></article>') == long
+    for name in ("cmt-list", "cta-box", "comments", "newsletter-signup"):
+        assert text(f'<article><p>{long}</p></article><div class="{name}"><p>{other}</p></div>') == long
+        assert text(f'<article><p>{long}</p><div class="{name}"><p>{other}</p></div></article>') == long
+
+
 def test_extraction_reads_a_block_s_own_words_and_links():
     tree = html_extract.grow(*html_extract.labelled_table())
 

@@ -3,7 +3,8 @@
 A page becomes a flat list of text blocks. A block's features are its word count and link density, those of the
 blocks before and after it, and what its tags say: inside a main element that is not in furniture, inside furniture
 (menus, headers, footers, forms, adverts, comments and the like), a heading. An element that is named like furniture
-but holds most of the page's words and its main heading is a wrapper and says nothing. A decision tree, grown on the
+but holds most of the page's words and its main heading is a wrapper and says nothing; names that parts of a text may
+have, too, say something inside a main element only where much of what it holds is links. A decision tree, grown on the
 small labelled table below, keeps or drops the block.
 
 Edge cases: null and empty pages have an empty text; pages without tags are one block; unclosed and stray tags
@@ -38,11 +39,13 @@ FURNITURE_WORDS = set("""ad ads adv advert adverts advertisement advertising ads
     header masthead topbar footer bottombar sidebar aside rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
     subscription signup login search share sharing social follow comment comments commentlist disqus reply replies respond discussion related recommended
     recommendations trending popular breadcrumb breadcrumbs crumbs pagination pager paging toolbar widget widgets copyright legal disclaimer complementary
-    contentinfo form tags taglist skip""".split())
+    contentinfo form tags taglist skip cta cmt cmts optin""".split())
+#: Of those, words that also name parts of a text: inside a main element they count only where so many per cent of an element's words are links.
+DOUBTFUL_WORDS, DOUBTFUL_LINKS = set("related recommended recommendations popular trending legal rail search skip banner alert discussion tags form reply respond".split()), 40
 #: Of those, the words that count on a paragraph or heading itself, too, and those of reader comments, which are never wrappers.
 TEXT_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr
-    notice notices newsletter breadcrumb breadcrumbs copyright disclaimer comment comments reply replies""".split())
-COMMENT_WORDS = set("comment comments commentlist disqus reply replies respond discussion".split())
+    notice notices newsletter breadcrumb breadcrumbs copyright disclaimer comment comments reply replies cta cmt cmts optin""".split())
+COMMENT_WORDS = set("comment comments commentlist cmt cmts disqus reply replies respond discussion".split())
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption"}
 #: A class with one of these before `header` names the head of a text; one that starts with one of those tells of others.
 TEXT_HEADS, MODIFIERS = {"post", "entry", "article", "story", "content", "section", "chapter", "page"}, {"has", "no", "with", "without", "is", "js"}
@@ -150,6 +153,21 @@ LABELLED = """
 3 100 4 100 60 0 0 0 0 0
 3 100 4 100 5 100 0 1 0 0
 2 100 3 100 3 100 0 1 0 0
+1 100 300 0 1 100 0 1 0 0
+1 100 1 100 0 0 0 1 0 0
+1 100 1 100 1 100 0 1 0 0
+2 100 60 0 3 100 0 1 0 1
+3 100 2 100 50 0 0 1 0 1
+3 100 2 100 25 0 0 1 0 1
+3 100 2 100 15 0 0 1 0 1
+3 100 300 0 3 100 0 1 0 1
+30 80 300 0 3 100 0 1 0 1
+60 70 9 0 4 0 0 1 0 1
+9 90 60 0 1 0 0 1 0 1
+15 85 40 0 1 0 0 1 0 1
+3 100 40 0 30 0 0 1 0 1
+12 80 30 0 2 0 0 1 0 1
+40 60 90 0 3 0 0 1 0 1
 6 100 6 100 5 100 0 1 0 0
 20 90 12 100 15 80 0 1 0 0
 2 0 2 100 2 100 0 0 0 0
@@ -161,6 +179,14 @@ LABELLED = """
 4 100 80 0 40 0 1 1 0 0
 20 90 60 0 30 0 1 1 0 0
 5 100 40 0 0 0 1 1 0 0
+300 0 60 0 60 0 1 1 0 0
+300 0 9 0 9 0 1 0 0 0
+40 100 60 0 1 100 1 1 0 0
+12 100 40 0 9 0 1 1 0 0
+2 100 60 0 3 100 1 1 0 0
+8 100 9 0 9 0 1 1 0 0
+40 60 90 0 3 0 1 1 0 0
+300 100 60 0 60 0 1 1 0 0
 """
 
 
@@ -221,11 +247,14 @@ class _Element:
         self.named = not whole and not self.main and bool(words & (TEXT_WORDS if tag in TEXT_TAGS else FURNITURE_WORDS))
         self.named = self.named or self.main and self.comment
         self.tagged = tag in FURNITURE_TAGS and not (tag == "header" and in_main)
-        self.words, self.top = 0, False
+        self.doubtful = in_main and self.named and not self.comment and (words & FURNITURE_WORDS) <= DOUBTFUL_WORDS
+        self.words, self.linked, self.top = 0, 0, False
 
     def is_furniture(self, words: int, has_top: bool) -> bool:
         if self.hidden or not (self.named or self.tagged):
             return self.hidden
+        if self.doubtful and not self.tagged:
+            return 100 * self.linked >= DOUBTFUL_LINKS * self.words
         wrapper = not self.comment and (self.top and 2 * self.words >= words or not has_top and 5 * self.words >= 4 * words)
         return not wrapper
 
@@ -248,6 +277,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 out.append((text, words, round(100 * min(links, words) / words), tuple(stack), int(heading != "")))
                 for e in stack:
                     e.words += words
+                    e.linked += min(links, words)
                     e.top = e.top or heading == "h1" or any(x.tag == "main" for x in stack)
             parts.clear()
             linked.clear()
