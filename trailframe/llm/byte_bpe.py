@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 A piece (a match of the splitting pattern) becomes an array of its bytes; a fold merges the leftmost pair of the
-lowest rank until no pair has one. Ranks of pairs of ids, ids of known pieces and the binary pieces of ids are
-literals of bounded size (hash tables in arrays, so that a lookup takes constant time). Distinct pieces are counted
-over all texts; the frequent ones are folded once, in a table of their own, and the others where they stand. Nothing is shuffled but the counts of distinct pieces. Decoding concatenates the ids' binary pieces.
+lowest rank until no pair has one. Ranks of pairs of ids and the binary pieces of ids are literals of bounded size
+(hash tables in arrays, so that a lookup takes constant time). Distinct pieces are counted over all texts; the
+frequent ones are folded once, in a table of bounded size that is sent to the tasks, where Arrow batches of pieces are
+looked up in it. Pieces that aren't there are folded where they stand. Nothing is shuffled but the counts of distinct
+pieces. Decoding concatenates the ids' binary pieces.
 
 Only one pair of ids can make a given piece: inside a longer text the bytes of a piece that will be one merge as
 they do alone, so the last merge is always that of the piece by itself. Likewise a row of ids is what the merges give
@@ -20,17 +22,21 @@ from __future__ import annotations
 
 import base64
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
-from trailframe.llm.common import stored, table
+from trailframe.llm.common import map_texts, stored, table
 
-#: Parameters: frequent pieces that are folded once at most (and bytes of each), buckets of the map of pieces, bytes
-#: that two chunks of a long piece share at least.
-FREQUENT, PIECE_BYTES, BUCKETS, OVERLAP = 200_000, 64, 131_072, 64
+#: Parameters: frequent pieces that are folded once at most (and bytes of each), pieces that a task looks up at a time,
+#: bytes that two chunks of a long piece share at least.
+FREQUENT, PIECE_BYTES, AT_ONCE, OVERLAP = 1_000_000, 32, 500_000, 64
 #: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
 _PLACES, _FREE = 2**23, 2**62
@@ -51,18 +57,6 @@ def literal(spark: SparkSession, values: pa.Array) -> Column:
     return spark.createDataFrame(pa.table({"x": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)})).scalar()
 
 
-def bucketed(spark: SparkSession, keys: pa.Array, values: pa.Array) -> Column:
-    """A map from strings, as a literal that finds a key in constant time: an array of maps, by the key's hash."""
-    at = np.fromiter((xxhash.xxh64_intdigest(k.as_buffer(), seed=42) % BUCKETS for k in keys.cast(pa.binary())), np.int64, len(keys))
-    order = np.argsort(at, kind="stable")
-    offsets = np.searchsorted(at[order], np.arange(BUCKETS + 1))
-    return literal(spark, pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), keys.take(pa.array(order)), values.take(pa.array(order))))
-
-
-def find(buckets: Column, key: Column) -> Column:
-    return F.get(buckets, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[key]
-
-
 def latin(text: Column) -> Column:
     """A string with one character for each UTF-8 byte."""
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
@@ -215,6 +209,80 @@ def fold_chunks(piece: Column, fold, overlap: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), (n / overlap).cast("int")), state(F.lit(0), F.array(), F.array()), step, lambda acc: F.flatten(acc["done"]))
 
 
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    """0 and the running sums; an Arrow batch has fewer than 2 ** 31 elements."""
+    out = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=out[1:])
+    return out
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _some_rows(batch: pa.RecordBatch, lists: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists together have about AT_ONCE elements, or one row that has more."""
+    ends, at = np.cumsum(_lengths(batch.column(lists))), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def look_up(pieces: pa.Array, known: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For lists of pieces, the numbers of those that are known, -1 - k for the k-th of a list that isn't, and lists of these."""
+    ends, flat = _offsets(_lengths(pieces)), pieces.flatten()
+    if not len(flat):
+        return _lists(ends, pa.array([], pa.int32())), _lists(ends, flat)
+    distinct = flat.dictionary_encode()
+    found = _numbers(pc.fill_null(pc.index_in(distinct.dictionary, value_set=known), -1)).astype(np.int32)
+    codes = found[_numbers(distinct.indices)]
+    missing = codes < 0
+    before = _offsets(missing)
+    codes[missing] = (np.repeat(before[ends[:-1]], np.diff(ends))[missing] - before[:-1][missing]) - 1
+    return _lists(ends, pa.array(codes)), _lists(before[ends], flat.filter(pa.array(missing)))
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of `values` that begin at `starts`, one after another."""
+    out = _offsets(lengths)
+    return values[np.arange(out[-1], dtype=np.int32) + np.repeat(starts - out[:-1], lengths)]
+
+
+def put_together(codes: pa.Array, folded: pa.Array, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of lists and the ids in them, from lists of pieces: known ones by number, as stretches of `values` between `starts`, the
+    others as the lists of what they were folded into."""
+    ends, number, own = _offsets(_lengths(codes)), _numbers(codes.flatten()), folded.flatten()
+    first, own_lengths = _offsets(_lengths(folded)), _lengths(own)
+    missing = number < 0
+    lengths, there = np.empty(len(number), np.int32), number[~missing]
+    lengths[~missing] = starts[there + 1] - starts[there]
+    place = (np.repeat(first[:-1], np.diff(ends))[missing] - 1 - number[missing]) if len(own) else np.zeros(0, np.int32)
+    lengths[missing] = own_lengths[place]
+    out = _offsets(lengths)
+    ids = np.empty(out[-1], np.int32)
+    rest = np.repeat(missing, lengths)
+    ids[~rest] = _gathered(values, starts[there], lengths[~missing])
+    ids[rest] = _gathered(_numbers(own.flatten()), _offsets(own_lengths)[place], own_lengths[place])
+    return out[ends], ids
+
+
+def joined_pieces(offsets: np.ndarray, ids: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """For each stretch of ids their binary pieces, one after another: those of all ids lie so in memory already."""
+    every = pieces.take(pa.array(ids, pa.int32()))
+    _, at, data = every.buffers()
+    ends = np.frombuffer(at, np.int32, len(ids) + 1, every.offset * 4)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends[offsets].tobytes()), data])
+
+
 class ByteBpe:
     """Encoder and decoder for one rank file and splitting pattern; `fit` folds the frequent pieces of a table."""
 
@@ -228,8 +296,8 @@ class ByteBpe:
         self.overlap = max(OVERLAP, max(map(len, self.ids)))
         self.pairs = literal(spark, pa.array(byte_pairs(self.ids, merges), pa.int64()))
         pieces = {i: b for b, i in self.ids.items()}
-        self.pieces = literal(spark, pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary()))
-        self.known = bucketed(spark, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
+        self.pieces = pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
+        self.known = spark.sparkContext.broadcast((pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int32)))
 
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -250,15 +318,17 @@ class ByteBpe:
         return counts.where((F.col("power") >= least) | ((F.col("power") == least - 1) & (at < 0.98 * share * 2**20))).select("piece")
 
     def fit(self, docs: DataFrame, n: int = FREQUENT) -> ByteBpe:
-        folded = self.frequent(docs, n).repartition("piece").select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
-        self.known = bucketed(self.spark, folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks())
+        some = self.frequent(docs, n).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "piece")
+        folded = some.select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
+        piece, ids = folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks()
+        self.known = self.spark.sparkContext.broadcast((piece.cast(pa.string()), _numbers(ids.flatten()).astype(np.int32), _offsets(_lengths(ids))))  # at most `n` pieces of PIECE_BYTES
         return self
 
     def _tables(self) -> list[Column]:
-        return [t.alias(c) for t, c in ((self.known, "_known"), (self.merges.slots, "_slots"), (self.merges.shifts, "_shifts"), (self.pairs, "_pairs"))]
+        return [t.alias(c) for t, c in ((self.merges.slots, "_slots"), (self.merges.shifts, "_shifts"), (self.pairs, "_pairs"))]
 
     def _with_tables(self, body) -> Column:
-        return _let(F.struct("_known", "_slots", "_shifts", "_pairs"), body)
+        return _let(F.struct("_slots", "_shifts", "_pairs"), body)
 
     def _fold(self, piece: Column, m: Column) -> Column:
         fold = lambda x: fold_merges(x, m, self.merges)
@@ -268,23 +338,62 @@ class ByteBpe:
             F.coalesce(fold_chunks(raw, fold, self.overlap), F.when(small, fold(latin(piece))).otherwise(F.raise_error(F.lit("a piece of over 8 MB whose chunks share no id")))))
         return F.transform(parts, lambda e: e.bitwiseAND(F.lit(_PART).cast("long")).cast("int"))
 
-    def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
-        """`docs` with the ids of column `text` in place of it, as column `ids`."""
-        rest = [c for c in docs.columns if c != text]
-        coded = self._with_tables(lambda m: F.flatten(F.transform(self.split(F.col(text)), lambda p: F.coalesce(find(m["_known"], p), self._fold(p, m)))))
-        return docs.select(*rest, text, *self._tables()).select(*rest, coded.alias(ids))
+    def encode(self, docs: DataFrame, text: str, ids: str, decoded: str | None = None) -> DataFrame:
+        """`docs` with the ids of column `text` in place of it, as column `ids`; and with what these decode to, if `decoded` names a column for it."""
+        rest, known, pieces = [c for c in docs.columns if c != text], self.known, self.pieces
+        rows = docs.select((F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("boolean")).alias("row"), self.split(F.col(text)).alias("pieces"))
+        row, whole = rows.schema["row"].dataType, ArrayType(IntegerType(), False)
+
+        def find():
+            pa.set_memory_pool(pa.system_memory_pool())  # gives memory back
+
+            def each(batch):
+                codes, unknown = look_up(batch.column("pieces"), known.value[0])
+                return {"row": batch.column("row"), "codes": codes, "unknown": unknown}
+
+            return each
+
+        def join():
+            pa.set_memory_pool(pa.system_memory_pool())
+
+            def each(batch):
+                parts, texts = [], []
+                for x in _some_rows(batch, "codes"):
+                    offsets, numbers = put_together(x.column("codes"), x.column("folded"), *known.value[1:])
+                    parts.append(_lists(offsets, pa.array(numbers)))
+                    if decoded:
+                        texts.append(joined_pieces(offsets, numbers, pieces))
+                return {"row": batch.column("row"), "ids": pa.concat_arrays(parts) if parts else [], "decoded": pa.concat_arrays(texts) if texts else pa.nulls(len(batch), pa.binary())}
+
+            return each
+
+        coded = map_texts(rows, find, StructType().add("row", row).add("codes", whole).add("unknown", ArrayType(StringType(), False)))
+        folded = self._with_tables(lambda m: F.transform("unknown", lambda p: self._fold(p, m)))
+        coded = coded.select("row", "codes", "unknown", *self._tables()).select("row", "codes", folded.alias("folded"))
+        out = map_texts(coded, join, StructType().add("row", row).add("ids", whole).add("decoded", BinaryType()))
+        return out.select(*(F.col("row").getField(c).alias(c) for c in rest), F.col("ids").alias(ids), *([F.col("decoded").alias(decoded)] if decoded else []))
 
     def decode(self, docs: DataFrame, ids: str, out: str) -> DataFrame:
-        """Adds the binary pieces of the ids, one after another, as column `out`. A cast to a string and back leaves the bytes as they are."""
-        joined = _let(F.col("_pieces"), lambda pieces: F.array_join(F.transform(F.col(ids), lambda i: F.get(pieces, i).cast("string")), ""))
-        return docs.select("*", self.pieces.alias("_pieces")).select(*docs.columns, joined.cast("binary").alias(out))
+        """Adds the binary pieces of the ids, one after another, as column `out`."""
+        pieces = self.pieces
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(ids), F.array()).cast("array<int>").alias("ids"))
+
+        def join():
+            def each(batch):
+                texts = [joined_pieces(_offsets(_lengths(x.column("ids"))), _numbers(x.column("ids").flatten()), pieces) for x in _some_rows(batch, "ids")]
+                return {"row": batch.column("row"), "decoded": pa.concat_arrays(texts) if texts else []}
+
+            return each
+
+        done = map_texts(rows, join, StructType().add("row", rows.schema["row"].dataType).add("decoded", BinaryType()))
+        return done.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("decoded").alias(out))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the bytes decoded from them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bpe = ByteBpe(docs.sparkSession, path, pattern).fit(rows)
-    return bpe.decode(bpe.encode(rows, "text", "ids"), "ids", "decoded")
+    return bpe.encode(rows, "text", "ids", "decoded")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
