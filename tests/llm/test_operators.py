@@ -440,3 +440,11 @@ def test_base_statistics_are_brute_force(spark):
         want[i] = (len(words), sum(map(len, words)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words))
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in QUERIES["op3_quality_forest"](spark, SF).collect()}
     assert got == want
+
+
+def test_rows_between_blocks_grow_as_the_input():
+    from trailframe.llm import exchange
+
+    rows = lambda total: (1 + total // exchange.block_size(total)) ** 2
+    assert exchange.block_size(10**8) == exchange.BLOCK_BYTES == exchange.block_size(10**9)
+    assert rows(50 * 10**9) < 60 * rows(10**9) and exchange.block_size(10**14) == exchange.MOST_BLOCK_BYTES

@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 
 from trailframe.llm.common import binary_list, map_texts
 
-#: Parameter: bytes of text in a block, on average.
-BLOCK_BYTES = 4_000_000
+#: Parameters: bytes of text in a block, on average, at first and at most; bytes of text from which blocks grow.
+BLOCK_BYTES, MOST_BLOCK_BYTES, GROWS_FROM = 4_000_000, 32_000_000, 1_000_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,12 +64,18 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def block_size(total: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Bytes of text in a block of so much text."""
+    return max(block_bytes, min(MOST_BLOCK_BYTES, int(block_bytes * (total / GROWS_FROM) ** 0.5)))
+
+
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: Column | None = None) -> tuple[DataFrame, int]:
     """Rows (block, doc_id, body: the text's bytes compressed, null if it is, row: a column to carry), and the number of blocks.
 
     Rows of different ids or texts are dealt apart, so neither null ids nor an id of many rows make a block large."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None).cast("boolean") if carry is None else carry).alias("row"))
-    n = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
+    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n = 1 + total // block_size(total, block_bytes)
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=3).compress
