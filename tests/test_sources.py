@@ -176,3 +176,34 @@ def test_packs_of_points_and_overlays(spark, tmp_path):
     assert sorted((r.id, r.kind, r.status) for r in rows.collect()) == [("1", "atv", "unknown"), ("2", "single", "restricted")] and counts.count() == 4
     roads = _sequence(tmp_path / "roads.seq", [({"ROADCLASS": "Local", "PAVSTATUS": "Unpaved"}, "LineString", line), ({"ROADCLASS": "Arterial", "PAVSTATUS": "Paved"}, "LineString", line)])
     assert jobs.gravel_overlay(spark, roads)[0].count() == 1
+
+
+def test_a_pack_gives_its_features_back_and_snaps_once(spark, tmp_path):
+    from trailframe.operators import jobs
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):  # side roads end up to 30 metres off the main roads' corners
+        x, y, side = rng.randrange(5), rng.randrange(5), k % 3 == 0
+        off = lambda: rng.randrange(25) * 1e-5 if side else 0.0  # noqa: B023, E731
+        a, b = (-63.0 + x / 100 + off(), 44.0 + y / 100 + off()), (-63.0 + (x + 1) / 100 + off(), 44.0 + y / 100 + off())
+        rows.append((f"e-{k}", k, "supplement" if side else "backbone", "NB Forest Roads" if side else "National Road Network", None, ("paved", "gravel", "resource", "track", "unknown")[k % 5], ("motorized_permissive", "motorized_unknown")[k % 2], "local", [a, ((a[0] + b[0]) / 2, a[1] + 1e-3), b]))
+    features = spark.createDataFrame(rows, "edge_id string, seq long, role string, source string, reason string, surface string, access string, road_class string, points array<struct<lon: double, lat: double>>")
+    e5 = lambda k, c: F.floor(F.element_at("points", k)[c] * 1e5 + 0.5).cast("long")
+    features = features.withColumn("meters", F.lit(800.0)).withColumns({"x1": e5(1, "lon"), "y1": e5(1, "lat"), "x2": e5(-1, "lon"), "y2": e5(-1, "lat")})
+    nodes, edges = jobs.regional_graph(features)
+    jobs.write_graph(nodes, jobs.packed_edges(features, edges), str(tmp_path / "one"), "nb")
+    back = jobs.rehydrated(spark, str(tmp_path / "one"))
+    columns = ["edge_id", "seq", "role", "source", "surface", "access", "road_class", "meters", "points", "x1", "y1", "x2", "y2"]
+    listed = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    kept = features.join(edges.select("edge_id"), "edge_id", "left_semi")
+    assert listed(back) == listed(kept) and len(listed(back)) > 40
+    assert {r.source for r in jobs.rehydrated(spark, str(tmp_path / "one"), backbone=True).collect()} == {"National Road Network"}
+    scan = back.select("edge_id", "surface")._jdf.queryExecution().executedPlan().toString()
+    assert "component" not in scan.split("ReadSchema")[1]
+    for old, new in (("one", "two"), ("two", "three")):
+        nodes, edges = jobs.resnapped(spark, str(tmp_path / old))
+        jobs.write_graph(nodes, edges, str(tmp_path / new), "nb")
+    read = lambda name, part: sorted(map(tuple, spark.read.parquet(str(tmp_path / name / part)).collect()), key=str)
+    assert read("two", "edges") == read("three", "edges") and read("two", "nodes") == read("three", "nodes")
+    assert [r[:2] for r in read("one", "edges")] == [r[:2] for r in read("two", "edges")]
