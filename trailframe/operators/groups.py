@@ -73,3 +73,23 @@ def group_list(groups: DataFrame, members: DataFrame, presence: DataFrame, now:
 def invite_code(seed: Column) -> Column:
     """Six letters and digits from a seed, such as uuid()."""
     return F.substring(F.sha1(seed), 1, 6)
+
+
+def touched(rows: DataFrame, updates: DataFrame, key: str, now: Column) -> DataFrame:
+    """`rows` (key, updated_at, ...) with what `updates` (key, and some of their columns) say, and `updated_at` as of now where they say anything.
+
+    Of several updates of a row the columns are taken from one."""
+    named = [c for c in updates.columns if c != key]
+    one = updates.groupBy(key).agg(F.min(F.struct(*named)).alias("_new"))
+    joined = rows.join(one, key, "left")
+    changed = F.col("_new").isNotNull()
+    value = lambda c: F.when(changed, F.col("_new").getField(c)).otherwise(F.col(c)) if c in named else F.col(c)
+    return joined.select(*(F.when(changed, now).otherwise(F.col(c)).alias(c) if c == "updated_at" else value(c).alias(c) for c in rows.columns))
+
+
+def with_profiles(profiles: DataFrame, users: DataFrame) -> DataFrame:
+    """Profiles (user_id, display_name) and one for each new user (user_id, meta: JSON), named as the JSON says or not at all; profiles
+    that are there stay as they are."""
+    name = F.coalesce(F.get_json_object("meta", "$.display_name"), F.lit(""))
+    new = users.select("user_id", name.alias("display_name")).groupBy("user_id").agg(F.min("display_name").alias("display_name"))
+    return profiles.select("user_id", "display_name").unionByName(new.join(profiles.select("user_id"), "user_id", "left_anti"))

@@ -392,9 +392,10 @@ def chain_stats(pieces: DataFrame) -> DataFrame:
     return lines.chained(hops)
 
 
-def route_stats(pieces: DataFrame) -> DataFrame:
-    """A row for each route: metres, seconds, cost, and shares by surface and access in whole per cent of the rounded metres of pieces."""
-    surface, access, whole = F.col("surface"), F.col("access"), F.floor(F.col("meters") + 0.5)
+def route_stats(pieces: DataFrame, rounded: bool = True) -> DataFrame:
+    """A row for each route: metres, seconds, cost, and shares by surface and access in whole per cent of the pieces' metres, each rounded
+    first unless told otherwise."""
+    surface, access, whole = F.col("surface"), F.col("access"), F.floor(F.col("meters") + 0.5) if rounded else F.col("meters")
     speed = profiles.by_name(surface, profiles.SPEED_KMH, 30)
     total = lambda test: F.sum(F.when(test, whole).otherwise(0))
     sums = {"paved": surface == "paved", "gravel": surface == "gravel", "access": surface == "access", "track": surface == "track", "unknown_surface": surface == "unknown", "dirt": surface != "paved",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailframe.functions import classify
 from trailframe.functions.source_rules import packed_feature
-from trailframe.operators import conflation, extracts, requests, trip_edits
+from trailframe.operators import conflation, extracts, groups, requests, routing, trip_edits
 from trailframe.operators.components import checkpointed
 from trailframe.plans.chain_queries import _WAYS, _long_ways
 from trailframe.plans.queries import _lines
@@ -110,7 +111,26 @@ def p04_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(k, packed_feature(props, end(1), end(2)).alias("f")).select(k, "f.reason", *(F.when(F.col("f.reason").isNull(), F.col(f"f.{c}")).alias(c) for c in ("edge_id", "record", "surface", "road_class", "access", "structure", "confidence", "seasonal")))
 
 
-QUERIES = {"C09_quarters": c09_quarters, "P04_packed": p04_packed, "X03_edits": x03_edits, "X11_modes": x11_modes, "REXT_fabric": rext_fabric, "J01_bent": j01_bent}
+def a11_unrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the roads that begin in each nation, from metres as they are and from rounded ones."""
+    nation = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("query"))
+    pieces = edges(spark, sf_dir).join(nation, "a").select("query", "edge_id", (F.col("m") / 300 + F.col("seq") % 7 * 0.25).alias("meters"), classify.code_name(F.col("s"), classify.SURFACES).alias("surface"), classify.code_name(F.col("ac"), classify.ACCESSES).alias("access"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("error"))
+    shares = lambda rounded, name: routing.route_stats(pieces, rounded).select("query", "pieces", "meters", *(F.col(f"{c}_percent").alias(f"{c}_{name}") for c in ("paved", "dirt", "track", "unknown_access", "verified_access")))
+    return shares(False, "exact").join(shares(True, "whole").drop("pieces", "meters"), "query")
+
+
+def q07_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles after users came, some of whom had one; then some are renamed."""
+    k = F.col("c_custkey")
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    there = users.where(F.col("c_acctbal") < 0).select(k.alias("user_id"), F.concat(F.lit("Old "), "c_name").alias("display_name"))
+    meta = F.when(k % 3 == 0, F.to_json(F.struct(F.col("c_name").alias("display_name")))).when(k % 3 == 1, "{}")
+    rows = groups.with_profiles(there, users.select(k.alias("user_id"), meta.alias("meta"))).withColumn("updated_at", F.lit(0).cast("long"))
+    renamed = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"), F.lit("Rider").alias("display_name"))
+    return groups.touched(rows, renamed, "user_id", F.lit(9).cast("long"))
+
+
+QUERIES = {"A11_unrounded": a11_unrounded, "Q07_profiles": q07_profiles, "C09_quarters": c09_quarters, "P04_packed": p04_packed, "X03_edits": x03_edits, "X11_modes": x11_modes, "REXT_fabric": rext_fabric, "J01_bent": j01_bent}
 
 _NEAR_HUB = "(" + " OR ".join(f"{_hav(f'(x{e} / 1e5)', f'(y{e} / 1e5)', f'({x})::DOUBLE', f'({y})::DOUBLE')} <= 3000" for x, y in HUBS for e in "ab") + ")"
 _THROUGH = "rt IN ('freeway', 'arterial', 'ramp', 'collector')"
@@ -129,7 +149,10 @@ _MEANING = {"ROAD Paved": (None, "paved", "local", "motorized_permissive", "high
 _SQL = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
 _MEANT = ", ".join("(" + ", ".join(map(_SQL, (d, *m))) + ")" for d, m in _MEANING.items())
 _Y = "y AS (SELECT pack, a, b FROM d WHERE a <> b UNION SELECT pack, b, a FROM d WHERE a <> b)"
+_SHARE = lambda test, name: ", ".join(f"CAST(floor(sum(CASE WHEN {test} THEN {x} ELSE 0 END) / sum(meters) * 100 + 0.5) AS BIGINT) AS {name}_{kind}" for x, kind in (("meters", "exact"), ("floor(meters + 0.5)", "whole")))
 ORACLE_SQL = {
+    "A11_unrounded": _NET + f", p AS (SELECT c_nationkey AS query, m / 300 + seq % 7 * 0.25::DOUBLE AS meters, s, ac FROM e JOIN customer ON c_custkey = a) SELECT query, count(*) AS pieces, round(sum(meters), 2) AS meters, {_SHARE('s = 0', 'paved')}, {_SHARE('s <> 0', 'dirt')}, {_SHARE('s = 3', 'track')}, {_SHARE('ac = 2', 'unknown_access')}, {_SHARE('ac = 0', 'verified_access')} FROM p GROUP BY query",
+    "Q07_profiles": "SELECT c_custkey AS user_id, CASE WHEN u.o_custkey IS NOT NULL THEN 'Rider' WHEN c_acctbal < 0 THEN 'Old ' || c_name WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END AS display_name, CASE WHEN u.o_custkey IS NOT NULL THEN 9 ELSE 0 END::BIGINT AS updated_at FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') u ON o_custkey = c_custkey",
     "P04_packed": f"""WITH t(d, reason, surface, road_class, access, confidence, seasonal) AS (VALUES {_MEANT}),
 p AS (SELECT p_partkey, p_partkey % 11 <> 0 AS line, nullif({_D('surfaceClass')}, '') AS s, {_D('accessClass')} AS ac, coalesce({_D('feat_desc')}, '') AS d, {_D('edgeId')} AS e, {_D('sourceRecordId')} AS r, {_D('structureType')} AS st, {_D('confidence')} AS cf, {_D('seasonal')} AS se, (p_partkey % 90) || ',' AS x FROM part),
 q AS (SELECT p.*, t.*, s IS NOT NULL AND ac IS NOT NULL AS packed, CASE WHEN s = 'access' THEN 'resource' ELSE s END AS s2, coalesce(r, e, 'unknown') AS rec FROM p JOIN t ON p.d = t.d),

@@ -66,17 +66,20 @@ def a04_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a08_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dead ends within 2 per cent of the box's sides."""
-    return boundary(edges(spark, sf_dir), nodes(spark, sf_dir))
+    """Dead ends within 2 per cent of the box's sides, of each nation's roads between its own nodes."""
+    n = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("region"))
+    end = lambda c: n.select(F.col("node_id").alias(c), F.col("region").alias(f"_{c}"))
+    own = edges(spark, sf_dir).join(end("a"), "a").join(end("b"), "b").where("_a = _b").select("a", "b", F.col("_a").alias("region"))
+    return boundary(own, nodes(spark, sf_dir))
 
 
 def boundary(e: DataFrame, n: DataFrame) -> DataFrame:
-    at = graph.degrees(e).join(n, "node_id")
-    box = at.agg(F.struct(*(f(c).alias(f"{n}_{c}") for c in ("lon_e5", "lat_e5") for n, f in (("lo", F.min), ("hi", F.max)))).alias("box"))  # one row
-    near = lambda c: (F.col(c) - F.col(f"box.lo_{c}")) * 50 <= F.col(f"box.hi_{c}") - F.col(f"box.lo_{c}")
-    far = lambda c: (F.col(f"box.hi_{c}") - F.col(c)) * 50 <= F.col(f"box.hi_{c}") - F.col(f"box.lo_{c}")
-    ends = at.where("degree = 1").select("*", box.scalar().alias("box"))
-    return ends.where(near("lon_e5") | far("lon_e5") | near("lat_e5") | far("lat_e5")).select("node_id")
+    """(region, node_id) of the dead ends of each region's edges (a, b, region) that lie near the sides of the box of its nodes."""
+    at = graph.arcs(e, "region").groupBy("region", F.col("src").alias("node_id")).agg(F.count("*").alias("degree")).join(n, "node_id")
+    box = at.groupBy("region").agg(*(f(c).alias(f"{name}_{c}") for c in ("lon_e5", "lat_e5") for name, f in (("lo", F.min), ("hi", F.max))))
+    near = lambda c: (F.col(c) - F.col(f"lo_{c}")) * 50 <= F.col(f"hi_{c}") - F.col(f"lo_{c}")
+    far = lambda c: (F.col(f"hi_{c}") - F.col(c)) * 50 <= F.col(f"hi_{c}") - F.col(f"lo_{c}")
+    return at.where("degree = 1").join(box, "region").where(near("lon_e5") | far("lon_e5") | near("lat_e5") | far("lat_e5")).select("region", "node_id")
 
 
 def a12_moving_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +239,7 @@ SELECT c_custkey, ids[1] AS smallest, coalesce(CASE
 _NEIGHBOURS = ", ".join(f"('{a}', '{b}')" for a, bs in rules.REGION_NEIGHBOURS.items() for b in bs)
 ORACLE_SQL = {
     "A04_degrees": _NET + " SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY v",
-    "A08_boundary": _NET + ", x AS (SELECT * FROM e), d AS (SELECT v AS node_id, count(*) AS degree FROM (SELECT a AS v FROM x UNION ALL SELECT b FROM x) GROUP BY v), t AS (SELECT * FROM d JOIN n USING (node_id)), k AS (SELECT min(lon_e5) AS w, max(lon_e5) AS o, min(lat_e5) AS s, max(lat_e5) AS u FROM t) SELECT node_id FROM t, k WHERE degree = 1 AND ((lon_e5 - w) * 50 <= o - w OR (o - lon_e5) * 50 <= o - w OR (lat_e5 - s) * 50 <= u - s OR (u - lat_e5) * 50 <= u - s)",
+    "A08_boundary": _NET + ", x AS (SELECT e.a, e.b, p.c_nationkey AS region FROM e JOIN customer p ON p.c_custkey = e.a JOIN customer q ON q.c_custkey = e.b WHERE p.c_nationkey = q.c_nationkey), d AS (SELECT region, v AS node_id, count(*) AS degree FROM (SELECT region, a AS v FROM x UNION ALL SELECT region, b FROM x) GROUP BY 1, 2), t AS (SELECT * FROM d JOIN n USING (node_id)), k AS (SELECT region, min(lon_e5) AS w, max(lon_e5) AS o, min(lat_e5) AS s, max(lat_e5) AS u FROM t GROUP BY region) SELECT t.region, node_id FROM t JOIN k ON k.region = t.region WHERE degree = 1 AND ((lon_e5 - w) * 50 <= o - w OR (o - lon_e5) * 50 <= o - w OR (lat_e5 - s) * 50 <= u - s OR (u - lat_e5) * 50 <= u - s)",
     "A12_moving_time": _NET + " SELECT rt, CAST(floor((sum(m * [45, 70, 90, 126, 105][s + 1]) * 72 + 31500) / 63000.0) AS BIGINT) AS seconds FROM e GROUP BY rt",
     "J07_nearest": f"WITH n AS ({NODES_SQL}), p AS (SELECT s_suppkey AS point_id, -6600000 + s_suppkey * 137 % 30000 AS x, 4400000 + s_suppkey * 211 % 50000 AS y FROM supplier), c AS (SELECT point_id, node_id, (x - lon_e5) * (x - lon_e5) + (y - lat_e5) * (y - lat_e5) AS d2 FROM p, n) SELECT point_id, node_id, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, node_id) AS k FROM c WHERE d2 <= 810000) WHERE k = 1",
     "J10_corridor": _NET + ", k AS (SELECT node_id FROM n WHERE " + " OR ".join(f"({_segment_sql(a, b)})" for a, b in zip(CORRIDOR, CORRIDOR[1:])) + ") " + _TOUCHING,
