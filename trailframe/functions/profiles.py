@@ -76,21 +76,27 @@ def nudged_off_towns(lon: Column, lat: Column) -> Column:
     return F.aggregate(boxes, lat, lambda at, b: F.when((at >= b["south"]) & (at <= b["north"]) & (lon >= b["west"]) & (lon <= b["east"]), b["north"] + b["step"]).otherwise(at))
 
 
-def town_factor(lon: Column, lat: Column, start: tuple[Column, Column], end: tuple[Column, Column], profile: Column) -> Column:
-    """The factor of a town centre, unless one of the request's ends is within 2.5 km or the profile is the clean one."""
-    near = (haversine(lon, lat, *start) < 2500) | (haversine(lon, lat, *end) < 2500)
-    factor = by_name(profile, TOWN_FACTOR, TOWN_FACTOR["direct"])
-    return F.when((profile != "cleanest") & in_town(lon, lat) & ~near, factor).otherwise(1.0)
+#: Columns of what a step's cost needs of places: metres from its ends and from the request's start to the goal, and whether it is in a town centre.
+PLACES = ("_before", "_after", "_direct", "_town")
+
+
+def places(at: tuple[Column, Column], to: tuple[Column, Column], start: tuple[Column, Column], end: tuple[Column, Column]) -> dict[str, Column]:
+    """The columns PLACES of a step from `at` to `to` of a request from `start` to `end`. Costs use each of them often, so they go
+    into a projection of their own. A town centre within 2.5 km of one of the request's ends doesn't count."""
+    mid = ((at[0] + to[0]) / 2, (at[1] + to[1]) / 2)
+    near = (haversine(*mid, *start) < 2500) | (haversine(*mid, *end) < 2500)
+    return dict(zip(PLACES, (haversine(*at, *end), haversine(*to, *end), haversine(*start, *end), F.when(in_town(*mid), ~near).otherwise(False))))
 
 
 def step_cost(meters: Column, surface: Column, road_class: Column, access: Column, edge_id: Column, source: Column, profile: Column, unknown: Column,
-              at: tuple[Column, Column], to: tuple[Column, Column], start: tuple[Column, Column], end: tuple[Column, Column], leg: Column | None = None, stitch: Column | None = None) -> Column:
-    """The cost of a step from `at` to `to` of a request from `start` to `end`; all points are (lon, lat).
+              leg: Column | None = None, stitch: Column | None = None) -> Column:
+    """The cost of a step, given its columns `places`.
 
     Kilometres are weighed by surface and class; where unknown access is allowed, all profiles but the clean one
     favour it and provincial roads, and the balanced one evens surfaces out. Town centres multiply, and metres away
     from the goal are added. A `leg` between a point and its road (or a stitch) has kilometres, town centres and
     metres away only."""
+    before, after, direct, town = map(F.col, PLACES)
     km = meters / 1000
     favoured = unknown & (profile != "cleanest")
     cost = km * surface_weight(surface, profile) * class_weight(road_class, profile)
@@ -98,9 +104,8 @@ def step_cost(meters: Column, surface: Column, road_class: Column, access: Colum
     provincial = F.coalesce(edge_id.rlike(PROVINCIAL_ID), F.lit(False)) | F.coalesce(source.rlike(PROVINCIAL_SOURCE), F.lit(False))
     cost = cost * F.when(favoured & provincial, by_name(profile, PROVINCIAL_FACTOR, PROVINCIAL_FACTOR["balanced"])).otherwise(1.0)
     cost = cost * F.when(favoured & (profile == "balanced"), F.when(surface == "paved", 0.9).when(surface.isin("gravel", "access", "track"), 1.06).otherwise(1.0)).otherwise(1.0)
-    towns = town_factor((at[0] + to[0]) / 2, (at[1] + to[1]) / 2, start, end, profile)
-    before, direct = haversine(*at, *end), haversine(*start, *end)
-    away = haversine(*to, *end) - before
+    towns = F.when((profile != "cleanest") & town, by_name(profile, TOWN_FACTOR, TOWN_FACTOR["direct"])).otherwise(1.0)
+    away = after - before
     near = before < F.greatest(F.lit(2800.0), direct * 0.28)
     price = lambda k: by_name(profile, {p: v[k] for p, v in AWAY_PRICE.items()}, 0.0)
     cost = cost * towns + F.when(away > 50, away / 1000 * F.when(near, price(0)).otherwise(price(1))).otherwise(0.0)

@@ -145,10 +145,14 @@ def _point(c: str) -> tuple[Column, Column]:
     return F.col(f"{c}.x"), F.col(f"{c}.y")
 
 
-def _cost(meters: Column, edge: str, at: tuple, to: tuple, leg: bool, rt: Column | None = None) -> Column:
+def _cost(meters: Column, edge: str, leg: bool, rt: Column | None = None) -> Column:
+    """The cost of a step over an edge whose fields begin with `edge`, given the columns of `profiles.places`."""
     name = lambda c, names: classify.code_name(F.col(f"{edge}{c}"), names)
-    return profiles.step_cost(meters, name("s", classify.SURFACES), F.col(f"{edge}rt") if rt is None else rt, name("ac", classify.ACCESSES), F.col(f"{edge}edge_id"), F.col(f"{edge}src"), F.col("profile"), F.col("unknown"),
-                              at, to, _point("start"), _point("end"), F.lit(True) if leg else None)
+    return profiles.step_cost(meters, name("s", classify.SURFACES), F.col(f"{edge}rt") if rt is None else rt, name("ac", classify.ACCESSES), F.col(f"{edge}edge_id"), F.col(f"{edge}src"), F.col("profile"), F.col("unknown"), F.lit(True) if leg else None)
+
+
+def _placed(rows: DataFrame, at: tuple, to: tuple) -> DataFrame:
+    return rows.withColumns(profiles.places(at, to, _point("start"), _point("end")))
 
 
 def _legs(requests: DataFrame, nodes: DataFrame, role: str) -> DataFrame:
@@ -158,7 +162,7 @@ def _legs(requests: DataFrame, nodes: DataFrame, role: str) -> DataFrame:
     rows = requests.select("*", F.explode(ways).alias("w")).select("*", "w.*").join(nodes, "node")
     here, there = (F.col("lon"), F.col("lat")), _point(role)
     at, to = (there, here) if role == "start" else (here, there)
-    return rows.select("query", "node", "meters", _cost(F.col("meters"), f"{role}.", at, to, True).alias("cost"))
+    return _placed(rows, at, to).select("query", "node", "meters", _cost(F.col("meters"), f"{role}.", True).alias("cost"))
 
 
 def _arcs(roads: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -199,8 +203,8 @@ def _cheapest(rows: DataFrame) -> DataFrame:
 _ASKED = ["query", "profile", "permissive", "unknown", "start", "end"]
 
 
-def _step_price() -> Column:
-    return _cost(F.col("m"), "", (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), False)
+def _with_price(rows: DataFrame) -> DataFrame:
+    return _placed(rows, (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))).withColumn("price", _cost(F.col("m"), "", False))
 
 
 def priced(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: float) -> DataFrame:
@@ -214,7 +218,7 @@ def priced(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
     wide = half / F.cos(F.radians(F.least(F.lit(85.0), F.abs((sy + ey) / 2) + half)))
     given = _areas(requests.select(*_ASKED, _most(widening).alias("most")), (sx + ex) / 2 - wide, (sx + ex) / 2 + wide, (sy + ey) / 2 - half, (sy + ey) / 2 + half)
     rows = _open(given.join(arcs, ["cx", "cy"])).where(_inside("x2", "y2"))
-    return _cheapest(rows.select("query", "from", "to", "edge_id", _step_price().alias("price")))
+    return _cheapest(_with_price(rows).select("query", "from", "to", "edge_id", "price"))
 
 
 def stitched(requests: DataFrame, roads: DataFrame, nodes: DataFrame, giant: Column) -> DataFrame:
@@ -238,8 +242,8 @@ def stitched(requests: DataFrame, roads: DataFrame, nodes: DataFrame, giant: Col
     name = F.concat(F.lit(STITCH), F.least("a", "b").cast("string"), F.lit(":"), F.greatest("a", "b").cast("string"))
     ways = best.select("*", name.alias("edge_id"), F.explode(F.array(way("a", "b", 1, 2), way("b", "a", 2, 1))).alias("w")).select("query", "profile", "unknown", "start", "end", "edge_id", F.greatest(F.lit(1.0), "meters").alias("meters"), "w.*")
     none = F.lit(None).cast("string")
-    price = profiles.step_cost(F.col("meters"), none, none, none, F.col("edge_id"), none, F.col("profile"), F.col("unknown"), (F.col("u1"), F.col("v1")), (F.col("u2"), F.col("v2")), _point("start"), _point("end"), F.lit(True), F.lit(True))
-    return ways.select("query", "from", "to", "edge_id", price.alias("price"), F.col("u2").alias("x2"), F.col("v2").alias("y2")).dropDuplicates(["query", "from", "to"])
+    price = profiles.step_cost(F.col("meters"), none, none, none, F.col("edge_id"), none, F.col("profile"), F.col("unknown"), F.lit(True), F.lit(True))
+    return _placed(ways, (F.col("u1"), F.col("v1")), (F.col("u2"), F.col("v2"))).select("query", "from", "to", "edge_id", price.alias("price"), F.col("u2").alias("x2"), F.col("v2").alias("y2")).dropDuplicates(["query", "from", "to"])
 
 
 def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: float | None, joins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +256,7 @@ def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
     legs_in, legs_out = _legs(requests, nodes, "start"), checkpointed(_legs(requests, nodes, "end"))
     same = requests.where(F.col("start.edge_id") == F.col("end.edge_id"))
     meters = F.abs(F.col("start.along") - F.col("end.along"))
-    one_road = same.select("query", _cost(meters, "start.", _point("start"), _point("end"), False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters"))
+    one_road = _placed(same, _point("start"), _point("end")).select("query", _cost(meters, "start.", False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters"))
     if widening is None:
         asked = checkpointed(requests.select(*_ASKED))
         arcs = checkpointed(_arcs(roads, nodes))
@@ -276,7 +280,7 @@ def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
     def step(frontier: DataFrame) -> DataFrame:
         here = frontier.select("query", F.col("node").alias("from"), "cost")
         if widening is None:
-            rows = _open(here.join(arcs, "from").join(asked, "query")).withColumn("price", _step_price()).select("query", "from", "to", "cost", "edge_id", "price")
+            rows = _with_price(_open(here.join(arcs, "from").join(asked, "query"))).select("query", "from", "to", "cost", "edge_id", "price")
             if more is not None:
                 rows = rows.unionByName(here.join(more, ["query", "from"]), allowMissingColumns=True)
         else:
