@@ -364,8 +364,8 @@ def routes(requests: DataFrame, roads: DataFrame, nodes: DataFrame, avoid: DataF
         pieces = found if pieces is None else pieces.unionByName(found)
         left = checkpointed(left.join(goals.select("query"), "query", "left_anti"))
     failed = missing.unionByName(left.select("query", F.lit("no_route").alias("error")))
-    if pieces is None:
-        return failed.select("query", *(F.lit(None).cast(kind).alias(c) for c, kind in (("place", "int"), ("edge_id", "string"), ("meters", "double"), ("surface", "string"), ("access", "string"), ("leg", "boolean"), ("cost", "double"))), "error")
+    if pieces is None:  # nothing was searched
+        pieces = left.select("query", *(F.lit(None).cast(kind).alias(c) for c, kind in (("place", "int"), ("edge_id", "string"), ("meters", "double"), ("s", "int"), ("ac", "int"), ("leg", "boolean"), ("cost", "double")))).limit(0)
     names = pieces.select("query", "place", "edge_id", "meters", classify.code_name(F.col("s"), classify.SURFACES).alias("surface"), classify.code_name(F.col("ac"), classify.ACCESSES).alias("access"), "leg", "cost", F.lit(None).cast("string").alias("error"))
     return names.unionByName(failed, allowMissingColumns=True)
 
