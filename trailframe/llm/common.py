@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +46,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system; workers live on between tasks, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(df: DataFrame, make, schema: str | StructType) -> DataFrame:
     """mapInArrow over batches; `make(batch)` gives a dict of columns. State that `make` keeps lives as long as a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -54,6 +63,7 @@ def map_texts(df: DataFrame, make, schema: str | StructType) -> DataFrame:
         each = make()
         for batch in batches:
             columns = each(batch)
+            give_back()
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((columns[f.name] for f in arrow), arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trailframe.llm.common import binary_list, map_texts
+from trailframe.llm.common import binary_list, give_back, map_texts
 
 #: Parameters: bytes of text in a block, on average, at first and at most; bytes of text from which blocks grow.
 BLOCK_BYTES, MOST_BLOCK_BYTES, GROWS_FROM = 4_000_000, 32_000_000, 1_000_000_000
@@ -125,6 +125,15 @@ def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None
         cuts = np.cumsum([len(k) for k in each])[:-1]
         return use(docs, texts, each, np.split(counts[where], cuts) if each else [])
 
-    sent = blocks.groupBy("block").applyInArrow(send, "shard int, block int, keys binary, counts binary")
-    answers = sent.groupBy("shard").applyInArrow(add, "shard int, block int, counts binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, schema)
+    def frugal(work):
+        def run(*groups: pa.Table) -> pa.Table:
+            give_back()
+            out = work(*groups)
+            give_back()
+            return out
+
+        return (lambda a: run(a)) if work is not back else (lambda a, b: run(a, b))
+
+    sent = blocks.groupBy("block").applyInArrow(frugal(send), "shard int, block int, keys binary, counts binary")
+    answers = sent.groupBy("shard").applyInArrow(frugal(add), "shard int, block int, counts binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(frugal(back), schema)

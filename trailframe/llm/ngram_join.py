@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import stored, table, words_of
+from trailframe.llm.common import give_back, stored, table, words_of
 from trailframe.llm.exchange import counted, in_blocks, window_hashes, word_hashes
 from trailframe.operators.components import connected_components
 
@@ -166,13 +166,19 @@ def links_of_cell(pivot: int | None, names: list[int], sets: list[list[int]], co
 def _cells(rows: DataFrame) -> DataFrame:
     """Links (a, b) found in cells given as rows (pivot, part, class_id, tokens, comp, ask)."""
 
+    done = 0
+
     def run(group: pa.Table) -> pa.Table:
+        nonlocal done
         seen: dict[int, int] = {}
         names = group.column("class_id").to_pylist()
         for i, x in enumerate(names):
             seen.setdefault(x, i)
         g = group.take(list(seen.values()))
         found = links_of_cell(group.column("pivot")[0].as_py(), g.column("class_id").to_pylist(), g.column("tokens").to_pylist(), g.column("comp").to_pylist(), g.column("ask").to_pylist())
+        done += 1
+        if done % 500 == 0:
+            give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("pivot", "part").applyInArrow(run, "a long, b long")
