@@ -36,7 +36,7 @@ from trailframe.llm.common import map_texts, stored, table
 
 #: Parameters: frequent pieces that are folded once at most (and bytes of each), pieces that a task looks up at a time,
 #: bytes that two chunks of a long piece share at least.
-FREQUENT, PIECE_BYTES, AT_ONCE, OVERLAP = 1_000_000, 32, 500_000, 64
+FREQUENT, PIECE_BYTES, AT_ONCE, OVERLAP = 1_000_000, 32, 1_000_000, 64
 #: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
 _PLACES, _FREE = 2**23, 2**62
@@ -348,8 +348,9 @@ class ByteBpe:
             pa.set_memory_pool(pa.system_memory_pool())  # gives memory back
 
             def each(batch):
-                codes, unknown = look_up(batch.column("pieces"), known.value[0])
-                return {"row": batch.column("row"), "codes": codes, "unknown": unknown}
+                for x in _some_rows(batch, "pieces"):
+                    codes, unknown = look_up(x.column("pieces"), known.value[0])
+                    yield {"row": x.column("row"), "codes": codes, "unknown": unknown}
 
             return each
 
@@ -357,13 +358,9 @@ class ByteBpe:
             pa.set_memory_pool(pa.system_memory_pool())
 
             def each(batch):
-                parts, texts = [], []
                 for x in _some_rows(batch, "codes"):
                     offsets, numbers = put_together(x.column("codes"), x.column("folded"), *known.value[1:])
-                    parts.append(_lists(offsets, pa.array(numbers)))
-                    if decoded:
-                        texts.append(joined_pieces(offsets, numbers, pieces))
-                return {"row": batch.column("row"), "ids": pa.concat_arrays(parts) if parts else [], "decoded": pa.concat_arrays(texts) if texts else pa.nulls(len(batch), pa.binary())}
+                    yield {"row": x.column("row"), "ids": _lists(offsets, pa.array(numbers)), "decoded": joined_pieces(offsets, numbers, pieces) if decoded else pa.nulls(len(x), pa.binary())}
 
             return each
 
@@ -380,8 +377,8 @@ class ByteBpe:
 
         def join():
             def each(batch):
-                texts = [joined_pieces(_offsets(_lengths(x.column("ids"))), _numbers(x.column("ids").flatten()), pieces) for x in _some_rows(batch, "ids")]
-                return {"row": batch.column("row"), "decoded": pa.concat_arrays(texts) if texts else []}
+                for x in _some_rows(batch, "ids"):
+                    yield {"row": x.column("row"), "decoded": joined_pieces(_offsets(_lengths(x.column("ids"))), _numbers(x.column("ids").flatten()), pieces)}
 
             return each
 

@@ -54,7 +54,8 @@ def give_back() -> None:
 
 
 def map_texts(df: DataFrame, make, schema: str | StructType) -> DataFrame:
-    """mapInArrow over batches; `make(batch)` gives a dict of columns. State that `make` keeps lives as long as a task."""
+    """mapInArrow over batches; what `make()` gives takes a batch and returns a dict of columns, or several, one for each part of the
+    batch. State that `make` keeps lives as long as a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
@@ -62,8 +63,9 @@ def map_texts(df: DataFrame, make, schema: str | StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            columns = each(batch)
-            give_back()
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((columns[f.name] for f in arrow), arrow)], schema=arrow)
+            parts = each(batch)
+            for columns in [parts] if isinstance(parts, dict) else parts:
+                give_back()
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((columns[f.name] for f in arrow), arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
