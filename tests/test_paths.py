@@ -36,3 +36,15 @@ def test_paths_over_many_blocks(spark):
     q = [_heap(arcs, s) for s in (60, 3)]
     want = {("p", v): c for v, c in _heap(arcs, 0).items()} | {("q", v): min(d[v] for d in q if v in d) for v in {*q[0], *q[1]}}
     assert got == want
+
+
+def test_requests_that_no_open_road_joins_are_told_without_a_search(spark):
+    from trailframe.operators import routing
+
+    end = lambda a, b: {"a": a, "b": b}
+    row = lambda q, unknown, s, e: (q, True, unknown, end(*s), end(*e))
+    asked = spark.createDataFrame([row(1, True, (0, 1), (2, 3)), row(2, False, (0, 1), (2, 3)), row(3, True, (0, 1), (7, 8)), row(4, True, (0, 1), (5, 6)), row(5, False, (8, 8), (8, 7))], "query long, permissive boolean, unknown boolean, start struct<a: long, b: long>, end struct<a: long, b: long>")
+    ac = {"verified": 0, "unknown": 2}
+    roads = spark.createDataFrame([(0, 1, ac["verified"], "x"), (1, 2, ac["unknown"], "x"), (2, 3, ac["verified"], "x"), (5, 6, ac["unknown"], "x"), (7, 8, ac["verified"], "x")], "a long, b long, ac int, src string")
+    joins = spark.createDataFrame([(4, 3, 5), (4, 5, 3)], "query long, from long, to long")
+    assert {r.query for r in routing.unreachable(asked, roads, joins).collect()} == {2, 3}

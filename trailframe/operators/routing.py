@@ -3,10 +3,11 @@ places, and what a route is made of.
 
 A request is (query, profile, permissive, unknown, start_lon, start_lat, end_lon, end_lat); a road is (edge_id, seq, a, b,
 m, s, ac, rt, src, component, line), its line being points (lon, lat). All requests run in the same rounds: labels are
-spread by request and node, and only those that got better go on."""
+spread by request and block of nodes, and only those that got better go on."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from trailframe.functions import classify, profiles
 from trailframe.functions.geometry import haversine, project_on_segment
-from trailframe.operators import lines, regional
-from trailframe.operators.components import checkpointed
+from trailframe.operators import graph, lines, regional
+from trailframe.operators.components import checkpointed, connected_components
 from trailframe.operators.trips import percent
 
 # Cells that roads are found by (degrees), metres within which a point takes a road at first, of a chain's places, and
@@ -25,8 +26,8 @@ CELL, MATCH_M, CHAIN_M, WIDE_M, SOFT_M, PAVED_M = 0.01, 250.0, 500.0, 750.0, 22.
 WIDENINGS, SANE = (1.0, 1.25, 1.6, None), 2.5
 STITCH_PAD, STITCH_SHARE, STITCH = 0.04, 0.35, "soft-stitch-"
 METERS_PER_DEGREE = 111_320.0
-#: Parameters: steps that are taken before labels are compared with those known, rounds after which known labels are merged, cells by which requests meet roads (degrees).
-STEPS, MERGE, AREA = 6, 16, 0.05
+#: Parameters: nodes of a block that a request's labels settle in by themselves, cells by which requests meet roads (degrees).
+BLOCK, AREA = 1 << 13, 0.05
 _ROAD = ["edge_id", "a", "b", "m", "s", "ac", "rt", "src", "component"]
 
 
@@ -251,22 +252,23 @@ def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
 
     Only nodes in the ellipse of a request's profile, widened, are visited; without a bound, steps are priced where labels
     arrive. `joins` are the stitches that requests may take too. Labels that cost no less than a goal already reached go no
-    further. Labels are appended, round by round, and only those of nodes reached anew are looked up; every MERGE rounds
-    they are merged."""
+    further. They spread block by block (`graph.spread`)."""
     legs_in, legs_out = _legs(requests, nodes, "start"), checkpointed(_legs(requests, nodes, "end"))
     same = requests.where(F.col("start.edge_id") == F.col("end.edge_id"))
     meters = F.abs(F.col("start.along") - F.col("end.along"))
     one_road = _placed(same, _point("start"), _point("end")).select("query", _cost(meters, "start.", False, F.lit("unknown")).alias("cost"), F.lit(None).cast("long").alias("node"), meters.alias("meters"))
+    where = lambda rows: graph.in_block(rows, "from", BLOCK)
     if widening is None:
         asked = checkpointed(requests.select(*_ASKED))
-        arcs = checkpointed(_arcs(roads, nodes))
-        more = None if joins is None else checkpointed(joins.select("query", "from", "to", "edge_id", "price"))
+        arcs = _arcs(roads, nodes)
+        arcs = checkpointed(arcs.withColumn("block", where(arcs)).repartitionByRange("block", "from").sortWithinPartitions("block"))
+        more = None if joins is None else checkpointed(joins.select("query", "from", "to", "edge_id", "price").withColumn("block", where(joins)))
     else:
         steps = priced(requests, roads, nodes, widening)
         if joins is not None:
             inside = joins.join(requests.select("query", "start", "end", _most(widening).alias("most")), "query").where(_inside("x2", "y2"))
             steps = _cheapest(steps.unionByName(inside.select("query", "from", "to", "edge_id", "price")))
-        steps = checkpointed(steps)
+        steps = checkpointed(steps.withColumn("block", where(steps)))
 
     def goals(labels: DataFrame) -> DataFrame:
         return labels.join(legs_out.withColumnRenamed("cost", "leg"), ["query", "node"]).select("query", (F.col("cost") + F.col("leg")).alias("cost"), "node", "meters")
@@ -274,36 +276,47 @@ def search(requests: DataFrame, roads: DataFrame, nodes: DataFrame, widening: fl
     def least_goal(rows: DataFrame) -> DataFrame:
         return rows.groupBy("query").agg(F.min(F.struct("cost", "node", "meters")).alias("g")).select("query", "g.*")
 
-    def least(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("query", "node").agg(F.min(F.struct("cost", "prev", "edge_id")).alias("label")).select("query", "node", "label.*")
-
-    def step(frontier: DataFrame) -> DataFrame:
-        here = frontier.select("query", F.col("node").alias("from"), "cost")
-        if widening is None:
-            rows = _with_price(_open(here.join(arcs, "from").join(asked, "query"))).select("query", "from", "to", "cost", "edge_id", "price")
-            if more is not None:
-                rows = rows.unionByName(here.join(more, ["query", "from"]), allowMissingColumns=True)
-        else:
-            rows = here.join(steps, ["query", "from"])
-        return least(rows.select("query", F.col("to").alias("node"), (F.col("cost") + F.col("price")).alias("cost"), F.col("from").alias("prev"), "edge_id"))
-
-    frontier = checkpointed(legs_in.groupBy("query", "node").agg(F.min("cost").alias("cost")).select("query", "node", "cost", F.lit(None).cast("long").alias("prev"), F.lit(None).cast("string").alias("edge_id")))
-    known, goal, k = [frontier], checkpointed(least_goal(goals(frontier).unionByName(one_road))), 0
-    while True:
-        reached, last = None, frontier
-        for _ in range(STEPS):
-            last = step(last)
-            reached = last if reached is None else reached.unionByName(last)
-        new = checkpointed(least(reached))
-        old = reduce(DataFrame.unionByName, known).join(new.select("query", "node"), ["query", "node"], "left_semi").groupBy("query", "node").agg(F.min("cost").alias("known"))
-        better = new.join(old, ["query", "node"], "left").join(goal.select("query", F.col("cost").alias("bound")), "query", "left").where("(known IS NULL OR cost < known) AND (bound IS NULL OR cost < bound)")
-        frontier, k = checkpointed(better.select("query", "node", "cost", "prev", "edge_id")), k + 1
-        if frontier.isEmpty():
-            return checkpointed(least(reduce(DataFrame.unionByName, known))), goal
-        known.append(frontier)
-        goal = checkpointed(least_goal(goals(frontier).unionByName(goal)))
-        if k % MERGE == 0:
-            known = [checkpointed(least(reduce(DataFrame.unionByName, known)))]
+    def steps_of(entered: DataFrame, read: Callable) -> DataFrame:
+        if widening is not None:
+            return read(steps).join(entered, ["query", "block"])
+        rows = _with_price(_open(read(arcs).join(entered, "block").join(asked, "query"))).select("query", "block", "from", "to", "edge_id", "price")
+        if more is not None:
+            rows = rows.unionByName(read(more).join(entered, ["query", "block"]))
+        return rows.groupBy("query", "block", "from", "to").agg(F.min(F.struct("price", "edge_id")).alias("p")).select("query", "block", "from", "to", "p.*")
+
+    goal = checkpointed(least_goal(one_road))
+
+    def bounds(reached: DataFrame) -> DataFrame:
+        nonlocal goal
+        goal = checkpointed(least_goal(goals(reached).unionByName(goal)))
+        return goal.select("query", F.col("cost").alias("bound"))
+
+    starts = legs_in.groupBy("query", "node").agg(F.min("cost").alias("cost")).select("query", "node", "cost", F.lit(None).cast("long").alias("prev"), F.lit(None).cast("string").alias("edge_id"))
+    labels = graph.spread(starts, steps_of, BLOCK, bounds)
+    return checkpointed(labels.groupBy("query", "node").agg(F.min(F.struct("cost", "prev", "edge_id")).alias("label")).select("query", "node", "label.*")), goal
+
+
+def unreachable(requests: DataFrame, roads: DataFrame, joins: DataFrame) -> DataFrame:
+    """(query) of the snapped requests whose ends no way joins, over the roads open to them and the stitches `joins` they may take.
+
+    Told by components of the open roads, one set for each policy, and by hops over stitches between these; without it, a search
+    without a bound would go through all that can be reached."""
+    code = F.col("permissive").cast("int") * 2 + F.col("unknown").cast("int")
+    named = lambda c: F.col(c).cast("long") * 4 + F.col("policy")
+    policies = requests.select("permissive", "unknown").distinct()  # four at most
+    ways = _open(roads.crossJoin(F.broadcast(policies))).withColumn("policy", code).select(named("a").alias("a"), named("b").alias("b"))
+    parts = checkpointed(connected_components(ways))
+    # A node that no open road leads to is by itself.
+    part_of = lambda rows, c: rows.withColumn("node", named(c)).join(parts, "node", "left").withColumn(c, F.coalesce("component", "node")).drop("node", "component")
+    asked = requests.withColumn("policy", code)
+    ends = lambda role: part_of(asked.select("query", "policy", F.explode(F.array(f"{role}.a", f"{role}.b")).alias("at")), "at").select("query", "at").distinct()
+    over = joins.select("query", "from", "to").join(asked.select("query", "policy"), "query")
+    over = checkpointed(part_of(part_of(over, "from"), "to").where(F.col("from") != F.col("to")).select("query", "from", "to").distinct())
+    reached = new = checkpointed(ends("start"))
+    while not new.isEmpty():
+        new = checkpointed(new.withColumnRenamed("at", "from").join(over, ["query", "from"]).select("query", F.col("to").alias("at")).distinct().join(reached, ["query", "at"], "left_anti"))
+        reached = checkpointed(reached.unionByName(new))
+    return requests.select("query").join(ends("end").join(reached, ["query", "at"], "left_semi"), "query", "left_anti")
 
 
 def backtracked(labels: DataFrame, goals: DataFrame) -> DataFrame:
@@ -340,6 +353,10 @@ def routes(requests: DataFrame, roads: DataFrame, nodes: DataFrame, avoid: DataF
     left = checkpointed(both.join(cut, "query", "left_anti"))
     missing, pieces = missing.unionByName(cut.select("query", F.lit("no_route").alias("error"))), None
     for widening in WIDENINGS:
+        if widening is None and not left.isEmpty():
+            never = checkpointed(unreachable(left, roads, joins))
+            missing = missing.unionByName(never.select("query", F.lit("no_route").alias("error")))
+            left = checkpointed(left.join(never, "query", "left_anti"))
         if left.isEmpty():
             break
         labels, goals = search(left, roads, nodes, widening, joins)
