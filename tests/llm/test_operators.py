@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -19,6 +20,7 @@ from trailframe.llm.queries import ORACLE_SQL, QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())  # what it gives must not outlive it
 ODD = [(1, None), (2, ""), (3, "   \n\t"), (4, "one"), (5, "x" * 3000), (6, "a b c d e f " * 300), (None, "no id here at all"), (7, "same text twice"), (7, "same text twice"), (8, "naïve ☃ 𝄞 <|endoftext|> don't")]
 
 
@@ -60,6 +62,19 @@ def test_bpe_decodes_by_itself(spark):
     assert sorted((r.row or 0, len(r["a.b"])) for r in out) == sorted((r.doc_id or 0, len(r.ids)) for r in byte_bpe.encode_decode(odd(spark), RANKS, public_tokenizers.PATTERN).collect())
 
 
+def test_pieces_are_looked_up_without_a_table_of_all_known_ones():
+    known = pa.array([f"piece{i}" for i in range(200_000)])
+    pieces = pa.array([["piece7", "new", "piece199999", "new"], [], ["other", "piece7"]], pa.list_(pa.string()))
+    whole = pa.default_memory_pool()
+    pa.set_memory_pool(POOL)
+    try:
+        codes, unknown = byte_bpe.look_up(pieces, known)
+    finally:
+        pa.set_memory_pool(whole)
+    assert codes.to_pylist() == [[7, -1, 199_999, -2], [], [-1, 7]] and unknown.to_pylist() == [["new", "new"], [], ["other"]]
+    assert POOL.max_memory() < known.nbytes / 2
+
+
 def test_token_counts_are_the_library_s(spark):
     from tokenizers import Tokenizer
 

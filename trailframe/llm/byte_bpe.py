@@ -243,7 +243,10 @@ def look_up(pieces: pa.Array, known: pa.Array) -> tuple[pa.Array, pa.Array]:
     if not len(flat):
         return _lists(ends, pa.array([], pa.int32())), _lists(ends, flat)
     distinct = flat.dictionary_encode()
-    found = _numbers(pc.fill_null(pc.index_in(distinct.dictionary, value_set=known), -1)).astype(np.int32)
+    # Known pieces are looked up in a table of the pieces here: one of all known ones would take several times their memory.
+    at = pc.index_in(known, value_set=distinct.dictionary)
+    found = np.full(len(distinct.dictionary), -1, np.int32)
+    found[_numbers(at.drop_null())] = np.flatnonzero(_numbers(at.is_valid()))
     codes = found[_numbers(distinct.indices)]
     missing = codes < 0
     before = _offsets(missing)
@@ -297,7 +300,7 @@ class ByteBpe:
         self.pairs = literal(spark, pa.array(byte_pairs(self.ids, merges), pa.int64()))
         pieces = {i: b for b, i in self.ids.items()}
         self.pieces = pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.binary())
-        self.known = spark.sparkContext.broadcast((pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int32)))
+        self.known, self.known_ids = spark.sparkContext.broadcast(pa.array([], pa.string())), spark.sparkContext.broadcast((np.zeros(0, np.int32), np.zeros(1, np.int32)))
 
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -321,7 +324,9 @@ class ByteBpe:
         some = self.frequent(docs, n).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "piece")
         folded = some.select("piece", *self._tables()).select("piece", self._with_tables(lambda m: self._fold(F.col("piece"), m)).alias("ids")).toArrow()
         piece, ids = folded.column("piece").combine_chunks(), folded.column("ids").combine_chunks()
-        self.known = self.spark.sparkContext.broadcast((piece.cast(pa.string()), _numbers(ids.flatten()).astype(np.int32), _offsets(_lengths(ids))))  # at most `n` pieces of PIECE_BYTES
+        # At most `n` pieces of PIECE_BYTES; those who look up need no ids, those who join no pieces.
+        self.known = self.spark.sparkContext.broadcast(piece.cast(pa.string()))
+        self.known_ids = self.spark.sparkContext.broadcast((_numbers(ids.flatten()).astype(np.int32), _offsets(_lengths(ids))))
         return self
 
     def _tables(self) -> list[Column]:
@@ -340,7 +345,7 @@ class ByteBpe:
 
     def encode(self, docs: DataFrame, text: str, ids: str, decoded: str | None = None) -> DataFrame:
         """`docs` with the ids of column `text` in place of it, as column `ids`; and with what these decode to, if `decoded` names a column for it."""
-        rest, known, pieces = [c for c in docs.columns if c != text], self.known, self.pieces
+        rest, known, known_ids, pieces = [c for c in docs.columns if c != text], self.known, self.known_ids, self.pieces
         rows = docs.select((F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("boolean")).alias("row"), self.split(F.col(text)).alias("pieces"))
         row, whole = rows.schema["row"].dataType, ArrayType(IntegerType(), False)
 
@@ -349,7 +354,7 @@ class ByteBpe:
 
             def each(batch):
                 for x in _some_rows(batch, "pieces"):
-                    codes, unknown = look_up(x.column("pieces"), known.value[0])
+                    codes, unknown = look_up(x.column("pieces"), known.value)
                     yield {"row": x.column("row"), "codes": codes, "unknown": unknown}
 
             return each
@@ -359,7 +364,7 @@ class ByteBpe:
 
             def each(batch):
                 for x in _some_rows(batch, "codes"):
-                    offsets, numbers = put_together(x.column("codes"), x.column("folded"), *known.value[1:])
+                    offsets, numbers = put_together(x.column("codes"), x.column("folded"), *known_ids.value)
                     yield {"row": x.column("row"), "ids": _lists(offsets, pa.array(numbers)), "decoded": joined_pieces(offsets, numbers, pieces) if decoded else pa.nulls(len(x), pa.binary())}
 
             return each
