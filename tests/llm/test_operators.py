@@ -5,8 +5,11 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,12 @@ def test_token_counts_are_the_library_s(spark):
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in out) == sorted((i or 0, len((t or "").encode()), len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
 
 
+def test_token_counts_take_no_threads_of_their_own():
+    code = f"import os\nfrom trailframe.llm import token_counts\nbefore = len(os.listdir('/proc/self/task'))\nassert sum(token_counts.lengths({WORDS!r}, [b'word%d' % i for i in range(2000)])) > 2000\nassert len(os.listdir('/proc/self/task')) == before"
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env)
+
+
 def test_rule_statistics():
     text = b"a b c a b c x\n\na b c a b c x\n $$ d\xc3\xa9"
     assert quality_rules.rule_statistics(text)[:5] == [16, 18, 2, 1, 14]

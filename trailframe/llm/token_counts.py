@@ -13,6 +13,7 @@ repeated rows are counted each; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def lengths(path: str, chunks: list[bytes]) -> list[int]:
-    return [len(e.ids) for e in tokenizer(path).encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+def lengths(path: str, chunks: Iterable[bytes]) -> list[int]:
+    """One after another: the library's batches use threads of their own beside Spark's tasks, which take twice the CPU time for a text's few chunks."""
+    encode = tokenizer(path).encode
+    return [len(encode(c.decode(), add_special_tokens=False)) for c in chunks]
 
 
 def _merged(summaries: list[tuple[list[bytes], np.ndarray]], keep: int) -> tuple[list[bytes], np.ndarray]:
@@ -108,14 +111,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             n_bytes, n_tokens = [], []
             for text in binary_list(batch.column("text")):
                 chunks = words_of(text)
-                missing = [c for c in set(chunks) if c not in known]
-                if missing:
+                counts = list(map(known.get, chunks))
+                if None in counts:
+                    missing = {c for c, n in zip(chunks, counts) if n is None}
                     if len(known) + len(missing) > FREQUENT + CACHED:
                         known = dict(tier1)
-                        missing = [c for c in set(chunks) if c not in known]
+                        missing = {c for c in chunks if c not in known}
                     known.update(zip(missing, lengths(path, missing)))
+                    counts = map(known.__getitem__, chunks)
                 n_bytes.append(len(text or b""))
-                n_tokens.append(sum(map(known.__getitem__, chunks)))
+                n_tokens.append(sum(counts))
             return {"doc_id": batch.column("doc_id"), "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens]}
 
         return each
