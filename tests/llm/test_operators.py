@@ -253,6 +253,13 @@ def test_links_connect_what_brute_force_connects(spark, cell):
     assert [got.get(i, i) for i in range(60)] == [find(i) for i in range(60)]
 
 
+def test_sets_are_stored_by_document_and_by_class_only(spark, monkeypatch):
+    frames, stored = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df: frames.append(df.columns) or stored(df))
+    assert {r.doc_id: r.component_id for r in ngram_join.similarity_classes(odd(spark)).collect()}[7] == 7
+    assert sum("tokens" in columns for columns in frames) == 2
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     assert len(ngram_join.similarity_classes(docs).collect()) == len(ODD)

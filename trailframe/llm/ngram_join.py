@@ -212,7 +212,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     rows = stored(shingled(docs))
     one = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
     classes = stored(one.withColumn("class", F.monotonically_increasing_id()))
-    links = class_links(stored(classes.where("tokens IS NOT NULL").select(F.col("class").alias("class_id"), "prefix", "tokens")))
+    links = class_links(classes.where("tokens IS NOT NULL").select(F.col("class").alias("class_id"), "prefix", "tokens"))  # stored once: tokens are most of what is written
     several = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select(F.col("doc_id").alias("many"))
     texts = rows.join(several, F.col("doc_id") == F.col("many"), "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")
     firsts = texts.groupBy("doc_id").agg(F.min("class").alias("b"))
