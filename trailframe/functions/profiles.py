@@ -76,6 +76,13 @@ def nudged_off_towns(lon: Column, lat: Column) -> Column:
     return F.aggregate(boxes, lat, lambda at, b: F.when((at >= b["south"]) & (at <= b["north"]) & (lon >= b["west"]) & (lon <= b["east"]), b["north"] + b["step"]).otherwise(at))
 
 
+def moved_off_towns(lon: float, lat: float) -> float:
+    """As nudged_off_towns, of a fixed place."""
+    for south, north, west, east, step in TOWNS:
+        lat = north + step if south <= lat <= north and west <= lon <= east else lat
+    return lat
+
+
 #: Columns of what a step's cost needs of places: metres from its ends and from the request's start to the goal, and whether it is in a town centre.
 PLACES = ("_before", "_after", "_direct", "_town")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailframe.functions import network_rules as rules
 from trailframe.functions.geometry import haversine
-from trailframe.functions.profiles import nudged_off_towns
+from trailframe.functions.profiles import moved_off_towns, nudged_off_towns
 from trailframe.operators.components import checkpointed
 from trailframe.operators.requests import region_paths
 
@@ -33,6 +33,8 @@ SAME_END, SAME, SAME_NEXT = 0.02, 0.08, 0.15
 SEAM_REACH, KEEPER_REACH, ANCHOR_REACH = 0.35, 0.4, 0.5
 SAMPLE_KM, SAMPLE_FROM, SHORT_DEGREES, SHORT_KM = 320.0, 1.15, 3.0, 200.0
 CLEAN = ("cleanest", "clean")
+#: Parameter: tasks that requests are dealt to, for each core.
+TASKS_A_CORE = 4
 _POINT = "struct<lon: double, lat: double>"
 
 
@@ -69,7 +71,8 @@ def samples(start: Column, end: Column, km: Column) -> Column:
     """Points on the straight way about every 320 kilometres, moved off town centres; none on ways of less than 368."""
     n = F.greatest(F.lit(1), F.floor(km / SAMPLE_KM + 0.5).cast("int"))
     at = lambda i, c: start[c] + (end[c] - start[c]) * (i / n)
-    every = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: (i > 0) & (i < n)), lambda i: _off_towns(F.struct(at(i, "lon").alias("lon"), at(i, "lat").alias("lat"))))
+    straight = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: (i > 0) & (i < n)), lambda i: F.struct(at(i, "lon").alias("lon"), at(i, "lat").alias("lat")))
+    every = F.transform(straight, _off_towns)  # of points that are there: every box of a town reads them
     return F.when(km >= SAMPLE_KM * SAMPLE_FROM, every).otherwise(F.array().cast(f"array<{_POINT}>"))
 
 
@@ -81,13 +84,15 @@ def way_points(requests: DataFrame, mode: str | None = None) -> DataFrame:
     "chain"), over samples of the straight way and the places that keep roads together (mode "clip"), or straight."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     places = F.filter(F.coalesce("places", F.array().cast(f"array<{_POINT}>")), lambda p: F.coalesce(fine(p["lon"]) & fine(p["lat"]), F.lit(False)))
+    # Requests are short and their points much work, so they are dealt to all cores first, however few files they come in.
+    requests = requests.repartition(TASKS_A_CORE * requests.sparkSession.sparkContext.defaultParallelism)
     rows = requests.withColumn("places", F.transform(places, lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat"))))
     start, end = F.get("places", F.lit(0)), F.try_element_at("places", F.lit(-1))
     family = lambda p: rules.region_family(rules.primary_region(p["lon"], p["lat"]))
     rows = rows.withColumns({"_start": start, "_end": end}).withColumns({"_from": family(F.col("_start")), "_to": family(F.col("_end"))})
+    rows = rows.withColumn("_km", haversine(F.col("_start.lon"), F.col("_start.lat"), F.col("_end.lon"), F.col("_end.lat"), 6371.0))
     rows = checkpointed(rows)  # they are read twice, and each in many places of the expressions below
-    start, end = F.col("_start"), F.col("_end")
-    km = haversine(start["lon"], start["lat"], end["lon"], end["lat"], 6371.0)
+    start, end, km = F.col("_start"), F.col("_end"), F.col("_km")
     quebec = (F.coalesce("_from", "_to") == "qc") & (F.coalesce("_to", "_from") == "qc")
     as_given = (F.size("places") != 2) | F.coalesce(quebec, F.lit(False)) | ((F.abs(start["lon"] - end["lon"]) < SHORT_DEGREES) & (km < SHORT_KM))
     straight, apart = F.array(start, end), lambda p: ~near(p, start, SAME) & ~near(p, end, SAME)
@@ -104,7 +109,8 @@ def way_points(requests: DataFrame, mode: str | None = None) -> DataFrame:
         seams = F.filter(_literal(SEAMS, "lon", "lat", "a", "b"), lambda s: on_way(s) & _between(s, start, end, SEAM_REACH) & apart(s))
         led = F.when(F.size("_path") >= 2, ordered(F.concat(straight, F.transform(seams, lambda s: F.struct(s["lon"].alias("lon"), s["lat"].alias("lat")))), start, end)).otherwise(straight)
     elif mode == "clip":
-        keepers = F.transform(F.filter(_literal(KEEPERS, "lon", "lat"), lambda p: _between(p, start, end, KEEPER_REACH)), _off_towns)
+        moved = tuple((lon, moved_off_towns(lon, lat)) for lon, lat in KEEPERS)
+        keepers = F.filter(_literal(moved, "lon", "lat"), lambda p: _between(p, start, end, KEEPER_REACH))
         led = ordered(F.concat(straight, samples(start, end, km), keepers), start, end)
     else:
         led = straight
