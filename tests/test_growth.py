@@ -1,5 +1,7 @@
 """What large tables need: work dealt to all cores, code that the JVM compiles, few copies of rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF
@@ -24,3 +26,11 @@ def test_fixed_places_are_moved_as_columns_are(spark):
     places = [(box[2] + 0.01, box[0] + 0.01) for box in profiles.TOWNS] + list(waypoints.KEEPERS)
     got = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "k int, lon double, lat double").select("k", profiles.nudged_off_towns(F.col("lon"), F.col("lat")).alias("lat")).collect()
     assert {r.k: r.lat for r in got} == {k: profiles.moved_off_towns(*p) for k, p in enumerate(places)}
+
+
+def test_code_of_step_costs_is_compiled(spark, capsys):
+    """The JVM runs methods of 8000 bytes or more uncompiled, some ten times slower."""
+    c = F.col
+    rows = spark.range(10).selectExpr("id * 1.5D as m", "string(id) as s", "string(id + 1) as rt", "string(id + 2) as ac", "id > 1 as provincial", "string(id + 3) as profile", "id > 2 as unknown", "id > 3 as leg", "id > 4 as stitch", "id + 0.5D as _before", "id + 0.7D as _after", "id + 0.9D as _direct", "id > 5 as _town")
+    rows.select(profiles.step_cost(c("m"), c("s"), c("rt"), c("ac"), c("provincial"), c("profile"), c("unknown"), c("leg"), c("stitch"))).explain("codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) < 8000

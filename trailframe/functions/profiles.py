@@ -43,22 +43,26 @@ TOWNS = (
 ELLIPSE = {"cleanest": 1.25, "direct": 1.28, "balanced": 1.28, "dirt": 2.6}
 
 
+def _listed(values: dict) -> Column:
+    return F.create_map(*(x if isinstance(x, Column) else F.lit(x) for kv in values.items() for x in kv))
+
+
 def by_name(name: Column, values: dict, otherwise: float = 1.0) -> Column:
-    """The value listed for a name: a chain of literals, which stays inside generated code."""
-    (first, value), *rest = values.items()
-    return reduce(lambda acc, kv: acc.when(name == kv[0], kv[1]), rest, F.when(name == first, value)).otherwise(otherwise)
+    """The value listed for a name: one look-up in a constant. A chain of comparisons makes the code generated for a step so long
+    (over 8000 bytes) that the JVM doesn't compile it."""
+    return F.coalesce(F.try_element_at(_listed(values), name), F.lit(otherwise))
 
 
 def surface_weight(surface: Column, profile: Column) -> Column:
     """Other profiles weigh surfaces as the balanced one does."""
-    each = {p: by_name(surface, w, w["unknown"]) for p, w in SURFACE_WEIGHTS.items()}
-    return F.when(profile == "direct", each["direct"]).when(profile == "dirt", each["dirt"]).when(profile == "cleanest", each["cleanest"]).otherwise(each["balanced"])
+    each = {p: _listed(w) for p, w in SURFACE_WEIGHTS.items()}
+    own = F.coalesce(F.try_element_at(_listed(each), profile), each["balanced"])
+    return F.coalesce(F.try_element_at(own, surface), F.try_element_at(own, F.lit("unknown")))
 
 
 def class_weight(road_class: Column, profile: Column) -> Column:
-    each = {p: by_name(F.coalesce(road_class, F.lit("unknown")), dict(zip(CLASSES, w))) for p, w in CLASS_WEIGHTS.items()}
-    (first, value), *rest = each.items()
-    return reduce(lambda acc, kv: acc.when(profile == kv[0], kv[1]), rest, F.when(profile == first, value)).otherwise(1.0)
+    own = F.try_element_at(_listed({p: _listed(dict(zip(CLASSES, w))) for p, w in CLASS_WEIGHTS.items()}), profile)
+    return F.coalesce(F.try_element_at(own, F.coalesce(road_class, F.lit("unknown"))), F.lit(1.0))
 
 
 def greatest_weight(profile: str) -> float:
@@ -95,7 +99,12 @@ def places(at: tuple[Column, Column], to: tuple[Column, Column], start: tuple[Co
     return dict(zip(PLACES, (haversine(*at, *end), haversine(*to, *end), haversine(*start, *end), F.when(in_town(*mid), ~near).otherwise(False))))
 
 
-def step_cost(meters: Column, surface: Column, road_class: Column, access: Column, edge_id: Column, source: Column, profile: Column, unknown: Column,
+def is_provincial(edge_id: Column, source: Column) -> Column:
+    """Whether an edge is a provincial road, by its id or its source."""
+    return F.coalesce(edge_id.rlike(PROVINCIAL_ID), F.lit(False)) | F.coalesce(source.rlike(PROVINCIAL_SOURCE), F.lit(False))
+
+
+def step_cost(meters: Column, surface: Column, road_class: Column, access: Column, provincial: Column, profile: Column, unknown: Column,
               leg: Column | None = None, stitch: Column | None = None) -> Column:
     """The cost of a step, given its columns `places`.
 
@@ -108,7 +117,6 @@ def step_cost(meters: Column, surface: Column, road_class: Column, access: Colum
     favoured = unknown & (profile != "cleanest")
     cost = km * surface_weight(surface, profile) * class_weight(road_class, profile)
     cost = cost * F.when(favoured & (access == "motorized_unknown"), by_name(profile, UNKNOWN_FACTOR, UNKNOWN_FACTOR["balanced"])).otherwise(1.0)
-    provincial = F.coalesce(edge_id.rlike(PROVINCIAL_ID), F.lit(False)) | F.coalesce(source.rlike(PROVINCIAL_SOURCE), F.lit(False))
     cost = cost * F.when(favoured & provincial, by_name(profile, PROVINCIAL_FACTOR, PROVINCIAL_FACTOR["balanced"])).otherwise(1.0)
     cost = cost * F.when(favoured & (profile == "balanced"), F.when(surface == "paved", 0.9).when(surface.isin("gravel", "access", "track"), 1.06).otherwise(1.0)).otherwise(1.0)
     towns = F.when((profile != "cleanest") & town, by_name(profile, TOWN_FACTOR, TOWN_FACTOR["direct"])).otherwise(1.0)

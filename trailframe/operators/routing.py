@@ -149,7 +149,7 @@ def _point(c: str) -> tuple[Column, Column]:
 def _cost(meters: Column, edge: str, leg: bool, rt: Column | None = None) -> Column:
     """The cost of a step over an edge whose fields begin with `edge`, given the columns of `profiles.places`."""
     name = lambda c, names: classify.code_name(F.col(f"{edge}{c}"), names)
-    return profiles.step_cost(meters, name("s", classify.SURFACES), F.col(f"{edge}rt") if rt is None else rt, name("ac", classify.ACCESSES), F.col(f"{edge}edge_id"), F.col(f"{edge}src"), F.col("profile"), F.col("unknown"), F.lit(True) if leg else None)
+    return profiles.step_cost(meters, name("s", classify.SURFACES), F.col(f"{edge}rt") if rt is None else rt, name("ac", classify.ACCESSES), profiles.is_provincial(F.col(f"{edge}edge_id"), F.col(f"{edge}src")), F.col("profile"), F.col("unknown"), F.lit(True) if leg else None)
 
 
 def _placed(rows: DataFrame, at: tuple, to: tuple) -> DataFrame:
@@ -243,7 +243,7 @@ def stitched(requests: DataFrame, roads: DataFrame, nodes: DataFrame, giant: Col
     name = F.concat(F.lit(STITCH), F.least("a", "b").cast("string"), F.lit(":"), F.greatest("a", "b").cast("string"))
     ways = best.select("*", name.alias("edge_id"), F.explode(F.array(way("a", "b", 1, 2), way("b", "a", 2, 1))).alias("w")).select("query", "profile", "unknown", "start", "end", "edge_id", F.greatest(F.lit(1.0), "meters").alias("meters"), "w.*")
     none = F.lit(None).cast("string")
-    price = profiles.step_cost(F.col("meters"), none, none, none, F.col("edge_id"), none, F.col("profile"), F.col("unknown"), F.lit(True), F.lit(True))
+    price = profiles.step_cost(F.col("meters"), none, none, none, profiles.is_provincial(F.col("edge_id"), none), F.col("profile"), F.col("unknown"), F.lit(True), F.lit(True))
     return _placed(ways, (F.col("u1"), F.col("v1")), (F.col("u2"), F.col("v2"))).select("query", "from", "to", "edge_id", price.alias("price"), F.col("u2").alias("x2"), F.col("v2").alias("y2")).dropDuplicates(["query", "from", "to"])
 
 

@@ -42,13 +42,15 @@ def _moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rcost_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each edge costs from a to b, by profile, with and without unknown access."""
-    asked = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(u).alias("unknown")) for p in _PROFILES for u in (False, True)))).alias("q")
     lit = lambda p: (F.lit(p[0]), F.lit(p[1]))
-    rows = _moved_lines(spark, sf_dir).withColumns(profiles.places((F.col("xa"), F.col("ya")), (F.col("xb"), F.col("yb")), lit(START), lit(END))).select("*", asked)
-    cost = profiles.step_cost(
-        F.col("m"), classify.code_name(F.col("s"), classify.SURFACES), F.col("rt"), classify.code_name(F.col("ac"), classify.ACCESSES),
-        F.when(F.col("seq") % 10 == 3, F.concat(F.lit("ns-"), "edge_id")).otherwise(F.col("edge_id")), _dealt(F.col("seq"), SOURCES), F.col("q.profile"), F.col("q.unknown"), F.col("seq") % 13 == 0, F.col("seq") % 26 == 0)
-    return rows.select("edge_id", "q.profile", "q.unknown", F.round(cost + 3e-8, 6).alias("cost"))  # off the ties of short decimals
+    lines = _moved_lines(spark, sf_dir)
+    tag = F.when(F.col("seq") % 10 == 3, F.concat(F.lit("ns-"), "edge_id")).otherwise(F.col("edge_id"))
+    rows = lines.select(
+        "edge_id", "seq", "m", "rt", classify.code_name(F.col("s"), classify.SURFACES).alias("surface"), classify.code_name(F.col("ac"), classify.ACCESSES).alias("access"), profiles.is_provincial(tag, _dealt(F.col("seq"), SOURCES)).alias("provincial"),
+        *(c.alias(k) for k, c in profiles.places((F.col("xa"), F.col("ya")), (F.col("xb"), F.col("yb")), lit(START), lit(END)).items()))
+    asked = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(u).alias("unknown")) for p in _PROFILES for u in (False, True)))).alias("q")
+    cost = profiles.step_cost(F.col("m"), F.col("surface"), F.col("rt"), F.col("access"), F.col("provincial"), F.col("q.profile"), F.col("q.unknown"), F.col("seq") % 13 == 0, F.col("seq") % 26 == 0)
+    return rows.select("*", asked).select("edge_id", "q.profile", "q.unknown", F.round(cost + 3e-8, 6).alias("cost"))  # off the ties of short decimals
 
 
 def _case(column: str, values: dict, otherwise) -> str:
