@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import SF
 from trailframe.functions import profiles
-from trailframe.operators import waypoints
+from trailframe.operators import extracts, regional, waypoints
 from trailframe.plans import chain_queries
 
 
@@ -34,3 +34,26 @@ def test_code_of_step_costs_is_compiled(spark, capsys):
     rows = spark.range(10).selectExpr("id * 1.5D as m", "string(id) as s", "string(id + 1) as rt", "string(id + 2) as ac", "id > 1 as provincial", "string(id + 3) as profile", "id > 2 as unknown", "id > 3 as leg", "id > 4 as stitch", "id + 0.5D as _before", "id + 0.7D as _after", "id + 0.9D as _direct", "id > 5 as _town")
     rows.select(profiles.step_cost(c("m"), c("s"), c("rt"), c("ac"), c("provincial"), c("profile"), c("unknown"), c("leg"), c("stitch"))).explain("codegen")
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) < 8000
+
+
+def test_points_ask_few_blocks_and_meet_all_near_cells(spark, monkeypatch):
+    """A point that asks every cell around it is shuffled 9, 25 or 49 times."""
+    points = [(k, k * 37 % 211 - 90, k * 53 % 197 - 90) for k in range(120)]
+    left = spark.createDataFrame(points, "a int, x long, y long")
+    right = spark.createDataFrame(points, "b int, x2 long, y2 long")
+    cell, asked, join = lambda c, size: c // size, [], type(left).join
+    monkeypatch.setattr(type(left), "join", lambda self, *a, **k: (asked.append(self), join(self, *a, **k))[1])
+    for reach in (1, 2, 3):
+        got = {(r.a, r.b) for r in regional.near_pairs(left, right, 1e9, 20, reach).collect()}
+        assert got == {(a, b) for a, x, y in points for b, x2, y2 in points if abs(cell(x, 20) - cell(x2, 20)) <= reach and abs(cell(y, 20) - cell(y2, 20)) <= reach}
+        assert asked.pop().count() <= 4 * len(points)
+
+
+def test_pairs_of_decided_places_are_not_carried_on(spark, monkeypatch):
+    """All but the first place of a star go in the first round; nothing but its pairs, as given, has more rows than their places."""
+    stored, keep = [], regional.checkpointed
+    monkeypatch.setattr(regional, "checkpointed", lambda df: (stored.append(keep(df)), stored[-1])[1])
+    pairs = spark.createDataFrame([(i, j, float(j)) for i in range(1, 30) for j in range(i)], "place long, other long, meters double")
+    got = {r.place: (r.owner, r.meters) for r in regional.settle(spark.range(30).toDF("place"), pairs).collect()}
+    assert got == {0: (0, 0.0)} | {i: (0, 0.0) for i in range(1, 30)}
+    assert sorted(df.count() for df in stored)[-2] <= 29

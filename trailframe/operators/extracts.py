@@ -78,13 +78,13 @@ def fabric(edges: DataFrame, mode: str = "hub", hubs: list[tuple[float, float]]
 def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
     """`rows` with numbers from 0 in the order of the unique `key`; no task sees all rows.
 
-    Rows are sorted by ranges and numbered inside each; the counts of the ranges before give the offset. Those are a row for
-    each partition, so that the window over them, without a partition, is small."""
-    ordered = checkpointed(rows.orderBy(key).withColumn("_range", F.spark_partition_id()))
+    Rows are sorted by ranges and numbered as they are written, without another shuffle; the counts of the ranges before give the
+    offset. Those are a row for each partition, so that the window over them, without a partition, is small."""
+    ordered = checkpointed(rows.orderBy(key).withColumn("_at", F.monotonically_increasing_id()))  # range << 33, plus the place in it
+    ordered = ordered.withColumns({"_range": F.shiftright("_at", 33), name: F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
     counts = ordered.groupBy("_range").count()
     offsets = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ordered.withColumn(name, inside).join(offsets, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    return ordered.join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
 
 
 def dealt_to_boxes(edges: DataFrame, boxes: Column) -> DataFrame:
