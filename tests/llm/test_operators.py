@@ -479,3 +479,17 @@ def test_rows_between_blocks_grow_as_the_input():
     rows = lambda total: (1 + total // exchange.block_size(total)) ** 2
     assert exchange.block_size(10**8) == exchange.BLOCK_BYTES == exchange.block_size(10**9)
     assert rows(50 * 10**9) < 60 * rows(10**9) and exchange.block_size(10**14) == exchange.MOST_BLOCK_BYTES
+
+
+def test_texts_go_to_the_forest_once_and_come_back_in_parts(spark, monkeypatch, capsys):
+    """A copy of each text beside its row, and whole batches given on, took an executor's memory."""
+    text = "Good plain words of a text that is long enough for the rule, as every one of them is another one here: " + " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {i}" if i % 3 else ("few words" if i % 2 else None)) for i in range(50)], "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame([], "doc_id long, quality int")
+    monkeypatch.setattr(quality_rules, "AT_ONCE", 7)
+    kept = quality_rules.keep_good(docs, marks)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(i, f"{text} {i}") for i in range(50) if i % 3]
+    kept.explain(extended=True)
+    assert "cast(text" not in capsys.readouterr().out.lower()
+    from_bytes = docs.selectExpr("doc_id", "cast(text as binary) as text")
+    assert quality_rules.keep_good(from_bytes, marks).count() == kept.count()
