@@ -10,6 +10,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -493,3 +494,23 @@ def test_texts_go_to_the_forest_once_and_come_back_in_parts(spark, monkeypatch,
     assert "cast(text" not in capsys.readouterr().out.lower()
     from_bytes = docs.selectExpr("doc_id", "cast(text as binary) as text")
     assert quality_rules.keep_good(from_bytes, marks).count() == kept.count()
+
+
+def test_a_block_of_phrases_holds_the_words_of_one_text_at_a_time(spark, monkeypatch):
+    """What marks a block's words took over 12 times the texts' bytes, all words of all texts at once."""
+    monkeypatch.setattr(phrase_dedup, "in_blocks", lambda docs, carry=None: (docs, 1))
+    monkeypatch.setattr(phrase_dedup, "counted", lambda blocks, n, keys_of, use, schema: use)
+    use = phrase_dedup.mark_repeats(spark.createDataFrame([], "row boolean"), whole=True)
+    texts = [" ".join(f"w{(7 * i + k) % 900}" for i in range(600)).encode() for k in range(400)] + [b"a text  of its own", None, b""]
+    counts = [np.full(max(0, len((t or b"").split()) - 34), 1) for t in texts]
+    counts[3][10:20] = 2
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "row": pa.nulls(len(texts), pa.bool_())})
+    tracemalloc.start()
+    try:
+        out = use(rows, texts, None, counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * sum(len(t or b"") for t in texts), peak
+    assert out.column("n_removed").to_pylist()[3] >= 44 and out.column("n_words").to_pylist()[-2:] == [0, 0]
+    assert out.column("kept_text").to_pylist()[-3:] == ["a text  of its own", None, ""]

@@ -14,6 +14,8 @@ gives no rows; other columns, whatever their names, are ignored or kept as they
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Sequence
 
 import ahocorasick
 import numpy as np
@@ -29,13 +31,19 @@ from trailframe.llm.exchange import counted, in_blocks, window_hashes, word_hash
 WINDOW = 35
 
 
+def numbered(texts: list[bytes | None]) -> list[array]:
+    """The words of every text as numbers, equal words alike; words themselves are held for one text at a time, as all of a block's take many times its bytes."""
+    numbers: dict[bytes, int] = {}
+    return [array("i", [numbers.setdefault(w, len(numbers)) for w in words_of(t)]) for t in texts]
+
+
 def passages(repeated: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Word ranges [start, end) of the runs of repeated windows."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
     return [(int(a), int(b) + size - 1) for a, b in zip(edge[0::2], edge[1::2])]
 
 
-def locate(texts: list[list[int]], recurring: set[tuple[int, ...]]) -> list[np.ndarray]:
+def locate(texts: Sequence[Sequence[int]], recurring: set[tuple[int, ...]]) -> list[np.ndarray]:
     """For every text, a mask of the words inside any occurrence of a recurring passage; words are numbers."""
     if not recurring:
         return [np.zeros(len(t), bool) for t in texts]
@@ -64,20 +72,18 @@ def mark_repeats(docs: DataFrame, size: int = WINDOW, carry: Column | None = Non
         return [window_hashes(word_hashes(words_of(t), cache), size) for t in texts]
 
     def use(rows, texts, keys, counts) -> pa.Table:
-        numbers: dict[bytes, int] = {}
-        words = [words_of(t) for t in texts]
-        coded = [[numbers.setdefault(w, len(numbers)) for w in ws] for ws in words]
+        coded = numbered(texts)
         found = {tuple(c[a:b]) for c, k in zip(coded, counts) for a, b in passages(k >= 2, size)}
         masks = locate(coded, found)
         kept = []
-        for t, ws, m in zip(texts, words, masks):
+        for t, m in zip(texts, masks):
             if m.any():
-                kept.append(b" ".join([w for w, gone in zip(ws, m) if not gone]).decode())
+                kept.append(b" ".join([w for w, gone in zip(words_of(t), m) if not gone]).decode())
             elif whole:
                 kept.append(None if t is None else t.decode())
             else:
-                kept.append(b" ".join(ws).decode())
-        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string()), "row": rows.column("row")})
+                kept.append(b" ".join(words_of(t)).decode())
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array([len(c) for c in coded], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_text": pa.array(kept, pa.string()), "row": rows.column("row")})
 
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string").add("row", blocks.schema["row"].dataType)
     return counted(blocks, n, keys_of, use, schema)
