@@ -514,3 +514,19 @@ def test_a_block_of_phrases_holds_the_words_of_one_text_at_a_time(spark, monkeyp
     assert peak < 5 * sum(len(t or b"") for t in texts), peak
     assert out.column("n_removed").to_pylist()[3] >= 44 and out.column("n_words").to_pylist()[-2:] == [0, 0]
     assert out.column("kept_text").to_pylist()[-3:] == ["a text  of its own", None, ""]
+
+
+def test_ids_are_joined_in_small_parts(spark, monkeypatch):
+    """A million pieces were joined at once, in 100 MB of a worker."""
+    made = []
+    monkeypatch.setattr(byte_bpe, "map_texts", lambda df, make, schema: made.append(make) or spark.createDataFrame([], schema))
+    bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    bpe.known_ids = spark.sparkContext.broadcast((np.arange(300, dtype=np.int32), np.arange(0, 301, 2, dtype=np.int32)))
+    bpe.encode(spark.createDataFrame([], "doc_id long, text string"), "text", "ids", "decoded")
+    n = 100_000
+    codes = np.tile(np.arange(150, dtype=np.int32), 2000)
+    lists = pa.ListArray.from_arrays(pa.array([0, n, n, 2 * n, 3 * n], pa.int32()), pa.array(codes))
+    batch = pa.RecordBatch.from_arrays([pa.nulls(4, pa.bool_()), lists, pa.array([[]] * 4, pa.list_(pa.list_(pa.int32())))], ["row", "codes", "folded"])
+    parts = list(made[1]()(batch))
+    assert len(parts) > 1 and sum((p["ids"].to_pylist() for p in parts), []) == [[i for c in codes[a * n : b * n] for i in (2 * int(c), 2 * int(c) + 1)] for a, b in ((0, 1), (1, 1), (1, 2), (2, 3))]
+    assert b"".join(d for p in parts for d in p["decoded"].to_pylist()) == b"".join(bpe.pieces.to_pylist()[i] for i in range(300)) * 2000

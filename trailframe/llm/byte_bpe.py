@@ -37,6 +37,8 @@ from trailframe.llm.common import map_texts, stored, table
 #: Parameters: frequent pieces that are folded once at most (and bytes of each), pieces that a task looks up at a time,
 #: bytes that two chunks of a long piece share at least.
 FREQUENT, PIECE_BYTES, AT_ONCE, OVERLAP = 1_000_000, 32, 1_000_000, 64
+#: Parameter: pieces (or ids) that are joined at a time. Unlike a look-up, which goes through all known pieces, joining costs no more in small parts.
+JOINED = 200_000
 #: Ids and ranks have 20 bits, the last of which means none; a place has 23; a free slot is larger than any entry.
 _NO_RANK = _PART = 2**20 - 1
 _PLACES, _FREE = 2**23, 2**62
@@ -228,11 +230,11 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _some_rows(batch: pa.RecordBatch, lists: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose lists together have about AT_ONCE elements, or one row that has more."""
+def _some_rows(batch: pa.RecordBatch, lists: str, some: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists together have about `some` elements, or one row that has more."""
     ends, at = np.cumsum(_lengths(batch.column(lists))), 0
     while at < len(batch):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + some, "right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -363,7 +365,7 @@ class ByteBpe:
             pa.set_memory_pool(pa.system_memory_pool())
 
             def each(batch):
-                for x in _some_rows(batch, "codes"):
+                for x in _some_rows(batch, "codes", JOINED):
                     offsets, numbers = put_together(x.column("codes"), x.column("folded"), *known_ids.value)
                     yield {"row": x.column("row"), "ids": _lists(offsets, pa.array(numbers)), "decoded": joined_pieces(offsets, numbers, pieces) if decoded else pa.nulls(len(x), pa.binary())}
 
@@ -382,7 +384,7 @@ class ByteBpe:
 
         def join():
             def each(batch):
-                for x in _some_rows(batch, "ids"):
+                for x in _some_rows(batch, "ids", JOINED):
                     yield {"row": x.column("row"), "decoded": joined_pieces(_offsets(_lengths(x.column("ids"))), _numbers(x.column("ids").flatten()), pieces)}
 
             return each
