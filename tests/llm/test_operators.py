@@ -254,6 +254,79 @@ def test_links_connect_what_brute_force_connects(spark, cell):
     assert [got.get(i, i) for i in range(60)] == [find(i) for i in range(60)]
 
 
+def test_sets_that_no_part_can_answer_are_not_sent_to_all(spark, monkeypatch):
+    rng = random.Random(11)
+    given, cells = [], ngram_join._cells
+    monkeypatch.setattr(ngram_join, "_cells", lambda rows: given.append(rows.count()) or cells(rows))
+
+    def rows_of(n):
+        sets = [[*rng.sample(range(200), 200 - gone), *range(1000 * i + 1000, 1000 * i + 1000 + gone)] for i in range(n) for gone in [44 if i % 3 == 0 else i % 9]]  # each third shares too little with any of its size
+        rows = [(i, sorted(x for x in s if x < 200)[:51], sorted(s)) for i, s in enumerate(sets)]
+        given.clear()
+        links = ngram_join.class_links(spark.createDataFrame(rows, "class_id long, prefix array<long>, tokens array<long>").selectExpr("class_id", "prefix", "filter(tokens, x -> x < 200) AS tokens", "size(tokens) * 1L AS n"), 8)
+        comps = {r.node: r.component for r in ngram_join.connected_components(links).collect()}
+        up = list(range(n))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for i, j in itertools.combinations(range(n), 2):
+            if ngram_join.similar(len(set(sets[i]) & set(sets[j])), 200, 200):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+        assert [comps.get(i, i) for i in range(n)] == [find(i) for i in range(n)]
+        return sum(given)
+
+    few, many = rows_of(60), rows_of(240)
+    assert many < 5 * few
+
+
+def test_search_by_arrays_finds_what_brute_force_finds():
+    for seed in range(120):
+        rng = random.Random(seed)
+        size, noise, n = rng.choice([3, 8, 40, 90]), rng.choice([0.02, 0.05, 0.08, 0.12]), rng.randint(2, 40)
+        bases = [[rng.randrange(200) * 7 + b * 1000 for _ in range(size)] for b in range(rng.randint(1, 4))]
+        sets = [{x if rng.random() > noise else rng.randrange(10**6) for x in b[: rng.randint(max(1, len(b) * 3 // 5), len(b))]} for b in rng.choices(bases, k=n)]
+        count = collections.Counter(x for s in sets for x in s)
+        shared = [np.array(sorted(x for x in s if count[x] > 1), np.int64) for s in sets]
+        guest = [seed % 2 == 1 and (i == 0 or rng.random() < 0.4) for i in range(n)]
+        want, got = ngram_join._Union(range(n)), ngram_join._Union(range(n))
+        near = lambda i, j: ngram_join.similar(len(sets[i] & sets[j]), len(sets[i]), len(sets[j]))  # noqa: B023, E731
+        for i, j in itertools.combinations(range(n), 2):
+            if near(i, j) and (seed % 2 == 0 or guest[i] != guest[j]):
+                want.join(i, j)
+        for i, j in ngram_join.links_of_cell(0 if seed % 2 == 0 else None, list(range(n)), [len(s) for s in sets], shared, list(range(n)), guest):
+            assert near(i, j) and got.join(i, j)
+        assert [got.find(i) for i in range(n)] == [want.find(i) for i in range(n)]
+
+
+def test_shingles_of_texts_taken_together(monkeypatch):
+    rng = random.Random(3)
+    letters = ["a", "B", "b", "\u00e9", " ", " ", "\n", "\t", "\x0b", "\x1c", "\u2003", "x" * 9, "y" * 40]
+    texts = [None, b"", b"  ", b"x" * 3000, *("".join(rng.choices(letters, k=rng.randint(0, 60))).encode() for _ in range(800))]
+    seen = {}
+    for together in (50, 10**6):
+        monkeypatch.setattr(ngram_join, "TOGETHER", together)
+        for text, got in zip(texts, ngram_join.shingle_sets(texts), strict=True):
+            words = (text or b"").lower().split()
+            want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+            assert len(want) == len(got) and seen.setdefault(frozenset(want), got.tobytes()) == got.tobytes()
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_counts_of_fewer_bits_are_never_too_small(spark):
+    from trailframe.llm import exchange
+
+    rng = np.random.default_rng(2)
+    keys = [np.unique(np.concatenate([rng.integers(0, 2**64, 50, np.uint64), np.uint64(2**60) * np.arange(i % 7, dtype=np.uint64)])) for i in range(40)]
+    true = collections.Counter(int(x) for k in keys for x in k)
+    docs = spark.createDataFrame([(i, str(i)) for i in range(40)], "doc_id long, text string")
+    blocks, n = exchange.in_blocks(docs, 10)
+    assert n > 3
+    use = lambda rows, texts, each, counts: pa.table({"keys": pa.array([k.view(np.int64) for k in each], pa.list_(pa.int64())), "counts": pa.array([c.astype(np.int64) for c in counts], pa.list_(pa.int64()))})
+    for bits in (64, 40, 32):
+        out = exchange.counted(blocks, n, lambda texts: [keys[int(t)] for t in texts], use, "keys array<long>, counts array<long>", bits=bits).collect()
+        alike = collections.Counter(int(x) >> (64 - bits) for k in keys for x in k)
+        found = {int(x) & (2**64 - 1): c for r in out for x, c in zip(r["keys"], r["counts"])}
+        assert found == {x: alike[x >> (64 - bits)] for x in true} and all(found[x] >= c for x, c in true.items())
+
+
 def test_sets_are_stored_by_document_and_by_class_only(spark, monkeypatch):
     frames, stored = [], ngram_join.stored
     monkeypatch.setattr(ngram_join, "stored", lambda df: frames.append(df.columns) or stored(df))

@@ -24,6 +24,8 @@ from trailframe.llm.common import binary_list, give_back, map_texts
 #: Parameters: bytes of text in a block, on average, at first and at most; bytes of text from which blocks grow.
 BLOCK_BYTES, MOST_BLOCK_BYTES, GROWS_FROM = 4_000_000, 32_000_000, 1_000_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that part words, masks of the first bytes of eight, bytes of a word up to which it is hashed in arrays.
+_SPACE, _FIRST, _SHORT = np.isin(np.arange(256), list(b"\t\n\v\f\r ")), np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64), 64
 
 
 def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
@@ -34,6 +36,33 @@ def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(((get(w) or cache.setdefault(w, digest(w) | 1)) for w in words), np.uint64, len(words))
 
 
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and how many words there are up to the end of each text.
+
+    Eight bytes of all words are taken at once; words of more than `_SHORT` bytes are hashed each."""
+    data = b" " + b" ".join(texts) + b" " * 8
+    inside = ~_SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
+    out, at, left, rest = sizes.astype(np.uint64) * _MIX, starts, sizes, slice(None)
+    for _ in range(_SHORT // 8):
+        out[rest] = _stir(out[rest] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        rest, at, left = more if isinstance(rest, slice) else rest[more], at[more] + 8, left[more] - 8
+        if not len(more):
+            break
+    for i in np.flatnonzero(sizes > _SHORT):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return out, np.searchsorted(starts, 1 + np.cumsum([len(t) + 1 for t in texts]))
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of `size` consecutive words, from the words' hashes."""
     if len(h) < size:
@@ -90,16 +119,19 @@ def bodies(column: pa.ChunkedArray) -> list[bytes | None]:
     return [None if x is None else expand(x) for x in column.to_pylist()]
 
 
-def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None]], list[np.ndarray]], use: Callable, schema: str | StructType) -> DataFrame:
+def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None]], list[np.ndarray]], use: Callable, schema: str | StructType, bits: int = 64) -> DataFrame:
     """For every block, `use(rows, texts, keys, counts)` as a pa.Table of `schema`; `rows` is the block's table.
 
     `keys_of(texts)` gives an array of keys for each text; `counts` are arrays alike, how often each key occurs in
-    all blocks, up to 255."""
+    all blocks, up to 255. Of keys only the upper `bits` (32 at least) are sent: keys alike in them are counted as
+    one, so that with fewer than 64 a count may be too large, but never too small."""
+
+    def sent_keys(each: list[np.ndarray]) -> np.ndarray:
+        return (np.concatenate(each) if each else np.zeros(0, np.uint64)) >> np.uint64(64 - bits)
 
     def send(group: pa.Table) -> pa.Table:
-        each = keys_of(bodies(group.column("body")))
-        keys, counts = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
-        at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        keys, counts = np.unique(sent_keys(keys_of(bodies(group.column("body")))), return_counts=True)
+        at = np.searchsorted(((keys >> np.uint64(bits - 32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
         counts = np.minimum(counts, 255).astype(np.uint8)
         full = np.flatnonzero(np.diff(at))
         block = group.column("block")[0].as_py()
@@ -121,7 +153,7 @@ def counted(blocks: DataFrame, shards: int, keys_of: Callable[[list[bytes | None
         order = np.argsort(answers.column("shard").to_numpy()) if len(answers) else []
         replies = answers.column("counts").to_pylist() if len(answers) else []
         counts = np.frombuffer(b"".join(replies[i] for i in order), np.uint8)
-        _, where = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_inverse=True)
+        _, where = np.unique(sent_keys(each), return_inverse=True)
         cuts = np.cumsum([len(k) for k in each])[:-1]
         counts, where = counts[where], None  # places take eight times the counts
         give_back()

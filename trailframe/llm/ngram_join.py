@@ -2,15 +2,18 @@
 
 A document is the set of its distinct 5-word shingles. Counts over all documents (exchange.py) order shingles
 from rare to frequent and show how many of a document's are shared at all: with fewer than the overlap that any
-partner would need, it has none. Equal sets become one class, whose representative goes on. Two similar sets
+partner would need, it has none. Equal sets become one class, whose representative goes on, with its size and
+those of its shingles that are shared. Two similar sets
 share a shingle among the rarest 1/4 of each, so classes meet in a cell for the smallest class of each such
 shingle. In a cell an inverted index answers T-occurrence searches as DivideSkip does: the short lists of a set
-are merged with a heap, the long ones probed by binary search, and what reaches the required overlap is linked.
+are merged, the long ones probed by binary search, and what reaches the required overlap is linked. The overlap
+required is that with the smallest set whose size, and whose share of shingles that others in the cell have, leave it similar.
 
 Only links that join components are kept, so groups of thousands of near copies cost links in proportion: sets
-are tried on the cell's pivot first, and searches are made for sets outside the largest component only. Cells
-over `CELL` sets are dealt into parts by hash, each with the pivot; then sets outside the largest component are
-sent to all other parts, so that no pair of sets that could be linked is left out.
+are tried on the cell's pivot and on the sets with the most frequent shingles of the cell first, and searches are
+made for sets outside the largest component only. Cells over `CELL` sets are dealt into parts by size and hash,
+each with the pivot; then sets outside the largest component are sent to all other parts that hold sets of a size
+that could be similar, and search there, so that no pair of sets that could be linked is left out.
 
 Edge cases: null and empty texts, and texts without words, have empty sets and link with nothing; fewer words
 than 5 make one shingle; a null doc_id is no node but keeps its row (component null unless its set is shared,
@@ -20,27 +23,38 @@ other columns are ignored. Shingles are told apart by 64-bit hashes, sets by 128
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import give_back, stored, table, words_of
-from trailframe.llm.exchange import counted, in_blocks, window_hashes, word_hashes
+from trailframe.llm.common import give_back, stored, table
+from trailframe.llm.exchange import counted, hashed_words, in_blocks, window_hashes
 from trailframe.operators.components import connected_components
 
-#: Parameters: words of a shingle, least similarity in percent, sets of a cell's part.
-SHINGLE, PERCENT, CELL = 5, 75, 128
-
-
-def shingle_set(text: bytes | None, cache: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text, A-Z in lower case."""
-    h = word_hashes(words_of(text.lower() if text else text), cache)  # bytes.lower() changes A-Z only
-    return np.unique(window_hashes(h, min(size, len(h)))) if len(h) else np.zeros(0, np.uint64)
+#: Parameters: words of a shingle, least similarity in percent, sets of a cell's part, bytes of texts hashed together.
+SHINGLE, PERCENT, CELL, TOGETHER = 5, 75, 128, 1_000_000
+#: Parameters: sets sent to a part are searched for in groups of so many times a part's, sizes are dealt by powers of e to one over this.
+GUESTS, BANDS = 8, 50
+
+
+def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text, A-Z in lower case; `TOGETHER` bytes of texts are hashed at once."""
+    out: list[np.ndarray] = []
+    while len(out) < len(texts):
+        some, taken = [], 0
+        while len(out) + len(some) < len(texts) and taken < TOGETHER:
+            some.append((texts[len(out) + len(some)] or b"").lower())  # bytes.lower() changes A-Z only
+            taken += len(some[-1])
+        h, ends = hashed_words(some)
+        windows = window_hashes(h, size)
+        for a, b in zip([0, *ends], ends):
+            x = np.sort(windows[a : b - size + 1] if b - a >= size else window_hashes(h[a:b], b - a) if b > a else h[:0])
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x[new])
+    return out
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -52,29 +66,31 @@ def similar(overlap: int, n: int, m: int, percent: int = PERCENT) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
+def least_overlap(n: int, m, percent: int = PERCENT):
+    """The overlap from which sets of n and m are similar."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, prefix, tokens); tokens, from rare to frequent, and the shared ones of the prefix only where a partner is possible."""
-    blocks, n = in_blocks(docs)
+    """(doc_id, n_shingles, digest, prefix, tokens); the shared ones of all tokens, and of those of the prefix, from rare to frequent, only where a partner is possible.
 
-    def keys_of(texts):
-        cache: dict[bytes, int] = {}
-        return [shingle_set(t, cache) for t in texts]
+    Counts need not tell all 64 bits apart: a shingle wrongly taken to be shared is searched in vain."""
+    blocks, n = in_blocks(docs)
 
     def use(rows, texts, keys, counts) -> pa.Table:
         digests, prefixes, tokens = [], [], []
         for k, c in zip(keys, counts):
             digests.append(xxhash.xxh3_128_digest(k.tobytes()) if len(k) else None)
-            if len(k) and int((c >= 2).sum()) >= needed(len(k)):
-                order = np.lexsort((k, c))
-                sorted_keys = k[order].view(np.int64)
-                head = order[: len(k) - needed(len(k)) + 1]
-                prefixes.append(k[head[c[head] >= 2]].view(np.int64))
-                tokens.append(sorted_keys)
+            alone = int((c < 2).sum())
+            if len(k) and len(k) - alone >= needed(len(k)):
+                order = np.argsort(c, kind="stable")[alone:]  # ties by shingle, as they come
+                tokens.append(k[order].view(np.int64))
+                prefixes.append(tokens[-1][: len(k) - needed(len(k)) + 1 - alone])
             else:
                 prefixes.append(None), tokens.append(None)
         return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array([len(k) for k in keys], pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
-    return counted(blocks, n, keys_of, use, "doc_id long, n_shingles long, digest binary, prefix array<long>, tokens array<long>")
+    return counted(blocks, n, shingle_sets, use, "doc_id long, n_shingles long, digest binary, prefix array<long>, tokens array<long>", bits=max(32, 30 + n.bit_length()))
 
 
 class _Union:
@@ -100,109 +116,132 @@ class _Union:
         return max(sizes, key=lambda r: (sizes[r], -r))
 
 
-def divide_skip(lists: list[list[int]], t: int, probe_long: int) -> dict[int, int]:
+def divide_skip(lists: list, t: int, probe_long: int) -> dict[int, int]:
     """Numbers that occur in at least `t` of the sorted lists, with their counts: the `probe_long` longest lists (at most t - 1) are probed, the others merged."""
-    lists = sorted((x for x in lists if x), key=len)
-    n_long = min(probe_long, t - 1, len(lists))
+    lists = sorted((np.asarray(x) for x in lists if len(x)), key=len)
+    if len(lists) < t:
+        return {}
+    n_long = min(probe_long, t - 1)
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    found, last, count = {}, None, 0
-
-    def close() -> None:
-        if last is None or count < t - n_long:
-            return
-        total = count
-        for i, x in enumerate(long):
-            if total + len(long) - i < t:
-                return
-            at = bisect_left(x, last)
-            total += at < len(x) and x[at] == last
-        if total >= t:
-            found[last] = total
-
-    for d in heapq.merge(*short):
-        if d != last:
-            close()
-            last, count = d, 0
-        count += 1
-    close()
-    return found
-
-
-def links_of_cell(pivot: int | None, names: list[int], sets: list[list[int]], comps: list[int], ask: list[bool]) -> list[tuple[int, int]]:
-    """Links that join components among the sets of a cell; searches are made for sets that `ask`."""
+    found, counts = np.unique(np.concatenate(short), return_counts=True)
+    for i, x in enumerate(long):
+        may = counts + (n_long - i) >= t
+        found, counts = found[may], counts[may]
+        if not len(found):
+            return {}
+        counts += x[np.minimum(np.searchsorted(x, found), len(x) - 1)] == found
+    return {int(d): int(c) for d, c in zip(found, counts) if c >= t}
+
+
+def links_of_cell(pivot: int | None, names: list[int], sizes: list[int], sets: list[np.ndarray], comps: list[int], guest: list[bool]) -> list[tuple[int, int]]:
+    """Links that join components among the sets of a cell, given by their sizes and their shared tokens. Guests search the others; without guests, all search."""
     union = _Union(comps)
-    comp = dict(zip(names, comps))
-    out = []
+    out: list[tuple[int, int]] = []
+    size, host = np.array(sizes), ~np.array(guest)
+    lengths = np.array([len(s) for s in sets])
+    ends = np.cumsum(lengths)
+    tokens, local = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(local[np.repeat(host, lengths)], minlength=len(tokens))
+    own = lambda i: local[ends[i] - lengths[i] : ends[i]]
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+    roots = lambda: np.array([union.find(c) for c in comps])
 
     def link(i: int, j: int) -> None:
-        if union.join(comp[names[i]], comp[names[j]]):
+        if union.join(comps[i], comps[j]):
             out.append((names[i], names[j]))
 
-    if pivot is not None and pivot in comp:
-        p = names.index(pivot)
-        ps = set(sets[p])
-        for i, s in enumerate(sets):
-            if i != p and union.find(comp[names[i]]) != union.find(comp[pivot]) and similar(len(ps.intersection(s)), len(ps), len(s)):
-                link(i, p)
-    if len({union.find(c) for c in comps}) == 1:
+    def try_all_on(p: int) -> bool:
+        mask = np.zeros(len(tokens), bool)
+        mask[own(p)] = True
+        before = len(out)
+        for i in np.flatnonzero(similar(sums(mask[local]), size, size[p])):
+            link(int(i), p)
+        return len(out) > before
+
+    if pivot is not None and pivot in names:
+        try_all_on(names.index(pivot))
+    main = None
+    if host.all():
+        score, at = sums(often[local]) / size, roots()
+        left = np.ones(len(names), bool)
+        while left.any() and (at != at[0]).any() and try_all_on(int(np.flatnonzero(left)[np.argmax(score[left])])):
+            at = roots()
+            left = at != union.largest()
+        main = union.largest()  # all others search, and so meet the largest
+    at = roots()
+    if (at == at[0]).all():
         return out
-    index: dict[int, list[int]] = {}
-    for i, s in enumerate(sets):
-        for x in s:
-            index.setdefault(x, []).append(i)
-    main = union.largest() if all(ask) else None  # all others search, and so meet the largest
-    for i, s in enumerate(sets):
-        mine = union.find(comp[names[i]])
-        if not ask[i] or main is not None and mine == union.find(main):
+    shared = sums(np.where(np.repeat(host, lengths), np.bincount(local)[local] > 1, often[local] > 0))  # tokens of a set that any may have that it is compared with
+    members = np.repeat(np.arange(len(names)), lengths)[order := np.argsort(local, kind="stable")]
+    members, cuts = members[host[members]], np.concatenate([[0], np.cumsum(often)])
+    for i in range(len(names)):
+        mine = union.find(comps[i])
+        if host[i] and (main is None or mine == union.find(main)):
+            continue
+        least = np.maximum(least_overlap(int(size[i]), size), 1)
+        t = least[host & (at != mine) & (least <= np.minimum(shared, shared[i]))].min(initial=2**62)
+        if t > shared[i]:
             continue
-        t = needed(len(s))
-        lists = [[j for j in x if union.find(comp[names[j]]) != mine] for x in (index[x] for x in s) if len(x) > 1]
-        for j, overlap in divide_skip(lists, t, probe_long=t - 1).items():
-            if similar(overlap, len(s), len(sets[j])):
+        lists = [members[cuts[x] : cuts[x + 1]] for x in own(i)]
+        for j, overlap in divide_skip(lists, int(t), probe_long=int(t) - 1).items():
+            if i != j and similar(overlap, int(size[i]), int(size[j])):
                 link(i, j)
+        at = roots()
     return out
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Links (a, b) found in cells given as rows (pivot, part, class_id, tokens, comp, ask)."""
+    """Links (a, b) found in cells given as rows (pivot, part, turn, class_id, n, tokens, comp, guest)."""
 
     done = 0
 
     def run(group: pa.Table) -> pa.Table:
         nonlocal done
-        seen: dict[int, int] = {}
-        names = group.column("class_id").to_pylist()
-        for i, x in enumerate(names):
-            seen.setdefault(x, i)
-        g = group.take(list(seen.values()))
-        found = links_of_cell(group.column("pivot")[0].as_py(), g.column("class_id").to_pylist(), g.column("tokens").to_pylist(), g.column("comp").to_pylist(), g.column("ask").to_pylist())
+        _, first = np.unique(group.column("class_id").to_numpy(), return_index=True)
+        g = group.take(np.sort(first)).combine_chunks()
+        tokens = g.column("tokens").combine_chunks()
+        flat, offsets = tokens.flatten().to_numpy(), tokens.offsets.to_numpy()
+        sets = np.split(flat, (offsets - offsets[0])[1:-1])
+        found = links_of_cell(group.column("pivot")[0].as_py(), g.column("class_id").to_pylist(), g.column("n").to_pylist(), sets, g.column("comp").to_pylist(), g.column("guest").to_pylist())
         done += 1
         if done % 500 == 0:
             give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("pivot", "part").applyInArrow(run, "a long, b long")
+    return rows.groupBy("pivot", "part", "turn").applyInArrow(run, "a long, b long")
 
 
 def class_links(classes: DataFrame, cell: int = CELL) -> DataFrame:
-    """Links between classes (class_id, prefix, tokens) that connect all similar ones."""
-    posts = stored(classes.select("class_id", F.explode("prefix").alias("token")))
-    pivots = posts.groupBy("token").agg(F.min("class_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("token", "pivot")
-    members = posts.join(pivots, "token").select("pivot", "class_id").where("pivot <> class_id").distinct()
-    sizes = members.groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
-    dealt = stored(members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")))
-    sets = classes.select("class_id", "tokens")
+    """Links between classes (class_id, prefix, tokens) that connect all similar ones; `n`, where given, is the size of a set of which `tokens` holds the shared ones only."""
+    classes = classes if "n" in classes.columns else classes.withColumn("n", F.size("tokens").cast("long"))
+    posts = stored(classes.select("class_id", "n", F.size("tokens").alias("shared"), F.explode("prefix").alias("token")))
+    pivots = posts.groupBy("token").agg(F.min("class_id").alias("pivot"), F.count("*").alias("many")).where("many > 1").select("token", "pivot")
+    members = posts.join(pivots, "token").select("pivot", "class_id", "n", "shared").where("pivot <> class_id").distinct()
+    # A small cell is one part; a large one is dealt by size, so that searches leave out parts, and sets of like size by hash.
+    banded = members.withColumn("band", F.floor(F.log("n") * BANDS))
+    bands = banded.groupBy("pivot", "band").agg(F.count("*").alias("many"))
+    cells = bands.groupBy("pivot").agg(F.sum("many").alias("all"))
+    parts = bands.join(cells, "pivot").select("pivot", "band", (F.col("all") > cell).alias("large"), F.ceil(F.col("many") / cell).alias("parts"))
+    part = F.when(F.col("large"), F.col("band") * F.lit(2**32) + F.pmod(F.xxhash64("class_id"), F.col("parts"))).otherwise(F.lit(0))
+    dealt = stored(banded.join(parts, ["pivot", "band"]).select("pivot", part.cast("long").alias("part"), "class_id", "n", "shared", "large"))
+    sets = classes.select("class_id", "n", "tokens")
     own = dealt.select("pivot", "part", "class_id").unionByName(dealt.select("pivot", "part", F.col("pivot").alias("class_id")).distinct())
-    first = stored(_cells(own.join(sets, "class_id").select("pivot", "part", "class_id", "tokens", F.col("class_id").alias("comp"), F.lit(True).alias("ask"))))
-    # Cells of several parts: sets outside the cell's largest component so far go to all the other parts.
+    first = stored(_cells(own.join(sets, "class_id").select("pivot", "part", F.lit(0).alias("turn"), "class_id", "n", "tokens", F.col("class_id").alias("comp"), F.lit(False).alias("guest"))))
+    # Cells of several parts: sets outside the cell's largest component so far go to all the other parts with sets of a size that may be similar.
     comps = stored(connected_components(first))
-    big = dealt.where("parts > 1").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").select("pivot", "parts", "part", "class_id", F.coalesce("component", "class_id").alias("comp"))
+    big = dealt.where("large").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").select("pivot", "part", "class_id", "n", "shared", F.coalesce("component", "class_id").alias("comp"))
     by_comp = big.groupBy("pivot", "comp").count()
-    main = by_comp.groupBy("pivot").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    marked = big.join(main, "pivot").withColumn("ask", F.col("comp") != F.col("main"))
-    sent = marked.where("ask").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> part").select("pivot", F.col("to").alias("part"), "class_id", "comp", "ask")
-    again = marked.select("pivot", "part", "class_id", "comp", "ask").unionByName(sent).join(sets, "class_id")
-    return first.unionByName(_cells(again.select("pivot", "part", "class_id", "tokens", "comp", "ask")))
+    main = by_comp.groupBy("pivot").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k"), (F.sum("count") - F.max("count")).alias("others")).where("k > 1")
+    reach = big.groupBy("pivot", "part").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("pivot").agg(F.collect_list(F.struct("part", "low", "high")).alias("reach"))
+    asking = big.join(main.join(reach, "pivot"), "pivot").where("comp <> main")
+    # With an overlap of at most `shared`, a set of n is similar to sets of n * PERCENT / 100 to shared * (100 + PERCENT) / PERCENT - n.
+    there = F.filter("reach", lambda p: (p["part"] != F.col("part")) & (100 * p["high"] >= PERCENT * F.col("n")) & (PERCENT * (F.col("n") + p["low"]) <= (100 + PERCENT) * F.col("shared")))
+    turns = F.ceil(F.col("others") / (GUESTS * cell)).cast("int")
+    sent = asking.select("pivot", "class_id", "comp", F.pmod(F.xxhash64("class_id", F.lit(1)), turns).cast("int").alias("turn"), F.explode(there.getField("part")).alias("part"))
+    sent = stored(sent.select("pivot", "part", "turn", "class_id", "comp", F.lit(True).alias("guest")))
+    hosts = big.join(sent.select("pivot", "part", "turn").distinct(), ["pivot", "part"]).select("pivot", "part", "turn", "class_id", "comp", F.lit(False).alias("guest"))
+    again = hosts.unionByName(sent).join(sets, "class_id")
+    return first.unionByName(_cells(again.select("pivot", "part", "turn", "class_id", "n", "tokens", "comp", "guest")))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -210,9 +249,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
     Classes are numbered by themselves, since a doc_id may have several texts; those texts' classes are linked."""
     rows = stored(shingled(docs))
-    one = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    one = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
     classes = stored(one.withColumn("class", F.monotonically_increasing_id()))
-    links = class_links(classes.where("tokens IS NOT NULL").select(F.col("class").alias("class_id"), "prefix", "tokens"))  # stored once: tokens are most of what is written
+    links = class_links(classes.where("tokens IS NOT NULL").select(F.col("class").alias("class_id"), "n", "prefix", "tokens"))  # stored once: tokens are most of what is written
     several = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select(F.col("doc_id").alias("many"))
     texts = rows.join(several, F.col("doc_id") == F.col("many"), "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")
     firsts = texts.groupBy("doc_id").agg(F.min("class").alias("b"))
