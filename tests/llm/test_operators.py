@@ -277,6 +277,21 @@ def test_sets_that_no_part_can_answer_are_not_sent_to_all(spark, monkeypatch):
     assert many < 5 * few
 
 
+def test_no_task_gets_the_members_of_a_large_cell(spark, monkeypatch):
+    plans, stored = {}, ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df: plans.__setitem__(tuple(df.columns), df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = [list(range(i, i + 40)) for i in range(40)]
+        links = ngram_join.class_links(spark.createDataFrame([(i, x[:11], x) for i, x in enumerate(sets)], "class_id long, prefix array<long>, tokens array<long>"), 3)
+        assert ngram_join.connected_components(links).groupBy("component").count().collect() == [(0, 40)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    by_cell = [plan for columns, plan in plans.items() if "class_id" in columns and "token" not in columns]
+    assert by_cell and not any(re.search(r"hashpartitioning\(pivot#\d+L?, (band#\d+L?, )?\d+\)", plan) for plan in by_cell)
+
+
 def test_search_by_arrays_finds_what_brute_force_finds():
     for seed in range(120):
         rng = random.Random(seed)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import give_back, stored, table
+from trailframe.llm.common import give_back, small, stored, table
 from trailframe.llm.exchange import counted, hashed_words, in_blocks, window_hashes
 from trailframe.operators.components import connected_components
 
@@ -220,10 +220,10 @@ def class_links(classes: DataFrame, cell: int = CELL) -> DataFrame:
     # A small cell is one part; a large one is dealt by size, so that searches leave out parts, and sets of like size by hash.
     banded = members.withColumn("band", F.floor(F.log("n") * BANDS))
     bands = banded.groupBy("pivot", "band").agg(F.count("*").alias("many"))
-    cells = bands.groupBy("pivot").agg(F.sum("many").alias("all"))
-    parts = bands.join(cells, "pivot").select("pivot", "band", (F.col("all") > cell).alias("large"), F.ceil(F.col("many") / cell).alias("parts"))
-    part = F.when(F.col("large"), F.col("band") * F.lit(2**32) + F.pmod(F.xxhash64("class_id"), F.col("parts"))).otherwise(F.lit(0))
-    dealt = stored(banded.join(parts, ["pivot", "band"]).select("pivot", part.cast("long").alias("part"), "class_id", "n", "shared", "large"))
+    cells = bands.groupBy("pivot").agg(F.sum("many").alias("all")).where(F.col("all") > cell).select("pivot")
+    parts = small(stored(bands.join(cells, "pivot").select("pivot", "band", F.ceil(F.col("many") / cell).alias("parts"))))  # of large cells only: no task gets a cell's members
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("band") * F.lit(2**32) + F.pmod(F.xxhash64("class_id"), F.col("parts")))
+    dealt = stored(banded.join(parts, ["pivot", "band"], "left").select("pivot", part.cast("long").alias("part"), "class_id", "n", "shared", F.col("parts").isNotNull().alias("large")))
     sets = classes.select("class_id", "n", "tokens")
     own = dealt.select("pivot", "part", "class_id").unionByName(dealt.select("pivot", "part", F.col("pivot").alias("class_id")).distinct())
     first = stored(_cells(own.join(sets, "class_id").select("pivot", "part", F.lit(0).alias("turn"), "class_id", "n", "tokens", F.col("class_id").alias("comp"), F.lit(False).alias("guest"))))
@@ -233,7 +233,7 @@ def class_links(classes: DataFrame, cell: int = CELL) -> DataFrame:
     by_comp = big.groupBy("pivot", "comp").count()
     main = by_comp.groupBy("pivot").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k"), (F.sum("count") - F.max("count")).alias("others")).where("k > 1")
     reach = big.groupBy("pivot", "part").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("pivot").agg(F.collect_list(F.struct("part", "low", "high")).alias("reach"))
-    asking = big.join(main.join(reach, "pivot"), "pivot").where("comp <> main")
+    asking = big.join(small(stored(main.join(reach, "pivot"))), "pivot").where("comp <> main")
     # With an overlap of at most `shared`, a set of n is similar to sets of n * PERCENT / 100 to shared * (100 + PERCENT) / PERCENT - n.
     there = F.filter("reach", lambda p: (p["part"] != F.col("part")) & (100 * p["high"] >= PERCENT * F.col("n")) & (PERCENT * (F.col("n") + p["low"]) <= (100 + PERCENT) * F.col("shared")))
     turns = F.ceil(F.col("others") / (GUESTS * cell)).cast("int")
